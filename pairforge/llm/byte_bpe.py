@@ -11,7 +11,9 @@ is the last settled token and the bytes after it; transitions are made when firs
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -19,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens, transitions and pair verdicts kept per Python worker; a full store is emptied.
-MEMO = 300_000
+#: Transitions and pair verdicts kept per Python worker; a full store is emptied.
+MEMO = 600_000
+#: Pre-tokens kept per Python worker, in each of two generations.
+PIECES = 150_000
 MEMO_CHARS = 64
 
 NONE = -2
@@ -46,11 +50,11 @@ class Transducer:
     def _reset(self) -> None:
         #: The last token of each prefix of the pending bytes, beginning with the settled one;
         #: the lengths of the prefixes after which a token may start; the pending bytes.
-        self.states: list[tuple[list[int], list[int], bytes]] = [([-1], [0], b"")]
+        self.states: list[tuple[tuple[int, ...], tuple[int, ...], bytes]] = [((-1,), (0,), b"")]
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: By state * 256 + byte: the next state and the tokens settled.
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.size = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The encoding by definition: merge the lowest-ranked neighbours until none is left."""
@@ -87,32 +91,32 @@ class Transducer:
         live.append(n)
         last = [*last, new]
         # The place where the encodings of all open prefixes part.
-        heads = set(live)
-        while len(heads) > 1:
-            i = max(heads)
-            heads.remove(i)
-            heads.add(i - self.length[last[i]])
-        cut = i = heads.pop()
+        length, cut = self.length, live[0]
+        for i in live:
+            while i != cut:
+                if i > cut:
+                    i -= length[last[i]]
+                else:
+                    cut -= length[last[cut]]
+        i = cut
         out: tuple[int, ...] = ()
         while i:
             out = (last[i], *out)
-            i -= self.length[last[i]]
+            i -= length[last[i]]
         name = (last[cut], pending[cut:])
         k = self.number.get(name)
         if k is None:
             k = self.number[name] = len(self.states)
-            self.states.append((last[cut:], [i - cut for i in live], name[1]))
-            self.steps.append({})
-        self.size += 1
-        step = self.steps[state][byte] = (k, out)
+            self.states.append((tuple(last[cut:]), tuple([i - cut for i in live]), name[1]))
+        step = self.steps[state << 8 | byte] = (k, out)
         return step
 
     def encode(self, piece: bytes) -> list[int]:
-        if self.size > MEMO:
+        if len(self.steps) > MEMO:
             self._reset()
         steps, state, tokens = self.steps, 0, []
         for byte in piece:
-            step = steps[state].get(byte) or self.make(state, byte)
+            step = steps.get(state << 8 | byte) or self.make(state, byte)
             state = step[0]
             if step[1]:
                 tokens += step[1]
@@ -166,26 +170,31 @@ class Codec:
         self.fst = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, out = self.memo, []
-        for piece in self.split(text):
-            got = memo.get(piece)
-            if got is None:
-                raw = piece.encode()
-                whole = self.fst.ranks.get(raw)
-                tokens = [whole] if whole is not None else self.fst.encode(raw)
-                got = b"".join(t.to_bytes(4, "little") for t in tokens)
-                if len(piece) <= MEMO_CHARS:
-                    memo[piece] = got
-            out.append(got)
+        if len(self.memo) > PIECES:
+            self.memo, self.older = {}, self.memo
+        pieces = self.split(text)
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            out = [self.piece(p) if got is None else got for p, got in zip(pieces, out, strict=True)]
         return b"".join(out)
 
+    def piece(self, piece: str) -> bytes:
+        got = self.memo.get(piece) or self.older.get(piece)
+        if got is None:
+            raw = piece.encode()
+            whole = self.fst.ranks.get(raw)
+            tokens = [whole] if whole is not None else self.fst.encode(raw)
+            got = struct.pack(f"<{len(tokens)}I", *tokens)
+        if len(piece) <= MEMO_CHARS:
+            self.memo[piece] = got
+        return got
+
     def decode(self, ids: bytes, block: int = 1 << 16) -> Iterator[bytes]:
         """The bytes of the ids, block by block."""
         token = self.fst.token
@@ -221,6 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
+        gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
         for b in batches:
             n, of_ids, of_bytes, all_ids = [], [], [], []
             for text in b.column(b.num_columns - 1).to_pylist():
