@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.byte_bpe import op9_byte_bpe
+from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.quality_rules import op8_quality_rules
 from pairforge.llm.token_counts import op6_token_counts
 
@@ -14,6 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_mix_sources": OP10_SQL,
+}
