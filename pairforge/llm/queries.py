@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.byte_bpe import op9_byte_bpe
+from pairforge.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.quality_rules import op8_quality_rules
 from pairforge.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_exact_dedup": OP4_SQL,
     "op10_mix_sources": OP10_SQL,
 }
