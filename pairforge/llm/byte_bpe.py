@@ -13,7 +13,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Transitions and pair verdicts kept per Python worker; a full store is emptied.
-MEMO = 600_000
+MEMO = 400_000
 #: Pre-tokens kept per Python worker, in each of two generations.
-PIECES = 150_000
+PIECES = 350_000
 MEMO_CHARS = 64
 
 NONE = -2
@@ -42,18 +43,31 @@ class Transducer:
         self.ranks = ranks
         self.token = {r: b for b, r in ranks.items()}
         self.length = {r: len(b) for b, r in ranks.items()}
-        #: Bytes that begin some longer token.
-        self.begins = {b[:i] for b in ranks for i in range(1, len(b))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: The vocabulary as a trie: node * 256 + byte to node, each node's token or NONE, and whether a longer token goes on.
+        self.child: dict[int, int] = {}
+        self.ends_token, self.goes_on = [NONE], bytearray(1)
+        for raw, rank in ranks.items():
+            node = 0
+            for byte in raw:
+                self.goes_on[node] = 1
+                at = node << 8 | byte
+                if at not in self.child:
+                    self.child[at] = len(self.ends_token)
+                    self.ends_token.append(NONE)
+                    self.goes_on.append(0)
+                node = self.child[at]
+            self.ends_token[node] = rank
+        self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: The last token of each prefix of the pending bytes, beginning with the settled one;
-        #: the lengths of the prefixes after which a token may start; the pending bytes.
-        self.states: list[tuple[tuple[int, ...], tuple[int, ...], bytes]] = [((-1,), (0,), b"")]
+        #: The last token of each prefix of the pending bytes, beginning with the settled one; the lengths
+        #: of the prefixes after which a token may start, and how far into the trie each has come; the pending bytes.
+        self.states: list[tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], bytes]] = [((-1,), (0,), (0,), b"")]
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        #: By state * 256 + byte: the next state and the tokens settled.
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: By state * 256 + byte: the next state * 2, and 1 more if the step settles tokens.
+        self.steps: dict[int, int] = {}
+        self.settles: dict[int, tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -69,64 +83,72 @@ class Transducer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether right may follow left; left is -1 at the start, where right must encode itself."""
-        known = self.fits.get((left, right))
+        name = left + 1 << 32 | right
+        known = self.fits.get(name)
         if known is None:
             if len(self.fits) > MEMO:
                 self.fits.clear()
             want = [right] if left < 0 else [left, right]
-            known = self.fits[left, right] = self.merge(b"".join(self.token[t] for t in want)) == want
+            known = self.fits[name] = self.merge(b"".join(self.token[t] for t in want)) == want
         return known
 
-    def make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition of a state on a byte: the next state and the tokens that it settles."""
-        last, opened, pending = self.states[state]
-        pending += bytes((byte,))
-        n, new, live = len(pending), NONE, []
-        for i in opened:
-            tail = pending[i:]
-            if new == NONE and (t := self.ranks.get(tail)) is not None and self.compatible(last[i], t):
+    def path(self, last: tuple[int, ...] | list[int], end: int) -> tuple[int, ...]:
+        out: tuple[int, ...] = ()
+        while end:
+            out = (last[end], *out)
+            end -= self.length[last[end]]
+        return out
+
+    def make(self, state: int, byte: int) -> int:
+        """The transition of a state on a byte."""
+        last, opened, nodes, pending = self.states[state]
+        child, length, n, new = self.child, self.length, len(pending) + 1, NONE
+        live, reached = [], []
+        for i, node in zip(opened, nodes, strict=True):
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if new == NONE and (t := self.ends_token[node]) != NONE and self.compatible(last[i], t):
                 new = t
-            if tail in self.begins:
+            if self.goes_on[node]:
                 live.append(i)
+                reached.append(node)
         live.append(n)
-        last = [*last, new]
+        reached.append(0)
+        last = (*last, new)
         # The place where the encodings of all open prefixes part.
-        length, cut = self.length, live[0]
+        cut = live[0]
         for i in live:
             while i != cut:
                 if i > cut:
                     i -= length[last[i]]
                 else:
                     cut -= length[last[cut]]
-        i = cut
-        out: tuple[int, ...] = ()
-        while i:
-            out = (last[i], *out)
-            i -= length[last[i]]
-        name = (last[cut], pending[cut:])
+        name = (last[cut], (pending + bytes((byte,)))[cut:])
         k = self.number.get(name)
         if k is None:
             k = self.number[name] = len(self.states)
-            self.states.append((tuple(last[cut:]), tuple([i - cut for i in live]), name[1]))
-        step = self.steps[state << 8 | byte] = (k, out)
+            self.states.append((last[cut:], tuple([i - cut for i in live]), tuple(reached), name[1]))
+        at = state << 8 | byte
+        if cut:
+            self.settles[at] = self.path(last, cut)
+        step = self.steps[at] = k << 1 | (cut > 0)
         return step
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.steps) > MEMO:
             self._reset()
-        steps, state, tokens = self.steps, 0, []
+        get, state, tokens = self.steps.get, 0, []
         for byte in piece:
-            step = steps.get(state << 8 | byte) or self.make(state, byte)
-            state = step[0]
-            if step[1]:
-                tokens += step[1]
+            step = get(state << 8 | byte)
+            if step is None:
+                step = self.make(state, byte)
+            if step & 1:
+                tokens += self.settles[state << 8 | byte]
+            state = step >> 1
         if (end := self.ends.get(state)) is None:
-            last, _, pending = self.states[state]
-            i, end = len(pending), ()
-            while i:
-                end = (last[i], *end)
-                i -= self.length[last[i]]
-            self.ends[state] = end
+            last, _, _, pending = self.states[state]
+            end = self.ends[state] = self.path(last, len(pending))
         tokens += end
         return tokens
 
@@ -161,6 +183,13 @@ class Utf8Stream:
             raise ValueError("the bytes end within a character")
 
 
+def _little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Codec:
     """Whole texts: pre-tokens of ``pattern``, each encoded by the transducer."""
 
@@ -190,7 +219,7 @@ class Codec:
             raw = piece.encode()
             whole = self.fst.ranks.get(raw)
             tokens = [whole] if whole is not None else self.fst.encode(raw)
-            got = struct.pack(f"<{len(tokens)}I", *tokens)
+            got = _little(tokens)
         if len(piece) <= MEMO_CHARS:
             self.memo[piece] = got
         return got
@@ -234,13 +263,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
         for b in batches:
             n, of_ids, of_bytes, all_ids = [], [], [], []
             for text in b.column(b.num_columns - 1).to_pylist():
+                text = text or ""
                 got = codec.ids(text)
-                digest, stream, same = hashlib.sha256(), Utf8Stream(), hashlib.sha256((text or "").encode()).hexdigest()
+                digest, stream, at = hashlib.sha256(), Utf8Stream(), 0
                 for block in codec.decode(got):
                     digest.update(block)
-                    stream.feed(block)
+                    part = stream.feed(block)
+                    if not text.startswith(part, at):
+                        raise ValueError("the ids do not give the text back")
+                    at += len(part)
                 stream.close()
-                if digest.hexdigest() != same:
+                if at != len(text):
                     raise ValueError("the ids do not give the text back")
                 n.append(len(got) // 4)
                 of_ids.append(hashlib.sha256(got).hexdigest())
