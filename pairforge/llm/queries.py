@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.byte_bpe import op9_byte_bpe
 from pairforge.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from pairforge.llm.line_dedup import OP2_SQL, op2_line_dedup
 from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.ngram_join import OP1_SQL, op1_ngram_join
 from pairforge.llm.quality_rules import op8_quality_rules
@@ -16,6 +17,7 @@ from pairforge.llm.warc_zip import OP3_SQL, op3_warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
@@ -26,8 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc_zip": op3_warc_zip,
     "op1_ngram_join": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op3_warc_zip": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op10_mix_sources": OP10_SQL,
