@@ -13,6 +13,7 @@ from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.ngram_join import OP1_SQL, op1_ngram_join
 from pairforge.llm.quality_rules import op8_quality_rules
 from pairforge.llm.token_counts import op6_token_counts
+from pairforge.llm.url_filter import op7_url_filter
 from pairforge.llm.warc_zip import OP3_SQL, op3_warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
