@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.byte_bpe import op9_byte_bpe
 from pairforge.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from pairforge.llm.language_id import op5_language_id
 from pairforge.llm.line_dedup import OP2_SQL, op2_line_dedup
 from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.ngram_join import OP1_SQL, op1_ngram_join
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
