@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import BROADCAST_ROWS, GAP, Scratch, lookup, stable_rows
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Small stores do not set aside disk ahead of use, else each takes megabytes whatever it holds.
+SET_ASIDE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,7 +56,7 @@ def first_seen(spark: SparkSession, arrivals_path: str, schema, scratch: Scratch
     def append(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{log}/batch={batch}")
 
-    with _setting(spark, STATE_STORE, ON_DISK):
+    with _setting(spark, STATE_STORE, ON_DISK), _setting(spark, SET_ASIDE, "false"):
         query = (
             state.writeStream.outputMode("update").foreachBatch(append)
             .option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start()
