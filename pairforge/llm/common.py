@@ -74,6 +74,11 @@ def _located(df: DataFrame) -> DataFrame:
     )
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows; a larger one is shuffled, and the hot keys of its partner are split."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
     """left joined with right, whose ``key`` is unique and whose ``size`` counts key's rows in left.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import BROADCAST_ROWS, GAP, Scratch, stable_rows
+from pairforge.llm.common import BROADCAST_ROWS, GAP, Scratch, sized, stable_rows
 
 #: A repeated run of lines is removed if it has at least so many words.
 MIN_WORDS = 50
@@ -86,16 +86,11 @@ def suffix_ranks(first: DataFrame, span: int, rounds: int, scratch: Scratch) ->
         if not pairs.limit(1).count():
             break
         names = scratch.write(_refine(pairs, span, scratch, f"counts-{k}"), f"names-{k}")
-        now = scratch.write(pairs.join(_sized(names), ["a", "b"]).select("row_file", "row_at", "at", "rank"), f"ranks-{k}")
+        now = scratch.write(pairs.join(sized(names), ["a", "b"]).select("row_file", "row_at", "at", "rank"), f"ranks-{k}")
         found = found.unionByName(now.withColumn("k", F.lit(k)))
     return found
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast if it is small; a larger one is shuffled, and the hot keys of its partner are split."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """(row_file, row_at, gone, gone_lines, gone_words): what is removed of documents that lose lines.
 
@@ -104,7 +99,7 @@ def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     sequence = scratch.write(line_sequence(rows), "sequence")
     ids, span = _line_ranks(sequence, scratch)
     by_doc = Window.partitionBy("row_file", "row_at").orderBy("at")
-    ranked = sequence.join(_sized(ids), ["h1", "h2"], "left").select(
+    ranked = sequence.join(sized(ids), ["h1", "h2"], "left").select(
         "row_file", "row_at", "doc_id", "at", "line", "words", "rank",
         F.lead("line").over(by_doc).alias("next_line"),
         F.sum("words").over(by_doc).alias("upto"),
@@ -133,7 +128,7 @@ def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     runs = scratch.write(runs.select("row_file", "row_at", "lo", "hi", "m", "r1", "r2", place.alias("place")), "runs")
     first = runs.groupBy("m", "r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = scratch.write(first, "intervals")
-    copies = runs.join(_sized(first), ["m", "r1", "r2"]).filter(F.col("place") > F.col("first"))
+    copies = runs.join(sized(first), ["m", "r1", "r2"]).filter(F.col("place") > F.col("first"))
 
     covered = copies.select("row_file", "row_at", F.explode(F.sequence("lo", "hi")).alias("at")).distinct()
     covered = covered.join(ranked.select("row_file", "row_at", "at", "line", "next_line", "words"), ["row_file", "row_at", "at"])
