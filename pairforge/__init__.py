@@ -1,0 +1 @@
+"""Building and evaluating labelled pair datasets on Spark."""
