@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import BROADCAST_ROWS, GAP, Scratch, sized, stable_rows
+from pairforge.llm.common import BROADCAST_ROWS, Scratch, sized, stable_rows
 
 #: A repeated run of lines is removed if it has at least so many words.
 MIN_WORDS = 50
@@ -27,16 +27,22 @@ MIN_WORDS = 50
 CELLS = 64
 
 
-def _line(line: Column, number: Column) -> Column:
-    """A line's number, words and 128-bit id. White space is made single and trimmed first."""
-    plain = F.trim(F.regexp_replace(line, GAP, " "))
+def plain_lines(text: Column) -> Column:
+    """The lines of a text, their white space made single and trimmed; one pass over the text."""
+    odd = r"[\x09\x0B-\x0D]|\x20\x20"
+    single = F.when(F.rlike(text, F.lit(odd)), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    return F.transform(F.split(single, "\n", -1), lambda x: F.trim(x))
+
+
+def _line(plain: Column, number: Column) -> Column:
+    """A line's number, words and 128-bit id."""
     words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
     return F.struct(number.alias("line"), words.cast("long").alias("words"), F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2"))
 
 
 def line_sequence(rows: DataFrame) -> DataFrame:
     """One row for each line with a word: its document, place among them, number, words and id."""
-    split = F.transform(F.split(F.col("text"), "\n", -1), _line)
+    split = F.transform(plain_lines(F.col("text")), _line)
     return rows.filter("text is not null").select("row_file", "row_at", "doc_id", F.posexplode(F.filter(split, lambda x: x["words"] > 0)).alias("at", "x")).select("row_file", "row_at", "doc_id", F.col("at").cast("long").alias("at"), "x.*")
 
 
