@@ -44,7 +44,7 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
         fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(rule_path))
         value = F.struct(F.lit(verdict).alias("verdict"), F.lit(rule_host + rule_path).alias("rule"))
         cases = F.when(fits, value) if cases is None else cases.when(fits, value)
-    return cases
+    return F.lit(None).cast("struct<verdict:string,rule:string>") if cases is None else cases
 
 
 def symbols(host: Column, path: Column) -> Column:

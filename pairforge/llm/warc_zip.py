@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch, lookup
+from pairforge.llm.common import Scratch, lookup, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records that one reading task's row covers.
@@ -98,7 +98,7 @@ class ZipReader:
         tail_at = max(0, self.length - 65_557)  # the end record and its longest comment
         tail = self.read(tail_at, self.length - tail_at)
         at = tail.rfind(END)
-        while at >= 0 and at + END_AT.size + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + END_AT.size > len(tail) or at + END_AT.size + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(END, 0, at)
         if at < 0:
             raise ValueError("no end of a ZIP directory")
@@ -284,6 +284,7 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     Revisits of a hot payload are found by a lookup that deals no key's rows to one task.
     """
     scratch = Scratch(pages.sparkSession, "warc")
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
     large = F.octet_length("html") >= least_bytes
