@@ -22,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import give_back, small_batches
+
 #: Transitions and pair verdicts kept per Python worker; a full store is emptied.
 MEMO = 400_000
-#: Pre-tokens kept per Python worker, in each of two generations.
-PIECES = 350_000
+#: Pre-tokens and words kept per Python worker, in each of two generations.
+PIECES, WORDS = 300_000, 300_000
 MEMO_CHARS = 64
+#: Bytes of a pre-token that are looked up at once.
+HEAD = 5
 
 NONE = -2
 
@@ -58,9 +62,9 @@ class Transducer:
                 node = self.child[at]
             self.ends_token[node] = rank
         self.fits: dict[int, bool] = {}
-        self._reset()
+        self.clear()
 
-    def _reset(self) -> None:
+    def clear(self) -> None:
         #: The last token of each prefix of the pending bytes, beginning with the settled one; the lengths
         #: of the prefixes after which a token may start, and how far into the trie each has come; the pending bytes.
         self.states: list[tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], bytes]] = [((-1,), (0,), (0,), b"")]
@@ -69,6 +73,8 @@ class Transducer:
         self.steps: dict[int, int] = {}
         self.settles: dict[int, tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        #: The first HEAD bytes of a pre-token: the state after them and the tokens settled.
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The encoding by definition: merge the lowest-ranked neighbours until none is left."""
@@ -135,17 +141,26 @@ class Transducer:
         step = self.steps[at] = k << 1 | (cut > 0)
         return step
 
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) > MEMO:
-            self._reset()
-        get, state, tokens = self.steps.get, 0, []
-        for byte in piece:
+    def walk(self, state: int, data: bytes, tokens: list[int]) -> int:
+        get = self.steps.get
+        for byte in data:
             step = get(state << 8 | byte)
             if step is None:
                 step = self.make(state, byte)
             if step & 1:
                 tokens += self.settles[state << 8 | byte]
             state = step >> 1
+        return state
+
+    def encode(self, piece: bytes) -> list[int]:
+        if len(self.steps) > MEMO:
+            self.clear()
+        head = piece[:HEAD]
+        if (begun := self.heads.get(head)) is None:
+            tokens: list[int] = []
+            begun = self.heads[head] = (self.walk(0, head, tokens), tuple(tokens))
+        tokens = list(begun[1])
+        state = self.walk(begun[0], piece[HEAD:], tokens)
         if (end := self.ends.get(state)) is None:
             last, _, _, pending = self.states[state]
             end = self.ends[state] = self.path(last, len(pending))
@@ -190,38 +205,84 @@ def _little(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+class Store:
+    """The last results by key: a generation is dropped when a newer one is full."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+
+
 class Codec:
-    """Whole texts: pre-tokens of ``pattern``, each encoded by the transducer."""
+    """Whole texts: pre-tokens of ``pattern``, each encoded by the transducer.
+
+    The pattern must start a new pre-token at a single space between two other characters that
+    are not white space, and let no pre-token depend on what lies beyond such a space. Then
+    words between single spaces are encoded one by one, and their results are stored.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
         self.fst = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.blank_edge = regex.compile(r"\A\s|\s\Z|\A\Z").search
+        self.pieces, self.words = Store(PIECES), Store(WORDS)
+
+    def clear(self) -> None:
+        """Give back the memory of all stores."""
+        self.pieces.clear()
+        self.words.clear()
+        self.fst.clear()
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.memo) > PIECES:
-            self.memo, self.older = {}, self.memo
-        pieces = self.split(text)
-        out = list(map(self.memo.get, pieces))
+        self.words.turn()
+        self.pieces.turn()
+        first, *words = text.split(" ")
+        if self.blank_edge(first):
+            return self.all(text)
+        out = list(map(self.words.new.get, words))
         if None in out:
-            out = [self.piece(p) if got is None else got for p, got in zip(pieces, out, strict=True)]
-        return b"".join(out)
+            for i, got in enumerate(out):
+                if got is None:
+                    if (made := self.word(words[i])) is None:
+                        return self.all(text)
+                    out[i] = made
+        return self.all(first) + b"".join(out)
+
+    def all(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
+
+    def word(self, word: str) -> bytes | None:
+        """The ids of a word and the space before it; None if white space is at its edge or it is empty."""
+        got = self.words.new.get(word) or self.words.old.get(word)
+        if got is None:
+            if self.blank_edge(word):
+                return None
+            got = self.all(" " + word)
+        if len(word) <= MEMO_CHARS:
+            self.words.new[word] = got
+        return got
 
     def piece(self, piece: str) -> bytes:
-        got = self.memo.get(piece) or self.older.get(piece)
+        got = self.pieces.new.get(piece) or self.pieces.old.get(piece)
         if got is None:
             raw = piece.encode()
             whole = self.fst.ranks.get(raw)
-            tokens = [whole] if whole is not None else self.fst.encode(raw)
-            got = _little(tokens)
+            got = _little([whole] if whole is not None else self.fst.encode(raw))
         if len(piece) <= MEMO_CHARS:
-            self.memo[piece] = got
+            self.pieces.new[piece] = got
         return got
 
     def decode(self, ids: bytes, block: int = 1 << 16) -> Iterator[bytes]:
@@ -242,15 +303,17 @@ def _codec(data: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(data), pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",), release: bool = False) -> DataFrame:
     """Encode each row's whole text and decode it again.
 
     Returns the ``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the
     ids as binary (little-endian unsigned 32-bit integers). A kept column named like a result
     gives way to it. A null or empty text has no ids. Repeated rows are encoded each, null ids
     stay, an empty table gives no rows. The rank file is read on the driver. The decoder fails
-    a task whose ids do not give the text back.
+    a task whose ids do not give the text back. Workers keep their stores for later tasks; with
+    ``release`` they empty them after each, where other work shares the workers.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         data = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(data)
@@ -260,27 +323,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
-        for b in batches:
-            n, of_ids, of_bytes, all_ids = [], [], [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                text = text or ""
-                got = codec.ids(text)
-                digest, stream, at = hashlib.sha256(), Utf8Stream(), 0
-                for block in codec.decode(got):
-                    digest.update(block)
-                    part = stream.feed(block)
-                    if not text.startswith(part, at):
+        try:
+            for b in batches:
+                n, of_ids, of_bytes, all_ids = [], [], [], []
+                for text in b.column(b.num_columns - 1).to_pylist():
+                    text = text or ""
+                    got = codec.ids(text)
+                    digest, stream, at = hashlib.sha256(), Utf8Stream(), 0
+                    for block in codec.decode(got):
+                        digest.update(block)
+                        part = stream.feed(block)
+                        if not text.startswith(part, at):
+                            raise ValueError("the ids do not give the text back")
+                        at += len(part)
+                    stream.close()
+                    if at != len(text):
                         raise ValueError("the ids do not give the text back")
-                    at += len(part)
-                stream.close()
-                if at != len(text):
-                    raise ValueError("the ids do not give the text back")
-                n.append(len(got) // 4)
-                of_ids.append(hashlib.sha256(got).hexdigest())
-                of_bytes.append(digest.hexdigest())
-                all_ids.append(got)
-            cols = [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)] + [pa.array(all_ids, pa.binary())] * ids
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=False)], names + [c for c, _ in made])
+                    n.append(len(got) // 4)
+                    of_ids.append(hashlib.sha256(got).hexdigest())
+                    of_bytes.append(digest.hexdigest())
+                    all_ids.append(got)
+                cols = [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)] + [pa.array(all_ids, pa.binary())] * ids
+                yield pa.RecordBatch.from_arrays(b.columns[:-1] + [c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=False)], names + [c for c, _ in made])
+        finally:
+            gc.enable()
+            if release:
+                codec.clear()
+                give_back()
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} {t}" for c, t in made])
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ BROADCAST_ROWS = 200_000
 #: A key that holds at least 1/HOT_SHARE of all rows is hot. At most HOT_SHARE keys can be.
 HOT_SHARE = 64
 
+#: Rows that a Python worker gets at once: whole texts, so few of them.
+BATCH_ROWS = 512
+
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -35,6 +39,27 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the rows of a batch that goes to Python to BATCH_ROWS, in this session, from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker stays and serves other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Written tables that cut lineage and outlive lost executors."""
 
