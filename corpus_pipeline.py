@@ -32,13 +32,14 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that links connect, the one with the least doc_id stays.
 
-    Rows that repeat an id are held apart by where they are stored: one of them stays.
+    Rows that repeat an id and a text are held apart by where they are stored: one of them
+    stays. A row without an id stays, as nothing names it.
     """
     scratch = Scratch(spark, "near")
     rows = stable_rows(docs, scratch)
     links = jaccard_join(docs)
     dropped = scratch.write(links.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    kept = rows.join(sized(dropped), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = rows.join(sized(dropped), F.col("doc_id") == F.col("_gone"), "left_anti")
     place = F.struct("row_file", "row_at")
     twice = kept.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.count("*").alias("n"), F.min(place).alias("_first"))
     twice = scratch.write(twice.filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), "_text", "_first"), "twice")
@@ -57,7 +58,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     keep = [c for c in ("doc_id", "source") if c in docs.columns]
-    return encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, ids=True, keep=keep)
+    return encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, ids=True, keep=keep, release=True)
 
 
 STAGES = [

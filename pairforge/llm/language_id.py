@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch, lookup
+from pairforge.llm.common import Scratch, lookup, small_batches
 
 #: Labelled texts per language that the models are trained on, about; chosen by a hash of the id.
 SAMPLE = 2000
@@ -179,6 +179,7 @@ def identify(rows: DataFrame, labelled: DataFrame, html: bool, per_language: int
     null ids stay. Without labels lang is null; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession, "languages")
+    small_batches(rows.sparkSession)
     names, table = train(labelled, per_language)
     scored = scratch.write(evidence(rows, table, html), "scored")
     if not names or not scored.limit(1).count():

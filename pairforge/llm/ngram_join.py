@@ -30,17 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairforge.llm.common import BROADCAST_ROWS, Scratch, lookup
+from pairforge.llm.common import BROADCAST_ROWS, Scratch, give_back, lookup, small_batches
 from pairforge.llm.components import components
 
 SUBSET = 2
 #: At most so many frequent shingles are put last. More would only change the order.
 FREQUENT = 65_536
 #: Shingles gathered before frequent ones are counted, and the count from which one is passed on.
-GATHER, LEAST = 4_000_000, 4
+GATHER, LEAST = 3_000_000, 3
 #: A block holds at most about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
-MEMO = 500_000
+MEMO = 300_000
 #: Above the boundary: (least size, c). c grows with the size to keep parts small.
 LEVELS = ((640, 96), (5120, 768), (40_960, 6144), (327_680, 49_152))
 FIRST_C = 16
@@ -152,6 +152,8 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                     held.clear()
                     total = 0
         yield flush()
+        held.clear()
+        give_back()
 
     return docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -314,7 +316,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     """
     if percent < 90:
         raise ValueError("prefixes are laid out for 90 percent or more")
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     survey = scratch.write(_survey(docs, width), "survey")
     top = survey.filter((F.col("kind") == 0) & (F.col("n") >= 2 * LEAST)).orderBy(F.col("n").desc(), "key").limit(FREQUENT).select("key").toPandas()

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import small_batches
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -124,6 +126,7 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     A null text counts as empty: no words, so base_failed. Repeated rows are judged each, null
     ids stay, other columns are ignored, an empty table gives no rows. Whole texts are measured.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules(bands)
@@ -139,6 +142,7 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows, with all their columns, that judge() keeps."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

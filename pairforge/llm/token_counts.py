@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import small_batches
+
 SPACE = "▁"
 
 #: Counts kept per Python worker. The store is emptied when full.
@@ -108,6 +110,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     A null or empty text has no bytes and no tokens. Repeated rows are counted each, null
     ids stay, other columns are ignored, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         proto = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(proto)
