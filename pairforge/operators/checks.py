@@ -81,8 +81,8 @@ def missing_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return ids.join(vectors, "image_id", "left_anti")
 
 
-def validate(violations: DataFrame, show: int = 5) -> None:
-    """Raise InvalidData with counts and a few examples if there is any row."""
+def validate(violations: DataFrame, show: int = 20) -> None:
+    """Raise InvalidData with each broken rule, its count and an example if there is any row."""
     rules = violations.groupBy("rule").agg(F.count("*").alias("n"), F.min("detail").alias("example")).orderBy("rule").limit(50).collect()
     if rules:
         raise InvalidData("; ".join(f"{r.rule}: {r.n} ({r.example})" for r in rules[:show]))

@@ -75,7 +75,8 @@ def pick_targets(anchors: DataFrame, placed: DataFrame, strict: bool = False) ->
     ids = ["split", "k"]
     first = tried.groupBy(*ids).agg(F.min("try").alias("try"))
     chosen = tried.join(first, [*ids, "try"])
-    rank = F.pmod(F.col("k"), F.col("n") - F.size("own"))
+    # The filter above may be checked after this is computed, so the divisor is kept positive.
+    rank = F.pmod(F.col("k"), F.greatest(F.col("n") - F.size("own"), F.lit(1)))
     at = F.aggregate("own", rank, lambda acc, e: F.when(e <= acc, acc + 1).otherwise(acc))
     chosen = chosen.withColumn("at", at)
     record = F.struct(*[c for c in placed.columns if not c.startswith(("p_", "n_"))])

@@ -69,8 +69,8 @@ def resolve(ids: DataFrame, files: DataFrame, extensions: Sequence[str]) -> Data
 def probe(files: DataFrame) -> DataFrame:
     """files (with path and content) plus checksum, width and height, from the bytes alone; null sizes where no header is found.
 
-    PNG, GIF and BMP keep their sizes at fixed places; a JPEG's stands in its first frame header,
-    which is found by a pattern over the hex digits of the file's first 256 KiB.
+    PNG, GIF and BMP keep their sizes at fixed places; a JPEG's stands in its frame header,
+    which is looked for in the file's first 256 KiB.
     """
     head = F.substring("content", 1, 32)
     digits = F.hex(head)
@@ -81,8 +81,12 @@ def probe(files: DataFrame) -> DataFrame:
             part = F.concat(*[F.substring(digits, (start + i) * 2 + 1, 2) for i in reversed(range(count))])
         return F.conv(part, 16, 10).cast("long")
 
-    frame = F.regexp_extract(F.hex(F.substring("content", 1, 1 << 18)), r"^FFD8(?:(?:..)*?)FFC[0-3]0011?[0-9A-F]{2}08([0-9A-F]{4})([0-9A-F]{4})0[134]", 0)
-    tall, wide = F.conv(F.substring(frame, -10, 4), 16, 10).cast("long"), F.conv(F.substring(frame, -6, 4), 16, 10).cast("long")
+    # Byte for byte as characters, so that matches keep to bytes. The last frame header is the
+    # image's own: earlier ones are of previews, and compressed data cannot hold one.
+    bytes_ = F.decode(F.substring("content", 1, 1 << 18), "ISO-8859-1")
+    found = F.regexp_extract(bytes_, r"(?s)^\u00FF\u00D8.*\u00FF[\u00C0-\u00C3]\u0000.\u0008(....)[\u0001\u0003\u0004]", 1)
+    frame = F.hex(F.encode(found, "ISO-8859-1"))
+    tall, wide = F.conv(F.substring(frame, 1, 4), 16, 10).cast("long"), F.conv(F.substring(frame, 5, 4), 16, 10).cast("long")
     png, gif, bmp = F.startswith(digits, F.lit("89504E47")), F.startswith(digits, F.lit("474946")), F.startswith(digits, F.lit("424D"))
     width = F.when(png, number(16, 4)).when(gif, number(6, 2, True)).when(bmp, number(18, 4, True)).when(frame != "", wide)
     height = F.when(png, number(20, 4)).when(gif, number(8, 2, True)).when(bmp, number(22, 4, True)).when(frame != "", tall)
