@@ -58,7 +58,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     keep = [c for c in ("doc_id", "source") if c in docs.columns]
-    return encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, ids=True, keep=keep, release=True)
+    return encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, ids=True, keep=keep, lean=True)
 
 
 STAGES = [

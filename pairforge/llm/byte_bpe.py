@@ -29,6 +29,8 @@ MEMO = 400_000
 #: Pre-tokens and words kept per Python worker, in each of two generations.
 PIECES, WORDS = 300_000, 300_000
 MEMO_CHARS = 64
+#: The share of these sizes that is used where memory is shared with other work.
+LEAN = 0.35
 #: Bytes of a pre-token that are looked up at once.
 HEAD = 5
 
@@ -43,8 +45,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one pre-token at a time, byte by byte, with bounded lookahead."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0) -> None:
+        self.ranks, self.most = ranks, int(MEMO * share)
         self.token = {r: b for b, r in ranks.items()}
         self.length = {r: len(b) for b, r in ranks.items()}
         #: The vocabulary as a trie: node * 256 + byte to node, each node's token or NONE, and whether a longer token goes on.
@@ -92,7 +94,7 @@ class Transducer:
         name = left + 1 << 32 | right
         known = self.fits.get(name)
         if known is None:
-            if len(self.fits) > MEMO:
+            if len(self.fits) > self.most:
                 self.fits.clear()
             want = [right] if left < 0 else [left, right]
             known = self.fits[name] = self.merge(b"".join(self.token[t] for t in want)) == want
@@ -153,7 +155,7 @@ class Transducer:
         return state
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) > MEMO:
+        if len(self.steps) > self.most:
             self.clear()
         head = piece[:HEAD]
         if (begun := self.heads.get(head)) is None:
@@ -229,13 +231,13 @@ class Codec:
     words between single spaces are encoded one by one, and their results are stored.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0) -> None:
         import regex
 
-        self.fst = Transducer(ranks)
+        self.fst = Transducer(ranks, share)
         self.split = regex.compile(pattern).findall
         self.blank_edge = regex.compile(r"\A\s|\s\Z|\A\Z").search
-        self.pieces, self.words = Store(PIECES), Store(WORDS)
+        self.pieces, self.words = Store(int(PIECES * share)), Store(int(WORDS * share))
 
     def clear(self) -> None:
         """Give back the memory of all stores."""
@@ -299,11 +301,11 @@ class Codec:
 
 
 @cache
-def _codec(data: bytes, pattern: str) -> Codec:
-    return Codec(read_ranks(data), pattern)
+def _codec(data: bytes, pattern: str, share: float) -> Codec:
+    return Codec(read_ranks(data), pattern, share)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",), release: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",), lean: bool = False) -> DataFrame:
     """Encode each row's whole text and decode it again.
 
     Returns the ``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the
@@ -311,7 +313,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     gives way to it. A null or empty text has no ids. Repeated rows are encoded each, null ids
     stay, an empty table gives no rows. The rank file is read on the driver. The decoder fails
     a task whose ids do not give the text back. Workers keep their stores for later tasks; with
-    ``release`` they empty them after each, where other work shares the workers.
+    ``lean`` these are smaller and emptied after each, as where other work shares the workers.
     """
     small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
@@ -321,7 +323,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     names = [c for c in keep if c not in dict(made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, LEAN if lean else 1.0)
         gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
         try:
             for b in batches:
@@ -347,7 +349,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
                 yield pa.RecordBatch.from_arrays(b.columns[:-1] + [c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=False)], names + [c for c, _ in made])
         finally:
             gc.enable()
-            if release:
+            if lean:
                 codec.clear()
                 give_back()
 

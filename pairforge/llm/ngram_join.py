@@ -37,10 +37,12 @@ SUBSET = 2
 #: At most so many frequent shingles are put last. More would only change the order.
 FREQUENT = 65_536
 #: Shingles gathered before frequent ones are counted, and the count from which one is passed on.
-GATHER, LEAST = 3_000_000, 3
+GATHER, LEAST = 1_500_000, 3
 #: A block holds at most about so many sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
-MEMO = 300_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
+#: Small clusters are put together up to about so many shingles.
+BIN_SHINGLES = 1 << 18
+MEMO = 150_000
 #: Above the boundary: (least size, c). c grows with the size to keep parts small.
 LEVELS = ((640, 96), (5120, 768), (40_960, 6144), (327_680, 49_152))
 FIRST_C = 16
@@ -193,6 +195,8 @@ def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[i
                 [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(c, pa.int32()) for c in role_cols)],
                 ["doc_id", "n", "digest", "tokens", "c1", "p1", "c2", "p2"],
             )
+        del shingles
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>, c1 int, p1 int, c2 int, p2 int")
 
@@ -274,7 +278,7 @@ def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     """Compare the sets of each cluster, block by block: (rid, label, links)."""
     spark = docs.sparkSession
     total = members.agg(F.count("*"), F.sum("n")).first()
-    bins = max(1, -(-(total[1] or 0) // (1 << 20)))
+    bins = max(1, -(-(total[1] or 0) // BIN_SHINGLES))
     few = total[0] <= BROADCAST_ROWS
     wanted = members.select("first_doc", "digest", "rid", "copies", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long").alias("blk"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
@@ -295,6 +299,8 @@ def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rid", "copies", "cluster", "blocks", "blk", "shingles"])
+        del shingles
+        give_back()
 
     sets = rows.select("text", "digest", "rid", "copies", "cluster", "blocks", "blk").mapInArrow(shingled, "rid long, copies long, cluster long, blocks long, blk long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
