@@ -132,11 +132,13 @@ class Transducer:
                     i -= length[last[i]]
                 else:
                     cut -= length[last[cut]]
-        name = (last[cut], (pending + bytes((byte,)))[cut:])
+        # The settled token tells only whether a token may start after it; else states are one.
+        settled = last[cut] if live[0] == cut else NONE
+        name = (settled, (pending + bytes((byte,)))[cut:])
         k = self.number.get(name)
         if k is None:
             k = self.number[name] = len(self.states)
-            self.states.append((last[cut:], tuple([i - cut for i in live]), tuple(reached), name[1]))
+            self.states.append(((settled, *last[cut + 1 :]), tuple([i - cut for i in live]), tuple(reached), name[1]))
         at = state << 8 | byte
         if cut:
             self.settles[at] = self.path(last, cut)
