@@ -172,9 +172,113 @@ def mild(image: np.ndarray, index: int, rng: np.random.Generator) -> tuple[np.nd
     return image, {"family": "brightness_contrast_rotation_blur_noise", "severity": "mild", "brightness": round(brightness, 4), "contrast": round(contrast, 4), "rotation_degrees": round(angle, 4), "blur_radius": blur, "noise_sigma": noise}
 
 
+# The standard's quantisation tables at quality 50, for light and for colour.
+LIGHT = np.array([
+    [16, 11, 10, 16, 24, 40, 51, 61], [12, 12, 14, 19, 26, 58, 60, 55], [14, 13, 16, 24, 40, 57, 69, 56], [14, 17, 22, 29, 51, 87, 80, 62],
+    [18, 22, 37, 56, 68, 109, 103, 77], [24, 35, 55, 64, 81, 104, 113, 92], [49, 64, 78, 87, 103, 121, 120, 101], [72, 92, 95, 98, 112, 100, 103, 99],
+])
+COLOUR = np.full((8, 8), 99)
+COLOUR[:4, :4] = [[17, 18, 24, 47], [18, 21, 26, 66], [24, 26, 56, 99], [47, 66, 99, 99]]
+
+_WAVES = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(8) + 1) / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)[:, None]
+
+
+def _quantised(plane: np.ndarray, table: np.ndarray, quality: int) -> np.ndarray:
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    steps = np.clip((table * scale + 50) // 100, 1, 255)
+    height, width = plane.shape
+    padded = np.pad(plane, ((0, -height % 8), (0, -width % 8)), mode="edge") - 128.0
+    blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    terms = np.rint((_WAVES @ blocks @ _WAVES.T) / steps) * steps
+    back = (_WAVES.T @ terms @ _WAVES).swapaxes(1, 2).reshape(padded.shape)
+    return np.clip(np.rint(back + 128.0), 0, 255)[:height, :width]
+
+
+def jpeg_round_trip(image: np.ndarray, quality: int) -> np.ndarray:
+    """What a JPEG of this quality keeps of an image: its coding of the terms loses nothing, so it is left out.
+
+    Colour at half resolution. Decoders differ in how they bring it back; here pixels are repeated.
+    """
+    to = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+    light, blue, red = np.moveaxis(np.clip(np.rint(image.astype(float) @ to.T + [0, 128, 128]), 0, 255), 2, 0)
+    height, width = light.shape
+    planes = [_quantised(light, LIGHT, quality)]
+    for plane in (blue, red):
+        even = np.pad(plane, ((0, height % 2), (0, width % 2)), mode="edge")
+        half = np.rint(even.reshape(even.shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)))
+        planes.append(_quantised(half, COLOUR, quality).repeat(2, 0).repeat(2, 1)[:height, :width])
+    back = (np.stack(planes, 2) - [0, 128, 128]) @ np.linalg.inv(to).T
+    return np.clip(np.rint(back), 0, 255).astype(np.uint8)
+
+
+def _hue_turned(image: np.ndarray, steps: int) -> np.ndarray:
+    """Hue moved by ``steps`` of 256, saturation and value kept."""
+    rgb = image.astype(float)
+    top, low = rgb.max(2), rgb.min(2)
+    span = np.where(top > low, top - low, 1.0)
+    r, g, b = np.moveaxis(rgb, 2, 0)
+    hue = np.where(top == r, (g - b) / span % 6, np.where(top == g, (b - r) / span + 2, (r - g) / span + 4))
+    hue = (np.floor(hue / 6 * 255) + steps) % 256 / 255 * 6
+    # Each channel falls from the top as its distance on the hue circle grows.
+    far = [np.clip(np.abs((hue - at + 3) % 6 - 3) - 1, 0, 1) for at in (0, 2, 4)]
+    return np.clip(np.rint(top[..., None] - (top - low)[..., None] * np.stack(far, 2)), 0, 255).astype(np.uint8)
+
+
+def recapture(image: np.ndarray, index: int, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, Any]]:
+    """A second photograph: light, colour, angle, framing, focus, noise and JPEG. Even rows are mirrored."""
+    ranges = {
+        "brightness": (0.7, 1.3), "contrast": (0.75, 1.25), "saturation": (0.75, 1.25), "rotation_degrees": (-15.0, 15.0), "scale": (0.82, 1.0),
+        "translate_x_fraction": (-0.05, 0.05), "translate_y_fraction": (-0.05, 0.05), "blur_radius": (0.3, 1.2), "noise_sigma": (3.0, 7.0),
+    }
+    d = {name: float(rng.uniform(*ends)) for name, ends in ranges.items()}
+    quality, mirrored = int(rng.integers(45, 70)), index % 2 == 0
+    height, width = image.shape[:2]
+    image = _blend(image, 0.0, d["brightness"])
+    image = _blend(image, float(int(_grey(image).mean() + 0.5)), d["contrast"])
+    image = _rotated(_blend(image, _grey(image), d["saturation"]), d["rotation_degrees"])
+    image = image[:, ::-1] if mirrored else image
+    small = resize(image, max(1, int(width * d["scale"])), max(1, int(height * d["scale"])))
+    canvas = np.empty_like(image)
+    canvas[:] = corner(image)
+    left = int((width - small.shape[1]) // 2 + d["translate_x_fraction"] * width)
+    top = int((height - small.shape[0]) // 2 + d["translate_y_fraction"] * height)
+    ys, xs = slice(max(top, 0), min(top + small.shape[0], height)), slice(max(left, 0), min(left + small.shape[1], width))
+    canvas[ys, xs] = small[ys.start - top : ys.stop - top, xs.start - left : xs.stop - left]
+    image = _noisy(np.rint(_smoothed(canvas, d["blur_radius"])), d["noise_sigma"], rng)
+    recipe = {k: round(v, 4) for k, v in d.items()} | {"hflip": mirrored, "jpeg_quality": quality}
+    return jpeg_round_trip(image, quality), recipe | {"family": "brightness_contrast_saturation_rotation_scale_translate_hflip_blur_noise_jpeg", "severity": "strong"}
+
+
+def occlusion(image: np.ndarray, index: int, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, Any]]:
+    """Hue, fewer levels, sharpening, motion, a covered rectangle and a poor JPEG.
+
+    Motion sums 2 * (L // 2) + 1 moved copies, which wrap around, and divides by L: an even
+    length brightens.
+    """
+    height, width = image.shape[:2]
+    hue, bits = float(rng.uniform(-12.0, 12.0)), int(rng.integers(4, 7))
+    image = _hue_turned(image, round(hue / 360 * 255)) & np.uint8(256 - (1 << (8 - bits)))
+    radius, percent = float(rng.uniform(1.0, 3.0)), int(rng.integers(100, 220))
+    edges = image - np.rint(_smoothed(image, radius))
+    image = np.clip(np.rint(image + np.where(np.abs(edges) >= 3, edges * percent / 100, 0)), 0, 255).astype(np.uint8)
+    length, upright = int(rng.integers(5, 16)), bool(rng.integers(0, 2))
+    moved = [np.roll(image.astype(np.float32), k, 0 if upright else 1) for k in range(-(length // 2), length // 2 + 1)]
+    image = np.clip(sum(moved) / length, 0, 255).astype(np.uint8)
+    area = float(rng.uniform(0.06, 0.18))
+    wide, tall = (round(n * area**0.5) for n in (width, height))
+    x, y = int(rng.integers(0, max(1, width - wide))), int(rng.integers(0, max(1, height - tall)))
+    image[y : y + tall, x : x + wide] = corner(image).copy()
+    quality = int(rng.integers(20, 41))
+    recipe = {
+        "family": "hue_posterize_sharpen_motionblur_erase_lowq_jpeg", "severity": "strong_held_out", "hue_shift_degrees": round(hue, 4), "posterize_bits": bits,
+        "sharpen_radius": round(radius, 4), "sharpen_percent": percent, "motion_blur_length_px": length, "motion_blur_vertical": upright,
+        "erase_area_fraction": round(area, 4), "erase_x": x, "erase_y": y, "jpeg_quality": quality,
+    }
+    return jpeg_round_trip(image, quality), recipe
+
+
 def photometric(image: np.ndarray, index: int, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, Any]]:
-    """Gamma, colour temperature, vignette and impulse noise. No JPEG codec is at hand, so the last,
-    high-quality re-encoding is drawn but not applied; the recipe says so."""
+    """Gamma, colour temperature, vignette, impulse noise and a good JPEG."""
     height, width = image.shape[:2]
     cut = lambda a: np.clip(a, 0, 255).astype(np.uint8)
     gamma = float(rng.uniform(0.6, 1.6))
@@ -192,4 +296,36 @@ def photometric(image: np.ndarray, index: int, rng: np.random.Generator) -> tupl
     image = image.copy()
     image[ys, xs] = ends[:, None]
     quality = int(rng.integers(80, 96))
-    return image, {"family": "gamma_colortemp_vignette_saltpepper_highq_jpeg", "severity": "strong_held_out_2", "gamma": round(gamma, 4), "color_temperature": round(warmth, 4), "vignette_strength": round(fall, 4), "salt_pepper_fraction": round(share, 4), "jpeg_quality_hq": quality, "jpeg_applied": False}
+    return jpeg_round_trip(image, quality), {"family": "gamma_colortemp_vignette_saltpepper_highq_jpeg", "severity": "strong_held_out_2", "gamma": round(gamma, 4), "color_temperature": round(warmth, 4), "vignette_strength": round(fall, 4), "salt_pepper_fraction": round(share, 4), "jpeg_quality_hq": quality}
+
+
+FAMILIES = {"mild": mild, "strong": recapture, "strong_held_out": occlusion, "strong_held_out_2": photometric}
+
+
+def fitted(image: np.ndarray, size: int) -> np.ndarray:
+    """The middle of the image in the shape of a square, resized to ``size``; uint8."""
+    height, width = image.shape[:2]
+    side = min(height, width)
+    top, left = (height - side) // 2, (width - side) // 2
+    return resize(image[top : top + side, left : left + side], size, size)
+
+
+def variant(image: np.ndarray, size: int, families: list[str], index: int, rng: np.random.Generator) -> tuple[np.ndarray, dict[str, Any]]:
+    """The index-th stable variant of an image: families take turns; a mixture is named in the recipe."""
+    made, recipe = FAMILIES[families[index % len(families)]](fitted(image, size), index, rng)
+    if len(families) > 1:
+        recipe = recipe | {"mixture": ",".join(families)}
+    return made, dict(sorted(recipe.items()))
+
+
+def png(image: np.ndarray) -> bytes:
+    """An 8-bit RGB image as a PNG file."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = image.shape[:2]
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), np.ascontiguousarray(image).reshape(height, -1)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")

@@ -6,6 +6,7 @@ be run alone; a table that exists is read, not made again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -113,6 +114,24 @@ def embed_images(spark: SparkSession, images: DataFrame, size: int, model_id: st
     return images.select("image_id", "image").mapInPandas(run, "image_id string, vector array<float>")
 
 
+def stable_variants(anchors: DataFrame, images: DataFrame, size: int, seed: int) -> DataFrame:
+    """pair_id, png and recipe_json of stable pairs (pair_id, context_image_id, families, ordinal).
+
+    Each pair has a generator of its own, seeded by the run and its id, so variants are made in
+    parallel and do not depend on each other. Sequential draws over all pairs, which depend on
+    pixel counts, are not reproduced.
+    """
+    rows = anchors.select("pair_id", "context_image_id", "families", "ordinal").join(images.select(F.col("image_id").alias("context_image_id"), "image"), "context_image_id")
+    keyed = rows.select("pair_id", "families", "ordinal", "image", F.xxhash64(F.lit(seed + SEED_OFFSETS["pairs"]), "pair_id").alias("seed"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [pixels.variant(pixels.from_row(r.image), size, list(r.families), int(r.ordinal), np.random.default_rng(r.seed % 2**63)) for r in b.itertuples()]
+            yield pd.DataFrame({"pair_id": b["pair_id"], "png": [pixels.png(i) for i, _ in made], "recipe_json": [json.dumps(r) for _, r in made]})
+
+    return keyed.mapInPandas(run, "pair_id string, png binary, recipe_json string")
+
+
 def image_distances(pairs_: DataFrame, images: DataFrame, size: int) -> DataFrame:
     """pair_id, pixel and ssim of each pair; both distances from one decoding of each side."""
     context = images.select(F.col("image_id").alias("context_image_id"), F.col("image").alias("a"))

@@ -109,6 +109,10 @@ def test_whole_run(spark, dataset):
     found = {r.model: r for r in pipelines.run_baselines(spark, config, manifest, {"color_texture": vectors}, distances=far).collect()}
     # Stable targets are the very same images here, so every distance tells the classes apart.
     assert set(found) == {"pixel", "ssim", "color_texture"} and all(r.auroc == 1.0 for r in found.values())
+    anchors = manifest.filter("pair_label = 'stable'").select("pair_id", "context_image_id", F.array(F.lit("mild"), F.lit("strong")).alias("families"), F.lit(1).alias("ordinal"))
+    variants = pipelines.stable_variants(anchors, images, 32, 5)
+    first = {r.pair_id: (bytes(r.png), r.recipe_json) for r in variants.collect()}
+    assert len(first) == 12 and first == {r.pair_id: (bytes(r.png), r.recipe_json) for r in variants.repartition(3).collect()}
     result = pipelines.train(spark, config, manifest, vectors)
     assert result["metrics"]["test"]["auroc"] >= 0.9 and not result["representation_health"]["collapsed"]
     assert result["result"]["strongest_baseline"]["name"] == "pixel"
@@ -175,6 +179,19 @@ def test_pixels():
     assert one.shape == image.shape and recipe["blur_radius"] == 0.18 and recipe["noise_sigma"] == 0
     two, recipe = pixels.photometric(image, 0, np.random.default_rng(1))
     assert two.shape == image.shape and not set(recipe) & {"brightness", "contrast", "rotation_degrees"}
+    assert pixels.jpeg_round_trip(flat, 90) == pytest.approx(flat, abs=1)
+    rough, fine = (np.abs(pixels.jpeg_round_trip(image, q).astype(int) - image).mean() for q in (20, 95))
+    assert fine < rough
+    kinds = {}
+    for name, make in pixels.FAMILIES.items():
+        made, recipe = make(image, 4, np.random.default_rng(2))
+        assert made.shape == image.shape and made.dtype == np.uint8 and recipe["severity"] == name
+        kinds[name] = set(recipe) - {"family", "severity", "jpeg_quality"}
+    assert not kinds["strong"] & kinds["strong_held_out"] and not kinds["strong"] & kinds["strong_held_out_2"] and not kinds["strong_held_out"] & kinds["strong_held_out_2"]
+    made, recipe = pixels.variant(image, 32, ["strong", "strong_held_out"], 3, np.random.default_rng(1))
+    assert (made.shape, recipe["severity"], recipe["mixture"]) == ((32, 32, 3), "strong_held_out", "strong,strong_held_out")
+    assert pixels.png(image) == png(image)
+    assert pixels._hue_turned(image, 0) == pytest.approx(image, abs=6)
     row = {"height": 1, "width": 1, "nChannels": 3, "data": bytes([1, 2, 3])}
     assert pixels.from_row(row).tolist() == [[[3, 2, 1]]]
 
