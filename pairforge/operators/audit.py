@@ -66,7 +66,7 @@ def images_of(pairs: DataFrame) -> DataFrame:
 NOTE = {
     "always": "Splits are generated at patient ID level when patient IDs are available and otherwise at lesion ID level. "
     "Stable nuisance variants are generated only after split assignment.",
-    "no_patients": "HAM10000-style patient identifiers are unavailable in the metadata, so the main leakage boundary is lesion ID.",
+    "no_patients": "Patient identifiers are unavailable in the metadata, so the main leakage boundary is lesion ID.",
     "no_lesions": "Some rows lack lesion IDs and use image-level fallback groups; results from those rows must be treated as exploratory.",
     "duplicates": "Duplicate image IDs are present and manifest generation refuses to continue until they are resolved.",
     "missing": "Some metadata rows do not have local images; audit is inspectable, but manifest generation requires complete local image availability.",
