@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import give_back, small_batches
 
 #: Transitions and pair verdicts kept per Python worker; a full store is emptied.
-MEMO = 400_000
+MEMO = 700_000
 #: Pre-tokens and words kept per Python worker, in each of two generations.
-PIECES, WORDS = 300_000, 300_000
+PIECES, WORDS = 450_000, 450_000
 MEMO_CHARS = 64
 #: The share of these sizes that is used where memory is shared with other work.
-LEAN = 0.35
+LEAN = 0.15
 #: Bytes of a pre-token that are looked up at once.
 HEAD = 5
 
@@ -240,6 +241,11 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.blank_edge = regex.compile(r"\A\s|\s\Z|\A\Z").search
         self.pieces, self.words = Store(int(PIECES * share)), Store(int(WORDS * share))
+        most = max(ranks.values(), default=-1) + 1
+        raw = [self.fst.token.get(r, b"") for r in range(most)]
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.sizes = np.fromiter(map(len, raw), np.int64, most)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def clear(self) -> None:
         """Give back the memory of all stores."""
@@ -291,9 +297,14 @@ class Codec:
 
     def decode(self, ids: bytes, block: int = 1 << 16) -> Iterator[bytes]:
         """The bytes of the ids, block by block."""
-        token = self.fst.token
-        for i in range(0, len(ids), 4 * block):
-            yield b"".join(map(token.__getitem__, memoryview(ids[i : i + 4 * block]).cast("I").tolist()))
+        numbers = np.frombuffer(ids, "<u4")
+        for i in range(0, len(numbers), block):
+            here = numbers[i : i + block]
+            size = self.sizes[here]
+            ends = np.cumsum(size)
+            # Each byte's place among the vocabulary's bytes: its token's start, and how far into it.
+            places = np.repeat(self.starts[here] - (ends - size), size)
+            yield self.flat[places + np.arange(len(places))].tobytes()
 
     def text(self, ids: bytes) -> str:
         stream = Utf8Stream()
@@ -303,8 +314,8 @@ class Codec:
 
 
 @cache
-def _codec(data: bytes, pattern: str, share: float) -> Codec:
-    return Codec(read_ranks(data), pattern, share)
+def _codec(data: bytes, pattern: str) -> Codec:
+    return Codec(read_ranks(data), pattern)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",), lean: bool = False) -> DataFrame:
@@ -315,7 +326,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     gives way to it. A null or empty text has no ids. Repeated rows are encoded each, null ids
     stay, an empty table gives no rows. The rank file is read on the driver. The decoder fails
     a task whose ids do not give the text back. Workers keep their stores for later tasks; with
-    ``lean`` these are smaller and emptied after each, as where other work shares the workers.
+    ``lean`` these are smaller and dropped after each, as where other work shares the workers.
     """
     small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
@@ -325,7 +336,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     names = [c for c in keep if c not in dict(made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern, LEAN if lean else 1.0)
+        codec = Codec(read_ranks(shared.value), pattern, LEAN) if lean else _codec(shared.value, pattern)
         gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
         try:
             for b in batches:
@@ -352,7 +363,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
         finally:
             gc.enable()
             if lean:
-                codec.clear()
+                del codec
                 give_back()
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} {t}" for c, t in made])
