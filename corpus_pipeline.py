@@ -32,12 +32,14 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that links connect, the one with the least doc_id stays.
 
+    Documents link from a Jaccard similarity of 0.8 of their sets of five-word shingles.
+
     Rows that repeat an id and a text are held apart by where they are stored: one of them
     stays. A row without an id stays, as nothing names it.
     """
     scratch = Scratch(spark, "near")
     rows = stable_rows(docs, scratch)
-    links = jaccard_join(docs)
+    links = jaccard_join(docs, width=5, percent=80)
     dropped = scratch.write(links.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
     kept = rows.join(sized(dropped), F.col("doc_id") == F.col("_gone"), "left_anti")
     place = F.struct("row_file", "row_at")

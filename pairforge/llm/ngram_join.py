@@ -1,8 +1,8 @@
-"""Size-aware heavy-light similarity join on word n-grams: Jaccard of at least 0.9, exactly.
+"""Size-aware heavy-light similarity join on word n-grams: Jaccard of at least t (0.8 or more), exactly.
 
 Sets are classes of equal sets first, so copies are never compared. Shingles are ordered:
 those that many documents share last, else by hash. Two sets that link share at least c
-shingles within the first n - ceil(0.9 n) + c of each (n: the set's size).
+shingles within the first n - ceil(t n) + c of each (n: the set's size).
 
 * Small sets enumerate all subsets of SUBSET = 2 shingles of that prefix, with c = 2. Sets that
   link share a subset.
@@ -43,7 +43,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 #: Small clusters are put together up to about so many shingles.
 BIN_SHINGLES = 1 << 18
 MEMO = 150_000
-#: Above the boundary: (least size, c). c grows with the size to keep parts small.
+#: Above the boundary: (least size, c) for 0.9. c grows with the size, and as prefixes do, to keep parts small.
 LEVELS = ((640, 96), (5120, 768), (40_960, 6144), (327_680, 49_152))
 FIRST_C = 16
 BOUNDARIES = range(20, 321, 20)
@@ -87,28 +87,34 @@ class Shingler:
         return np.unique(h & ~np.uint64(1))
 
 
-def least_overlap(n: int) -> int:
-    return -(-9 * n // 10)
+def least_overlap(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
 
 
-def prefix(n: int, c: int) -> int:
-    return min(n, n - least_overlap(n) + c)
+def prefix(n: int, c: int, percent: int) -> int:
+    return min(n, n - least_overlap(n, percent) + c)
 
 
-def levels(boundary: int) -> list[tuple[int, int]]:
-    return [(0, SUBSET), (boundary, FIRST_C), *LEVELS]
+def smallest(percent: int) -> int:
+    """The size of the least set that another set can link with: n of n + 1 shingles are shared."""
+    return -(-percent // max(1, 100 - percent))
 
 
-def roles(n: int, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def levels(boundary: int, percent: int) -> list[tuple[int, int]]:
+    wider = max(1, (100 - percent) // 10)
+    return [(0, SUBSET), *((least, wider * c) for least, c in ((boundary, FIRST_C), *LEVELS))]
+
+
+def roles(n: int, table: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
     """(c, prefix length) at the level of a set of n shingles, and at the next if a partner can be there."""
-    if n < 9:  # a different set shares at most 8 of 9 or fewer: none is near enough
+    if n < smallest(percent):
         return []
     k = max(i for i, (least, _) in enumerate(table) if n >= least)
-    found = [k] + [k + 1] * (k + 1 < len(table) and 10 * n >= 9 * table[k + 1][0])
-    return [(table[i][1], prefix(n, table[i][1])) for i in found]
+    found = [k] + [k + 1] * (k + 1 < len(table) and 100 * n >= percent * table[k + 1][0])
+    return [(table[i][1], prefix(n, table[i][1], percent)) for i in found]
 
 
-def boundary(sizes: dict[int, int], listed: float) -> int:
+def boundary(sizes: dict[int, int], listed: float, percent: int) -> int:
     """The least costly boundary: rows made for small sets' subsets, large sets' lists and their subsets.
 
     ``sizes``: documents by set size; ``listed``: the share of shingles that other sets list.
@@ -116,15 +122,17 @@ def boundary(sizes: dict[int, int], listed: float) -> int:
 
     def cost(x: int) -> float:
         total = 0.0
+        table = levels(x, percent)
         for n, count in sizes.items():
-            for c, p in roles(n, [(0, SUBSET), (x, FIRST_C), *LEVELS]):
+            for c, p in roles(n, table, percent):
                 if c == SUBSET:
                     total += count * comb(p, SUBSET)
                 else:
                     total += count * (p + (listed * p) ** 2 / (2 * (c - 1)))
         return total
 
-    return min(BOUNDARIES, key=cost)
+    # Sets that link at a level must share c shingles.
+    return min((x for x in BOUNDARIES if least_overlap(x, percent) >= levels(x, percent)[1][1]), key=cost)
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
@@ -170,7 +178,7 @@ def _order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often] | np.uint64(1)])
 
 
-def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[int, int]]) -> DataFrame:
+def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[int, int]], percent: int) -> DataFrame:
     """doc_id, n, digest, the prefix as tokens, and up to two roles (c1, p1), (c2, p2) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -182,7 +190,7 @@ def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[i
             size, digest, tokens, ends, role = [], [], [], [0], []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
-                r = roles(len(s), table)
+                r = roles(len(s), table, percent)
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 role.append([*(x for pair in r for x in pair), 0, 0, 0, 0][:4])
@@ -314,14 +322,14 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     """doc_id, n_shingles, component_id, class_id and n_links of each row.
 
     Two documents link if 100 * intersection >= percent * union of their shingle sets; percent
-    is at least 90. A text of fewer words than ``width`` is one shingle; a null text, or one
+    is at least 80. A text of fewer words than ``width`` is one shingle; a null text, or one
     without words, has none and links with nothing. component_id is the least doc_id that links
     reach, class_id the least with an equal set, n_links the number of documents linked. Rows
     that repeat an id count as documents each; a null id is above all others and is returned
     only where no other is reached. Other columns are ignored; an empty table gives no rows.
     """
-    if percent < 90:
-        raise ValueError("prefixes are laid out for 90 percent or more")
+    if percent < 80:
+        raise ValueError("prefixes are laid out for 80 percent or more")
     scratch = Scratch(docs.sparkSession, "ngrams")
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -330,9 +338,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     frequent = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
     sizes = {r.key: r.n for r in survey.filter((F.col("kind") == 1) & (F.col("key") < 2 * max(BOUNDARIES))).collect()}
     seen = {r.key: r.n for r in survey.filter("kind = 2").collect()}
-    table = levels(boundary(sizes, seen.get(0, 0) / max(1, seen.get(1, 0))))
+    table = levels(boundary(sizes, seen.get(0, 0) / max(1, seen.get(1, 0)), percent), percent)
 
-    sets = scratch.write(_sets(docs, width, frequent, table), "sets")
+    sets = scratch.write(_sets(docs, width, frequent, table, percent), "sets")
     grouped = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "c1", "p1", "c2", "p2")])
     classes = scratch.write(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
     clusters = components(scratch.write(_edges(classes, scratch), "edges"), scratch, "clusters").withColumnsRenamed({"node": "rid", "label": "cluster"})
