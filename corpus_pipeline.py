@@ -34,14 +34,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents link from a Jaccard similarity of 0.8 of their sets of five-word shingles.
 
-    Rows that repeat an id and a text are held apart by where they are stored: one of them
-    stays. A row without an id stays, as nothing names it.
+    Rows that repeat an id are told apart by their texts, and if these are equal, too, by where
+    they are stored: one of them stays. A row without an id stays, as nothing names it.
     """
     scratch = Scratch(spark, "near")
     rows = stable_rows(docs, scratch)
-    links = jaccard_join(docs, width=5, percent=80)
-    dropped = scratch.write(links.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    kept = rows.join(sized(dropped), F.col("doc_id") == F.col("_gone"), "left_anti")
+    links = jaccard_join(docs, width=5, percent=80, hashed=True)
+    dropped = scratch.write(links.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), "text_hash").distinct(), "dropped")
+    same = (F.col("doc_id") == F.col("_gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    kept = rows.join(sized(dropped), same, "left_anti")
     place = F.struct("row_file", "row_at")
     twice = kept.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.count("*").alias("n"), F.min(place).alias("_first"))
     twice = scratch.write(twice.filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), "_text", "_first"), "twice")

@@ -179,7 +179,7 @@ def _order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[int, int]], percent: int) -> DataFrame:
-    """doc_id, n, digest, the prefix as tokens, and up to two roles (c1, p1), (c2, p2) of each document."""
+    """doc_id, text_hash, n, digest, the prefix as tokens, and up to two roles (c1, p1), (c2, p2) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +200,13 @@ def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[i
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
             role_cols = list(zip(*role, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(c, pa.int32()) for c in role_cols)],
-                ["doc_id", "n", "digest", "tokens", "c1", "p1", "c2", "p2"],
+                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(c, pa.int32()) for c in role_cols)],
+                ["doc_id", "text_hash", "n", "digest", "tokens", "c1", "p1", "c2", "p2"],
             )
         del shingles
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>, c1 int, p1 int, c2 int, p2 int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, tokens array<long>, c1 int, p1 int, c2 int, p2 int")
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     return tiled.groupBy("tile").applyInArrow(lambda t: _links(t, percent), "rid long, label long, links long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of each row.
 
     Two documents link if 100 * intersection >= percent * union of their shingle sets; percent
@@ -327,6 +327,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     reach, class_id the least with an equal set, n_links the number of documents linked. Rows
     that repeat an id count as documents each; a null id is above all others and is returned
     only where no other is reached. Other columns are ignored; an empty table gives no rows.
+    With ``hashed`` there is text_hash, too: xxhash64 of the text, or of '' for null.
     """
     if percent < 80:
         raise ValueError("prefixes are laid out for 80 percent or more")
@@ -358,9 +359,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     found = small.join(least, "component").join(degree, "rid").select("rid", "least", "links")
     per_class = classes.select("rid", "digest", "first_doc", "copies").join(found, "rid", "left")
     per_class = scratch.write(per_class.select("digest", "first_doc", "copies", F.coalesce("least", "first_doc").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per-class")
-    full = lookup(sets.filter("n > 0").select("doc_id", "n", "digest"), per_class, "digest", "copies")
-    full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("first_doc").alias("class_id"), "n_links")
-    bare = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = ["doc_id", "text_hash"] if hashed else ["doc_id"]
+    full = lookup(sets.filter("n > 0").select(*named, "n", "digest"), per_class, "digest", "copies")
+    full = full.select(*named, F.col("n").alias("n_shingles"), "component_id", F.col("first_doc").alias("class_id"), "n_links")
+    bare = sets.filter("n = 0").select(*named, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(bare)
 
 

@@ -55,3 +55,10 @@ def test_thresholds_follow_percent():
     assert [N.smallest(p) for p in (80, 90)] == [4, 9]
     assert [N.least_overlap(n, p) for n, p in ((10, 90), (11, 90), (5, 80), (6, 80))] == [9, 10, 4, 5]
     assert N.levels(20, 90)[1] == (20, 16) and N.levels(40, 80)[1:3] == [(40, 32), (640, 192)]
+
+
+def test_a_dropped_row_does_not_take_another_of_its_id(spark):
+    words, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words) + " end", " ".join(other)]
+    out = P.near_duplicates(spark, simple(spark, texts, [1, 2, 2]), "").select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, texts[0]), (2, texts[2])]
