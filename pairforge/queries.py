@@ -377,6 +377,18 @@ def leakage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.split_overlap(rows, "context_lesion_id", "target_lesion_id")
 
 
+@query("""WITH values_ AS (
+  SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'train' WHEN o_orderkey % 3 = 1 THEN 'val' ELSE 'test' END AS split, CAST(o_custkey AS VARCHAR) AS v FROM orders)
+SELECT a.split AS left_split, b.split AS right_split, a.v AS value FROM values_ a JOIN values_ b ON a.v = b.v
+WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))""")
+def leakage_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders."""
+    part = F.when(F.col("o_orderkey") % 3 == 0, "train").when(F.col("o_orderkey") % 3 == 1, "val").otherwise("test")
+    lesion = F.col("o_custkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(part.alias("split"), lesion.alias("context_lesion_id"), lesion.alias("target_lesion_id"))
+    return checks.split_overlap(rows, "context_lesion_id", "target_lesion_id")
+
+
 @query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_ids(table(spark, sf_dir, "events").select(F.col("user_id").alias("id")), "id")
@@ -462,6 +474,17 @@ def tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.check_claims(expected, observed, tolerance=0.0015)
 
 
+@query("""WITH observed AS (SELECT CAST(l_suppkey AS VARCHAR) AS run_id, round(avg(l_discount), 3) AS observed FROM lineitem GROUP BY 1),
+expected AS (SELECT CAST(s_suppkey AS VARCHAR) AS run_id, 0.05 AS expected FROM supplier)
+SELECT run_id, expected, observed, CASE WHEN observed IS NULL THEN 'SKIP' WHEN abs(observed - expected) <= 0.0015 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM expected LEFT JOIN observed USING (run_id)""")
+def tolerance_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all line items."""
+    observed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("run_id")).agg(F.round(F.avg("l_discount"), 3).alias("value"))
+    expected = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), F.lit(0.05).alias("value"))
+    return runs.check_claims(expected, observed, tolerance=0.0015)
+
+
 @query("""SELECT n_nationkey, list_extract(['strong', 'strong_held_out', 'mild'], n_nationkey % 3 + 1) AS family, n_nationkey % 3 = 1 AS blurred, n_nationkey % 3 = 2 AS noisy FROM nation""")
 def recipe_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("n_nationkey")
