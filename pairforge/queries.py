@@ -419,6 +419,16 @@ def contamination_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.members(docs, docs.filter("doc_id % 5 = 0"), "checksum").select("doc_id")
 
 
+@query("""SELECT doc_id FROM documents WHERE sha256(text) IN (
+  SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sha256(text) FROM benchmark)""")
+def contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text another document or an item of the benchmark has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+    copied = docs.groupBy("checksum").agg(F.count("*").alias("n")).filter("n > 1").select("checksum")
+    items = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("checksum"))
+    return neardup.members(docs, copied.unionByName(items), "checksum").select("doc_id")
+
+
 HASHED = """hashed AS (SELECT vec_id AS id, CAST('0x' || substr(md5(CAST(vec_id // 2 AS VARCHAR)), 1, 15) AS BIGINT) + vec_id % 2 * 37 AS h FROM embeddings)"""
 
 

@@ -11,3 +11,10 @@ def test_leakage_and_tolerance_probe_all_rows(spark, tmp_path):
     got = {(r.left_split, r.right_split, r.value) for r in Q.QUERIES["leakage_overlap_all"](spark, at).collect()}
     assert got == {("train", "val", "5"), ("train", "test", "11")}
     assert {r.run_id: r.status for r in Q.QUERIES["tolerance_check_all"](spark, at).collect()} == {"4": "PASS", "5": "FAIL", "6": "SKIP"}
+
+
+def test_contamination_probes_all_documents_and_the_benchmark(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (5, "c"), (6, None), (7, None)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([("i", "b")], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert sorted(r.doc_id for r in Q.QUERIES["contamination_all"](spark, at).collect()) == [1, 2, 3]
