@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import give_back, small_batches
+from pairforge.llm.common import give_back, sliced
 
 #: Transitions and pair verdicts kept per Python worker; a full store is emptied.
 MEMO = 700_000
@@ -328,7 +328,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     a task whose ids do not give the text back. Workers keep their stores for later tasks; with
     ``lean`` these are smaller and dropped after each, as where other work shares the workers.
     """
-    small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         data = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(data)
@@ -339,7 +338,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
         codec = Codec(read_ranks(shared.value), pattern, LEAN) if lean else _codec(shared.value, pattern)
         gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
         try:
-            for b in batches:
+            for b in sliced(batches):
                 n, of_ids, of_bytes, all_ids = [], [], [], []
                 for text in b.column(b.num_columns - 1).to_pylist():
                     text = text or ""

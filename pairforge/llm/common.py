@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six white-space characters.
@@ -39,12 +41,28 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold the rows of a batch that goes to Python to BATCH_ROWS, in this session, from now on."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within this block, a batch that goes to Python has at most BATCH_ROWS rows; then the session is as before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    before = spark.conf.get(key, None)
+    now = int(before or "10000")
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most BATCH_ROWS rows, so that few whole texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
 
 
 def give_back() -> None:
@@ -52,8 +70,6 @@ def give_back() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
@@ -66,55 +82,77 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables, or whatever else lies under these names."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+        self.names = [n for n in self.names if n not in names]
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which a result is still read from."""
+        self.drop(*[n for n in self.names if n not in names])
+
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def stable_rows(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """df with ``row_file`` and ``row_at``: where each row is stored, the same on every read.
 
-    A DataFrame that is not a plain scan of files is written to scratch first.
+def located(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, row_file, row_at): each row as a struct, whatever its columns are called, and where it is stored.
+
+    The place is the same on every read. A DataFrame that is not a plain scan of files is written
+    to scratch first; so is one whose rows may be repeated after the scan.
     """
-    clash = [c for c in df.columns if c.lower() in ("row_file", "row_at")]
-    df = df.drop(*clash)
-    try:
-        return _located(df)
-    except AnalysisException:
-        return _located(scratch.write(df, f"rows-{uuid.uuid4().hex[:8]}"))
+    rows = df.select(F.struct(*map(quoted, df.columns)).alias("row"))
+    place = [F.xxhash64(F.col("_metadata.file_path")).alias("row_file"), F.col("_metadata.row_index").alias("row_at")]
+    if "_metadata" not in map(str.lower, df.columns) and _one_row_each(df):
+        with suppress(AnalysisException):
+            return df.select(F.struct(*map(quoted, df.columns)).alias("row"), *place)
+    return scratch.write(rows, f"rows-{uuid.uuid4().hex[:8]}").select("row", *place)
+
+
+def _one_row_each(df: DataFrame) -> bool:
+    """Whether the plan only selects from and filters one scan, so that no stored row comes twice."""
+    steps = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in df._jdf.queryExecution().analyzed().toString().splitlines()}
+    return steps <= {"Project", "Filter", "Relation", "SubqueryAlias", ""}
+
+
+def own_columns(df: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of df out of the struct that located() made of them."""
+    return [F.col(row).getField(c).alias(c) for c in df.columns]
 
 
-def _located(df: DataFrame) -> DataFrame:
-    return df.select(
-        "*",
-        F.xxhash64(F.col("_metadata.file_path")).alias("row_file"),
-        F.col("_metadata.row_index").alias("row_at"),
-    )
+def few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Broadcast if it has few rows; a larger one is shuffled, and the hot keys of its partner are split."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast if it has few rows; else left to be shuffled. For keys that no other side repeats often."""
+    return F.broadcast(df) if few(df) else df
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
     """left joined with right, whose ``key`` is unique and whose ``size`` counts key's rows in left.
 
     A right side of checked size is broadcast. Otherwise the few hot keys, at most HOT_SHARE
     of them, are broadcast and the rest is shuffled, so no task gets a hot key's rows.
     """
+    keys = [key] if isinstance(key, str) else key
     stats = right.agg(F.count("*"), F.sum(size)).first()
     if stats[0] <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), key, how)
+        return left.join(F.broadcast(right), keys, how)
     hot = right.filter(F.col(size) * HOT_SHARE >= F.lit(stats[1]))
     cold = right.filter(F.col(size) * HOT_SHARE < F.lit(stats[1]))
-    near = left.join(F.broadcast(hot), key)
-    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    near = left.join(F.broadcast(hot), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)

@@ -5,41 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch
+from pairforge.llm.common import Scratch, lookup
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Each edge with m, the least v of its u; the edges of a node with very many are not brought together."""
+    least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+    return lookup(edges, least, "u", "n").drop("n")
+
+
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Each node's larger neighbours point to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    out = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    out = _least(both, scratch, name).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     return out.distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Each node and its smaller neighbours point to the least of those neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    below = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return below.union(least.select("u", F.col("m").alias("v"))).distinct()
+    found = _least(edges, scratch, name)
+    below = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.union(found.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) of every node with an edge: label is the least node of its component.
 
     ``edges`` has long columns u and v; loops and repeats do no harm. A node's edges meet in
-    aggregations that combine where they are read and in joins whose hot keys are split.
+    aggregations that combine where they are read and in lookups whose hot keys are split.
     """
     oriented = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = scratch.write(oriented, f"{name}-0")
     state, k = _state(now), 0
     while state[0]:
         k += 1
-        now = scratch.write(_small_star(_large_star(now)), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        large = scratch.write(_large_star(now, scratch, f"{name}-large-{k}"), f"{name}-half-{k}")
+        now = scratch.write(_small_star(large, scratch, f"{name}-small-{k}"), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-half-{k}", f"{name}-large-{k}", f"{name}-small-{k}")
         before, state = state, _state(now)
         if state == before:
             break

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairforge.llm.common import BROADCAST_ROWS, GAP, Scratch, lookup, stable_rows
+from pairforge.llm.common import GAP, Scratch, few, located, lookup
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 #: Small stores do not set aside disk ahead of use, else each takes megabytes whatever it holds.
 SET_ASIDE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: Bits of the map that tells texts to be read again from the rest: 8 MB, however many there are.
+FILTER_BITS = 1 << 26
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,76 +37,102 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), GAP, " ")
 
 
-def arrivals(rows: DataFrame) -> DataFrame:
-    """One small row for each document: digest, stable id and content locator."""
-    return rows.select(
-        F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("digest"),
-        F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_file"), F.col("row_at")).alias("self"),
-    )
+def arrivals(rows: DataFrame, digest_chars: int, deliveries: int) -> DataFrame:
+    """One small row for each document: digest, stable id and content locator, and its delivery."""
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at").alias("self")
+    full = F.sha2(F.encode(normalised(), "UTF-8"), 256)
+    named = rows.select(full.alias("full"), own)
+    return named.select(F.substring("full", 1, digest_chars).alias("digest"), "self", "full", F.pmod(F.xxhash64("self.row_file", "self.row_at"), F.lit(deliveries)).cast("int").alias("delivery"))
 
 
-def first_seen(spark: SparkSession, arrivals_path: str, schema, scratch: Scratch, files_per_batch: int | None = None) -> DataFrame:
-    """Stream the arrivals through keyed state: digest -> first (least id, locator), group_size.
+def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows at the places (row_file, row_at) of wanted, with its columns.
 
-    The state store keeps its keys on disk and never expires one, so a copy is found however
-    late it comes. Each batch appends the groups that it changed to a log; the largest batch
-    of a digest is its present state. The checkpoint lets a restarted query go on.
+    Many places are shuffled. A map of FILTER_BITS bits, whose size does not grow with them, is
+    broadcast before, so that few other texts are shuffled with them.
     """
-    log, stream = f"{scratch.path}/log", spark.readStream.schema(schema)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    state = stream.parquet(arrivals_path).groupBy("digest").agg(F.min("self").alias("first"), F.count("*").alias("group_size"))
-
-    def append(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{log}/batch={batch}")
+    place = ["row_file", "row_at"]
+    if few(wanted):
+        return rows.join(F.broadcast(wanted), place)
+    bit = F.pmod(F.xxhash64(*place), F.lit(FILTER_BITS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("shiftright(byte, cast(bit as int)) % 2 = 1")
+    near = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "bucket")
+    near = near.withColumn("byte", byte).withColumn("bit", at % 8).filter(marked).drop("bucket", "map", "byte", "bit")
+    return near.join(wanted, place)
+
+
+def first_seen(rows: DataFrame, seen: DataFrame, deliveries: int, digest_chars: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Stream the arrivals through keyed state: (digest, first, group_size), and digests that texts clash in.
+
+    The state is digest -> first (least id and content locator) and group_size. The store keeps
+    its keys on disk and never expires one, so a copy is found however late it comes. Each
+    delivery is a batch. A digest that is hit has its stored locator read, and those of the
+    batch that have it, and their full bytes are compared before the batch is done: in an
+    aggregation keyed by digest and text, which combines the rows of a hot group where they are
+    read. Each batch appends the groups it changed to a log; the largest batch of a digest is its
+    present state. The checkpoint lets a restarted query go on.
+    """
+    spark, log, clash = rows.sparkSession, f"{scratch.path}/log", f"{scratch.path}/clash"
+    grouped = lambda df: df.groupBy("digest").agg(F.min("self").alias("first"), F.count("*").alias("group_size"))
+    small, now = seen.select("digest", "self").schema, 0
+    plain = grouped(seen).schema
+    logged = T.StructType([*plain, T.StructField("batch", T.IntegerType())])
+
+    def latest(before: int) -> DataFrame:
+        found = spark.read.schema(logged).parquet(log).filter(F.col("batch") < before)
+        return found.groupBy("digest").agg(F.max_by("first", "batch").alias("first"), F.max("group_size").alias("group_size"))
+
+    def check(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{log}/batch={now}")
+        hits = spark.read.schema(plain).parquet(f"{log}/batch={now}").filter("group_size > 1")
+        come = lookup(seen.filter(F.col("delivery") == now).select("digest", "self"), hits, "digest", "group_size").select("digest", "self")
+        stored = latest(now).join(hits.select("digest"), "digest", "left_semi").select("digest", F.col("first").alias("self"))
+        places = come.unionByName(stored).select("digest", "self.row_file", "self.row_at")
+        places = scratch.write(places, f"places-{now}-{uuid.uuid4().hex[:6]}")
+        texts = fetch(rows, places).select("digest", normalised().alias("norm"))
+        texts = texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
+        texts.filter("texts > 1").write.mode("overwrite").parquet(f"{clash}/batch={now}")
 
     with _setting(spark, STATE_STORE, ON_DISK), _setting(spark, SET_ASIDE, "false"):
-        query = (
-            state.writeStream.outputMode("update").foreachBatch(append)
-            .option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    if not query.lastProgress and not _exists(spark, log):
-        return spark.createDataFrame([], state.schema)
-    found = spark.read.schema(state.schema.add("batch", "long")).parquet(log)
-    return found.groupBy("digest").agg(F.max_by("first", "batch").alias("first"), F.max("group_size").alias("group_size"))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        for now in range(deliveries):
+            seen.filter(F.col("delivery") == now).select("digest", "self").write.mode("append").parquet(f"{scratch.path}/arriving")
+            state = grouped(spark.readStream.schema(small).parquet(f"{scratch.path}/arriving"))
+            query = state.writeStream.outputMode("update").foreachBatch(check).option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+    found = scratch.write(latest(deliveries), "groups")
+    return found, spark.read.schema("digest string, texts long, batch int").parquet(clash).select("digest").distinct()
 
 
-def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest_chars: int = 64, deliveries: int = 1) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row.
 
     Texts are equal if they are identical after each run of white space is made one space; a
     null text counts as empty. Of equal texts the row with the least doc_id stays (null ids
     last; of rows that repeat an id, the one stored first). Where digests are equal, the full
-    bytes are compared: an aggregation keyed by digest and text, which combines a group's rows
-    where they are read, so no task gets a hot group's texts. Texts that differ under one
-    digest are grouped by their bytes instead. ``digest_chars`` shortens the state's key, for
-    tests of that path. Other columns are ignored; an empty table gives no rows.
+    bytes are compared; texts that differ under one digest are grouped by their bytes instead.
+    ``digest_chars`` shortens the state's key, for tests of that path; ``deliveries`` lets the
+    rows arrive in so many batches. Other columns are ignored; an empty table gives no rows.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "dedup")
+    scratch = Scratch(docs.sparkSession, "dedup")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stable_rows(docs.select("doc_id", "text"), scratch)
-    seen = scratch.write(arrivals(rows).withColumn("full", F.col("digest")).withColumn("digest", F.substring("digest", 1, digest_chars)), "arrivals")
-    state = scratch.write(first_seen(spark, f"{scratch.path}/arrivals", seen.schema, scratch, files_per_batch), "groups")
-    hits = state.filter("group_size > 1").select("digest")
-    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = rows.select(F.substring(F.sha2(F.encode(normalised(), "UTF-8"), 256), 1, digest_chars).alias("digest"), normalised().alias("norm"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_file"), F.col("row_at")).alias("self"))
-    hit_texts = texts.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
-    by_bytes = scratch.write(hit_texts.groupBy("digest", "norm").agg(F.min("self").alias("first"), F.count("*").alias("group_size")).select("digest", F.sha2(F.encode("norm", "UTF-8"), 512).alias("bytes"), "first", "group_size"), "bytes")
-    differing = by_bytes.groupBy("digest").count().filter("count > 1").select("digest")
-    if differing.limit(1).count():
-        state = state.join(differing, "digest", "left_anti")
-        apart = texts.join(differing, "digest", "left_semi").select("digest", F.sha2(F.encode("norm", "UTF-8"), 512).alias("bytes"), "self")
-        apart = apart.join(by_bytes, ["digest", "bytes"]).select("self.*", "first", "group_size", "self")
-        apart = apart.join(seen.select("self", "full"), apart["self"].eqNullSafe(seen["self"])).select(apart["self"], "first", "group_size", "full")
+    rows = located(docs.select("doc_id", "text"), scratch).select("row.doc_id", "row.text", "row_file", "row_at")
+    seen = scratch.write(arrivals(rows, digest_chars, deliveries), "arrivals")
+    state, clashing = first_seen(rows, seen, deliveries, digest_chars, scratch)
+    if clashing.limit(1).count():
+        places = scratch.write(seen.join(clashing, "digest", "left_semi").select("digest", "full", "self", "self.row_file", "self.row_at"), "apart")
+        texts = fetch(rows, places).select("digest", "full", "self", F.sha2(F.encode(normalised(), "UTF-8"), 512).alias("bytes"))
+        groups = texts.groupBy("digest", "bytes").agg(F.min("self").alias("first"), F.count("*").alias("group_size"))
+        groups = scratch.write(groups, "by-bytes")
+        apart = lookup(texts, groups, ["digest", "bytes"], "group_size").select("self", "first", "group_size", "full")
+        state = state.join(clashing, "digest", "left_anti")
         found = lookup(seen, state, "digest", "group_size").select("self", "first", "group_size", "full").unionByName(apart)
     else:
         found = lookup(seen, state, "digest", "group_size")
+    scratch.keep("arrivals", "groups", "apart", "by-bytes", *[n for n in scratch.names if n.startswith("rows-")])
+    scratch.drop("arriving", "state", "log")
     return found.select(
         F.col("self.doc_id").cast(kind).alias("doc_id"),
         F.col("first.doc_id").cast(kind).alias("keep_id"),

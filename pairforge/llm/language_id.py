@@ -179,9 +179,9 @@ def identify(rows: DataFrame, labelled: DataFrame, html: bool, per_language: int
     null ids stay. Without labels lang is null; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession, "languages")
-    small_batches(rows.sparkSession)
-    names, table = train(labelled, per_language)
-    scored = scratch.write(evidence(rows, table, html), "scored")
+    with small_batches(rows.sparkSession):
+        names, table = train(labelled, per_language)
+        scored = scratch.write(evidence(rows, table, html), "scored")
     if not names or not scored.limit(1).count():
         nothing = F.lit(None).cast("string")
         return scored.select("id", nothing.alias("lang"), F.lit(None).cast("double").alias("confidence"), nothing.alias("text_lang"), "declared")

@@ -1,17 +1,20 @@
 """Line deduplication by a suffix array over line ids, in DataFrame operations only.
 
-Lines without a word are left out; the others form one sequence per document. Distributed
-prefix doubling ranks all suffixes by their first 1, 2, 4, ... lines: a suffix's next rank is
-its place among the pairs (own rank, rank of the suffix 2^k lines on). Suffixes whose rank no
-other shares are sorted for good and leave. Suffixes of one rank are an interval of the suffix
-array whose common prefix is at least 2^k lines long.
-
-A run of lines qualifies if it has at least ``min_words`` words. Such a run of m lines,
-2^k <= m < 2^(k+1), is named by m and the ranks of its first and its last 2^k lines: equal
-names are the interval of the suffixes that share the run. All but the earliest are later
-copies. Each line begins one least qualifying run and ends one; the union of those that are
-later copies covers exactly the lines of all maximal repeated runs that qualify, less the
-earliest copy. So min_words bounds the rounds, however long documents are.
+Lines without a word are left out; the others form one sequence per document, cut at lines that
+occur once. Distributed prefix doubling ranks the suffixes of these pieces by their first 1, 2,
+4, ... lines, to their ends: a suffix's next rank is its place among the pairs (own rank, rank
+of the suffix 2^k lines on). Equal suffixes end up with one rank, a class; classes in the order
+of their ranks are the suffix array. A rank that first appears in the round of 2^k lines begins
+a class whose common prefix with the class before is of 2^k to 2^(k+1) - 1 lines; the exact
+length is found by comparing lines there, once for each stretch of neighbours that run side by
+side through the same two documents.
+
+Classes next to each other whose common prefixes have at least m lines form an interval of the
+array: its suffixes share a run of m lines. Runs of at least ``min_words`` words count. All but
+the earliest suffix of an interval begin later copies. For each suffix, the intervals looked at
+are that of its least run of min_words words and those of the longer runs that no later suffix
+has whole; together these cover exactly the lines of all maximal repeated runs that qualify, less
+the earliest copy.
 """
 
 from __future__ import annotations
@@ -19,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import BROADCAST_ROWS, Scratch, sized, stable_rows
+from pairforge.llm.common import BROADCAST_ROWS, Scratch, located, lookup, own_columns
 
 #: A repeated run of lines is removed if it has at least so many words.
 MIN_WORDS = 50
 #: The suffixes of one rank are dealt into CELLS cells by the rank they are compared by next.
 CELLS = 64
+#: The suffix array is cut into PARTS parts for windows over all of it.
+PARTS = 1024
+
+#: The key of a document, and of a line.
+DOC = ("row_file", "row_at")
 
 
 def plain_lines(text: Column) -> Column:
@@ -35,9 +43,9 @@ def plain_lines(text: Column) -> Column:
 
 
 def _line(plain: Column, number: Column) -> Column:
-    """A line's number, words and 128-bit id."""
+    """A line's number, words and 128-bit id: two hashes, of which neither follows from the other."""
     words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-    return F.struct(number.alias("line"), words.cast("long").alias("words"), F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2"))
+    return F.struct(number.alias("line"), words.cast("long").alias("words"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(1), plain).alias("h2"))
 
 
 def line_sequence(rows: DataFrame) -> DataFrame:
@@ -47,7 +55,7 @@ def line_sequence(rows: DataFrame) -> DataFrame:
 
 
 def _line_ranks(sequence: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(h1, h2, rank) of the lines that occur twice or more, ordered by id; and how many such lines there are."""
+    """(h1, h2, n, rank) of the ids on two lines or more, by id; and how many such lines there are. n counts an id's lines."""
     shared = scratch.write(sequence.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     # Bands of ids are summed up and ordered, at most 2^16 rows; ids are sorted within their band.
     banded = shared.withColumn("band", F.shiftright("h1", 48))
@@ -56,12 +64,12 @@ def _line_ranks(sequence: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     starts = F.broadcast(sums.select("band", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before")))
     within = Window.partitionBy("band").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    ids = scratch.write(banded.join(starts, "band").select("h1", "h2", rank.alias("rank")), "ids")
+    ids = scratch.write(banded.join(starts, "band").select("h1", "h2", "n", rank.alias("rank")), "ids")
     return ids, shared.agg(F.sum("n")).first()[0] or 0
 
 
 def _refine(pairs: DataFrame, span: int, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, rank) of the pairs of ranks that occur twice or more.
+    """(a, b, n, rank) of each pair of ranks; n counts the suffixes that have it.
 
     a is the number of suffixes before those of rank a; so the next rank is a plus the number
     of suffixes of rank a whose b is smaller. These are summed up by cells of b first, so that
@@ -70,31 +78,125 @@ def _refine(pairs: DataFrame, span: int, scratch: Scratch, name: str) -> DataFra
     width = max(1, -(-span // CELLS))
     counted = scratch.write(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("cell", F.expr(f"b div {width}L")), name)
     cells = counted.groupBy("a", "cell").agg(F.sum("n").alias("s"))
+    # Truncation puts b = -1 into the cell of 0, and within it first.
     before = Window.partitionBy("a").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("a", "cell", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("a", "cell").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("a") + F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    return counted.join(cells, ["a", "cell"]).select("a", "b", "n", rank.alias("rank")).filter("n > 1").drop("n")
+    return counted.join(cells, ["a", "cell"]).select("a", "b", "n", rank.alias("rank"))
 
 
-def suffix_ranks(first: DataFrame, span: int, rounds: int, scratch: Scratch) -> DataFrame:
-    """(k, row_file, row_at, at, rank): ranks by the first 2^k lines of the suffixes that share them.
+def suffix_array(lines: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """lines with their final ranks, and (rank, step) of the ranks that begin a class within a first line's.
 
-    ``first`` has the ranks by one line, below ``span``. A suffix that ends before 2^k lines, or
-    whose first 2^k lines no other has, has no rank at k.
+    ``lines`` has row_file, row_at, at, left (the lines from here to the end of the piece) and
+    rank, by the first line alone and below ``span``. A final rank is the number of smaller
+    suffixes. A class and the one before it share at least ``step`` lines and fewer than twice as
+    many. A document whose suffixes are all ranked leaves the rounds, so their number follows the
+    longest run that two places share, and what they cost follows how many share so much.
+    """
+    by_doc = Window.partitionBy(*DOC)
+    now, found, begun, step = lines.withColumn("open", F.lit(True)), None, None, 1
+    while True:
+        ahead = F.first("rank").over(by_doc.orderBy("at").rangeBetween(step, step))
+        # A suffix that ends here is less than all that go on.
+        paired = now.withColumn("b", F.when(F.col("left") <= step, F.lit(-1).cast("long")).otherwise(ahead)).withColumn("going", F.max("open").over(by_doc))
+        paired = scratch.write(paired, f"pairs-{step}")
+        done = paired.filter("not going").drop("b", "going", "open")
+        found = done if found is None else found.unionByName(done)
+        going = paired.filter("going").drop("going")
+        if not going.limit(1).count():
+            return found, begun
+        moving = going.filter("open").withColumnRenamed("rank", "a")
+        names = scratch.write(_refine(moving.select("a", "b"), span, scratch, f"counts-{step}"), f"names-{step}")
+        made = names.filter("rank <> a").select("rank", F.lit(step).cast("long").alias("step"))
+        begun = made if begun is None else begun.unionByName(made)
+        ranked = lookup(moving, names, ["a", "b"], "n").withColumn("open", (F.col("b") >= 0) & (F.col("n") > 1)).drop("a", "b", "n")
+        now = ranked.unionByName(going.filter("not open").drop("b"))
+        step *= 2
+
+
+def classes_of(suffixes: DataFrame) -> DataFrame:
+    """One row for each rank: n suffixes, the earliest of them, and what all have alike: left, lo and hi."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at", "at")
+    return suffixes.groupBy("rank").agg(F.count("*").alias("n"), F.min(place).alias("place"), *[F.min(c).alias(c) for c in ("left", "lo", "hi")])
+
+
+def common_prefixes(classes: DataFrame, begun: DataFrame, lines: DataFrame, span: int, scratch: Scratch, all_of_them: bool = False) -> DataFrame:
+    """classes with lcp, the lines that each shares with the class before it in the suffix array.
+
+    Unless ``all_of_them``, lcp is the lower bound ``step`` where that is enough to tell it from
+    every length between lo and hi.
+    """
+    width = max(1, -(-span // PARTS))
+    parted = classes.withColumn("part", F.expr(f"rank div {width}L"))
+    own = F.struct("rank", "left", "place")
+    ends = parted.groupBy("part").agg(F.max(own).alias("end"))  # at most PARTS + 1 rows
+    ends = ends.select("part", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("carried"))
+    linked = parted.join(F.broadcast(ends), "part").withColumn("prev", F.coalesce(F.lag(own).over(Window.partitionBy("part").orderBy("rank")), "carried"))
+    linked = scratch.write(linked.join(begun, "rank", "left").drop("carried", "part"), "linked")
+    near = linked.filter("step is not null").select("rank", "step", "left", "lo", "hi", *[F.col(f"place.{c}").alias(c) for c in (*DOC, "at")], F.col("prev.left").alias("left2"), *[F.col(f"prev.place.{c}").alias(f"{c}2") for c in (*DOC, "at")])
+    if not all_of_them:
+        near = near.filter("2 * step > lo and step < hi")
+    # Neighbours that run side by side: only the first of each stretch is compared.
+    both = ["row_file", "row_at", "row_file2", "row_at2"]
+    side = near.withColumn("diagonal", F.col("at") - F.col("at2"))
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy(*both, "diagonal").orderBy("at"))
+    side = side.withColumn("stretch", stretch)
+    head = Window.partitionBy(*both, "diagonal", "stretch").orderBy("at")
+    side = scratch.write(side.withColumn("head", F.first("at").over(head)).withColumn("head_rank", F.first("rank").over(head)), "side")
+    heads = side.filter("at = head").withColumn("most", F.least("left", "left2"))
+    steps = heads.filter("most > step").select("rank", *both, "at", "at2", F.explode(F.sequence("step", F.least(F.col("most"), 2 * F.col("step")) - 1)).alias("t"))
+    ids = lines.select(*DOC, "at", F.col("line_rank").alias("id"))
+    steps = steps.withColumn("at", F.col("at") + F.col("t")).withColumn("at2", F.col("at2") + F.col("t")).join(ids, [*DOC, "at"])
+    steps = steps.join(ids.withColumnsRenamed({"row_file": "row_file2", "row_at": "row_at2", "at": "at2", "id": "id2"}), ["row_file2", "row_at2", "at2"])
+    parting = steps.filter("id <> id2").groupBy("rank").agg(F.min("t").alias("t"))
+    lengths = heads.select("rank", "most").join(parting, "rank", "left").select(F.col("rank").alias("head_rank"), F.coalesce("t", "most").alias("of_head"))
+    exact = side.join(lengths, "head_rank").select("rank", (F.col("of_head") - (F.col("at") - F.col("head"))).alias("exact"))
+    return linked.join(exact, "rank", "left").select("rank", "n", "place", "left", "lo", "hi", F.coalesce("exact", "step", F.lit(0).cast("long")).alias("lcp"))
+
+
+def repeated_runs(classes: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """(rank, n, runs) of the classes in intervals of two suffixes or more: runs has m lines and the earliest place of each."""
+    width = max(1, -(-span // PARTS))
+    wanted = classes.filter("lo is not null").withColumn("part", F.expr(f"rank div {width}L"))
+    rows = wanted.select("rank", "n", "place", "part", "lcp", F.explode(F.sequence("lo", "hi")).alias("m"))
+    # An interval is named by m and the rank of its first class.
+    begins = F.when(F.col("lcp") < F.col("m"), F.col("rank"))
+    ends = rows.groupBy("m", "part").agg(F.max(begins).alias("end"))
+    ends = ends.select("m", "part", F.max("end").over(Window.partitionBy("m").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    begun = F.max(begins).over(Window.partitionBy("m", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    named = scratch.write(rows.join(ends, ["m", "part"]).select("rank", "n", "place", "m", F.coalesce(begun, "carried").alias("first")), "named")
+    intervals = named.groupBy("m", "first").agg(F.min("place").alias("earliest"), F.sum("n").alias("suffixes"), F.count("*").alias("classes"))
+    intervals = scratch.write(intervals.filter("suffixes > 1"), "intervals")
+    runs = lookup(named, intervals, ["m", "first"], "classes")
+    return runs.groupBy("rank").agg(F.min("n").alias("n"), F.collect_list(F.struct("m", "earliest")).alias("runs"))
+
+
+def placed_lines(rows: DataFrame, scratch: Scratch, min_words: int) -> tuple[DataFrame, int]:
+    """The lines with a word, by document, and the number of those that occur twice or more.
+
+    line_rank is null for a line that occurs once. left counts the lines up to the next such
+    line; lo to hi are the lengths of the runs that are looked at from here, null if there is none.
     """
-    now = scratch.write(first.select("row_file", "row_at", "at", "rank"), "ranks-0")
-    found = now.withColumn("k", F.lit(0))
-    for k in range(1, rounds):
-        step = 1 << (k - 1)
-        ahead = Window.partitionBy("row_file", "row_at").orderBy("at").rangeBetween(step, step)
-        pairs = scratch.write(now.withColumn("b", F.first("rank").over(ahead)).filter("b is not null").withColumnRenamed("rank", "a"), f"pairs-{k}")
-        if not pairs.limit(1).count():
-            break
-        names = scratch.write(_refine(pairs, span, scratch, f"counts-{k}"), f"names-{k}")
-        now = scratch.write(pairs.join(sized(names), ["a", "b"]).select("row_file", "row_at", "at", "rank"), f"ranks-{k}")
-        found = found.unionByName(now.withColumn("k", F.lit(k)))
-    return found
+    sequence = scratch.write(line_sequence(rows), "sequence")
+    ids, span = _line_ranks(sequence, scratch)
+    by_doc, doc = Window.partitionBy(*DOC).orderBy("at"), Window.partitionBy(*DOC)
+    placed = lookup(sequence, ids, ["h1", "h2"], "n", "left").select(
+        *DOC, "doc_id", "at", "line", "words", F.col("rank").alias("line_rank"), F.lead("line").over(by_doc).alias("next_line"),
+        (F.sum("words").over(by_doc) - F.col("words")).alias("before"),
+        F.sum(F.when(F.col("rank").isNull(), 1).otherwise(0)).over(by_doc).alias("piece"),
+        F.max("at").over(doc).alias("last"), F.sum("words").over(doc).alias("total"),
+    )
+    # before rises with each line, so a range of it finds where a run of min_words ends; the
+    # frame starts at its order's end and is summed up as it grows.
+    far = F.min("at").over(doc.orderBy(-F.col("before")).rangeBetween(Window.unboundedPreceding, -min_words))
+    placed = placed.withColumn("reach", F.coalesce(far - 1, F.when(F.col("total") - F.col("before") >= min_words, F.col("last"))))
+    placed = placed.withColumn("farthest", F.coalesce(F.lead("reach").over(by_doc) - 1, "last")).withColumn("end", F.max("at").over(Window.partitionBy(*DOC, "piece")))
+    lo = F.when((F.col("reach") <= F.col("end")) & F.col("line_rank").isNotNull(), F.col("reach") - F.col("at") + 1)
+    hi = F.greatest(lo, F.least("farthest", "end") - F.col("at") + 1)
+    lines = placed.select(*DOC, "doc_id", "at", "line", "next_line", "words", "line_rank", (F.col("end") - F.col("at") + 1).alias("left"), lo.alias("lo"), F.when(lo.isNotNull(), hi).alias("hi"))
+    return scratch.write(lines, "lines"), span
 
 
 def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,47 +204,28 @@ def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
 
     ``gone`` lists stretches (lo, hi) of line numbers, hi not included.
     """
-    sequence = scratch.write(line_sequence(rows), "sequence")
-    ids, span = _line_ranks(sequence, scratch)
-    by_doc = Window.partitionBy("row_file", "row_at").orderBy("at")
-    ranked = sequence.join(sized(ids), ["h1", "h2"], "left").select(
-        "row_file", "row_at", "doc_id", "at", "line", "words", "rank",
-        F.lead("line").over(by_doc).alias("next_line"),
-        F.sum("words").over(by_doc).alias("upto"),
-        F.sum(F.when(F.col("rank").isNull(), 1).otherwise(0)).over(by_doc).alias("alone"),
-    )
-    ranked = scratch.write(ranked, "lines")
-    ranks = suffix_ranks(ranked.filter("rank is not null"), span, max(1, min_words).bit_length(), scratch)
-
-    # upto rises with each line. So a range of it finds where a run of min_words ends or begins;
-    # both frames start at their order's end, and are summed up as they grow.
-    here = F.struct("at", "alone")
-    after = F.min(here).over(Window.partitionBy("row_file", "row_at").orderBy(-F.col("upto")).rangeBetween(Window.unboundedPreceding, -min_words))
-    before = F.max(here).over(Window.partitionBy("row_file", "row_at").orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
-    found = ranked.withColumn("after", after).withColumn("before", before)
-    # Runs without a line that stands alone: begun by the line after this one, or ended by this one.
-    begun = found.filter(F.col("after.alone") == F.col("alone")).select("row_file", "row_at", "doc_id", (F.col("at") + 1).alias("lo"), F.col("after.at").alias("hi"))
-    opened = found.filter(F.col("upto") >= min_words).groupBy("row_file", "row_at", "doc_id").agg(F.min(here).alias("x")).filter("x.alone = 0").select("row_file", "row_at", "doc_id", F.lit(0).cast("long").alias("lo"), F.col("x.at").alias("hi"))
-    ended = found.filter((F.col("upto") >= min_words) & (F.coalesce("before.alone", F.lit(0)) == F.col("alone"))).select("row_file", "row_at", "doc_id", (F.coalesce("before.at", F.lit(-1).cast("long")) + 1).alias("lo"), F.col("at").alias("hi"))
-    runs = begun.unionByName(opened).unionByName(ended).distinct().withColumn("m", F.col("hi") - F.col("lo") + 1)
-    runs = runs.withColumn("k", (F.length(F.bin("m")) - 1).cast("int"))
-
-    own = ["row_file", "row_at", "k"]
-    runs = runs.join(ranks.select(*own, F.col("at").alias("lo"), F.col("rank").alias("r1")), [*own, "lo"])
-    runs = runs.join(ranks.select(*own, (F.col("at") + F.expr("shiftleft(1L, k)") - 1).alias("hi"), F.col("rank").alias("r2")), [*own, "hi"])
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at", "lo")
-    runs = scratch.write(runs.select("row_file", "row_at", "lo", "hi", "m", "r1", "r2", place.alias("place")), "runs")
-    first = runs.groupBy("m", "r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = scratch.write(first, "intervals")
-    copies = runs.join(sized(first), ["m", "r1", "r2"]).filter(F.col("place") > F.col("first"))
-
-    covered = copies.select("row_file", "row_at", F.explode(F.sequence("lo", "hi")).alias("at")).distinct()
-    covered = covered.join(ranked.select("row_file", "row_at", "at", "line", "next_line", "words"), ["row_file", "row_at", "at"])
+    lines, span = placed_lines(rows, scratch, min_words)
+    shared = lines.filter("line_rank is not null").select(*DOC, "doc_id", "at", "left", "lo", "hi", F.col("line_rank").alias("rank"))
+    suffixes, begun = suffix_array(shared, span, scratch)
+    if begun is None:
+        begun = rows.sparkSession.createDataFrame([], "rank long, step long")
+    suffixes = scratch.write(suffixes, "suffixes")
+    classes = scratch.write(classes_of(suffixes), "classes")
+    runs = scratch.write(repeated_runs(common_prefixes(classes, begun, lines, span, scratch), span, scratch), "runs")
+
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at", "at")
+    begins = lookup(suffixes.filter("lo is not null").select("rank", place.alias("place")), runs, "rank", "n")
+    longest = F.array_max(F.transform(F.filter("runs", lambda r: r["earliest"] < F.col("place")), lambda r: r["m"]))
+    copies = begins.select("place.*", longest.alias("m")).filter("m is not null")
+
+    by_doc = Window.partitionBy(*DOC).orderBy("at")
+    covered = copies.select(*DOC, F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")).distinct()
+    covered = covered.join(lines.select(*DOC, "at", "line", "next_line", "words"), [*DOC, "at"])
     stretch = covered.withColumn("stretch", F.col("at") - F.row_number().over(by_doc))
     # A line without a word goes with the line above it that has one.
     hi = F.max(F.coalesce("next_line", F.lit(2**31 - 1)))
-    stretch = stretch.groupBy("row_file", "row_at", "stretch").agg(F.min("line").alias("lo"), hi.alias("hi"), F.count("*").alias("n"), F.sum("words").alias("w"))
-    return stretch.groupBy("row_file", "row_at").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"), F.sum("n").alias("gone_lines"), F.sum("w").alias("gone_words"))
+    stretch = stretch.groupBy(*DOC, "stretch").agg(F.min("line").alias("lo"), hi.alias("hi"), F.count("*").alias("n"), F.sum("words").alias("w"))
+    return stretch.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"), F.sum("n").alias("gone_lines"), F.sum("w").alias("gone_words"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -156,17 +239,20 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     give way to it. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = docs.drop(*[c for c in docs.columns if c in ("clean_text", "gone_lines", "gone_words", "gone")])
-    rows = stable_rows(docs, scratch)
-    slim = rows.select("row_file", "row_at", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("clean_text", "gone_lines", "gone_words")])
+    rows = located(docs, scratch)
+    slim = rows.select(*DOC, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     gone = scratch.write(later_copies(slim, scratch, min_words), "gone")
+    scratch.keep("gone", *[n for n in scratch.names if n.startswith("rows-")])
     rows_gone, stretches = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
     few = rows_gone <= BROADCAST_ROWS and (stretches or 0) <= 4 * BROADCAST_ROWS
-    joined = rows.join(F.broadcast(gone) if few else gone, ["row_file", "row_at"], "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
-    text = F.when(F.col("gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    joined = rows.join(F.broadcast(gone) if few else gone, list(DOC), "left")
+    own = F.col("row.text").cast("string")
+    kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(kept, "\n"))
     zero = F.lit(0).cast("long")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("clean_text"), F.coalesce("gone_lines", zero).alias("gone_lines"), F.coalesce("gone_words", zero).alias("gone_words"))
+    made = F.struct(text.alias("clean_text"), F.coalesce("gone_lines", zero).alias("gone_lines"), F.coalesce("gone_words", zero).alias("gone_words"))
+    return joined.select("row", made.alias("made")).select(*own_columns(docs), "made.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import BROADCAST_ROWS, WORD, Scratch
+from pairforge.llm.common import WORD, Scratch, few, own_columns, quoted
 
 #: Classes that the keys of a source are dealt into. Only the one that holds the cut is sorted.
 CLASSES = 4096
@@ -21,17 +21,21 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size < 20, 0.5).when((stops * 4 <= size) & (stops * 40 >= size), 2.0).otherwise(1.0)
 
 
-def sized(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame:
-    """docs with _size (words of the whole text) and _key, the sampling key u^(1/weight).
+def keyed(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame:
+    """(row, source, doc_id, _size, _key): each row as a struct, its words, and the sampling key u^(1/weight).
 
     u is uniform in (0, 1), from a hash of seed and id. The logarithm of the key is an
-    exponential variable scaled by 1/weight; the greatest keys are taken first.
+    exponential variable scaled by 1/weight; the greatest keys are taken first. ``weight`` is
+    an expression of the columns of docs, such as a score of quality.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    return docs.withColumn("_size", size).withColumn("_key", F.pow(u, 1.0 / (quality_weight(text, F.col("_size")) if weight is None else weight)))
+    own = F.struct(*map(quoted, docs.columns)).alias("row")
+    drawn = docs.select(own, "source", F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), size.alias("_size"), digest.alias("_digest"), *([] if weight is None else [weight.alias("_weight")]))
+    u = (F.conv(F.substring("_digest", 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    by = quality_weight(F.col("_text"), F.col("_size")) if weight is None else F.col("_weight")
+    return drawn.select("row", "source", "doc_id", "_size", F.pow(u, 1.0 / by).alias("_key"))
 
 
 def plan(keys: DataFrame) -> DataFrame:
@@ -67,11 +71,11 @@ def plan(keys: DataFrame) -> DataFrame:
     same = F.col("c.source").eqNullSafe(F.col("t.source"))
     down = Window.partitionBy("source").orderBy(F.col("_class").desc())
     before = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opened = classes.withColumn("before", before).alias("c").join(F.broadcast(targets).alias("t") if _few(targets) else targets.alias("t"), same)
+    opened = classes.withColumn("before", before).alias("c").join(F.broadcast(targets).alias("t") if few(targets) else targets.alias("t"), same)
     cut_in = opened.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("n") >= F.col("part"))).select(F.col("c.source").alias("source"), "_class", "before", "part")
     cut_in = cut_in.groupBy("source").agg(F.max_by(F.struct("_class", "before", "part"), F.col("_class")).alias("x")).select("source", "x.*")
 
-    inside = dealt.alias("d").join((F.broadcast(cut_in) if _few(cut_in) else cut_in).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._class") == F.col("c._class")))
+    inside = dealt.alias("d").join((F.broadcast(cut_in) if few(cut_in) else cut_in).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._class") == F.col("c._class")))
     inside = inside.select("d.source", "doc_id", "_size", "_key", "before", "part")
     order = Window.partitionBy("source").orderBy(F.col("_key").desc(), F.col("doc_id").asc_nulls_last(), "_size")
     upto = F.col("before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -85,8 +89,19 @@ def plan(keys: DataFrame) -> DataFrame:
     return found.select(F.col("t.source").alias("_source"), "source_size", "target", "epochs", "part", "cut")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def sources_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The keys of all rows and the plan of each source, both written."""
+    keys = scratch.write(rows.select("source", "doc_id", "_size", "_key"), "keys")
+    return keys, scratch.write(plan(keys), "sources")
+
+
+def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (source, doc_id, _size, _key and others) with source_size, target and _copies: how often each is taken."""
+    joined = rows.join(F.broadcast(sources) if few(sources) else sources, F.col("source").eqNullSafe(F.col("_source")))
+    own = F.struct(F.col("_key"), (-F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))).alias("id"), (-F.col("_size")).alias("size"))
+    extra = F.when(F.col("cut").isNotNull() & (own >= F.col("cut")), 1).otherwise(0)
+    copies = F.least(F.col("epochs") + extra, F.lit(MOST_EPOCHS)).cast("long")
+    return joined.select(*rows.columns, "source_size", "target", copies.alias("_copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7, weight: Column | None = None) -> DataFrame:
@@ -96,33 +111,34 @@ def mix(docs: DataFrame, seed: int = 7, weight: Column | None = None) -> DataFra
     the target is reached within half a document. Reruns agree: keys are hashes of seed and id.
     Rows that repeat an id and a size share a key and are taken together. A null text has no
     words; null sources form one source, weighed last; null ids share a hash. Columns named
-    like a result give way to it. An empty table gives no rows.
+    like these four results give way to them; all others stay, whatever they are called. An
+    empty table gives no rows. Sources are named collections: plans are made of one row each.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    made = ["_size", "_key", "_source", "size", "source_size", "target", "epochs", "part", "cut", "copies"]
-    docs = docs.drop(*[c for c in docs.columns if c in made])
-    keyed = sized(docs, seed, weight)
-    keys = scratch.write(keyed.select("source", F.col("doc_id").cast("long").alias("doc_id"), "_size", "_key"), "keys")
-    sources = scratch.write(plan(keys), "sources")
-    few = _few(sources)
-    joined = keyed.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_source")))
-    own = F.struct(F.col("_key"), (-F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).alias("id"), (-F.col("_size")).alias("size"))
-    extra = F.when(F.col("cut").isNotNull() & (own >= F.col("cut")), 1).otherwise(0)
-    copies = F.least(F.col("epochs") + extra, F.lit(MOST_EPOCHS)).cast("long")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
+    rows = keyed(docs, seed, weight)
+    _, sources = sources_of(rows, scratch)
+    scratch.keep("sources")
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")])
+    made = F.struct(F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"))
+    return taken(rows, sources).select("row", made.alias("made")).select(*own_columns(kept), "made.*")
 
 
 def mixed(docs: DataFrame, seed: int = 7, weight: Column | None = None) -> DataFrame:
-    """The mix itself: each row of docs, with its own columns, as often as it is taken."""
-    names = docs.columns
-    out = mix(docs.select("*", *[F.col(c).alias(f"_own_{c}") for c in names if c in ("size", "source_size", "target", "copies")]), seed, weight)
-    rows = out.filter("copies > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col(f"_own_{c}" if c in ("size", "source_size", "target", "copies") else f"`{c}`").alias(c) for c in names])
+    """The mix itself: each row of docs, with all its own columns, as often as it is taken."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = keyed(docs, seed, weight)
+    _, sources = sources_of(rows, scratch)
+    scratch.keep("sources")
+    again = taken(rows, sources).filter("_copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return again.select(*own_columns(docs))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+    """From the keys alone: texts are read once, to count their words."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "mix")
+    keys, sources = sources_of(keyed(docs, 7), scratch)
+    out = taken(keys, sources)
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", F.round("target", 6).alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 OP10_SQL = r"""

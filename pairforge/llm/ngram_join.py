@@ -30,18 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairforge.llm.common import BROADCAST_ROWS, Scratch, give_back, lookup, small_batches
+from pairforge.llm.common import BROADCAST_ROWS, Scratch, give_back, located, lookup, small_batches
 from pairforge.llm.components import components
 
 SUBSET = 2
-#: At most so many frequent shingles are put last. More would only change the order.
+#: Where a row is stored.
+PLACE = ("row_file", "row_at")
+#: So many of the most frequent shingles are put last. Any other is on less than 1/FREQUENT of all
+#: rows, so its list is never hot at any size; the links found do not depend on the order.
 FREQUENT = 65_536
-#: Shingles gathered before frequent ones are counted, and the count from which one is passed on.
+#: Shingles gathered before frequent ones are counted, and the count from which one is passed on:
+#: what is not passed on is on less than LEAST/GATHER of all rows.
 GATHER, LEAST = 1_500_000, 3
 #: A block holds at most about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 #: Small clusters are put together up to about so many shingles.
-BIN_SHINGLES = 1 << 18
+BIN_SHINGLES = 1 << 16
 MEMO = 150_000
 #: Above the boundary: (least size, c) for 0.9. c grows with the size, and as prefixes do, to keep parts small.
 LEVELS = ((640, 96), (5120, 768), (40_960, 6144), (327_680, 49_152))
@@ -179,7 +183,7 @@ def _order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[int, int]], percent: int) -> DataFrame:
-    """doc_id, text_hash, n, digest, the prefix as tokens, and up to two roles (c1, p1), (c2, p2) of each document."""
+    """doc_id, row_file, row_at, n, digest, the prefix as tokens, and up to two roles (c1, p1), (c2, p2) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[i
         shingles = Shingler(width)
         for b in batches:
             size, digest, tokens, ends, role = [], [], [], [0], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 s = shingles(text)
                 r = roles(len(s), table, percent)
                 size.append(len(s))
@@ -200,13 +204,13 @@ def _sets(docs: DataFrame, width: int, frequent: np.ndarray, table: list[tuple[i
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
             role_cols = list(zip(*role, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(c, pa.int32()) for c in role_cols)],
-                ["doc_id", "text_hash", "n", "digest", "tokens", "c1", "p1", "c2", "p2"],
+                [*b.columns[:3], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(c, pa.int32()) for c in role_cols)],
+                ["doc_id", *PLACE, "n", "digest", "tokens", "c1", "p1", "c2", "p2"],
             )
         del shingles
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, tokens array<long>, c1 int, p1 int, c2 int, p2 int")
+    return docs.select("doc_id", *PLACE, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, row_file long, row_at long, n long, digest binary, tokens array<long>, c1 int, p1 int, c2 int, p2 int")
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -246,7 +250,6 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
     starts = np.flatnonzero(new)
     for at, end in zip(starts, np.r_[starts[1:], len(order)], strict=True):
         rows = order[at:end]
-        rows = rows[np.r_[True, np.diff(rid[rows]) != 0]]  # a document that is stored twice
         if len(rows) < 2:
             continue
         sizes = ends[rows + 1] - ends[rows]
@@ -288,29 +291,21 @@ def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     total = members.agg(F.count("*"), F.sum("n")).first()
     bins = max(1, -(-(total[1] or 0) // BIN_SHINGLES))
     few = total[0] <= BROADCAST_ROWS
-    wanted = members.select("first_doc", "digest", "rid", "copies", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long").alias("blk"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    rows = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    wanted = members.select("first.row_file", "first.row_at", "rid", "copies", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long").alias("blk"))
+    texts = docs.select(*PLACE, F.encode("text", "UTF-8").alias("text"))
+    rows = texts.join(F.broadcast(wanted) if few else wanted, list(PLACE))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingles = Shingler(width)
         for b in batches:
-            kept, sets = [], []
-            for i, (text, digest) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                s = shingles(text)
-                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
-                    kept.append(i)
-                    sets.append(s)
-            rest = pa.RecordBatch.from_arrays(b.columns[2:], b.schema.names[2:]).take(pa.array(kept, pa.int64()))
+            sets = [shingles(text) for text in b.column(0).to_pylist()]
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rid", "copies", "cluster", "blocks", "blk", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rid", "copies", "cluster", "blocks", "blk", "shingles"])
         del shingles
         give_back()
 
-    sets = rows.select("text", "digest", "rid", "copies", "cluster", "blocks", "blk").mapInArrow(shingled, "rid long, copies long, cluster long, blocks long, blk long, shingles array<long>")
+    sets = rows.select("text", "rid", "copies", "cluster", "blocks", "blk").mapInArrow(shingled, "rid long, copies long, cluster long, blocks long, blk long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tiled = sets.withColumn("other", other).withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "lo", "hi"))
@@ -318,7 +313,7 @@ def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     return tiled.groupBy("tile").applyInArrow(lambda t: _links(t, percent), "rid long, label long, links long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, hashed: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of each row.
 
     Two documents link if 100 * intersection >= percent * union of their shingle sets; percent
@@ -327,13 +322,33 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, hashed: boo
     reach, class_id the least with an equal set, n_links the number of documents linked. Rows
     that repeat an id count as documents each; a null id is above all others and is returned
     only where no other is reached. Other columns are ignored; an empty table gives no rows.
-    With ``hashed`` there is text_hash, too: xxhash64 of the text, or of '' for null.
+    """
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    rows = located(docs.select("doc_id", "text"), scratch)
+    return join_rows(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), *PLACE), scratch, width, percent).drop(*PLACE, "stays")
+
+
+def join_rows(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """The same for rows of doc_id, text, row_file and row_at, which come back, with stays.
+
+    stays is true of one row of each component: of that with the least doc_id (null ids last),
+    the one stored first.
     """
     if percent < 80:
         raise ValueError("prefixes are laid out for 80 percent or more")
-    scratch = Scratch(docs.sparkSession, "ngrams")
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *PLACE)
+    with small_batches(docs.sparkSession):
+        sets, per_class = _joined(docs, scratch, width, percent)
+    scratch.keep("sets", "per-class", *[n for n in scratch.names if n.startswith("rows-")])
+    full = lookup(sets.filter("n > 0"), per_class, "digest", "copies")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
+    full = full.select("doc_id", *PLACE, F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("first.doc_id").alias("class_id"), "n_links", (F.col("least") == own).alias("stays"))
+    bare = sets.filter("n = 0").select("doc_id", *PLACE, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return full.unionByName(bare)
+
+
+def _joined(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The set of each row, and of each class of equal sets its first row, its component's first row and its links."""
     survey = scratch.write(_survey(docs, width), "survey")
     top = survey.filter((F.col("kind") == 0) & (F.col("n") >= 2 * LEAST)).orderBy(F.col("n").desc(), "key").limit(FREQUENT).select("key").toPandas()
     frequent = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
@@ -342,28 +357,26 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, hashed: boo
     table = levels(boundary(sizes, seen.get(0, 0) / max(1, seen.get(1, 0)), percent), percent)
 
     sets = scratch.write(_sets(docs, width, frequent, table, percent), "sets")
-    grouped = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "c1", "p1", "c2", "p2")])
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
+    grouped = sets.filter("n > 0").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "c1", "p1", "c2", "p2")])
     classes = scratch.write(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
     clusters = components(scratch.write(_edges(classes, scratch), "edges"), scratch, "clusters").withColumnsRenamed({"node": "rid", "label": "cluster"})
     clusters = scratch.write(clusters, "cluster-of")
     scratch.drop("keys")
-    members = classes.select("rid", "digest", "first_doc", "copies", "n").join(clusters, "rid")
+    members = classes.select("rid", "first", "copies", "n").join(clusters, "rid")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    members = scratch.write(members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"), "members")
+    sizes_of = scratch.write(members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")), "sizes")
+    members = scratch.write(lookup(members, sizes_of, "cluster", "sets").drop("sets"), "members")
 
     links = scratch.write(_compare(docs, members, width, percent), "links")
     joined = components(links.select(F.col("rid").alias("u"), F.col("label").alias("v")), scratch, "joined").withColumnsRenamed({"node": "rid", "label": "component"})
     degree = links.groupBy("rid").agg(F.sum("links").alias("links"))
-    small = classes.select("rid", "first_doc").join(joined, "rid")
-    least = small.groupBy("component").agg(F.min("first_doc").alias("least"))
-    found = small.join(least, "component").join(degree, "rid").select("rid", "least", "links")
-    per_class = classes.select("rid", "digest", "first_doc", "copies").join(found, "rid", "left")
-    per_class = scratch.write(per_class.select("digest", "first_doc", "copies", F.coalesce("least", "first_doc").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per-class")
-    named = ["doc_id", "text_hash"] if hashed else ["doc_id"]
-    full = lookup(sets.filter("n > 0").select(*named, "n", "digest"), per_class, "digest", "copies")
-    full = full.select(*named, F.col("n").alias("n_shingles"), "component_id", F.col("first_doc").alias("class_id"), "n_links")
-    bare = sets.filter("n = 0").select(*named, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(bare)
+    small = scratch.write(classes.select("rid", "first").join(joined, "rid"), "joined-classes")
+    least = scratch.write(small.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n_classes")), "least")
+    found = lookup(small, least, "component", "n_classes").join(degree, "rid").select("rid", "least", "links")
+    per_class = classes.select("rid", "digest", "first", "copies").join(found, "rid", "left")
+    per_class = per_class.select("digest", "first", "copies", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sets, scratch.write(per_class, "per-class")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import small_batches
+from pairforge.llm.common import sliced
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -126,11 +126,10 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     A null text counts as empty: no words, so base_failed. Repeated rows are judged each, null
     ids stay, other columns are ignored, an empty table gives no rows. Whole texts are measured.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules(bands)
-        for b in batches:
+        for b in sliced(batches):
             found = list(zip(*map(rules.judge, b.column(1).to_pylist()), strict=True)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(found, kinds, strict=True))], ["doc_id", *STATS, *FLAGS, *RATIOS])
@@ -142,15 +141,16 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows, with all their columns, that judge() keeps."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules(bands)
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([rules.judge(t)[6] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # By place, as mapInArrow takes a name with a dot for a field.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

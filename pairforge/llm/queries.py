@@ -31,9 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op1_ngram_join": op1_ngram_join,
-    "op2_line_dedup": op2_line_dedup,
-    "op3_warc_zip": op3_warc_zip,
     "op1_ngram_join": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_warc_zip": OP3_SQL,

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import small_batches
+from pairforge.llm.common import sliced
 
 SPACE = "▁"
 
@@ -110,14 +110,13 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     A null or empty text has no bytes and no tokens. Repeated rows are counted each, null
     ids stay, other columns are ignored, and an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         proto = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(shared.value).count
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             tokens = [count(t) for t in texts]
             size = [len(t.encode()) if t else 0 for t in texts]

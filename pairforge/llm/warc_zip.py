@@ -284,7 +284,6 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     Revisits of a hot payload are found by a lookup that deals no key's rows to one task.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
     large = F.octet_length("html") >= least_bytes
@@ -293,7 +292,8 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     joined = lookup(rows, groups, "sha1", "n", "left")
     revisit = F.col("n").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("best"))
     decided = joined.select("page_id", "url", "html", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("best")).alias("refers_to"))
-    archives = scratch.write(write_archives(decided, f"{scratch.path}/archives"), "list")
+    with small_batches(pages.sparkSession):
+        archives = scratch.write(write_archives(decided, f"{scratch.path}/archives"), "list")
     return read_archives(archives, scratch.path)
 
 

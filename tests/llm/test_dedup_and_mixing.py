@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pairforge.llm import line_dedup as L
 from pairforge.llm import ngram_join as N
-from pairforge.llm.common import Scratch, lookup, stable_rows
+from pairforge.llm.common import Scratch, located, lookup
 from pairforge.llm.components import components
 from pairforge.llm.exact_dedup import exact_dedup
 from pairforge.llm.line_dedup import line_dedup
@@ -162,8 +163,10 @@ def test_lines_odd_rows(spark):
     long = "\n".join(f"line {i} of a long text" for i in range(20_000))
     rows = [(2, passage), (1, "start\n" + passage + "\nend"), (None, passage), (3, long), (4, long + "\n" + passage)]
     df = docs(spark, [(i, t, "x", 5, 6, 7) for i, t in rows], "doc_id long, text string, gone string, row_at long, at long, rank long")
-    out = line_dedup(df).drop("row_at")
+    out = line_dedup(df)
+    assert out.columns == [*df.columns, "clean_text", "gone_lines", "gone_words"]
     got = {r.doc_id: r for r in out.collect()}
+    assert {(r.gone, r.row_at, r.at, r.rank) for r in got.values()} == {("x", 5, 6, 7)}
     assert got[1].clean_text == rows[1][1] and got[2].clean_text == "" and got[None].clean_text == "" and got[3].clean_text == long and got[4].clean_text == ""
     assert (got[2].gone_lines, got[2].gone_words, got[2].at) == (1, 51, 6)
     same = docs(spark, [(1, passage, "en", "s", 0)] * 3)
@@ -171,6 +174,37 @@ def test_lines_odd_rows(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_order_and_common_prefixes(spark, seed, monkeypatch):
+    monkeypatch.setattr(L, "PARTS", 5)
+    monkeypatch.setattr(L, "CELLS", 3)
+    rng = random.Random(seed)
+    texts = ["\n".join(rng.choice("ab" if seed == 1 else "abcd") * (1 if rng.random() < 0.9 else 2) for _ in range(rng.randint(1, 25))) for _ in range(25)]
+    texts += [texts[3], texts[3], texts[4] + "\nonce\n" + texts[5], "\n".join("a" * 40)]
+    scratch = Scratch(spark, "t")
+    rows = located(simple(spark, texts), scratch).select("row_file", "row_at", "row.doc_id", "row.text")
+    lines, span = L.placed_lines(rows, scratch, 5)
+    table = {(r.doc_id, r["at"]): r for r in lines.collect()}
+    shared = lines.filter("line_rank is not null").select("row_file", "row_at", "doc_id", "at", "left", "lo", "hi", F.col("line_rank").alias("rank"))
+    suffixes, begun = L.suffix_array(shared, span, scratch)
+    found = suffixes.collect()
+    text = {(r.doc_id, r["at"]): tuple(table[r.doc_id, r["at"] + j].line_rank for j in range(r.left)) for r in found}
+    assert len(text) == span == sum(r.line_rank is not None for r in table.values())
+    for r in found:
+        own = text[r.doc_id, r["at"]]
+        assert r["rank"] == sum(t < own for t in text.values())
+        nxt = table.get((r.doc_id, r["at"] + r.left))
+        assert nxt is None or nxt.line_rank is None
+    classes = L.classes_of(suffixes)
+    got = L.common_prefixes(classes, begun, lines, span, scratch, all_of_them=True).orderBy("rank").collect()
+    before = ()
+    for r in got:
+        own = text[r.place.doc_id, r.place["at"]]
+        same = next((i for i, (x, y) in enumerate(zip(own, before, strict=False)) if x != y), min(len(own), len(before)))
+        assert r.lcp == same, (own, before)
+        before = own
+
+
 def brute_exact(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
     out = []
@@ -181,13 +215,13 @@ def brute_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("chars", [64, 1])
-def test_exact_dedup(spark, chars):
+@pytest.mark.parametrize("chars,deliveries", [(64, 1), (64, 3), (1, 1), (1, 4)])
+def test_exact_dedup(spark, chars, deliveries):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 5)))) for i in range(80)]
     rows += [(100, None), (101, ""), (102, "\n\t"), (103, " "), (None, "unique"), (None, "a b"), (104, "x" * 300_000), (105, "x" * 300_000), (106, "a b"), (7, "twice"), (7, "twice")]
     df = docs(spark, [(*r, "clash", 1) for r in rows], "doc_id long, text string, digest string, self long").repartition(5)
-    got = exact_dedup(df, chars, files_per_batch=2).collect()
+    got = exact_dedup(df, chars, deliveries).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == sorted(brute_exact(rows), key=str)
     by_text = {}
     for r in got:
@@ -265,12 +299,38 @@ def test_lookup_splits_hot_keys(spark, monkeypatch):
     assert some.count() == 400 and some.filter("size is null").count() == 2
 
 
-def test_stable_rows_are_stable(spark, tmp_path):
+def test_rows_are_located(spark, tmp_path):
     df = simple(spark, [str(i) for i in range(50)]).repartition(3)
     df.write.parquet(str(tmp_path / "t"))
-    rows = stable_rows(spark.read.parquet(str(tmp_path / "t")), Scratch(spark, "t"))
+    rows = located(spark.read.parquet(str(tmp_path / "t")), Scratch(spark, "t"))
     assert sorted(rows.collect()) == sorted(rows.collect())
-    assert stable_rows(df, Scratch(spark, "t")).select("row_file", "row_at").distinct().count() == 50
+    assert located(df, Scratch(spark, "t")).select("row_file", "row_at").distinct().count() == 50
+    # Rows that come twice after the scan have two places.
+    twice = spark.read.parquet(str(tmp_path / "t")).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert located(twice, Scratch(spark, "t")).select("row_file", "row_at").distinct().count() == 100
+
+
+INNER = ["row_file", "row_at", "gone", "part", "cut", "epochs", "_text", "_gone", "_id", "_first", "_size", "_key", "_source", "row", "own", "stays", "Copies", "rank", "_metadata", "a.b", "clean_text", "size"]
+
+
+def test_columns_named_like_inner_ones_come_back(spark, tmp_path):
+    import corpus_pipeline as P
+
+    base = simple(spark, [f"{i} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)])
+    df = base.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in INNER])
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    for rows in (df, spark.read.parquet(path)):
+        for stage in (P.quality_rules, P.line_deduplication, P.near_duplicates, P.mixing):
+            out = stage(spark, rows, "")
+            assert out.columns == df.columns, stage
+            got = out.collect()
+            assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in INNER), stage
+        out = line_dedup(rows)
+        assert out.columns == [c for c in df.columns if c != "clean_text"] + ["clean_text", "gone_lines", "gone_words"]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in INNER if c != "clean_text")
+        out = mix(rows)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in INNER if c not in ("size", "Copies"))
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -317,4 +377,4 @@ def test_near_duplicates_of_repeated_and_null_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0)]
     out = P.near_duplicates(spark, docs(spark, rows), "")
-    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None, None]
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
