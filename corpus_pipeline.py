@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.byte_bpe import encode
-from pairforge.llm.common import Scratch, sized, stable_rows
+from pairforge.llm.common import Scratch, located, own_columns, quoted, sized
 from pairforge.llm.line_dedup import line_dedup
 from pairforge.llm.mixing import mixed
-from pairforge.llm.ngram_join import jaccard_join
+from pairforge.llm.ngram_join import join_rows
 from pairforge.llm.quality_rules import keep_good
 
 
@@ -23,32 +23,30 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     n_chars, where there is such a column, is the length of the text that stays.
     """
-    out = line_dedup(docs)
+    out = line_dedup(docs.select(F.struct(*map(quoted, docs.columns)).alias("own"), "doc_id", "text"))
     emptied = (F.col("gone_lines") > 0) & ~F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    changed = {"text": F.col("clean_text"), "n_chars": F.when(F.col("gone_lines") > 0, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("clean_text")}
-    return out.filter(~emptied).withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("gone_lines") > 0, F.length("clean_text").cast(kind)).otherwise(F.col("own.n_chars"))
+    own = [changed[c].alias(c) if c in changed else F.col("own").getField(c).alias(c) for c in docs.columns]
+    return out.filter(~emptied).select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links connect, the one with the least doc_id stays.
+    """Of the rows that links connect, that with the least doc_id stays; the others go, each by where it is stored.
 
-    Documents link from a Jaccard similarity of 0.8 of their sets of five-word shingles.
-
-    Rows that repeat an id are told apart by their texts, and if these are equal, too, by where
-    they are stored: one of them stays. A row without an id stays, as nothing names it.
+    Rows link from a Jaccard similarity of 0.8 of their sets of five-word shingles. Null ids come
+    last, and of rows that repeat an id the one stored first comes first; so a copy without an id
+    goes like any other. Rows without a word link with nothing and stay.
     """
     scratch = Scratch(spark, "near")
-    rows = stable_rows(docs, scratch)
-    links = jaccard_join(docs, width=5, percent=80, hashed=True)
-    dropped = scratch.write(links.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), "text_hash").distinct(), "dropped")
-    same = (F.col("doc_id") == F.col("_gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
-    kept = rows.join(sized(dropped), same, "left_anti")
-    place = F.struct("row_file", "row_at")
-    twice = kept.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.count("*").alias("n"), F.min(place).alias("_first"))
-    twice = scratch.write(twice.filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), "_text", "_first"), "twice")
-    again = kept.join(sized(twice), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left")
-    again = again.filter(F.col("_first").isNull() | (place == F.col("_first")))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = located(docs, scratch)
+    slim = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row_file", "row_at")
+    found = join_rows(slim, scratch, width=5, percent=80)
+    dropped = scratch.write(found.filter("not stays").select("row_file", "row_at"), "dropped")
+    scratch.keep("dropped", *[n for n in scratch.names if n.startswith("rows-")])
+    return rows.join(sized(dropped), ["row_file", "row_at"], "left_anti").select(*own_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
