@@ -15,6 +15,7 @@ import gc
 import hashlib
 import sys
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import give_back, sliced
+from pairforge.llm.common import sliced
 
 #: Transitions and pair verdicts kept per Python worker; a full store is emptied.
 MEMO = 700_000
@@ -37,6 +38,9 @@ HEAD = 5
 
 NONE = -2
 
+# Split patterns whose pre-tokens do not reach across a single space between words.
+WORDWISE = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """The ranks of a .tiktoken file."""
@@ -160,6 +164,9 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if len(self.steps) > self.most:
             self.clear()
+        whole = self.ranks.get(piece)
+        if whole is not None and not self.compatible(-1, whole):
+            return [whole]  # an entry that no merges lead to; a pre-token equal to it is it all the same
         head = piece[:HEAD]
         if (begun := self.heads.get(head)) is None:
             tokens: list[int] = []
@@ -173,34 +180,82 @@ class Transducer:
         return tokens
 
 
-class Utf8Stream:
-    """Text of bytes that arrive in blocks of any lengths, cut anywhere.
-
-    A state is how many bytes the character under way still needs. Only the last three bytes
-    of a block can belong to an unfinished character, so the machine runs over those.
-    """
-
-    def __init__(self) -> None:
-        self.held = b""
+# The well-formed byte sequences of UTF-8, as (first byte, last byte, next state) of each
+# state. State 0 lies between characters; 1, 2 and 3 want so many more bytes; 4 to 7 are those after
+# E0, ED, F0 and F4, which narrow the second byte.
+UTF8 = (
+    ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)),
+    ((0x80, 0xBF, 0),),
+    ((0x80, 0xBF, 1),),
+    ((0x80, 0xBF, 2),),
+    ((0xA0, 0xBF, 1),),
+    ((0x80, 0x9F, 1),),
+    ((0x90, 0xBF, 2),),
+    ((0x80, 0x8F, 2),),
+)
+REJECT = len(UTF8)
+
+
+class Utf8Machine:
+    """The incremental state machine of UTF-8 over bytes, and over tokens, whose steps are made when first taken."""
+
+    def __init__(self, token: dict[int, bytes]) -> None:
+        self.token = token
+        self.next = [bytearray([REJECT] * 256) for _ in range(REJECT + 1)]
+        for row, ranges in zip(self.next, UTF8, strict=False):
+            for first, last, state in ranges:
+                row[first : last + 1] = bytes([state]) * (last + 1 - first)
+        #: By token: whether it does not take state 0 back to state 0.
+        self.odd = np.zeros(max(token, default=-1) + 1, bool)
+        for rank, raw in token.items():
+            self.odd[rank] = not raw.isascii() and self.run(0, raw) != 0
+        self.steps: dict[int, int] = {}
 
-    @staticmethod
-    def needs(lead: int) -> int:
-        """Bytes of the character that ``lead`` begins; 0 for a continuation byte."""
-        return 1 if lead < 0x80 else 0 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+    def run(self, state: int, data: bytes) -> int:
+        for byte in data:
+            state = self.next[state][byte]
+        return state
 
-    def feed(self, block: bytes) -> str:
-        data = self.held + block
+    def step(self, state: int, rank: int) -> int:
+        at = rank << 4 | state
+        if (found := self.steps.get(at)) is None:
+            found = self.steps[at] = self.run(state, self.token[rank])
+        return found
+
+
+class Decoder:
+    """Bytes and text of ids that arrive in blocks of any lengths, cut anywhere; bad UTF-8 is an error."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.machine, self.state, self.held = codec, codec.utf8, 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids. Between characters, tokens of whole characters need no step."""
+        state, odd, i = self.state, np.flatnonzero(self.machine.odd[ids]).tolist(), 0
+        while i < len(ids):
+            if not state:
+                if (k := bisect_left(odd, i)) == len(odd):
+                    break
+                i = odd[k]
+            state = self.machine.step(state, int(ids[i]))
+            if state == REJECT:
+                raise ValueError("the ids are not of a text in UTF-8")
+            i += 1
+        self.state = state
+        return self.codec.raw(ids)
+
+    def text(self, ids: np.ndarray) -> str:
+        """The characters that the ids complete."""
+        data = self.held + self.feed(ids)
         cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            if n := self.needs(data[-back]):
-                cut -= back if n > back else 0
-                break
+        if self.state:
+            cut -= next(k for k in (1, 2, 3) if data[-k] >= 0xC0)
         self.held = data[cut:]
-        return data[:cut].decode()
+        return str(data[:cut], "utf-8")
 
     def close(self) -> None:
-        if self.held:
-            raise ValueError("the bytes end within a character")
+        if self.state:
+            raise ValueError("the ids end within a character")
 
 
 def _little(ids: list[int]) -> bytes:
@@ -229,16 +284,20 @@ class Store:
 class Codec:
     """Whole texts: pre-tokens of ``pattern``, each encoded by the transducer.
 
-    The pattern must start a new pre-token at a single space between two other characters that
-    are not white space, and let no pre-token depend on what lies beyond such a space. Then
-    words between single spaces are encoded one by one, and their results are stored.
+    A pattern of WORDWISE starts a new pre-token at a single space between two other characters
+    that are not white space, and lets no pre-token depend on what lies beyond such a space. So
+    words between single spaces are encoded one by one, and their results are stored. With any
+    other pattern, texts are split as a whole, and pre-tokens alone are stored.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0) -> None:
         import regex
 
         self.fst = Transducer(ranks, share)
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split = compiled.findall if not compiled.groups else lambda text: [m[0] for m in compiled.finditer(text)]
+        self.wordwise = pattern in WORDWISE
+        self.utf8 = Utf8Machine(self.fst.token)
         self.blank_edge = regex.compile(r"\A\s|\s\Z|\A\Z").search
         self.pieces, self.words = Store(int(PIECES * share)), Store(int(WORDS * share))
         most = max(ranks.values(), default=-1) + 1
@@ -259,8 +318,8 @@ class Codec:
             return b""
         self.words.turn()
         self.pieces.turn()
-        first, *words = text.split(" ")
-        if self.blank_edge(first):
+        first, *words = text.split(" ") if self.wordwise else (text,)
+        if not words or self.blank_edge(first):
             return self.all(text)
         out = list(map(self.words.new.get, words))
         if None in out:
@@ -288,34 +347,32 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         got = self.pieces.new.get(piece) or self.pieces.old.get(piece)
         if got is None:
-            raw = piece.encode()
-            whole = self.fst.ranks.get(raw)
-            got = _little([whole] if whole is not None else self.fst.encode(raw))
+            got = _little(self.fst.encode(piece.encode()))
         if len(piece) <= MEMO_CHARS:
             self.pieces.new[piece] = got
         return got
 
-    def decode(self, ids: bytes, block: int = 1 << 16) -> Iterator[bytes]:
-        """The bytes of the ids, block by block."""
+    def raw(self, ids: np.ndarray) -> bytes:
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        # Each byte's place among the vocabulary's bytes: its token's start, and how far into it.
+        places = np.repeat(self.starts[ids] - (ends - size), size)
+        return self.flat[places + np.arange(len(places))].tobytes()
+
+    def blocks(self, ids: bytes, block: int = 1 << 16) -> Iterator[np.ndarray]:
         numbers = np.frombuffer(ids, "<u4")
-        for i in range(0, len(numbers), block):
-            here = numbers[i : i + block]
-            size = self.sizes[here]
-            ends = np.cumsum(size)
-            # Each byte's place among the vocabulary's bytes: its token's start, and how far into it.
-            places = np.repeat(self.starts[here] - (ends - size), size)
-            yield self.flat[places + np.arange(len(places))].tobytes()
-
-    def text(self, ids: bytes) -> str:
-        stream = Utf8Stream()
-        text = "".join(map(stream.feed, self.decode(ids)))
-        stream.close()
+        return (numbers[i : i + block] for i in range(0, len(numbers), block))
+
+    def text(self, ids: bytes, block: int = 1 << 16) -> str:
+        decoder = Decoder(self)
+        text = "".join(map(decoder.text, self.blocks(ids, block)))
+        decoder.close()
         return text
 
 
 @cache
-def _codec(data: bytes, pattern: str) -> Codec:
-    return Codec(read_ranks(data), pattern)
+def _codec(data: bytes, pattern: str, share: float) -> Codec:
+    return Codec(read_ranks(data), pattern, share)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, keep: Iterable[str] = ("doc_id",), lean: bool = False) -> DataFrame:
@@ -326,7 +383,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     gives way to it. A null or empty text has no ids. Repeated rows are encoded each, null ids
     stay, an empty table gives no rows. The rank file is read on the driver. The decoder fails
     a task whose ids do not give the text back. Workers keep their stores for later tasks; with
-    ``lean`` these are smaller and dropped after each, as where other work shares the workers.
+    ``lean`` these are smaller, as where other work shares the workers.
     """
     with open(ranks_path, "rb") as f:
         data = f.read()
@@ -335,23 +392,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
     names = [c for c in keep if c not in dict(made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(shared.value), pattern, LEAN) if lean else _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, LEAN if lean else 1.0)
         gc.disable()  # the stores hold no cycles, and scanning them takes most of the time
         try:
             for b in sliced(batches):
                 n, of_ids, of_bytes, all_ids = [], [], [], []
                 for text in b.column(b.num_columns - 1).to_pylist():
-                    text = text or ""
                     got = codec.ids(text)
-                    digest, stream, at = hashlib.sha256(), Utf8Stream(), 0
-                    for block in codec.decode(got):
+                    raw, digest, decoder, at = (text or "").encode(), hashlib.sha256(), Decoder(codec), 0
+                    for block in map(decoder.feed, codec.blocks(got)):
                         digest.update(block)
-                        part = stream.feed(block)
-                        if not text.startswith(part, at):
+                        if raw[at : at + len(block)] != block:
                             raise ValueError("the ids do not give the text back")
-                        at += len(part)
-                    stream.close()
-                    if at != len(text):
+                        at += len(block)
+                    decoder.close()
+                    if at != len(raw):
                         raise ValueError("the ids do not give the text back")
                     n.append(len(got) // 4)
                     of_ids.append(hashlib.sha256(got).hexdigest())
@@ -361,9 +416,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, ke
                 yield pa.RecordBatch.from_arrays(b.columns[:-1] + [c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=False)], names + [c for c, _ in made])
         finally:
             gc.enable()
-            if lean:
-                del codec
-                give_back()
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} {t}" for c, t in made])
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

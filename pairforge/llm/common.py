@@ -25,6 +25,12 @@ HOT_SHARE = 64
 #: Rows that a Python worker gets at once: whole texts, so few of them.
 BATCH_ROWS = 512
 
+#: Bits of the map that tells rows to be read again from the rest: 8 MB, however many there are.
+FILTER_BITS = 1 << 26
+
+#: Where a row is stored.
+PLACE = ("row_file", "row_at")
+
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -156,3 +162,33 @@ def lookup(left: DataFrame, right: DataFrame, key: str | list[str], size: str, h
     near = left.join(F.broadcast(hot), keys)
     far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows with ``maybe``: false only where wanted does not have the row's place.
+
+    The marks are FILTER_BITS bits, hashed places, so what is broadcast does not grow with wanted.
+    """
+    bit = F.pmod(F.xxhash64(*PLACE), F.lit(FILTER_BITS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "_bucket", "left")
+    found = found.withColumn("_byte", byte).withColumn("_bit", (at % 8).cast("int"))
+    return found.withColumn("maybe", F.coalesce(F.expr("shiftright(_byte, _bit) % 2 = 1"), F.lit(False))).drop("_bucket", "_map", "_byte", "_bit")
+
+
+def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows at the places of wanted, with its columns; of many places, only rows that are marked are shuffled."""
+    if few(wanted):
+        return rows.join(F.broadcast(wanted), list(PLACE))
+    return _marked(rows, wanted).filter("maybe").drop("maybe").join(wanted, list(PLACE))
+
+
+def beside(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """All rows, with the columns of some at its places and nulls elsewhere; rows that are not marked stay where they are."""
+    if few(some):
+        return rows.join(F.broadcast(some), list(PLACE), "left")
+    both = _marked(rows, some)
+    near = both.filter("maybe").drop("maybe").join(some, list(PLACE), "left")
+    return near.unionByName(both.filter("not maybe").drop("maybe"), allowMissingColumns=True)

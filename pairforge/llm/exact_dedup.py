@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import GAP, Scratch, few, located, lookup
+from pairforge.llm.common import GAP, Scratch, fetch, located, lookup
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 #: Small stores do not set aside disk ahead of use, else each takes megabytes whatever it holds.
 SET_ASIDE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
-#: Bits of the map that tells texts to be read again from the rest: 8 MB, however many there are.
-FILTER_BITS = 1 << 26
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,25 +43,6 @@ def arrivals(rows: DataFrame, digest_chars: int, deliveries: int) -> DataFrame:
     return named.select(F.substring("full", 1, digest_chars).alias("digest"), "self", "full", F.pmod(F.xxhash64("self.row_file", "self.row_at"), F.lit(deliveries)).cast("int").alias("delivery"))
 
 
-def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows at the places (row_file, row_at) of wanted, with its columns.
-
-    Many places are shuffled. A map of FILTER_BITS bits, whose size does not grow with them, is
-    broadcast before, so that few other texts are shuffled with them.
-    """
-    place = ["row_file", "row_at"]
-    if few(wanted):
-        return rows.join(F.broadcast(wanted), place)
-    bit = F.pmod(F.xxhash64(*place), F.lit(FILTER_BITS)) + 1
-    marks = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.expr("shiftright(byte, cast(bit as int)) % 2 = 1")
-    near = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "bucket")
-    near = near.withColumn("byte", byte).withColumn("bit", at % 8).filter(marked).drop("bucket", "map", "byte", "bit")
-    return near.join(wanted, place)
-
-
 def first_seen(rows: DataFrame, seen: DataFrame, deliveries: int, digest_chars: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Stream the arrivals through keyed state: (digest, first, group_size), and digests that texts clash in.
 

@@ -23,27 +23,69 @@ from pairforge.llm.common import Scratch, lookup, small_batches
 
 #: Labelled texts per language that the models are trained on, about; chosen by a hash of the id.
 SAMPLE = 2000
-#: Languages told apart at most: the most frequent labels.
-LANGUAGES = 64
 BUCKETS = 1 << 15
-#: A text speaks with at most TRIGRAMS trigrams, each at TEMPER of its log-likelihood.
-TRIGRAMS, TEMPER = 300, 0.2
+#: n trigrams speak with TEMPER * n ** POWER of their mean log-likelihood: the more text, the more it
+#: says, but less than in proportion, as trigrams of one text are alike.
+TEMPER, POWER = 0.8, 0.75
+#: Cells of counts that a training task gathers before it passes them on.
+GATHER = 1 << 22
 #: Rows that a parent's prior counts for in a child's.
 STRENGTH = 10.0
 
-_HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(rb"<[^>]*>")
-_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_NAME = re.compile(rb"/?\s*([A-Za-z!?][A-Za-z0-9]*)")
+#: name = value of a tag; a name is tried only from its first character, so a tag is read in one pass.
+_ATTRIBUTE = re.compile(rb"""(?<![\w:.-])([A-Za-z][\w:.-]*+)\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]++))""")
+_CODE = re.compile(rb"\s*([A-Za-z]{2,3})(?![A-Za-z])")
+#: What a meta tag's name, property or http-equiv is called if its content is a language.
+_METAS = (b"language", b"content-language", b"dc.language", b"og:locale", b"inlanguage")
+
+
+def _said(tag: bytes, name: bytes) -> str | None:
+    """The language that an html or meta tag declares."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or b"" for m in reversed(list(_ATTRIBUTE.finditer(tag)))}
+    if name == b"meta":
+        named = {found.get(k, b"").lower().strip() for k in (b"name", b"property", b"http-equiv", b"itemprop")}
+        values = [found.get(b"content", b"")] if named.intersection(_METAS) else []
+    else:
+        values = [found.get(b"lang", b""), found.get(b"xml:lang", b"")]
+    return next((m[1].decode().lower() for v in values if (m := _CODE.match(v))), None)
+
+
+def scan(html: bytes) -> tuple[bytes, str | None]:
+    """The text between the tags, and the declared language: that of the html tag, else of a meta tag.
+
+    One pass: each byte is looked at a fixed number of times. Comments, scripts and styles are
+    left out, up to the end of the page where they do not end; a last < that no > follows is text.
+    """
+    low, parts, at, said = html.lower(), [], 0, {}
+    while (start := html.find(b"<", at)) >= 0:
+        parts.append(html[at:start])
+        if html.startswith(b"<!--", start):
+            end = html.find(b"-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            continue
+        end = html.find(b">", start)
+        if end < 0:
+            at = start
+            break
+        at = end + 1
+        head = _NAME.match(html, start + 1, end)
+        name = head[1].lower() if head else b""
+        if name in (b"html", b"meta") and name not in said and html[start + 1 : start + 2] != b"/" and (code := _said(html[start:end], name)):
+            said[name] = code
+        elif name in (b"script", b"style") and html[start + 1 : start + 2] != b"/":
+            end = low.find(b"</" + name, at)
+            at = len(html) if end < 0 else end
+    parts.append(html[at:])
+    return b" ".join(parts), said.get(b"html") or said.get(b"meta")
 
 
 def visible(html: bytes) -> bytes:
-    """The text between the tags, without comments, scripts and styles."""
-    return _TAG.sub(b" ", _HIDDEN.sub(b" ", html))
+    return scan(html)[0]
 
 
 def declared(html: bytes) -> str | None:
-    found = _LANG.search(html)
-    return found[1].decode().lower() if found else None
+    return scan(html)[1]
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -59,30 +101,52 @@ _PLAIN = bytes(32 if c in b"0123456789\t\n\r\x0b\x0c" else c for c in range(256)
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and (BUCKETS, languages) log-probabilities, from rows of doc_id, text and lang."""
+    """All languages labelled, and (BUCKETS, languages) log-probabilities, from rows of doc_id, text and lang."""
     known = labelled.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = reduce(lambda c, r: c.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])), counts, F.when(F.lit(False), 0.0)).otherwise(0.0)
-    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < share
+    rate = reduce(lambda c, r: c.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])), counts, F.when(F.lit(False), 0.0)).otherwise(0.0)
+    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < rate
+    number = {name: k for k, name in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            cells = [(k, np.flatnonzero(row)) for k, row in held.items()]
+            k = np.concatenate([np.full(len(g), k, np.int32) for k, g in cells]) if cells else np.empty(0, np.int32)
+            g = np.concatenate([g for _, g in cells]) if cells else np.empty(0, np.int64)
+            n = np.concatenate([held[k][g] for k, g in cells]) if cells else np.empty(0, np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(n, pa.int64())], ["k", "g", "n"])
+
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[names.index(lang)] += np.bincount(buckets(text), minlength=BUCKETS)
-        k, g = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(total[k, g], pa.int64())], ["k", "g", "n"])
+                k = number[lang]
+                if k not in held:
+                    if len(held) * BUCKETS >= GATHER:
+                        yield flush()
+                    held[k] = np.zeros(BUCKETS, np.int64)
+                held[k] += np.bincount(buckets(text), minlength=BUCKETS)
+        yield flush()
 
     sample = known.filter(drawn).select(F.encode("text", "UTF-8").alias("text"), "lang")
-    rows = sample.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()  # at most LANGUAGES * BUCKETS
+    rows = sample.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     table = np.full((BUCKETS, len(names)), 0.5)
     table[rows["g"].to_numpy(), rows["k"].to_numpy()] += rows["n"].to_numpy()
     return names, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
+def tempered(text: bytes, model: np.ndarray) -> np.ndarray:
+    """The log-likelihood of a whole text by language, tempered. Buckets are counted first, so a long text takes no table."""
+    at, n = np.unique(buckets(text), return_counts=True)
+    if not len(at):
+        return np.zeros(model.shape[1])
+    return (n @ model[at].astype(np.float64)) / n.sum() * (TEMPER * n.sum() ** POWER)
+
+
 def evidence(rows: DataFrame, table: np.ndarray, html: bool) -> DataFrame:
     """rows (id, host, body) with the declared language and the tempered log-likelihoods."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
@@ -92,11 +156,9 @@ def evidence(rows: DataFrame, table: np.ndarray, html: bool) -> DataFrame:
         for b in batches:
             said, found = [], []
             for body in b.column(2).to_pylist():
-                body = body or b""
-                said.append(declared(body) if html else None)
-                at = buckets(visible(body) if html else body)
-                mean = model[at].mean(axis=0, dtype=np.float64) if len(at) else np.zeros(model.shape[1])
-                found.append((mean * (min(len(at), TRIGRAMS) * TEMPER)).tolist())
+                text, code = scan(body or b"") if html else (body or b"", None)
+                said.append(code)
+                found.append(tempered(text, model).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(found, pa.list_(pa.float64()))], ["id", "host", "declared", "ll"])
 
     return rows.select("id", "host", F.col("body").cast("binary")).mapInArrow(run, "id long, host string, declared string, ll array<double>")

@@ -30,12 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairforge.llm.common import BROADCAST_ROWS, Scratch, give_back, located, lookup, small_batches
+from pairforge.llm.common import BROADCAST_ROWS, PLACE, Scratch, give_back, located, lookup, small_batches
 from pairforge.llm.components import components
 
 SUBSET = 2
-#: Where a row is stored.
-PLACE = ("row_file", "row_at")
 #: So many of the most frequent shingles are put last. Any other is on less than 1/FREQUENT of all
 #: rows, so its list is never hot at any size; the links found do not depend on the order.
 FREQUENT = 65_536

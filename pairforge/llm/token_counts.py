@@ -20,6 +20,52 @@ MEMO = 500_000
 MEMO_CHARS = 64
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in protocol-buffer form."""
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value
+
+    at = 0
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            value: int | bytes = varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+# Field numbers and settings of a sentencepiece model file.
+PIECES, TRAINER, NORMALISER = 1, 2, 3
+PIECE_TYPE, MODEL_TYPE, WHITE_AS_SUFFIX = 3, 3, 24
+CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE, RULES = 2, 3, 4, 5, 6
+BPE, COUNTED_TYPES = 2, {1: "normal", 2: "unknown", 3: "control", 6: "byte"}
+
+
+def refuse_unknown(proto: bytes) -> None:
+    """Raise ValueError for a model that is not counted rightly: not BPE, with a normaliser, or with pieces of other types."""
+    model = list(_fields(proto))
+    trainer = dict(_fields(b"".join(v for k, v in model if k == TRAINER)))
+    normaliser = dict(_fields(b"".join(v for k, v in model if k == NORMALISER)))
+    if trainer.get(MODEL_TYPE, 1) != BPE or trainer.get(WHITE_AS_SUFFIX):
+        raise ValueError("only BPE models that put the space mark first are counted")
+    if normaliser.get(CHARSMAP) or normaliser.get(RULES) or normaliser.get(REMOVE_EXTRA, 1) or not normaliser.get(DUMMY_PREFIX, 1) or not normaliser.get(ESCAPE, 1):
+        raise ValueError("only models with an identity normaliser are counted")
+    types = {dict(_fields(v)).get(PIECE_TYPE, 1) for k, v in model if k == PIECES}
+    if not types <= set(COUNTED_TYPES):
+        raise ValueError("a model with user-defined or unused pieces is not counted")
+
+
 class PieceCounter:
     """Counts the pieces of a sentencepiece BPE model with an identity normaliser.
 
@@ -43,9 +89,8 @@ class PieceCounter:
     def from_model(cls, proto: bytes) -> PieceCounter:
         import sentencepiece
 
+        refuse_unknown(proto)
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        if sp.encode("ﬁ", out_type=str)[-1] == "fi" or len(sp.encode("a  b", out_type=str)) < 3:
-            raise ValueError("only models with an identity normaliser are counted")
         n = sp.vocab_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
         pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not special[i]]

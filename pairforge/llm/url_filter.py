@@ -3,10 +3,17 @@
 DataFrame operations only. Two smoothed variable-order Markov models, of accepted and of
 rejected URLs, give each URL a log-likelihood difference per character, held against a
 calibrated threshold.
+
+Contexts are of up to ORDER symbols: those that precede at least 1/SHARE of all symbols. Each
+prefix and each suffix of such a context is one, too, so the longest context of a place follows
+from that of the place before and its symbol: contexts are the states of an automaton, and a URL
+is scored in one pass over its symbols, whatever its length.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +22,14 @@ from pairforge.llm.common import Scratch
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Symbols of the models: letters in lower case, one for all digits, and these; anything else is the last.
+#: Symbols of the models: letters in lower case, one for all digits, and these; 0 is anything else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_:?=&#%~"
-OTHER = len(ALPHABET) + 1
-#: Symbol 0 stands before the first character; contexts are of two, one or no symbol.
-SIZE = OTHER + 1
+#: The last symbol stands before the first character.
+PAD = len(ALPHABET) + 1
+SIZE = PAD + 1
+#: The longest context, and the share of all symbols that a context must precede. So there are at
+#: most 1 + ORDER * SHARE contexts, however many URLs they are counted over.
+ORDER, SHARE = 5, 512
 #: Of labelled URLs, one fold in FOLDS is held out to calibrate the threshold.
 FOLDS = 5
 #: Bins of the score that the threshold is chosen from.
@@ -48,45 +58,60 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def symbols(host: Column, path: Column) -> Column:
-    """The host and path as an array of symbol numbers, with two 0 before."""
+    """The host and path as an array of symbol numbers."""
     plain = F.translate(F.lower(F.concat(host, path)), "123456789", "000000000")
-    number = F.transform(F.split(plain, ""), lambda c: F.when(c == "", F.lit(None)).otherwise(F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(OTHER))))
-    return F.concat(F.array(F.lit(0), F.lit(0)), F.filter(number, lambda x: x.isNotNull()))
+    return F.when(plain == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(ALPHABET), c)))
+
+
+def grams(codes: Column) -> Column:
+    """The number of each symbol with the ORDER symbols before it, the last symbol lowest. ``codes`` is a stored column."""
 
+    def at(i: Column) -> Column:
+        terms = [F.coalesce(F.get(codes, i - j), F.lit(PAD)).cast("long") * SIZE**j for j in range(ORDER + 1)]
+        return sum(terms[1:], terms[0])
 
-def trigrams(codes: Column) -> Column:
-    """The number of each symbol with the two before it: (a * SIZE + b) * SIZE + c."""
-    each = F.sequence(F.lit(3), F.size(codes))
-    found = F.transform(each, lambda i: (F.element_at(codes, i - 2) * SIZE + F.element_at(codes, i - 1)) * SIZE + F.element_at(codes, i))
-    return F.when(F.size(codes) > 2, found).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), F.size(codes) - 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def model(labelled: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(symbol | context) of accepted less that of rejected, for all grams.
+def contexts(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, context, accepted, symbol, n): how often symbols follow each context of k symbols, of all labelled URLs."""
+    counted = labelled.select("accepted", F.explode(grams(F.col("codes"))).alias("g")).groupBy("accepted", "g").agg(F.count("*").alias("n"))
+    counted = scratch.write(counted, "grams")
+    total = counted.agg(F.sum("n")).first()[0]
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(SIZE**k).alias("most")) for k in range(ORDER + 1)])).alias("x")
+    cut = counted.select("accepted", "n", "g", sizes).select("accepted", "n", "x.k", F.expr(f"(g div {SIZE}) % x.most").alias("context"), (F.col("g") % SIZE).cast("int").alias("symbol"))
+    follow = scratch.write(cut.groupBy("k", "context", "accepted", "symbol").agg(F.sum("n").alias("n")), "follow")
+    kept = follow.groupBy("k", "context").agg(F.sum("n").alias("seen")).filter(F.col("seen") * SHARE >= total).select("k", "context")
+    return follow.join(F.broadcast(kept), ["k", "context"])  # at most 1 + ORDER * SHARE contexts
 
-    Witten-Bell smoothing: a context's share for its own counts is n / (n + distinct symbols),
-    and what is left goes to the context shorter by one, down to a uniform distribution. So the
-    order used varies with what a context has seen. The grams are at most SIZE cubed.
+
+def automaton(counts: list[tuple[int, int, bool, int, int]]) -> tuple[int, list[int], list[float]]:
+    """The state before a URL, and for each state and symbol the next state and log P(accepted) / P(rejected).
+
+    ``counts`` has (k, context, accepted, symbol, n). Witten-Bell smoothing: a context's share for
+    its own counts is n / (n + distinct symbols), and what is left goes to the context shorter by
+    one symbol, down to a uniform distribution. So the order used varies with what was seen.
     """
-    grams = labelled.select("accepted", F.explode("grams").alias("g")).groupBy("accepted", "g").agg(F.count("*").alias("n"))
-    every = labelled.sparkSession.range(2 * SIZE**3).select((F.col("id") % 2 == 0).alias("accepted"), F.expr("id div 2").alias("g"))
-    full = every.join(F.broadcast(grams), ["accepted", "g"], "left").na.fill(0, ["n"])
-    full = full.select("accepted", "g", "n", F.expr(f"g div {SIZE}").alias("ab"), F.expr(f"(g div {SIZE}) % {SIZE}").alias("b"), (F.col("g") % SIZE).alias("c"))
-
-    def share(counts: DataFrame, context: list[str], own: str, below: str) -> DataFrame:
-        # how often the context was seen, and with how many symbols
-        whole = counts.groupBy("accepted", *context).agg(F.sum(own).alias("seen"), F.sum(F.when(F.col(own) > 0, 1).otherwise(0)).alias("kinds"))
-        joined = counts.join(F.broadcast(whole), ["accepted", *context])
-        p = F.when(F.col("seen") > 0, (F.col(own) + F.col("kinds") * F.col(below)) / (F.col("seen") + F.col("kinds"))).otherwise(F.col(below))
-        return joined.withColumn("p", p).drop("seen", "kinds")
-
-    one = full.groupBy("accepted", "c").agg(F.sum("n").alias("n1")).withColumn("p0", F.lit(1.0 / (SIZE - 1)))
-    one = share(one, [], "n1", "p0").select("accepted", "c", F.col("p").alias("p1"))
-    two = full.groupBy("accepted", "b", "c").agg(F.sum("n").alias("n2")).join(F.broadcast(one), ["accepted", "c"])
-    two = share(two, ["b"], "n2", "p1").select("accepted", "b", "c", F.col("p").alias("p2"))
-    three = share(full.join(F.broadcast(two), ["accepted", "b", "c"]), ["ab"], "n", "p2")
-    log = F.log("p")
-    return three.filter("c > 0").groupBy("g").agg((F.sum(F.when(F.col("accepted"), log)) - F.sum(F.when(~F.col("accepted"), log))).alias("ratio"))
+    seen: dict[tuple[int, int], dict[bool, dict[int, int]]] = {(0, 0): {True: {}, False: {}}}
+    for k, context, accepted, symbol, n in counts:
+        seen.setdefault((k, context), {True: {}, False: {}})[accepted][symbol] = n
+    states = sorted(seen)
+    number = {s: i for i, s in enumerate(states)}
+    chance: dict[tuple[int, int], dict[bool, list[float]]] = {}
+    follows, ratios = [], []
+    for k, context in states:  # shorter ones first
+        shorter = chance[k - 1, context % SIZE ** (k - 1)] if k else None
+        own = chance[k, context] = {}
+        for side, found in seen[k, context].items():
+            below = shorter[side] if shorter else [1.0 / PAD] * PAD
+            whole, kinds = sum(found.values()), len(found)
+            own[side] = [(found.get(c, 0) + kinds * p) / (whole + kinds) for c, p in enumerate(below)] if whole else below
+        for c in range(PAD):
+            longest = context * SIZE + c
+            follows.append(next(number[j, longest % SIZE**j] for j in range(min(k + 1, ORDER), -1, -1) if (j, longest % SIZE**j) in number))
+            ratios.append(log(own[True][c]) - log(own[False][c]))
+    before = [(k, sum(PAD * SIZE**j for j in range(k))) for k in range(ORDER, -1, -1)]
+    return next(number[s] for s in before if s in number), follows, ratios
 
 
 def threshold(scored: DataFrame) -> float:
@@ -106,9 +131,18 @@ def threshold(scored: DataFrame) -> float:
     return best[-1] * (2 * SPAN / BINS) - SPAN
 
 
-def _score(grams: Column, ratios: Column) -> Column:
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.element_at(ratios, g + 1))
-    return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+def score(codes: Column, start: int, follows: list[int], ratios: list[float]) -> Column:
+    """The mean log-likelihood difference of the symbols. The tables go into the plan as two constants."""
+    go = F.split(F.lit(" ".join(map(str, follows))), " ").cast("array<int>")
+    gain = F.split(F.lit(" ".join(f"{x:.5f}" for x in ratios)), " ").cast("array<double>")
+    begin = F.struct(F.lit(start).alias("state"), F.lit(0.0).alias("total"))
+
+    def step(x: Column, c: Column) -> Column:
+        at = x["state"] * PAD + c
+        return F.struct(F.get(go, at).alias("state"), (x["total"] + F.get(gain, at)).alias("total"))
+
+    total = F.aggregate(codes, begin, step, lambda x: x["total"])
+    return F.when(F.size(codes) > 0, total / F.size(codes)).otherwise(0.0)
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -125,21 +159,20 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     host, path = host_and_path(F.col("url").cast("string"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     parts = parts.withColumn("fits", matched_rule(F.col("host"), F.col("path"), rules))
-    coded = scratch.write(parts.select("page_id", "host", "path", "fits", trigrams(symbols(F.col("host"), F.col("path"))).alias("grams")), "coded")
+    # Symbols are stored before they are used place by place, or each use would make them anew.
+    coded = scratch.write(parts.select("page_id", "host", "path", "fits", symbols(F.col("host"), F.col("path")).alias("codes")), "coded")
 
     fold = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS))
-    labelled = coded.filter("fits is not null").select("grams", (F.col("fits.verdict") == "allow").alias("accepted"), fold.alias("fold"))
-    sides = {r.accepted for r in labelled.filter("fold > 0").select("accepted").distinct().collect()}
+    labelled = coded.filter("fits is not null").select("codes", (F.col("fits.verdict") == "allow").alias("accepted"), fold.alias("fold"))
+    sides = {r.accepted for r in labelled.filter("fold > 0 and size(codes) > 0").select("accepted").distinct().collect()}
     if len(sides) < 2:
-        score, least = F.lit(0.0), 0.0
+        found, least = F.lit(0.0), 0.0
     else:
-        # SIZE cubed numbers, whatever the input: they go into the plan as one constant.
-        table = {r.g: r.ratio for r in model(labelled.filter("fold > 0")).collect()}
-        text = " ".join(f"{table.get(g, 0.0):.5f}" for g in range(SIZE**3))
-        ratios = F.split(F.lit(text), " ").cast("array<double>")
-        score = _score(F.col("grams"), ratios)
-        least = threshold(labelled.filter("fold = 0").select("accepted", score.alias("score")))
-    judged = coded.withColumn("score", score)
+        counts = [(r.k, r.context, r.accepted, r.symbol, r.n) for r in contexts(labelled.filter("fold > 0"), scratch).collect()]
+        found = score(F.col("codes"), *automaton(counts))
+        least = threshold(labelled.filter("fold = 0").select("accepted", found.alias("score")))
+    scratch.keep("coded")
+    judged = coded.withColumn("score", found)
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("score") < least, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), F.round("score", 6).alias("score"))
 

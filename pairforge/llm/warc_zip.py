@@ -2,7 +2,9 @@
 
 An archive is a ZIP whose members are stored, not deflated: ``archive/data.warc.gz`` holds
 one gzip member for each record, ``indexes/index.cdxj`` one line for each record with its
-place in that member. So a record is found and read without extracting the archive.
+place in that member, and ``indexes/index.idx`` the place and checksum of each block of such
+lines. So a record is found and read without extracting the archive, and a block of the index
+without reading the rest of it. An archive holds at most RECORDS records.
 """
 
 from __future__ import annotations
@@ -15,17 +17,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, islice
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch, lookup, small_batches
+from pairforge.llm.common import Scratch, beside, located, lookup, small_batches
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Records that one reading task's row covers.
+DATA, INDEX, BLOCKS = "archive/data.warc.gz", "indexes/index.cdxj", "indexes/index.idx"
+#: Records of a block of the index, which is read at once.
 SPLIT = 2000
+#: Records of an archive; its index lines are held until its records are written.
+RECORDS = 50_000
+#: A block of the index: where its lines begin, how many bytes they have, and their checksum.
+BLOCK_AT = struct.Struct("<QQL")
 #: Payloads of at least this many bytes are stored once.
 LEAST_BYTES = 1000
 
@@ -80,12 +87,13 @@ class ZipWriter:
 
 @dataclass(frozen=True)
 class Member:
-    """A stored member: its bytes are [start, start + size) of the archive."""
+    """A member: if it is stored, its bytes are [start, start + size) of the archive."""
 
     name: str
     start: int
     size: int
     crc: int
+    method: int = 0
 
 
 class ZipReader:
@@ -137,10 +145,24 @@ class ZipReader:
                     packed = next(wide) if packed == BIG32 else packed
                     start = next(wide) if start == BIG32 else start
                 extra = extra[4 + n :]
-            if method:
-                continue  # deflated members cannot be range-read
             *_, n_name, n_extra = LOCAL_AT.unpack(self.read(start, LOCAL_AT.size))
-            yield Member(name, start + LOCAL_AT.size + n_name + n_extra, size, crc)
+            yield Member(name, start + LOCAL_AT.size + n_name + n_extra, packed, crc, method)
+
+    def member(self, name: str) -> Member:
+        """The stored member of this name; one that is absent or packed is an error that names it."""
+        if name not in self.members:
+            raise ValueError(f"the archive has no member {name}")
+        if self.members[name].method:
+            raise ValueError(f"the member {name} is packed, not stored, and cannot be read in ranges")
+        return self.members[name]
+
+    def whole(self, name: str) -> bytes:
+        """All bytes of a member, held against its checksum."""
+        found = self.member(name)
+        data = self.range(found, 0, found.size)
+        if zlib.crc32(data) != found.crc:
+            raise ValueError(f"the member {name} does not have its checksum")
+        return data
 
     def range(self, member: Member, at: int, size: int) -> bytes:
         if at < 0 or at + size > member.size:
@@ -208,43 +230,55 @@ def write_archives(pages: DataFrame, root: str, level: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _file_system(root)
-        lines: list[str] = []
-        at = 0
-
-        def members() -> Iterator[bytes]:
-            nonlocal at
-            for b in batches:
-                for row in b.to_pylist():
+        rows = (row for b in batches for row in b.to_pylist())
+        for first in rows:
+            lines: list[bytes] = []
+            at = 0
+
+            def members(first: dict = first, lines: list[bytes] = lines) -> Iterator[bytes]:
+                nonlocal at
+                for row in chain([first], islice(rows, RECORDS - 1)):
                     payload = (row["html"] or "").encode()
                     raw = record(row["page_id"], row["url"], payload, row["sha1"], row["refers_to"], row["revisit"])
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                     data = pack.compress(raw) + pack.flush()
-                    entry = {"id": _urn(row["page_id"]), "offset": at, "length": len(data), "digest": row["sha1"]}
-                    lines.append(json.dumps(entry) + "\n")
+                    lines.append(json.dumps({"id": _urn(row["page_id"]), "offset": at, "length": len(data), "digest": row["sha1"]}).encode() + b"\n")
                     at += len(data)
                     yield data
 
-        stream = members()
-        first = next(stream, None)
-        if first is None:
-            return
-        store.create_dir(base, recursive=True)
-        path = f"{base}/{uuid.uuid4().hex}.wacz"
-        with store.open_output_stream(path) as out:
-            z = ZipWriter(out)
-            z.member(DATA, (x for part in ([first], stream) for x in part))
-            z.member(INDEX, (x.encode() for x in lines))
-            z.close()
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(lines)], pa.int64())], ["path", "records"])
+            store.create_dir(base, recursive=True)
+            path = f"{base}/{uuid.uuid4().hex}.wacz"
+            with store.open_output_stream(path) as out:
+                z = ZipWriter(out)
+                z.member(DATA, members())
+                blocks = [b"".join(lines[i : i + SPLIT]) for i in range(0, len(lines), SPLIT)]
+                z.member(INDEX, iter(blocks))
+                z.member(BLOCKS, block_table(blocks))
+                z.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(lines)], pa.int64())], ["path", "records"])
 
     return pages.select("page_id", "url", "html", "sha1", "revisit", "refers_to").mapInArrow(run, "path string, records long")
 
 
+def block_table(blocks: list[bytes]) -> Iterator[bytes]:
+    starts = accumulate(map(len, blocks), initial=0)
+    return (BLOCK_AT.pack(start, len(x), zlib.crc32(x)) for start, x in zip(starts, blocks, strict=False))
+
+
+def index_lines(z: ZipReader, block: int) -> list[bytes]:
+    """The lines of one block of the index."""
+    start, size, crc = BLOCK_AT.unpack_from(z.whole(BLOCKS), block * BLOCK_AT.size)
+    data = z.range(z.member(INDEX), start, size)
+    if zlib.crc32(data) != crc:
+        raise ValueError(f"block {block} of {INDEX} does not have its checksum")
+    return data.splitlines()
+
+
 def read_archives(archives: DataFrame, root: str) -> DataFrame:
     """Every record of the archives: page_id, type, payload_bytes, sha1, refers_to.
 
-    An archive's index is cut into ranges of SPLIT records; each range is read by itself. The
-    payload of a response is hashed again and held against its header.
+    Each block of an archive's index is read by itself. A record's gzip member has a checksum,
+    and the payload of a response is hashed again and held against its header.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +287,8 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
             for row in b.to_pylist():
                 with store.open_input_file(row["path"]) as file:
                     z = ZipReader(file)
-                    index, data = z.members[INDEX], z.members[DATA]
-                    lines = z.range(index, 0, index.size).splitlines()[row["first"] : row["first"] + SPLIT]
-                    found = []
-                    for entry in map(json.loads, lines):
+                    data, found = z.member(DATA), []
+                    for entry in map(json.loads, index_lines(z, row["block"])):
                         warc, http, payload = parse(zlib.decompress(z.range(data, entry["offset"], entry["length"]), 31))
                         sha1 = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
                         revisit = warc["warc-type"] == "revisit"
@@ -268,8 +300,8 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(SPLIT).cast("long")))
-    ranges = archives.select("path", starts.alias("first"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(records - 1) div {SPLIT}")))
+    ranges = archives.select("path", blocks.alias("block"))
     spread = ranges.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 2))
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
@@ -284,16 +316,20 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     Revisits of a hot payload are found by a lookup that deals no key's rows to one task.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"))
-    large = F.octet_length("html") >= least_bytes
-    groups = rows.filter(large).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1")
+    html = F.coalesce(F.col("row.html").cast("string"), F.lit(""))
+    rows = located(pages.select("page_id", "url", "html"), scratch).select("row_file", "row_at", F.col("row.page_id").cast("long").alias("page_id"), F.col("row.url").cast("string").alias("url"), html.alias("html"))
+    # Payloads are hashed once; digests and places are brought together, and payloads stay where they are.
+    named = rows.select("row_file", "row_at", "page_id", F.octet_length("html").alias("size"), F.sha1(F.encode("html", "UTF-8")).alias("sha1"))
+    named = scratch.write(named, "digests")
+    large = named.filter(F.col("size") >= least_bytes)
+    groups = large.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1")
     groups = scratch.write(groups, "groups")
-    joined = lookup(rows, groups, "sha1", "n", "left")
-    revisit = F.col("n").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("best"))
-    decided = joined.select("page_id", "url", "html", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("best")).alias("refers_to"))
+    again = lookup(large, groups, "sha1", "n").filter(~F.col("page_id").eqNullSafe(F.col("best")))
+    again = scratch.write(again.select("row_file", "row_at", F.col("best").alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
+    decided = beside(rows, again).select("page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
     with small_batches(pages.sparkSession):
         archives = scratch.write(write_archives(decided, f"{scratch.path}/archives"), "list")
+    scratch.keep("list")
     return read_archives(archives, scratch.path)
 
 

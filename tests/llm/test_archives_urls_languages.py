@@ -3,15 +3,18 @@
 import hashlib
 import io
 import math
+import os
 import random
+import time
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairforge.llm import url_filter as U
-from pairforge.llm.language_id import declared, identify, visible
+from pairforge.llm.language_id import declared, identify, tempered, train, visible
 from pairforge.llm.warc_zip import DATA, INDEX, ZipReader, ZipWriter, archive, parse, record
 
 PAGES = "page_id long, url string, html string, sha1 string, revisit string"
@@ -30,6 +33,28 @@ def test_archive_rows(spark):
     assert archive(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_of_several_blocks_and_files(spark, monkeypatch):
+    from pairforge.llm import warc_zip as W
+
+    monkeypatch.setattr(W, "SPLIT", 4)
+    monkeypatch.setattr(W, "RECORDS", 10)
+    rows = [(i, f"http://h/{i}", "same " * 300 if i % 3 else f"own {i} " * 200, "", "") for i in range(37)]
+    got = {r.page_id: r for r in archive(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
+    assert len(got) == 37 and all(r.refers_to == (35 if i % 3 and i != 35 else None) for i, r in got.items())
+
+
+def test_many_rows_are_fetched_by_marks(spark, monkeypatch):
+    from pairforge.llm import common as C
+
+    rows = spark.range(300).selectExpr("id % 3 as row_file", "id as row_at", "id as v")
+    some = spark.range(0, 300, 7).selectExpr("id % 3 as row_file", "id as row_at", "id * 2 as w")
+    for most in (1000, 5):
+        monkeypatch.setattr(C, "BROADCAST_ROWS", most)
+        assert sorted(r.v for r in C.fetch(rows, some).collect()) == list(range(0, 300, 7))
+        got = C.beside(rows, some).collect()
+        assert len(got) == 300 and all(r.w == (None if r.v % 7 else r.v * 2) for r in got)
+
+
 def test_payloads_survive_any_bytes():
     payload = b"\r\n\r\nWARC/1.1\r\n" + bytes(range(256))
     warc, http, back = parse(record(7, "http://x/?a b", payload, hashlib.sha1(payload).hexdigest(), None, False))
@@ -60,7 +85,14 @@ def test_reader_of_foreign_zip_and_broken_ones():
         z.writestr("packed", b"a" * 1000, zipfile.ZIP_DEFLATED)
         z.comment = b"a comment with PK\x05\x06 in it"
     own = ZipReader(out)
-    assert set(own.members) == {"stored"} and own.range(own.members["stored"], 0, 3) == b"abc"
+    assert set(own.members) == {"stored", "packed"} and own.range(own.member("stored"), 0, 3) == b"abc" == own.whole("stored")
+    for name in ("packed", "absent"):
+        with pytest.raises(ValueError, match=name):
+            own.whole(name)
+    changed = bytearray(out.getvalue())
+    changed[own.member("stored").start] ^= 1
+    with pytest.raises(ValueError, match="stored"):
+        ZipReader(io.BytesIO(changed)).whole("stored")
     with pytest.raises(ValueError):
         ZipReader(io.BytesIO(b"nothing here"))
     assert DATA != INDEX
@@ -82,41 +114,33 @@ def rule_of(host, path):
 
 
 def brute_scores(rows):
-    """The same models in plain Python, from (host, path, verdict or None, fold) rows."""
-
-    def codes(host, path):
-        plain = "".join("0" if c in "123456789" else c for c in (host + path).lower())
-        return [0, 0] + [U.ALPHABET.find(c) + 1 or U.OTHER for c in plain]
-
-    def fit(side):
-        c3, c2, c1 = Counter(), Counter(), Counter()
-        for h, p, v, fold in rows:
-            if v == side and fold > 0:
-                s = codes(h, p)
-                for i in range(2, len(s)):
-                    c3[s[i - 2], s[i - 1], s[i]] += 1
-                    c2[s[i - 1], s[i]] += 1
-                    c1[s[i]] += 1
-        n3, t3, n2, t2 = Counter(), Counter(), Counter(), Counter()
-        for (a, b, _), n in c3.items():
-            n3[a, b] += n
-            t3[a, b] += 1
-        for (b, _), n in c2.items():
-            n2[b] += n
-            t2[b] += 1
-
-        def p(a, b, c):
-            p1 = (c1[c] + len(c1) / (U.SIZE - 1)) / (c1.total() + len(c1))
-            p2 = (c2[b, c] + t2[b] * p1) / (n2[b] + t2[b]) if n2[b] else p1
-            return (c3[a, b, c] + t3[a, b] * p2) / (n3[a, b] + t3[a, b]) if n3[a, b] else p2
-
-        return p
-
-    yes, no = fit("allow"), fit("block")
+    """The same models in plain Python over strings, from (host, path, verdict or None, fold) rows."""
+
+    def plain(host, path):
+        return "".join("0" if c in "123456789" else c if c in U.ALPHABET else "*" for c in (host + path).lower())
+
+    def places(text):
+        padded = "^" * U.ORDER + text
+        return [(padded[i : i + U.ORDER], padded[i + U.ORDER]) for i in range(len(text))]
+
+    known = [(v, before, c) for h, p, v, fold in rows if v and fold > 0 for before, c in places(plain(h, p))]
+    use = Counter(before[U.ORDER - k :] for _, before, _ in known for k in range(U.ORDER + 1))
+    kept = {ctx for ctx, n in use.items() if n * U.SHARE >= len(known)}
+    follow = {"allow": {}, "block": {}}
+    for v, before, c in known:
+        for k in range(U.ORDER + 1):
+            follow[v].setdefault(before[U.ORDER - k :], Counter())[c] += 1
+
+    def p(side, before, c):
+        if before not in kept:
+            return p(side, before[1:], c)
+        below = p(side, before[1:], c) if before else 1 / U.PAD
+        own = follow[side].get(before, Counter())
+        return (own[c] + len(own) * below) / (own.total() + len(own)) if own else below
+
     scores = []
-    for h, p, _, _ in rows:
-        s = codes(h, p)
-        logs = [math.log(yes(*s[i - 2 : i + 1])) - math.log(no(*s[i - 2 : i + 1])) for i in range(2, len(s))]
+    for h, path, _, _ in rows:
+        logs = [math.log(p("allow", before, c)) - math.log(p("block", before, c)) for before, c in places(plain(h, path))]
         scores.append(sum(logs) / len(logs) if logs else 0.0)
     return scores
 
@@ -148,6 +172,17 @@ def test_urls_against_brute_force(spark):
     assert sum((s > 0) == (v == "allow") for s, v in held) >= 0.7 * len(held)
 
 
+def test_a_very_long_url_takes_no_longer_by_the_character(spark, tmp_path):
+    path = str(tmp_path / "urls")
+    urls = ["http://a.com/fr/x", "http://b.com/de/y", "http://c.net/" + "ab/9" * 25_000]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls * 3)], "page_id long, url string").write.parquet(path)
+    U.filter_urls(spark.read.parquet(path)).collect()
+    began = time.monotonic()
+    got = U.filter_urls(spark.read.parquet(path)).collect()
+    assert len(got) == 9 and max(len(r.path) for r in got) == 100_001
+    assert time.monotonic() - began < 20
+
+
 def test_urls_without_rules_or_rows(spark):
     df = spark.createDataFrame([(1, "http://x.net/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in U.filter_urls(df, ()).collect()} == {"allow"}
@@ -158,6 +193,97 @@ def test_markup():
     html = b'<HTML class=x lang = "fr-FR"><head><style>a</style><!-- <p> --><script>var t="</p>";</script></head><p>Le <b>chat</b>'
     assert declared(html) == "fr" and declared(b"<p>") is None
     assert visible(html).split() == [b"Le", b"chat"]
+    assert declared(b"<meta name='language' content='de-AT'><html xml:lang=\"es\">") == "es"
+    assert declared(b'<html class=a><meta http-equiv="Content-Language" content="fr">') == "fr"
+    assert declared(b'<meta property="og:locale" content="en_US"><body lang="de">') == "en"
+    assert declared(b"<p lang=de><html lang=><html data-lang=fr lang=it>") == "it" and declared(b"<html lang=english>") is None
+    assert visible(b"a <b").split() == [b"a", b"<b"] and visible(b"a<script>b</scr").split() == [b"a"] and visible(b"x<!-- y").split() == [b"x"]
+
+
+@pytest.mark.parametrize("unit", [b"<!--", b"<script>", b"<", b"<html lang=", b"<meta a='", b"<html " + b"x" * 5000, b"</script", b"<style><!-- -->", b"<a href=\"b\">c</a>"])
+def test_pages_are_read_in_one_pass(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    visible(page)
+    visible(page + b">")
+    assert time.monotonic() - began < 2
+
+
+def brute_fusion(rows, names, table):
+    """(lang, confidence) of rows (host, declared, text) by the same definitions, over NumPy arrays."""
+    n = len(names)
+    ll = np.array([tempered(t, table) for _, _, t in rows])
+    q = np.exp(ll - ll.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    prior = (q.sum(0) + 1) / (len(rows) + n)
+    hosts = [h or "" for h, _, _ in rows]
+    suffix = [h.rsplit(".", 1)[1] if "." in h else None for h in hosts]
+    domain = [".".join(h.split(".")[-2:]) for h in hosts]
+    smooth = lambda mask, parent: (q[mask].sum(0) + 10 * parent) / (mask.sum() + 10)
+    out = []
+    for i in range(len(rows)):
+        of = lambda values: np.array([v == values[i] for v in values])  # noqa: B023, E731
+        parent = smooth(of(domain), smooth(of(suffix), prior))
+        own = of(hosts)
+        total = ll[i] + np.log((np.maximum(q[own].sum(0) - q[i], 0) + 10 * parent) / (own.sum() - 1 + 10))
+        for values in ([d for _, d, _ in rows], suffix):
+            if values[i] is not None:
+                total = total + np.log((q[of(values)].sum(0) + 0.1) / (q.sum(0) + 1))
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        out.append((names[int(p.argmax())], p.max()))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    rng = random.Random(5)
+    langs = list(WORDS)
+    labelled = spark.createDataFrame([(i, speak(rng, langs[i % 3], 20), langs[i % 3]) for i in range(60)], "doc_id long, text string, lang string")
+    names, table = train(labelled)
+    rows = []
+    for i in range(80):
+        lang = rng.choice(langs)
+        host = rng.choice([f"{lang}.one.org", "two.org", "x.two.com", "three", None])
+        said = rng.choice([lang, "zz", None])
+        rows.append((host, said, " ".join(rng.choice(WORDS[rng.choice([lang, "aa"])]) for _ in range(rng.randint(0, 4))).encode()))
+    pages = [(i, h, (f"<html lang='{d}'>" if d else "<html>").encode() + t) for i, (h, d, t) in enumerate(rows)]
+    df = spark.createDataFrame(pages, "id long, host string, body binary")
+    got = {r.id: r for r in identify(df, labelled, html=True).collect()}
+    texts = [(h, d, visible(p)) for (h, d, _), (_, _, p) in zip(rows, pages, strict=True)]
+    for i, (lang, confidence) in enumerate(brute_fusion(texts, names, table)):
+        assert got[i].confidence == pytest.approx(confidence, abs=2e-4)
+        assert got[i].lang == lang or confidence < 0.51
+
+
+def test_seventy_languages_are_told_apart(spark):
+    rng = random.Random(6)
+    names = [f"l{i:02d}" for i in range(70)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for n in names}
+    say = lambda n, k: " ".join(rng.choice(words[n]) for _ in range(k))
+    labelled = spark.createDataFrame([(i, say(names[i % 70], 30), names[i % 70]) for i in range(280)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(i, None, say(n, 15)) for i, n in enumerate(names)], "id long, host string, body string")
+    assert all(r.lang == names[r.id] for r in identify(rows, labelled, html=False).collect())
+
+
+def test_evidence_grows_with_the_text():
+    table = np.log(np.full((1 << 15, 2), [0.9, 0.1]))
+    sizes = [abs(np.diff(tempered(b"abcd" * n, table))[0]) for n in (1, 10, 100, 1000, 10_000)]
+    assert all(b > 2 * a for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_held_out_accuracy_on_labelled_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    rows = docs.filter(out).select(F.col("doc_id").alias("id"), F.col("source").alias("host"), F.substring("text", 1, 40).alias("body"), "lang")
+    found = identify(rows.select("id", "host", "body"), docs.filter(~out).select("doc_id", "text", "lang"), html=False)
+    got = found.join(rows.select("id", F.col("lang").alias("want")), "id").collect()
+    fused, alone = (sum(r[c] == r.want for r in got) / len(got) for c in ("lang", "text_lang"))
+    # Forty characters of a text, and a source that says little of a language.
+    assert len(got) > 400 and alone > 0.9 and fused > 0.9 and fused >= alone - 0.005
 
 
 WORDS = {"aa": ["kato", "mila", "soru", "tane"], "bb": ["grunz", "schaf", "pfund", "strich"], "cc": ["éléa", "ouique", "çavoir", "être"]}
