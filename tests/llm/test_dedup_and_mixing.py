@@ -337,7 +337,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline as P
 
     rng = random.Random(6)
-    syllables = ["ka", "lo", "mi", "ten", "ur", "sha", "pre", "in", "ost", "el"]
+    syllables = [c + v + e for c in "bcdfglmnprst" for v in "aeiou" for e in ("", "n", "r")]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     prose = lambda n: "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(n))
     passage = " ".join(word() for _ in range(60))
