@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Ranges that the rows of a group are dealt into: EDGES * EDGES, about equally filled.
+EDGES = 12
 
 
 def hash_order(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFrame:
@@ -25,31 +26,47 @@ def hash_order(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFr
     return dealt.join(starts, "_bucket").withColumn(name, F.col("_before") + place).drop("_md5", "_bucket", "_before")
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
+def joined_by(left: DataFrame, right: DataFrame, group: Sequence[str], take: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
+    """left with columns of right, which has a row a group; without groups it is one row."""
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + list(also)
+    pair = left.alias("a").join(right.alias("b"), on) if on else left.alias("a").join(F.broadcast(right.alias("b")), F.lit(True))
+    return pair.select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in take])
+
+
+def in_ranges(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """df with ``_bucket``: a number of a range of ``order`` within the group, rising with it.
+
+    Ranges end at approximate quantiles, so they hold like numbers of rows however the values are
+    spread. An edge is looked up in two steps of EDGES comparisons.
+    """
+    steps = [i / (EDGES * EDGES) for i in range(1, EDGES * EDGES)]
+    value = F.col(order).cast("double")
+    edges = df.groupBy(*group).agg(F.percentile_approx(value, steps, 10_000).alias("_edges"))
+    spread = joined_by(df, edges, group, ["_edges"])
+    below = lambda listed: F.size(F.filter(listed, lambda e: e < value))
+    coarse = F.transform(F.sequence(F.lit(EDGES), F.lit(EDGES * (EDGES - 1)), F.lit(EDGES)), lambda i: F.element_at("_edges", i))
+    spread = spread.withColumn("_row", below(coarse))
+    return spread.withColumn("_bucket", F.col("_row") * EDGES + below(F.slice("_edges", F.col("_row") * EDGES + 1, EDGES))).drop("_edges", "_row")
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], descending: bool = False, following: Sequence[str] = ()) -> DataFrame:
     """df with ``<value>_upto`` for each value: its sum over the group up to and with each row.
 
-    ``order`` is a number, unique within the group. Rows are dealt into BUCKETS ranges of it;
-    sums of ranges are added up first, then each range is summed by itself.
+    ``order`` is a number, unique within the group. Rows are dealt into ranges of it; sums of
+    ranges are added up first, then each range is summed by itself. With ``following``, there is
+    ``<name>_next``, too: that of the next row, null for the last.
     """
     group = list(group)
-    ends = df.groupBy(*group).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-
-    def joined(left: DataFrame, right: DataFrame, on: list[Column], take: list[str]) -> DataFrame:
-        cols = [F.col(f"a.{c}") for c in left.columns] + [F.col(f"b.{c}") for c in take]
-        pair = left.alias("a").join(right.alias("b"), on) if on else left.alias("a").join(F.broadcast(right.alias("b")), F.lit(True))
-        return pair.select(*cols)
-
-    spread = joined(df, ends, same, ["_lo", "_hi"])
-    share = (F.col(order).cast("double") - F.col("_lo").cast("double")) / F.nullif(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.lit(0.0))
-    bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    dealt = spread.withColumn("_bucket", bucket).drop("_lo", "_hi")
-    sums = dealt.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    key = F.col("_bucket").desc() if descending else F.col("_bucket")
-    up = Window.partitionBy(*group, F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, "_bucket", *[F.coalesce(F.sum(f"_s_{v}").over(up), F.lit(0)).alias(f"_b_{v}") for v in values])
-    both = joined(dealt, starts, [*same, F.col("a._bucket") == F.col("b._bucket")], [f"_b_{v}" for v in values])
-    inside = F.col(order).desc() if descending else F.col(order)
-    w = Window.partitionBy(*group, "_bucket").orderBy(inside).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.select("*", *[(F.col(f"_b_{v}") + F.sum(v).over(w)).alias(f"{v}_upto") for v in values])
-    return out.drop("_bucket", *[f"_b_{v}" for v in values])
+    dealt = in_ranges(df, group, order)
+    key, inside = (F.col("_bucket").desc(), F.col(order).desc()) if descending else (F.col("_bucket"), F.col(order))
+    head = F.struct((-F.col(order) if descending else F.col(order)).alias("_at"), *following)
+    sums = dealt.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values], F.min(head).alias("_head"))
+    ranges = Window.partitionBy(*group, F.lit(0)).orderBy(key)
+    up = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, "_bucket", F.lead("_head").over(ranges).alias("_head"), *[F.coalesce(F.sum(f"_s_{v}").over(up), F.lit(0)).alias(f"_b_{v}") for v in values])
+    both = joined_by(dealt, starts, group, ["_head", *[f"_b_{v}" for v in values]], [F.col("a._bucket") == F.col("b._bucket")])
+    rows = Window.partitionBy(*group, "_bucket").orderBy(inside)
+    upto = [(F.col(f"_b_{v}") + F.sum(v).over(rows.rowsBetween(Window.unboundedPreceding, 0))).alias(f"{v}_upto") for v in values]
+    last = F.lead(F.lit(1)).over(rows).isNull()
+    after = [F.when(last, F.col(f"_head.{c}")).otherwise(F.lead(c).over(rows)).alias(f"{c}_next") for c in following]
+    return both.select("*", *upto, *after).drop("_bucket", "_head", *[f"_b_{v}" for v in values])

@@ -73,7 +73,7 @@ NOTE = {
 }
 
 
-def leakage_note(records: int, lesions: Column, patients: Column, duplicates: Column, missing: Column) -> Column:
+def leakage_note(records: int | Column, lesions: Column, patients: Column, duplicates: Column, missing: Column) -> Column:
     return F.concat_ws(
         " ", F.lit(NOTE["always"]), F.when(patients == 0, NOTE["no_patients"]), F.when(lesions < records, NOTE["no_lesions"]),
         F.when(duplicates > 0, NOTE["duplicates"]), F.when(missing > 0, NOTE["missing"]),
@@ -89,7 +89,15 @@ def audit(records: DataFrame, pairs: DataFrame | None = None, samples: int = 10,
     counts = {"duplicates": twice.count(), "missing": missing.count(), "unreadable": unreadable.count()}
     ids = lambda df, n: [r[0] for r in df.select("image_id").orderBy("image_id").limit(n).collect()]
     note = records.sparkSession.range(1).select(leakage_note(row["records"], F.lit(row["lesion_id_present"]), F.lit(row["patient_id_present"]), F.lit(counts["duplicates"]), F.lit(counts["missing"]))).first()[0]
-    table = lambda df, *keys: {r[0]: r["n"] for r in frequencies(df, *keys).orderBy(F.desc("n"), *keys).limit(10_000).collect()}
+    most = 10_000
+
+    def table(df: DataFrame, key: str) -> dict[str, int]:
+        """Counts by value; of more than ``most`` values the rarer ones are one entry, so that counts add up to all rows."""
+        counted = frequencies(df, key)
+        shown = {r[0]: r["n"] for r in counted.orderBy(F.desc("n"), key).limit(most).collect()}
+        values, rows = counted.agg(F.count("*"), F.sum("n")).first()
+        return shown if values <= most else shown | {f"({values - most} other values)": rows - sum(shown.values())}
+
     found: dict[str, Any] = {
         "normalized_records": row["records"],
         "image_availability": {"found": row["found"], "missing": counts["missing"], "unreadable": counts["unreadable"], "missing_sample": ids(missing, samples), "unreadable_sample": ids(unreadable, samples)},
@@ -104,9 +112,16 @@ def audit(records: DataFrame, pairs: DataFrame | None = None, samples: int = 10,
         found["pair_count"] = pairs.count()
         found["labels_by_split"] = {s: labels.get(s, dict.fromkeys(LABELS, 0)) for s in SPLITS}
         found["leakage_probes"] = {f"{side}_overlap": {f"{a}_{b}": [] for i, a in enumerate(SPLITS) for b in SPLITS[i + 1 :]} for side in ("lesion", "patient")}
+        found["leakage_probes"]["overlap_counts"] = {}
         for side in ("lesion", "patient"):
-            for r in split_overlap(pairs, f"context_{side}_id", f"target_{side}_id").orderBy("value").limit(1000).collect():
-                found["leakage_probes"][f"{side}_overlap"][f"{r.left_split}_{r.right_split}"].append(r.value)
+            overlap = split_overlap(pairs, f"context_{side}_id", f"target_{side}_id")
+            sizes = {f"{r.left_split}_{r.right_split}": r.n for r in overlap.groupBy("left_split", "right_split").agg(F.count("*").alias("n")).collect()}
+            probes = found["leakage_probes"][f"{side}_overlap"]
+            found["leakage_probes"]["overlap_counts"][side] = {pair: sizes.get(pair, 0) for pair in probes}
+            # Of each pair of splits the first values; the counts tell if there are more.
+            first = overlap.withColumn("place", F.row_number().over(Window.partitionBy("left_split", "right_split").orderBy("value"))).filter("place <= 1000")
+            for r in first.orderBy("value").collect():
+                probes[f"{r.left_split}_{r.right_split}"].append(r.value)
         for name, key in (("source_counts_by_split", "source_dataset"), ("diagnosis_counts_by_split", "diagnosis")):
             by: dict[str, dict[str, int]] = {s: {} for s in SPLITS}
             for r in frequencies(pairs, "split", key).collect():

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.functions.order import running_sums
+from pairforge.functions.order import hash_order, joined_by, running_sums
 
 
 def counts_by_score(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -49,19 +49,19 @@ def roc_points(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     error rates; the origin comes first, with an infinite threshold.
     """
     group = list(group)
-    upto = running_sums(counts_by_score(scores, group), group, "score", ["pos", "neg"], descending=True)
-    down = Window.partitionBy(*group, F.lit(0)).orderBy(F.col("score").desc())
-    step = [(F.lag(c).over(down), F.col(c), F.lead(c).over(down)) for c in ("pos_upto", "neg_upto")]
-    bend = [F.coalesce(a - 2 * b + c != 0, F.lit(True)) for a, b, c in step]
-    marked = upto.withColumn("bend", bend[0] | bend[1]).filter("bend")
-    points = marked.select(*group, F.col("score").cast("double").alias("threshold"), F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"))
-    origin = points.select(*group).distinct() if group else points.limit(1).select()
-    start = origin.select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    curve = start.unionByName(points)
-    whole = Window.partitionBy(*group, F.lit(0))
-    order = whole.orderBy(F.col("threshold").desc())
-    rate = lambda c: F.col(c) / F.nullif(F.max(c).over(whole).cast("double"), F.lit(0.0))
-    return curve.select(*group, (F.row_number().over(order) - 1).alias("idx"), "threshold", "tp", "fp", rate("tp").alias("tpr"), rate("fp").alias("fpr"))
+    counts = counts_by_score(scores, group)
+    upto = running_sums(counts, group, "score", ["pos", "neg"], descending=True, following=["pos", "neg"])
+    # A stretch is straight while each score adds as many of both classes as the next one.
+    first = (F.col("pos_upto") == F.col("pos")) & (F.col("neg_upto") == F.col("neg"))
+    bend = F.coalesce((F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")), F.lit(True)) | first
+    points = upto.filter(bend).select(*group, F.col("score").cast("double").alias("threshold"), F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.lit(1).alias("one"))
+    numbered = running_sums(points, group, "threshold", ["one"], descending=True).drop("one").withColumnRenamed("one_upto", "idx")
+    whole = counts.groupBy(*group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    zero = F.lit(0).cast("long")
+    start = whole.filter("p is not null").select(*group, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), zero.alias("idx"))
+    curve = joined_by(start.unionByName(numbered), whole, group, ["p", "q"])
+    rate = lambda c, n: F.col(c) / F.nullif(F.col(n).cast("double"), F.lit(0.0))
+    return curve.select(*group, F.col("idx").cast("int").alias("idx"), "threshold", "tp", "fp", rate("tp", "p").alias("tpr"), rate("fp", "q").alias("fpr"))
 
 
 def equal_error(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -85,12 +85,12 @@ def _draw(seed: int, replicate: Column, draw: Column, n: Column) -> Column:
 def bootstrap_native(scores: DataFrame, key: str, samples: int, level: float, seed: int) -> DataFrame:
     """auroc_ci_low and auroc_ci_high from resamples of rows whose draws are hashes.
 
-    Draws of a replicate are counted by row before the rows are joined, and by distinct score
+    Rows are numbered by a hash of ``key``, so no task orders all of them. Draws of a replicate are counted by row before the rows are joined, and by distinct score
     before ranks are taken. Replicates with one class are left out; if none is left both ends
     are the plain value. Reruns agree; the numbers are not those of a sequential generator.
     """
-    numbered = scores.select("label_int", "score", (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("at"))
-    n = numbered.count()
+    numbered = hash_order(scores.select(key, "label_int", "score"), seed, key, "at").select("label_int", "score", F.col("at").cast("long").alias("at"))
+    n = scores.count()
     spark = scores.sparkSession
     # Replicate and draw from one range, so that draws are made in parallel.
     ids = spark.range(samples * n).select(F.expr(f"id div {max(n, 1)}L").alias("b"), (F.col("id") % max(n, 1)).alias("i"))
@@ -170,5 +170,6 @@ def collapse_checks(vectors: DataFrame, column: str = "prediction") -> DataFrame
 def score_histogram(scores: DataFrame, low: float, high: float, bins: int, group: Sequence[str] = ()) -> DataFrame:
     """Counts in equal bins of [low, high]; the last bin includes its upper edge."""
     inside = scores.filter(F.col("score").between(low, high))
-    at = F.least(F.floor((F.col("score") - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
+    width = (high - low) / bins or 1.0  # all scores alike: one bin
+    at = F.least(F.floor((F.col("score") - low) / width), F.lit(bins - 1)).cast("long")
     return inside.groupBy(*group, at.alias("bin")).agg(F.count("*").alias("n"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pairforge.functions.vectors import hamming
 
 HASH_BITS = 64
+#: Values enumerated for a hash, over all bands, at most.
+MOST_KEYS = 2500
 
 
 def members(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -17,31 +21,70 @@ def members(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_semi")
 
 
-def hamming_join(left: DataFrame, right: DataFrame, most: int = 10, value: str = "hash") -> DataFrame:
-    """(a_id, b_id, distance) of all pairs of hashes at most ``most`` bits apart.
+def bands_of(most: int) -> tuple[list[tuple[int, int]], int]:
+    """(shift, width) of the bands that hashes are met by, and the bits that may differ in one.
 
-    Of ``most`` + 1 bands of bits, one at least is equal in such a pair, so bands are joined and
-    distances checked, and only the first equal band gives a pair. Equal hashes are gathered
-    before, so that copies meet once.
+    Of hashes at most ``most`` bits apart, one of m bands differs in at most most // m bits. All
+    values so near to a band's are enumerated on one side. m is that with the fewest chance
+    meetings of which at most MOST_KEYS values are enumerated for a hash.
     """
-    bands = most + 1
-    edges = [i * HASH_BITS // bands for i in range(bands + 1)]
+    best = None
+    for m in range(1, most + 2):
+        edges = [i * HASH_BITS // m for i in range(m + 1)]
+        widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+        keys = [sum(comb(w, i) for i in range(min(most // m, w) + 1)) for w in widths]
+        chance = sum(k / 2**w for k, w in zip(keys, widths, strict=True))
+        if sum(keys) <= MOST_KEYS and (best is None or chance < best[0]):
+            best = (chance, list(zip(edges, widths, strict=False)), most // m)
+    return best[1], best[2]
+
+
+def _masks(width: int, bits: int) -> list[int]:
+    return [sum(1 << i for i in chosen) for n in range(min(bits, width) + 1) for chosen in combinations(range(width), n)]
+
+
+def hamming_candidates(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(ha, hb) of distinct hashes that meet in a band, each pair once; the left ones are enumerated."""
+    bands, bits = bands_of(most)
+
+    def band(column: Column, at: int, width: int) -> Column:
+        return F.shiftrightunsigned(column, at).bitwiseAND(F.lit((1 << width) - 1 if width < HASH_BITS else -1))
 
-    def band(column: Column, i: int) -> Column:
-        width = edges[i + 1] - edges[i]
-        return F.shiftrightunsigned(column, edges[i]).bitwiseAND(F.lit((1 << width) - 1 if width < HASH_BITS else -1))
+    def values(column: Column, i: int, near: bool) -> Column:
+        own = band(column, *bands[i])
+        if not near:
+            return F.array(F.struct(F.lit(i).alias("band"), own.alias("bits")))
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(bands[i][1], bits)])
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), own.bitwiseXOR(m).alias("bits")))
 
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        keyed = [F.struct(F.lit(i).alias("band"), band(F.col(name), i).alias("bits")) for i in range(bands)]
-        return df.select(F.col(value).alias(name)).distinct().select(name, F.explode(F.array(*keyed)).alias("k")).select(name, "k.*")
+    def keyed(df: DataFrame, name: str, near: bool) -> DataFrame:
+        each = [values(F.col(name), i, near) for i in range(len(bands))]
+        return df.select(name, F.explode(F.flatten(F.array(*each))).alias("k")).select(name, "k.*")
 
+    met = keyed(left, "ha", True).join(keyed(right, "hb", False), ["band", "bits"])
+    first = F.lit(len(bands))
+    for i, (at, width) in reversed(list(enumerate(bands))):
+        first = F.when(F.bit_count(band(F.col("ha").bitwiseXOR(F.col("hb")), at, width)) <= bits, i).otherwise(first)
+    return met.filter(F.col("band") == first).select("ha", "hb")
+
+
+def hamming_join(left: DataFrame, right: DataFrame, most: int = 10, value: str = "hash") -> DataFrame:
+    """(a_id, b_id, distance) of all pairs of hashes at most ``most`` bits apart.
+
+    Equal hashes are gathered before, so that copies meet once. The side with fewer hashes is the
+    one whose near values are enumerated. A band's value that very many hashes share is split by
+    the adaptive handling of skewed joins, as both sides are plain shuffled tables.
+    """
     left, right = left.filter(F.col(value).isNotNull()), right.filter(F.col(value).isNotNull())
-    met = spread(left, "ha").join(spread(right, "hb"), ["band", "bits"])
-    first = reduce(lambda later, i: F.when(band(F.col("ha"), i) == band(F.col("hb"), i), i).otherwise(later), reversed(range(bands)), F.lit(bands))
-    near = met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter((F.col("distance") <= most) & (F.col("band") == first))
+    few, many = left.select(F.col(value).alias("ha")).distinct(), right.select(F.col(value).alias("hb")).distinct()
+    if few.count() <= many.count():
+        met = hamming_candidates(few, many, most)
+    else:
+        met = hamming_candidates(many.withColumnRenamed("hb", "ha"), few.withColumnRenamed("ha", "hb"), most).select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))
+    near = met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
     a = left.select(F.col("id").alias("a_id"), F.col(value).alias("ha"))
     b = right.select(F.col("id").alias("b_id"), F.col(value).alias("hb"))
-    return near.select("ha", "hb", "distance").join(a, "ha").join(b, "hb").select("a_id", "b_id", "distance")
+    return near.join(a, "ha").join(b, "hb").select("a_id", "b_id", "distance")
 
 
 def distance_bands(pairs: DataFrame, bands: tuple[int, ...] = (0, 2, 4, 6, 8, 10)) -> DataFrame:

@@ -64,10 +64,11 @@ def pick_targets(anchors: DataFrame, placed: DataFrame, strict: bool = False) ->
     gathered by lesion, so an array holds one lesion's images.
     """
     stages = [s for s in _stages() if not strict or s[0] == MATCHES[1]]
-    own = None
-    for name, suffix, key, may in stages:
-        part = placed.filter(may).groupBy("split", "lesion_id", key.alias("key")).agg(F.sort_array(F.collect_list(f"p_{suffix}")).alias("own")).withColumn("reason", F.lit(name))
-        own = part if own is None else own.unionByName(part)
+    # All groups of a record in one pass: the reason, the group's key, and the record's place in it.
+    groups = F.filter(F.array(*[F.struct(F.lit(name).alias("reason"), key.alias("key"), F.col(f"p_{suffix}").alias("at"), may.alias("may")) for name, suffix, key, may in stages]), lambda g: g["may"])
+    lesions = anchors.select("split", "lesion_id").distinct()
+    own = placed.join(lesions, ["split", "lesion_id"], "left_semi").select("split", "lesion_id", F.explode(groups).alias("g"))
+    own = own.groupBy("split", "lesion_id", "g.reason", "g.key").agg(F.sort_array(F.collect_list("g.at")).alias("own"))
     tries = F.array(*[F.struct(F.lit(i).alias("try"), F.lit(name).alias("reason"), key.alias("key"), F.col(f"n_{suffix}").alias("n"), may.alias("may")) for i, (name, suffix, key, may) in enumerate(stages)])
     tried = anchors.withColumn("t", F.explode(tries)).filter("t.may").select("*", "t.*").drop("t")
     tried = tried.join(own, ["split", "lesion_id", "reason", "key"]).filter(F.col("n") > F.size("own"))
@@ -80,10 +81,7 @@ def pick_targets(anchors: DataFrame, placed: DataFrame, strict: bool = False) ->
     at = F.aggregate("own", rank, lambda acc, e: F.when(e <= acc, acc + 1).otherwise(acc))
     chosen = chosen.withColumn("at", at)
     record = F.struct(*[c for c in placed.columns if not c.startswith(("p_", "n_"))])
-    targets = None
-    for name, suffix, key, may in stages:
-        part = placed.filter(may).select("split", key.alias("key"), F.col(f"p_{suffix}").alias("at"), F.lit(name).alias("reason"), record.alias("target"))
-        targets = part if targets is None else targets.unionByName(part)
+    targets = placed.select("split", F.explode(groups).alias("g"), record.alias("target")).select("split", "g.reason", "g.key", "g.at", "target")
     return chosen.join(targets, ["split", "reason", "key", "at"]).select(*anchors.columns, "reason", "target")
 
 

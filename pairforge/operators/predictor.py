@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import EPSILON
@@ -28,6 +28,10 @@ def recorded(epoch: int, epochs: int) -> bool:
     return epoch in (1, epochs) or epoch % max(1, epochs // 10) == 0
 
 
+def recorded_at(epoch: Column, epochs: int) -> Column:
+    return epoch.isin(1, epochs) | (epoch % max(1, epochs // 10) == 0)
+
+
 def pair_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """pairs with both vectors, ``x`` and ``y``. A pair without a vector is an error, not a lost row."""
     lacking = missing_vectors(pairs, vectors).limit(5).collect()
@@ -46,6 +50,18 @@ def matrices(pairs: DataFrame, order: str = "pair_id") -> tuple[np.ndarray, np.n
     return tuple(np.array(rows.column(c).to_pylist(), np.float32).reshape(rows.num_rows, -1) for c in ("x", "y"))
 
 
+def mean_squared_error(pairs: DataFrame) -> DataFrame:
+    """loss, over all numbers of the vectors x and y, and how many numbers there are; added up where the pairs are."""
+    square = F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    sums = pairs.agg(F.sum(F.aggregate(square, F.lit(0.0), lambda t, v: t + v)).alias("total"), F.sum(F.size("x")).alias("numbers"))
+    return sums.select((F.col("total") / F.col("numbers")).alias("loss"), "numbers")
+
+
+def scaled_identity(dim: int, scale: float = 1.0) -> dict[str, Any]:
+    """The linear predictor that moves nothing: where fits begin, and what they are compared with."""
+    return {"kind": "linear", "weight": scale * np.eye(dim, dtype=np.float32), "bias": np.zeros(dim, np.float32), "history": []}
+
+
 def linear_loss(x: np.ndarray, y: np.ndarray, state: dict[str, Any], decay: float) -> float:
     """Mean squared error plus decay times the mean squared distance of the weights from identity."""
     away = state["weight"] - np.eye(len(state["weight"]), dtype=np.float32)

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as names
 from pairforge.functions.vectors import cosine_distance, normalised
-from pairforge.operators import audit, checks, metrics, neardup, pairs, ranking, runs, split
+from pairforge.operators import audit, checks, metrics, neardup, pairs, predictor, ranking, runs, split
 
 SEED = 17
-STABLE, CHANGING = 20, 25
+#: Pairs of each split and draws of a bootstrap, as in the configuration's defaults.
+STABLE, CHANGING, DRAWS = 1000, 1000, 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,9 +100,9 @@ def fpr_at_tpr_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.round("fpr_at_fixed_tpr", 9).alias("fpr_at_fixed_tpr"))
 
 
-@query(f"""WITH {LABELLED}, numbered AS (SELECT label_int, score, row_number() OVER (ORDER BY doc_id) - 1 AS at_, count(*) OVER () AS n FROM scored),
+@query(f"""WITH {LABELLED}, numbered AS (SELECT label_int, score, row_number() OVER (ORDER BY md5('{SEED}/' || doc_id), doc_id) - 1 AS at_, count(*) OVER () AS n FROM scored),
 draws AS (
-  SELECT b.b, n.label_int, n.score FROM range(200) b(b), (SELECT range AS i FROM range((SELECT count(*) FROM scored))) i
+  SELECT b.b, n.label_int, n.score FROM range({DRAWS}) b(b), (SELECT range AS i FROM range((SELECT count(*) FROM scored))) i
   JOIN numbered n ON n.at_ = CAST('0x' || substr(md5('{SEED}|' || b.b || '|' || i.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM scored)),
 ranked AS (SELECT b, label_int, rank() OVER (PARTITION BY b ORDER BY score) + (count(*) OVER (PARTITION BY b, score) - 1) / 2.0::DOUBLE AS r FROM draws),
 areas AS (
@@ -108,7 +110,7 @@ areas AS (
          / nullif(count(*) FILTER (label_int = 1) * count(*) FILTER (label_int = 0), 0) AS v FROM ranked GROUP BY b)
 SELECT round(quantile_cont(v, 0.025), 9) AS auroc_ci_low, round(quantile_cont(v, 0.975), 9) AS auroc_ci_high FROM areas WHERE v IS NOT NULL""")
 def bootstrap_auroc_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = metrics.bootstrap_native(scored(spark, sf_dir), "doc_id", 200, 0.95, SEED)
+    ends = metrics.bootstrap_native(scored(spark, sf_dir), "doc_id", DRAWS, 0.95, SEED)
     return ends.select(F.round("auroc_ci_low", 9).alias("auroc_ci_low"), F.round("auroc_ci_high", 9).alias("auroc_ci_high"))
 
 
@@ -122,11 +124,13 @@ def auroc_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auroc(scored(spark, sf_dir).join(langs, "doc_id"), ["lang"]).select("lang", F.round("auroc", 9).alias("auroc"))
 
 
-@query(f"""WITH {LABELLED}, ids AS (
-  SELECT * FROM scored WHERE score BETWEEN 0 AND 7000)
-SELECT least(floor(score / 200), 34)::BIGINT AS bin, count(*) AS n FROM ids GROUP BY 1""")
+@query(f"""WITH {LABELLED}, ends AS (SELECT min(score) AS lo, max(score) AS hi FROM scored)
+SELECT least(floor((score - lo) / ((hi - lo) / 35)), 34)::BIGINT AS bin, count(*) AS n FROM scored, ends GROUP BY 1""")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.score_histogram(scored(spark, sf_dir), 0.0, 7000.0, 35)
+    """From the least to the greatest score, so that every row is counted."""
+    rows = scored(spark, sf_dir)
+    low, high = rows.agg(F.min("score"), F.max("score")).first()
+    return metrics.score_histogram(rows, low or 0.0, high or 0.0, 35)
 
 
 @query(f"""WITH {LABELLED}, named AS (SELECT CASE WHEN label_int = 1 THEN 'changing' ELSE 'stable' END AS pair_label, score FROM scored)
@@ -244,7 +248,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.positions(split.split_records(records(spark, sf_dir), SEED))
+    """The records by place; kept on disk, as anchors, their lesions and their targets are all taken from it."""
+    return pairs.positions(split.split_records(records(spark, sf_dir), SEED)).persist(StorageLevel.DISK_ONLY)
 
 
 @query(f"WITH {SPLIT} SELECT split, count(DISTINCT split_group) AS groups, count(*) AS images, count(DISTINCT lesion_id) AS lesions FROM placed GROUP BY split")
@@ -362,33 +367,26 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.manifest_violations(manifest(spark, sf_dir).persist())
 
 
-#: Pairs of orders of one customer, split by the order alone: groups that leak, on purpose.
-LEAKING = """leaking AS (
-  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'train' WHEN o_orderkey % 3 = 1 THEN 'val' ELSE 'test' END AS split, CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey % 11 = 0)"""
-
-
-@query(f"""WITH {LEAKING}, values_ AS (SELECT DISTINCT split, v FROM leaking)
-SELECT a.split AS left_split, b.split AS right_split, a.v AS value FROM values_ a JOIN values_ b ON a.v = b.v
-WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))""")
-def leakage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.when(F.col("o_orderkey") % 3 == 0, "train").when(F.col("o_orderkey") % 3 == 1, "val").otherwise("test")
-    lesion = F.col("o_custkey").cast("string")
-    rows = table(spark, sf_dir, "orders").filter("o_custkey % 11 = 0").select(part.alias("split"), lesion.alias("context_lesion_id"), lesion.alias("target_lesion_id"))
-    return checks.split_overlap(rows, "context_lesion_id", "target_lesion_id")
-
-
 @query("""WITH values_ AS (
   SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'train' WHEN o_orderkey % 3 = 1 THEN 'val' ELSE 'test' END AS split, CAST(o_custkey AS VARCHAR) AS v FROM orders)
 SELECT a.split AS left_split, b.split AS right_split, a.v AS value FROM values_ a JOIN values_ b ON a.v = b.v
 WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))""")
 def leakage_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all orders."""
+    """Orders split by their own keys, so that customers leak, on purpose: over all orders."""
     part = F.when(F.col("o_orderkey") % 3 == 0, "train").when(F.col("o_orderkey") % 3 == 1, "val").otherwise("test")
     lesion = F.col("o_custkey").cast("string")
     rows = table(spark, sf_dir, "orders").select(part.alias("split"), lesion.alias("context_lesion_id"), lesion.alias("target_lesion_id"))
     return checks.split_overlap(rows, "context_lesion_id", "target_lesion_id")
 
 
+def also(name: str, whole: Query) -> None:
+    """The same query under a second name."""
+    QUERIES[name], SQL[name] = whole, SQL[whole.__name__]
+
+
+also("leakage_overlap", leakage_overlap_all)
+
+
 @query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_ids(table(spark, sf_dir, "events").select(F.col("user_id").alias("id")), "id")
@@ -413,12 +411,6 @@ def unique_images_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.last_path(rows, "image_id", "path", "ordinal")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0)")
-def contamination_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
-    return neardup.members(docs, docs.filter("doc_id % 5 = 0"), "checksum").select("doc_id")
-
-
 @query("""SELECT doc_id FROM documents WHERE sha256(text) IN (
   SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sha256(text) FROM benchmark)""")
 def contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,6 +421,8 @@ def contamination_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.members(docs, copied.unionByName(items), "checksum").select("doc_id")
 
 
+also("contamination_semi_join", contamination_all)
+
 HASHED = """hashed AS (SELECT vec_id AS id, CAST('0x' || substr(md5(CAST(vec_id // 2 AS VARCHAR)), 1, 15) AS BIGINT) + vec_id % 2 * 37 AS h FROM embeddings)"""
 
 
@@ -474,16 +468,6 @@ def seed_sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "ci_low", "ci_high")])
 
 
-@query("""WITH observed AS (SELECT CAST(l_suppkey AS VARCHAR) AS run_id, round(avg(l_discount), 3) AS observed FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1),
-expected AS (SELECT CAST(s_suppkey AS VARCHAR) AS run_id, 0.05 AS expected FROM supplier)
-SELECT run_id, expected, observed, CASE WHEN observed IS NULL THEN 'SKIP' WHEN abs(observed - expected) <= 0.0015 THEN 'PASS' ELSE 'FAIL' END AS status
-FROM expected LEFT JOIN observed USING (run_id)""")
-def tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = table(spark, sf_dir, "lineitem").filter("l_suppkey % 4 <> 0").groupBy(F.col("l_suppkey").cast("string").alias("run_id")).agg(F.round(F.avg("l_discount"), 3).alias("value"))
-    expected = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), F.lit(0.05).alias("value"))
-    return runs.check_claims(expected, observed, tolerance=0.0015)
-
-
 @query("""WITH observed AS (SELECT CAST(l_suppkey AS VARCHAR) AS run_id, round(avg(l_discount), 3) AS observed FROM lineitem GROUP BY 1),
 expected AS (SELECT CAST(s_suppkey AS VARCHAR) AS run_id, 0.05 AS expected FROM supplier)
 SELECT run_id, expected, observed, CASE WHEN observed IS NULL THEN 'SKIP' WHEN abs(observed - expected) <= 0.0015 THEN 'PASS' ELSE 'FAIL' END AS status
@@ -495,6 +479,9 @@ def tolerance_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.check_claims(expected, observed, tolerance=0.0015)
 
 
+also("tolerance_check", tolerance_check_all)
+
+
 @query("""SELECT n_nationkey, list_extract(['strong', 'strong_held_out', 'mild'], n_nationkey % 3 + 1) AS family, n_nationkey % 3 = 1 AS blurred, n_nationkey % 3 = 2 AS noisy FROM nation""")
 def recipe_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("n_nationkey")
@@ -535,3 +522,158 @@ SELECT doc_id, n_chars, round(n_chars::DOUBLE / CASE WHEN max(n_chars) OVER () >
 def score_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return ranking.bars(rows, "n_chars", 24, "doc_id").withColumn("share", F.round("share", 9))
+
+
+# --- checks on rows that break rules -----------------------------------------------------------
+
+#: A manifest of orders that breaks every rule: repeated ids, a fourth split, a third label, lesions and patients in two splits.
+BROKEN = """broken AS (
+  SELECT CAST(o_orderkey // 2 AS VARCHAR) AS pair_id,
+         CASE o_orderkey % 7 WHEN 0 THEN 'val' WHEN 1 THEN 'test' WHEN 2 THEN 'extra' WHEN 3 THEN NULL ELSE 'train' END AS split,
+         CASE WHEN o_orderkey % 7 = 1 THEN 'stable' WHEN o_orderstatus = 'F' THEN 'stable' WHEN o_orderstatus = 'O' THEN 'changing' ELSE 'other' END AS pair_label,
+         CASE WHEN o_custkey % 10 = 0 THEN '' WHEN o_custkey % 10 = 1 THEN NULL ELSE 'square_rgb' END AS preprocessing_profile,
+         CAST(o_custkey AS VARCHAR) AS context_lesion_id, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE CAST(o_custkey + o_orderkey % 2 AS VARCHAR) END AS target_lesion_id,
+         CAST(o_custkey // 5 AS VARCHAR) AS context_patient_id, CAST(o_custkey // 5 AS VARCHAR) AS target_patient_id
+  FROM orders)"""
+
+
+def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, custom = F.col("o_orderkey"), F.col("o_custkey")
+    turn, status = key % 7, F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 2").cast("string").alias("pair_id"),
+        F.when(turn == 0, "val").when(turn == 1, "test").when(turn == 2, "extra").when(turn == 3, None).otherwise("train").alias("split"),
+        F.when(turn == 1, "stable").when(status == "F", "stable").when(status == "O", "changing").otherwise("other").alias("pair_label"),
+        F.when(custom % 10 == 0, "").when(custom % 10 == 1, None).otherwise("square_rgb").alias("preprocessing_profile"),
+        custom.cast("string").alias("context_lesion_id"), F.when(custom % 9 == 0, None).otherwise((custom + key % 2).cast("string")).alias("target_lesion_id"),
+        F.expr("o_custkey div 5").cast("string").alias("context_patient_id"), F.expr("o_custkey div 5").cast("string").alias("target_patient_id"),
+    )
+
+
+OVERLAPS = " UNION ALL ".join(
+    f"""SELECT '{side} in one split' AS rule, a.split || ' ' || b.split || ' ' || a.v AS detail
+  FROM (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM broken) a JOIN (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM broken) b ON a.v = b.v
+  WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))"""
+    for side in ("lesion", "patient")
+)
+
+
+@query(f"""WITH {BROKEN}
+SELECT 'unique pair_id' AS rule, pair_id AS detail FROM broken GROUP BY pair_id HAVING count(*) > 1
+UNION ALL SELECT 'known split', pair_id FROM broken WHERE coalesce(split NOT IN ('train', 'val', 'test'), true)
+UNION ALL SELECT 'known label', pair_id FROM broken WHERE pair_label NOT IN ('stable', 'changing')
+UNION ALL SELECT 'preprocessing profile', pair_id FROM broken WHERE coalesce(preprocessing_profile, '') = ''
+UNION ALL SELECT 'stable pairs keep the lesion', pair_id FROM broken WHERE pair_label = 'stable' AND coalesce(context_lesion_id <> target_lesion_id, true)
+UNION ALL SELECT 'changing pairs change the lesion', pair_id FROM broken WHERE pair_label = 'changing' AND coalesce(context_lesion_id = target_lesion_id, true)
+UNION ALL {OVERLAPS}
+UNION ALL SELECT 'both labels in each split', split FROM broken GROUP BY split HAVING count(DISTINCT pair_label) FILTER (pair_label IN ('stable', 'changing')) < 2""")
+def manifest_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.manifest_violations(broken_pairs(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT p_brand AS image_id, p_size % 5 <> 0 AS image_found FROM part)
+SELECT 'unique image_id' AS rule, image_id AS detail FROM r GROUP BY image_id HAVING count(*) > 1
+UNION ALL SELECT 'image present', image_id FROM r WHERE NOT image_found
+UNION ALL SELECT 'at least six images', CAST(n AS VARCHAR) FROM (SELECT count(*) FILTER (image_found) AS n FROM r) WHERE n < 6""")
+def record_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.record_violations(table(spark, sf_dir, "part").select(F.col("p_brand").alias("image_id"), (F.col("p_size") % 5 != 0).alias("image_found")))
+
+
+@query("""WITH r AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey END AS lesion_id FROM supplier),
+sizes AS (SELECT s.split, count(DISTINCT lesion_id) AS lesions, count(lesion_id) AS images FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN r ON r.split = s.split GROUP BY s.split)
+SELECT 'two lesions in each split' AS rule, split AS detail FROM sizes WHERE lesions < 2
+UNION ALL SELECT 'an image for each pair', split FROM sizes WHERE images < 5""")
+def split_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    val = F.col("s_suppkey") % 4 == 0
+    rows = table(spark, sf_dir, "supplier").select(F.when(val, "val").otherwise("train").alias("split"), F.when(val, 0).otherwise(F.col("s_suppkey")).alias("lesion_id"))
+    return checks.split_violations(rows, 5, 3)
+
+
+@query("""SELECT DISTINCT image_id FROM (SELECT unnest([vec_id, vec_id + 3]) AS image_id FROM embeddings) WHERE image_id NOT IN (SELECT vec_id FROM embeddings)""")
+def pairs_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return checks.missing_vectors(vectors.select(F.col("image_id").alias("context_image_id"), (F.col("image_id") + 3).alias("target_image_id")), vectors)
+
+
+@query("""WITH rows AS (SELECT d.lang, l.quality, CASE WHEN d.lang = 'de' AND l.doc_id % 9 = 0 THEN NULL ELSE d.n_chars END AS score FROM labels l JOIN documents d USING (doc_id)),
+counts AS (SELECT lang, count(*) AS n, count(*) FILTER (score IS NULL OR y IS NULL OR y NOT IN (0, 1)) AS n_invalid, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg
+           FROM (SELECT *, CASE WHEN lang = 'fr' THEN 1 WHEN lang = 'es' THEN quality + 1 ELSE quality END AS y FROM rows) GROUP BY lang)
+SELECT * FROM counts WHERE n_invalid > 0 OR n_pos = 0 OR n_neg = 0""")
+def groups_without_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    label = F.when(F.col("lang") == "fr", 1).when(F.col("lang") == "es", F.col("quality") + 1).otherwise(F.col("quality"))
+    score = F.when((F.col("lang") == "de") & (F.col("doc_id") % 9 == 0), None).otherwise(F.col("n_chars"))
+    return metrics.invalid_groups(labels.join(docs, "doc_id").select("lang", label.alias("label_int"), score.alias("score")), ["lang"])
+
+
+# --- summaries, predictors, names ---------------------------------------------------------------
+
+
+@query(f"""WITH {LABELLED}, {CURVE}, ranked AS (
+  SELECT label_int, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM scored),
+area AS (SELECT (sum(r) FILTER (label_int = 1) - count(*) FILTER (label_int = 1) * (count(*) FILTER (label_int = 1) + 1) / 2.0::DOUBLE)
+                / (count(*) FILTER (label_int = 1) * count(*) FILTER (label_int = 0)) AS auroc FROM ranked),
+gain AS (SELECT sum((tp - before)::DOUBLE * tp / (tp + fp)) / max(tp) AS auprc FROM (SELECT *, coalesce(lag(tp) OVER (ORDER BY score DESC), 0) AS before FROM upto)),
+eer AS (SELECT threshold, (fpr + 1 - tpr) / 2 AS rate FROM curve ORDER BY abs(fpr - (1 - tpr)), idx LIMIT 1)
+SELECT round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, eer.threshold AS eer_threshold, round(eer.rate, 9) AS equal_error_rate,
+       (SELECT round(coalesce(min(fpr) FILTER (tpr >= 0.8), 1.0), 9) FROM curve) AS fpr_at_fixed_tpr, 0.8::DOUBLE AS fixed_tpr FROM area, gain, eer""")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.metric_summary(scored(spark, sf_dir), (), 0.8)
+    return found.select(*[F.round(c, 9).alias(c) for c in ("auroc", "auprc")], "eer_threshold", *[F.round(c, 9).alias(c) for c in ("equal_error_rate", "fpr_at_fixed_tpr")], "fixed_tpr")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'mild' ELSE 'strong,strong_held_out' END AS held_out, CASE WHEN n_nationkey % 3 = 0 THEN 'mild' ELSE 'strong' END AS same FROM nation""")
+def split_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("n_nationkey") % 3
+    part = F.when(i == 0, "train").when(i == 1, "val").otherwise("test")
+    plain = F.when(i == 0, names.severity(F.lit("train"), "mild", "strong")).otherwise(names.severity(part, "strong", None))
+    return table(spark, sf_dir, "nation").select("n_nationkey", names.severity(part, "mild", "strong,strong_held_out").alias("held_out"), plain.alias("same"))
+
+
+@query("SELECT n_nationkey + 1 AS epoch FROM nation WHERE n_nationkey + 1 IN (1, 25) OR (n_nationkey + 1) % 2 = 0")
+def recorded_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epoch = F.col("n_nationkey") + 1
+    return table(spark, sf_dir, "nation").filter(predictor.recorded_at(epoch, 25)).select(epoch.alias("epoch"))
+
+
+@query("""SELECT round(avg((x - y) * (x - y)), 9) AS loss, count(*) AS numbers FROM (
+  SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
+def identity_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return predictor.mean_squared_error(rows.join(after, "vec_id")).select(F.round("loss", 9).alias("loss"), "numbers")
+
+
+@query(f"WITH {PAIRED} SELECT vec_id, round(score, 4) AS score FROM paired")
+def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear predictor of twice the context, whose direction is the context's: its score is the pair's cosine distance."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return predictor.score(rows.join(after, "vec_id"), predictor.scaled_identity(64, 2.0)).select("vec_id", F.round(F.round("score", 6), 4).alias("score"))
+
+
+@query("""WITH v AS (SELECT p_partkey, 'the loss fell by ' || (p_size % 40) || '.5 % in all' AS t, CASE WHEN p_size % 8 = 0 THEN 0.0 ELSE p_retailprice END AS first, p_retailprice * (100 - p_size % 41) / 100 AS last FROM part),
+w AS (SELECT *, CASE WHEN first = 0 THEN NULL ELSE (first - last) / first * 100 END AS fell, CAST(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS DOUBLE) AS said FROM v)
+SELECT p_partkey, round(fell, 6) AS fell, coalesce(abs(said - round(fell, 6)) <= 0.5, false) AS stated FROM w""")
+def stated_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("the loss fell by "), (F.col("p_size") % 40).cast("string"), F.lit(".5 % in all"))
+    first, last = F.when(F.col("p_size") % 8 == 0, 0.0).otherwise(F.col("p_retailprice")), F.col("p_retailprice") * (100 - F.col("p_size") % 41) / 100
+    fell = F.round(runs.loss_reduction(first, last), 6)
+    return table(spark, sf_dir, "part").select("p_partkey", fell.alias("fell"), runs.stated(text, fell).alias("stated"))
+
+
+@query(f"""WITH {LABELLED}, byl AS (SELECT s.*, d.lang FROM scored s JOIN documents d USING (doc_id)),
+ranked AS (SELECT lang, label_int, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS r FROM byl),
+areas AS (SELECT round((sum(r) FILTER (label_int = 1) - count(*) FILTER (label_int = 1) * (count(*) FILTER (label_int = 1) + 1) / 2.0::DOUBLE)
+                 / nullif(count(*) FILTER (label_int = 1) * count(*) FILTER (label_int = 0), 0), 9) AS a FROM ranked GROUP BY lang)
+SELECT max(a) AS strongest, 'strongest AUROC >= 0.55' AS criterion, coalesce(max(a) >= 0.55, false) AS passed FROM areas""")
+def acceptance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.accepted(auroc_by_language(spark, sf_dir), 0.55)
+
+
+@query(f"""WITH {RECORDS}, c AS (SELECT count(*) AS n, count(*) FILTER (patient_id_available) AS patients FROM records)
+SELECT '{audit.NOTE["always"]}' || CASE WHEN patients = 0 THEN ' {audit.NOTE["no_patients"]}' ELSE '' END || ' {audit.NOTE["no_lesions"]}' || ' {audit.NOTE["missing"]}' AS note FROM c""")
+def leakage_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if one record had no lesion, and two no image."""
+    counts = records(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("patient_id_available").alias("patients"))
+    return counts.select(audit.leakage_note(F.col("n"), F.col("n") - 1, F.col("patients"), F.lit(0), F.lit(2)).alias("note"))
