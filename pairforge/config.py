@@ -10,6 +10,8 @@ from typing import Any, get_type_hints
 FAMILIES = ("mild", "strong", "strong_held_out", "strong_held_out_2")
 POLICIES = ("fallback", "strict_same_diagnosis_site")
 MODELS = ("color_texture", "dinov2", "clip", "open_clip")
+#: linear and mlp are fitted by mini-batches on the driver; ridge by sums over any number of pairs.
+PREDICTORS = ("linear", "mlp", "ridge")
 
 
 class ConfigError(ValueError):
@@ -100,7 +102,7 @@ class Training:
     def __post_init__(self) -> None:
         _need(min(self.epochs, self.batch_size, self.hidden_dim) >= 1, "training epochs, batch_size and hidden_dim must be positive")
         _need(self.learning_rate > 0 and self.weight_decay >= 0, "training.learning_rate must be positive and weight_decay not negative")
-        _need(self.predictor in ("linear", "mlp"), "training.predictor must be 'linear' or 'mlp'")
+        _need(self.predictor in PREDICTORS, f"training.predictor must be one of {PREDICTORS}")
         _need(self.optimizer in ("sgd", "adam"), "training.optimizer must be 'sgd' or 'adam'")
 
 
@@ -184,9 +186,13 @@ def _make(kind: type, data: Any, where: str) -> Any:
 
 
 def load(path: str, **overrides: Any) -> Config:
-    """A configuration from a YAML mapping; overrides replace top-level settings."""
+    """A configuration from a YAML mapping, at a path or a URI; overrides replace top-level settings."""
     import yaml
 
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    from pairforge.sinks.files import open_store
+
+    store, name = open_store(str(Path(path).resolve()) if "://" not in path else path)
+    with store.open_input_file(name) as file:
+        data = yaml.safe_load(file.read().decode())
     _need(isinstance(data, Mapping), f"{path} must hold a mapping")
     return _make(Config, {**data, **{k: v for k, v in overrides.items() if v is not None}}, "config")

@@ -10,12 +10,18 @@ from typing import Any
 import numpy as np
 
 
-def from_row(image: dict[str, Any]) -> np.ndarray:
-    """A row of Spark's image source, whose bytes are blue first, as uint8."""
+#: How an image of each Exif orientation is turned upright.
+UPRIGHT = {
+    1: lambda a: a, 2: lambda a: a[:, ::-1], 3: lambda a: a[::-1, ::-1], 4: lambda a: a[::-1],
+    5: lambda a: a.swapaxes(0, 1), 6: lambda a: np.rot90(a, -1), 7: lambda a: a[::-1, ::-1].swapaxes(0, 1), 8: lambda a: np.rot90(a),
+}
+
+
+def from_row(image: dict[str, Any], orientation: int = 1) -> np.ndarray:
+    """A row of Spark's image source, whose bytes are blue first, as uint8, turned upright."""
     flat = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
-    if image["nChannels"] == 1:
-        return np.repeat(flat, 3, axis=2)
-    return flat[:, :, 2::-1]
+    rgb = np.repeat(flat, 3, axis=2) if image["nChannels"] == 1 else flat[:, :, 2::-1]
+    return UPRIGHT[orientation](rgb)
 
 
 def _cubic(t: np.ndarray) -> np.ndarray:
@@ -117,6 +123,7 @@ def perceptual_hash(image: np.ndarray) -> int:
 
 
 # --- nuisance families --------------------------------------------------------------------------
+# The ranges that each family draws from, the names of its recipe, and its own name.
 
 
 def _blend(image: np.ndarray, other: np.ndarray | float, factor: float) -> np.ndarray:

@@ -105,8 +105,10 @@ def bootstrap_native(scores: DataFrame, key: str, samples: int, level: float, se
     return ends.join(auroc(scores), F.lit(True)).select(F.coalesce("lo", "auroc").alias("auroc_ci_low"), F.coalesce("hi", "auroc").alias("auroc_ci_high"))
 
 
-def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: str, samples: int, level: float, seed: int) -> DataFrame:
-    """The same interval from one sequential NumPy generator for each group, in row order.
+def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: Sequence[str], samples: int, level: float, seed: int | dict[str, int]) -> DataFrame:
+    """The same interval from one sequential NumPy generator for each group, over its rows in order.
+
+    ``seed`` may give each value of the first group column its own.
 
     Groups are evaluation sets of thousands of rows; each is drawn in one task, because its
     draws share one stream. Use bootstrap_native where a group is large.
@@ -117,7 +119,7 @@ def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: str, sa
     group = list(group)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+        rows = rows.sort_values(list(order), kind="stable")
         y, s = rows["label_int"].to_numpy(), rows["score"].to_numpy(float)
 
         def area(y: np.ndarray, s: np.ndarray) -> float:
@@ -126,7 +128,7 @@ def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: str, sa
             pos = np.bincount(at, weights=y, minlength=len(values))
             return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
-        rng, found = np.random.default_rng(seed), []
+        rng, found = np.random.default_rng(seed[key[0]] if isinstance(seed, dict) else seed), []
         for _ in range(samples):
             drawn = rng.choice(np.arange(len(y)), size=len(y), replace=True)
             if 0 < y[drawn].sum() < len(y):

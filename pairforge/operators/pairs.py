@@ -114,13 +114,30 @@ def _with_candidates(placed: DataFrame) -> DataFrame:
     return placed.join(own, [*cell, "lesion_id"]).filter("own < n_cell").drop("own")
 
 
-def pair_rows(pairs: DataFrame, split_label: str, reason: Column, recipe: Column, target_id: Column, target_path: Column, profile: str) -> DataFrame:
+def synthetic_pairs(records: DataFrame, stable: int, changing: int) -> tuple[DataFrame, DataFrame]:
+    """Stable and changing pairs of synthetic records: in the order of their ids, over and over.
+
+    A stable pair is of the record whose turn it is, a changing one of that record and the next
+    one of its split; changing pairs go on where the stable ones ended.
+    """
+    by_id = Window.partitionBy("split").orderBy("image_id")
+    placed = records.withColumn("p", F.row_number().over(by_id) - 1).withColumn("n", F.count("*").over(Window.partitionBy("split")))
+    record = F.struct(*records.columns).alias("target")
+    turns = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("ordinal")
+    sizes = placed.groupBy("split").agg(F.first("n").alias("n"))
+    first = sizes.select("split", "n", turns(stable)).withColumn("p", F.col("ordinal") % F.col("n")).drop("n")
+    second = sizes.select("split", "n", turns(changing)).withColumn("p", (F.col("ordinal") + stable) % F.col("n")).withColumn("q", (F.col("p") + 1) % F.col("n")).drop("n")
+    own = placed.drop("n")
+    targets = own.select("split", F.col("p").alias("q"), record)
+    return own.join(first, ["split", "p"]).select("*", record), own.join(second, ["split", "p"]).join(targets, ["split", "q"])
+
+
+def pair_rows(pairs: DataFrame, split_label: str, reason: Column, recipe: Column, target_id: Column, target_path: Column, profile: str, name: str = "%s_public_{}_%04d") -> DataFrame:
     """Manifest rows of pairs with an ordinal and a target; diagnosis, site and source are the context's."""
     from pairforge.schema import PAIRS
 
-    digits = 4
     values = {
-        "pair_id": F.format_string(f"%s_public_{split_label}_%0{digits}d", F.col("split"), F.col("ordinal").cast("int")),
+        "pair_id": F.format_string(name.format(split_label), F.col("split"), F.col("ordinal").cast("int")),
         "split": F.col("split"), "source_dataset": F.col("source_dataset"), "pair_label": F.lit(split_label),
         "context_image_id": F.col("image_id"), "target_image_id": target_id, "context_path": F.col("path"), "target_path": target_path,
         "context_checksum": F.col("checksum"), "target_checksum": F.col("target.checksum"),

@@ -1,8 +1,9 @@
 """Predictors of target vectors from context vectors, and their scores.
 
-Training sets are a thousand or so stable pairs, so fitting runs on the driver over one matrix;
-``ridge`` is the closed form that runs where the pairs are. Prediction and scoring are
-distributed for both.
+Fits by mini-batches follow one sequential generator, so they run on the driver over one matrix of
+at most MOST_PAIRS pairs. ``ridge`` is the closed form, from sums that are made where the pairs
+are, of any number: a configuration names it as its predictor. Prediction and scoring are
+distributed for all.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def matrices(pairs: DataFrame, order: str = "pair_id") -> tuple[np.ndarray, np.n
     """The vectors of at most MOST_PAIRS pairs, in order, as float32 matrices on the driver."""
     rows = pairs.orderBy(order).select("x", "y").limit(MOST_PAIRS + 1).toArrow()
     if rows.num_rows > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} training pairs; use ridge()")
+        raise ValueError(f"more than {MOST_PAIRS} training pairs; name ridge as the predictor")
     return tuple(np.array(rows.column(c).to_pylist(), np.float32).reshape(rows.num_rows, -1) for c in ("x", "y"))
 
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import html
 import json
+import platform
+from contextlib import suppress
+from dataclasses import asdict
+from datetime import UTC, datetime
+from importlib.metadata import version
 from pathlib import Path
 from typing import Any
 
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.operators.audit import first_per_label
+from pairforge.sinks.files import copy, put
 
 # Columns of the review subset.
 REVIEW = (
@@ -20,8 +26,8 @@ REVIEW = (
 
 
 def write_manifest(pairs: DataFrame, path: str) -> None:
-    """Pairs by split, so that a stage reads its split alone."""
-    pairs.repartition("split").write.partitionBy("split").parquet(path)
+    """Pairs by split, so that a stage reads its split alone; each split is written by several tasks."""
+    pairs.repartition("split", F.pmod(F.xxhash64("pair_id"), F.lit(16))).write.partitionBy("split").parquet(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
@@ -35,8 +41,11 @@ def write_review(pairs: DataFrame, path: str) -> None:
     few.orderBy(order, F.col("pair_label").desc(), "pair_id").select(*REVIEW).coalesce(1).write.csv(path, header=True, emptyValue="")
 
 
-def write_near_duplicates(pairs: DataFrame, path: str) -> None:
+def write_near_duplicates(pairs: DataFrame, covered: DataFrame, within: int, path: str) -> None:
+    """The pairs as CSV, nearest first, and beside them how many images of each archive were hashed."""
     pairs.orderBy("distance", "a_id", "b_id").write.csv(path, header=True)
+    lines = [f"{r.archive}: {r.hashed} of {r.members} images hashed" for r in covered.orderBy("archive").collect()]  # a row an archive
+    put(f"{path}.coverage.txt", "\n".join([f"threshold={within}", *lines, f"TOTAL near-duplicate pairs: {pairs.count()}", ""]).encode())
 
 
 def write_document(path: Path, document: dict[str, Any]) -> None:
@@ -71,12 +80,36 @@ def bar_chart(rows: list[tuple[str, float]], width: int = 480) -> str:
 
 
 def write_demo(folder: Path, run_id: str, pairs: list[dict[str, Any]], charts: list[dict[str, Any]]) -> None:
-    """A bundle of JSON and HTML for a few pairs; ``pairs`` and ``charts`` come from small collects."""
-    write_document(folder / "demo.json", {"run_id": run_id, "pairs": pairs, "scores": charts})
+    """A bundle of JSON, HTML and images for a few pairs; ``pairs`` and ``charts`` come from small collects."""
+    shown = []
+    for p in pairs:
+        own = dict(p)
+        for side in ("context", "target"):
+            source = str(p[f"{side}_path"])
+            own[f"{side}_image"] = f"images/{len(shown)}-{side}.{source.rpartition('.')[2]}"
+            with suppress(OSError):  # an image that is gone leaves its place empty
+                copy(source, str((folder / own[f"{side}_image"]).resolve()))
+        shown.append(own)
+    write_document(folder / "demo.json", {"run_id": run_id, "pairs": shown, "scores": charts})
     cells = "".join(
         f"<tr><td>{html.escape(str(p['pair_id']))}</td><td>{html.escape(str(p['pair_label']))}</td>"
-        f"<td><img src='{html.escape(str(p['context_path']))}'></td><td><img src='{html.escape(str(p['target_path']))}'></td></tr>"
-        for p in pairs
+        f"<td><img src='{html.escape(p['context_image'])}'></td><td><img src='{html.escape(p['target_image'])}'></td></tr>"
+        for p in shown
     )
     page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(run_id)}</title><table>{cells}</table>"
     (folder / "index.html").write_text(page, encoding="utf-8")
+
+
+def append_log(folder: Path, name: str, line: str) -> None:
+    """A line of a plain text log, with the time."""
+    folder.mkdir(parents=True, exist_ok=True)
+    with open(folder / name, "a", encoding="utf-8") as log:
+        log.write(f"{datetime.now(UTC).isoformat()} {line}\n")
+
+
+def snapshot(folder: Path, config: Any, spark: Any) -> None:
+    """The run's configuration and what it ran on, beside its results."""
+    write_document(folder / "config.json", asdict(config))
+    found = {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "parallelism": spark.sparkContext.defaultParallelism}
+    found |= {name: version(name) for name in ("pyspark", "pyarrow", "numpy", "pandas")}
+    write_document(folder / "environment.json", found)

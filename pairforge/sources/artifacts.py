@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,26 +52,3 @@ def read_runs(spark: SparkSession, root: str, name: str = "metrics.json") -> Dat
     """(run_id, json) of every run below root that has metrics; the folder names the run."""
     text = spark.read.text(f"{root}/*/{name}", wholetext=True)
     return text.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_id"), F.col("value").alias("json"))
-
-
-def archive_members(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(archive, member, content) of the images in ZIP archives; members that cannot be read are skipped.
-
-    An archive is one row of its bytes, so it is read by one task and never unpacked to disk.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.infolist():
-                        if member.filename.rpartition(".")[2].lower() not in extensions:
-                            continue
-                        try:
-                            data = z.read(member)
-                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                            continue
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member.filename]), pa.array([data], pa.binary())], ["archive", "member", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, content binary")

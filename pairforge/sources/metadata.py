@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.functions.headers import jpeg_sizes
 from pairforge.functions.text import first_filled
-from pairforge.schema import ALIASES, NO_DIAGNOSIS, NO_LESION, NO_PATIENT, NO_SITE, RECORDS
+from pairforge.schema import ALIASES, NO_DIAGNOSIS, NO_LESION, NO_PATIENT, NO_SITE, RECORDS, SYNTHETIC_DIAGNOSES, SYNTHETIC_SITES
 
 
 def read_csv(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """A CSV with a header, all strings; empty and missing cells are empty strings. Surplus cells are dropped.
 
-    ``max_records`` keeps the first rows in file order: of one file, whose rows are numbered where
-    they are read.
+    A quoted cell may hold line breaks, so a file is read by one task, in its order; ``max_records``
+    keeps the first rows of it.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=False, escape='"')
+    rows = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"')
     rows = rows.na.fill("")
     if max_records is not None:
         rows = rows.limit(max_records)
@@ -69,8 +70,7 @@ def resolve(ids: DataFrame, files: DataFrame, extensions: Sequence[str]) -> Data
 def probe(files: DataFrame) -> DataFrame:
     """files (with path and content) plus checksum, width and height, from the bytes alone; null sizes where no header is found.
 
-    PNG, GIF and BMP keep their sizes at fixed places; a JPEG's stands in its frame header,
-    which is looked for in the file's first 256 KiB.
+    PNG, GIF and BMP keep their sizes at fixed places; a JPEG's segments are walked to its frame header.
     """
     head = F.substring("content", 1, 32)
     digits = F.hex(head)
@@ -81,15 +81,10 @@ def probe(files: DataFrame) -> DataFrame:
             part = F.concat(*[F.substring(digits, (start + i) * 2 + 1, 2) for i in reversed(range(count))])
         return F.conv(part, 16, 10).cast("long")
 
-    # Byte for byte as characters, so that matches keep to bytes. The last frame header is the
-    # image's own: earlier ones are of previews, and compressed data cannot hold one.
-    bytes_ = F.decode(F.substring("content", 1, 1 << 18), "ISO-8859-1")
-    found = F.regexp_extract(bytes_, r"(?s)^\u00FF\u00D8.*\u00FF[\u00C0-\u00C3]\u0000.\u0008(....)[\u0001\u0003\u0004]", 1)
-    frame = F.hex(F.encode(found, "ISO-8859-1"))
-    tall, wide = F.conv(F.substring(frame, 1, 4), 16, 10).cast("long"), F.conv(F.substring(frame, 5, 4), 16, 10).cast("long")
+    frame = jpeg_sizes(F.col("content"))
     png, gif, bmp = F.startswith(digits, F.lit("89504E47")), F.startswith(digits, F.lit("474946")), F.startswith(digits, F.lit("424D"))
-    width = F.when(png, number(16, 4)).when(gif, number(6, 2, True)).when(bmp, number(18, 4, True)).when(frame != "", wide)
-    height = F.when(png, number(20, 4)).when(gif, number(8, 2, True)).when(bmp, number(22, 4, True)).when(frame != "", tall)
+    width = F.when(png, number(16, 4)).when(gif, number(6, 2, True)).when(bmp, number(18, 4, True)).otherwise(frame["width"])
+    height = F.when(png, number(20, 4)).when(gif, number(8, 2, True)).when(bmp, number(22, 4, True)).otherwise(frame["height"])
     return files.select("*", F.sha2("content", 256).alias("checksum"), width.alias("width"), height.alias("height"))
 
 
@@ -128,7 +123,7 @@ def ids_in_listing(files: DataFrame, pattern: str = r"ISIC_\w+") -> DataFrame:
 
 
 def synthetic_records(spark: SparkSession, lesions_per_split: int, source: str = "synthetic") -> DataFrame:
-    """Deterministic records: {split}_base_000 and on, diagnoses a and b in turn, three sites in turn."""
+    """Deterministic records: {split}_base_000 and on, diagnoses and sites in turn."""
     i = F.col("i")
     splits = F.explode(F.array(F.lit("train"), F.lit("val"), F.lit("test"))).alias("split")
     rows = spark.range(lesions_per_split).select(F.col("id").alias("i"), splits)
@@ -136,10 +131,8 @@ def synthetic_records(spark: SparkSession, lesions_per_split: int, source: str =
     return rows.select(
         "split", name.alias("image_id"), F.format_string("%s_lesion_%03d", "split", i).alias("lesion_id"), F.lit(True).alias("lesion_id_available"),
         F.format_string("%s_patient_%03d", "split", i).alias("patient_id"), F.lit(True).alias("patient_id_available"),
-        F.element_at(F.array(F.lit("a"), F.lit("b")), (i % 2 + 1).cast("int")).alias("diagnosis"),
-        F.element_at(F.array(F.lit("torso"), F.lit("arm"), F.lit("leg")), (i % 3 + 1).cast("int")).alias("anatomical_site"),
+        F.element_at(F.array(*map(F.lit, SYNTHETIC_DIAGNOSES)), (i % 2 + 1).cast("int")).alias("diagnosis"),
+        F.element_at(F.array(*map(F.lit, SYNTHETIC_SITES)), (i % 3 + 1).cast("int")).alias("anatomical_site"),
         F.lit(source).alias("source_dataset"), F.lit("").alias("path"), F.lit(True).alias("image_found"), F.sha2(name, 256).alias("checksum"),
         F.lit(64).cast("long").alias("width"), F.lit(64).cast("long").alias("height"),
     )
-
-

@@ -270,3 +270,19 @@ def test_audit_counts(spark):
     assert found["image_availability"] == {"found": 11, "missing": 1, "unreadable": 0, "missing_sample": ["I003"], "unreadable_sample": []}
     assert sum(found["diagnosis_counts"].values()) == 12 and found["duplicate_probes"]["duplicate_checksum_count"] == 1
     assert "do not have local images" in found["leakage_risk_note"]
+
+
+def test_skewed_scores_fill_ranges_alike(spark):
+    from pairforge.functions.order import in_ranges, running_sums
+
+    df = spark.range(20_000).selectExpr("exp(id / 1000.0) + id / 1e6 as score", "1 as one", "'a' as g").unionByName(spark.range(50).selectExpr("double(id) as score", "1 as one", "'b' as g"))
+    sizes = in_ranges(df.filter("g = 'a'"), ["g"], "score").groupBy("_bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 0.02 * 20_000
+    rows = running_sums(df, ["g"], "score", ["one"], descending=True, following=["one"]).groupBy("g").agg(F.max("one_upto").alias("n"), F.count_if(F.col("one_next").isNull()).alias("last")).collect()
+    assert {(r.g, r.n, r.last) for r in rows} == {("a", 20_000, 1), ("b", 50, 1)}
+
+
+def test_few_chance_meetings_of_random_hashes(spark):
+    a = spark.range(2000).select(F.xxhash64("id").alias("ha"))
+    b = spark.range(50_000).select(F.xxhash64(F.col("id") + 10**6).alias("hb"))
+    assert neardup.hamming_candidates(a, b, 10).count() < 0.01 * 2000 * 50_000
