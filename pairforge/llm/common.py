@@ -89,12 +89,17 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        self.schemas: dict = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         self.names.append(name)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[name] = df.schema
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables, or whatever else lies under these names."""

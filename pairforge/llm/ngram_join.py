@@ -14,9 +14,12 @@ The boundary between small and large is the one with the least cost, counted fro
 all sets. Sets just below a boundary take part above it, too, so no pair is lost.
 
 Sets that share a subset are joined to the least of them, not to each other; components of
-those edges are clusters. Clusters are cut into blocks of bounded size, and each pair of blocks
-is compared in full, by a matrix product over the shingles that two or more of its sets have.
-So the links are exact, and no row is made for a pair of documents.
+those edges are clusters. Sets that share a subset and no more could chain unrelated ones into
+a wide cluster. So in clusters of more than WIDE blocks, the sets of each subset that at most
+GROUP sets share are held against each other by bitmaps, whose differences bound those of the
+sets, and only pairs that may link join their clusters. Clusters are cut into blocks of bounded
+size, and each pair of blocks is compared in full, by a matrix product over the shingles that
+two or more of its sets have. So the links are exact, and no row is made for a pair of documents.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairforge.llm.common import BROADCAST_ROWS, PLACE, Scratch, give_back, located, lookup, small_batches
+from pairforge.llm.common import PLACE, Scratch, fetch, give_back, located, lookup, small_batches
 from pairforge.llm.components import components
 
 SUBSET = 2
@@ -44,6 +47,10 @@ GATHER, LEAST = 1_500_000, 3
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 #: Small clusters are put together up to about so many shingles.
 BIN_SHINGLES = 1 << 16
+#: Clusters of more blocks are looked at again, subset by subset, but for subsets of more sets.
+WIDE, GROUP = 4, 256
+#: Bits of a set's bitmap for each of its shingles, at least.
+BITS = 4
 MEMO = 150_000
 #: Above the boundary: (least size, c) for 0.9. c grows with the size, and as prefixes do, to keep parts small.
 LEVELS = ((640, 96), (5120, 768), (40_960, 6144), (327_680, 49_152))
@@ -236,6 +243,73 @@ def _edges(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return cold.unionByName(hot.join(least, "key").filter("rid <> v").select(F.col("rid").alias("u"), "v")).distinct()
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles hash to i. Differing bits are at most differing shingles."""
+    log2 = max(6, int(BITS * len(shingles) - 1).bit_length())
+    at = (shingles * _B) >> np.uint64(64 - log2)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=1 << log2) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(maps: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """By pair of sets, whether their sizes and bitmaps allow a link. No pair that links is left out."""
+    width = np.array([8 * len(m) for m in maps])
+    out = np.zeros((len(maps), len(maps)), bool)
+    for w in np.unique(width):
+        # A partner has at most percent / 100 times as many shingles, so its bitmap is as wide or twice as wide.
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = np.array([np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(maps[i], np.uint8)).reshape(w, -1), axis=1) for i in rows], np.float32)
+        ones = bits.sum(axis=1)
+        differ = np.rint(ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
+        both = n[rows][:, None] + n[rows][None, :]
+        most = np.minimum((both - differ) // 2, np.minimum(n[rows][:, None], n[rows][None, :]))
+        out[np.ix_(rows, rows)] |= (100 * most >= percent * (both - most)) & ((width[rows] == w)[:, None] | (width[rows] == w)[None, :])
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _may(table: pa.Table, percent: int) -> pa.Table:
+    """(u, v) that join the sets of each key that may link: each to the least that it reaches."""
+    key, rid, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "rid", "n"))
+    maps = table.column("map").to_pylist()
+    order = np.lexsort((rid, key))
+    starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, end in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+        rows = order[at:end]
+        if len(rows) > 1:
+            label = _labels(may_link([maps[i] for i in rows], n[rows], percent))
+            moved = label != np.arange(len(rows))
+            us.append(rid[rows][moved])
+            vs.append(rid[rows][label[moved]])
+    return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
+
+
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """By row, the least row that links reach."""
+    label = np.arange(len(linked))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def narrowed(keys: DataFrame, maps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): edges among the sets of maps (rid, n, map) that join all that may link.
+
+    ``keys`` has key and rid. Sets of a key that more than GROUP have are joined to the least.
+    """
+    own = scratch.write(keys.select("key", "rid").distinct().join(maps.select("rid"), "rid"), "wide-keys")
+    sizes = scratch.write(own.groupBy("key").agg(F.count("*").alias("sets"), F.min("rid").alias("v")).filter("sets > 1"), "wide-sizes")
+    large = lookup(own, sizes.filter(F.col("sets") > GROUP), "key", "sets").filter("rid <> v").select(F.col("rid").alias("u"), "v")
+    small = lookup(own, sizes.filter(F.col("sets") <= GROUP), "key", "sets").select("key", "rid")
+    bins = max(1, -(-small.count() // 4096))
+    full = small.join(maps, "rid").withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
+    met = full.groupBy("bin").applyInArrow(lambda t: _may(t, percent), "u long, v long")
+    return large.unionByName(met).distinct()
+
+
 def _links(table: pa.Table, percent: int) -> pa.Table:
     """The links within one tile: (rid, label, links). label joins the sets of a tile that link."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -270,28 +344,44 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
             linked &= blk[rows][:, None] != blk[rows][None, :]
         if not linked.any():
             continue
-        label = np.arange(len(rows))
-        while True:
-            least = np.minimum(label, np.where(linked, label[None, :], len(rows)).min(axis=1))
-            least = np.minimum(least, least[least])
-            if (least == label).all():
-                break
-            label = least
+        label = _labels(linked)
         some = linked.any(axis=1)
         out.append((rid[rows][some], rid[rows][label][some], (linked * copies[rows][None, :]).sum(axis=1)[some]))
     got = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
     return pa.table({"rid": pa.array(got[0], pa.int64()), "label": pa.array(got[1], pa.int64()), "links": pa.array(got[2], pa.int64())})
 
 
+def _members(classes: DataFrame, clusters: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The classes of clusters (rid, cluster) of two or more, each with how many blocks its cluster has."""
+    rows = classes.select("rid", "first", "copies", "n").join(clusters, "rid")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    sizes = scratch.write(rows.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")), f"{name}-sizes")
+    return scratch.write(lookup(rows, sizes, "cluster", "sets").drop("sets"), name)
+
+
+def _bitmaps(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(rid, n, map) of members."""
+    rows = fetch(docs.select(*PLACE, F.encode("text", "UTF-8").alias("text")), members.select("first.row_file", "first.row_at", "rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for b in batches:
+            sets = [shingles(text) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary())], ["rid", "n", "map"])
+        del shingles
+        give_back()
+
+    return rows.select("rid", "text").mapInArrow(run, "rid long, n long, map binary")
+
+
 def _compare(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Compare the sets of each cluster, block by block: (rid, label, links)."""
     spark = docs.sparkSession
     total = members.agg(F.count("*"), F.sum("n")).first()
     bins = max(1, -(-(total[1] or 0) // BIN_SHINGLES))
-    few = total[0] <= BROADCAST_ROWS
     wanted = members.select("first.row_file", "first.row_at", "rid", "copies", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("long").alias("blk"))
     texts = docs.select(*PLACE, F.encode("text", "UTF-8").alias("text"))
-    rows = texts.join(F.broadcast(wanted) if few else wanted, list(PLACE))
+    rows = fetch(texts, wanted)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -359,12 +449,15 @@ def _joined(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tupl
     grouped = sets.filter("n > 0").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "c1", "p1", "c2", "p2")])
     classes = scratch.write(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
     clusters = components(scratch.write(_edges(classes, scratch), "edges"), scratch, "clusters").withColumnsRenamed({"node": "rid", "label": "cluster"})
-    clusters = scratch.write(clusters, "cluster-of")
-    scratch.drop("keys")
-    members = classes.select("rid", "first", "copies", "n").join(clusters, "rid")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    sizes_of = scratch.write(members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")), "sizes")
-    members = scratch.write(lookup(members, sizes_of, "cluster", "sets").drop("sets"), "members")
+    members = _members(classes, scratch.write(clusters, "cluster-of"), scratch, "members")
+    wide = members.filter(F.col("blocks") > WIDE)
+    if wide.limit(1).count():
+        maps = scratch.write(_bitmaps(docs, wide, width), "maps")
+        again = components(scratch.write(narrowed(scratch.table("keys"), maps, percent, scratch), "wide-edges"), scratch, "narrow").withColumnsRenamed({"node": "rid", "label": "cluster"})
+        rest = members.filter(F.col("blocks") <= WIDE).select("rid", "cluster")
+        # The least set of a cluster names it, so names stay apart.
+        members = _members(classes, scratch.write(rest.unionByName(again), "clusters-again"), scratch, "members-again")
+    scratch.drop("keys", "wide-keys")
 
     links = scratch.write(_compare(docs, members, width, percent), "links")
     joined = components(links.select(F.col("rid").alias("u"), F.col("label").alias("v")), scratch, "joined").withColumnsRenamed({"node": "rid", "label": "component"})

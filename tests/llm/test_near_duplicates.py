@@ -1,11 +1,14 @@
 """The near-duplicate stage: five-word shingles, similarity of 0.8 or more, against brute force."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
 from pairforge.llm import ngram_join as N
+from pairforge.llm.common import Scratch
 from tests.llm.test_dedup_and_mixing import near_texts, simple, union_find
 
 
@@ -62,3 +65,45 @@ def test_a_dropped_row_does_not_take_another_of_its_id(spark):
     texts = [" ".join(words), " ".join(words) + " end", " ".join(other)]
     out = P.near_duplicates(spark, simple(spark, texts, [1, 2, 2]), "").select("doc_id", "text").collect()
     assert sorted((r.doc_id, r.text) for r in out) == [(1, texts[0]), (2, texts[2])]
+
+
+def test_bitmaps_lose_no_link_and_tell_most_others_apart():
+    rng = random.Random(4)
+    texts = near_texts(rng, 25, [6, 12, 30, 90, 300], 8, 300)
+    for width, percent in ((3, 90), (5, 80)):
+        shingles = N.Shingler(width)
+        sets = [shingles(t.encode()) for t in texts]
+        may = N.may_link([N.bitmap(s) for s in sets], np.array(list(map(len, sets))), percent)
+        links = similar(texts, width, percent)
+        assert links and all(may[i, j] and may[j, i] for i, j in links)
+        assert may.sum() / 2 < 2 * len(links) + 20
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_links_are_found_when_every_cluster_counts_as_wide(spark, monkeypatch, group):
+    monkeypatch.setattr(N, "WIDE", 0)
+    monkeypatch.setattr(N, "GROUP", group)
+    rng = random.Random(group)
+    texts = near_texts(rng, 10, [9, 14, 60, 150], 12, 300)
+    got = {r.doc_id: r for r in N.jaccard_join(simple(spark, texts), width=5, percent=80).collect()}
+    links = similar(texts, 5, 80)
+    component, degree = union_find(len(texts), links), [0] * len(texts)
+    for i, j in links:
+        degree[i] += 1
+        degree[j] += 1
+    assert links and all((got[i].component_id, got[i].n_links) == (component[i], degree[i]) for i in range(len(texts)))
+
+
+def test_a_chain_of_weak_edges_is_not_compared_in_full(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(600)]
+    texts[1] = texts[0] + " end"
+    shingles = N.Shingler(3)
+    sets = [shingles(t.encode()) for t in texts]
+    maps = spark.createDataFrame([(i, len(s), bytearray(N.bitmap(s))) for i, s in enumerate(sets)], "rid long, n long, map binary")
+    # Each set shares a subset with the next one, so star edges would chain all 600 into one cluster.
+    keys = spark.createDataFrame([(k, r) for k in range(599) for r in (k, k + 1)], "key long, rid long")
+    edges = N.narrowed(keys, maps, 90, Scratch(spark, "t")).collect()
+    clusters = Counter(union_find(600, [(r.u, r.v) for r in edges]))
+    assert (1, 0) in {(r.u, r.v) for r in edges}
+    assert sum(c * (c - 1) // 2 for c in clusters.values()) < 10 < 600 * 599 // 2
