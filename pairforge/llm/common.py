@@ -9,7 +9,7 @@ from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six white-space characters.
@@ -90,14 +90,30 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
         self.schemas: dict = {}
+        self.noted: dict = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **watched: Column) -> DataFrame:
+        """The table, written and read again; ``watched`` aggregates are made while it is written, and kept in seen()."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        if watched:
+            noted = Observation()
+            df.observe(noted, *[c.alias(k) for k, c in watched.items()]).write.parquet(path)
+            self.noted[name] = noted.get
+        else:
+            df.write.parquet(path)
         self.names.append(name)
         self.schemas[name] = df.schema
         return self.table(name)
 
+    def seen(self, name: str) -> dict:
+        return self.noted[name]
+
+    def sized(self, df: DataFrame, name: str, size: str) -> DataFrame:
+        """write(), for a right side of lookup() by ``size``, whose sums need no job of their own."""
+        out = self.write(df, name, rows=F.count(F.lit(1)), total=F.sum(size))
+        out.known_sums = (self.seen(name)["rows"], self.seen(name)["total"])
+        return out
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
@@ -159,7 +175,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str | list[str], size: str, h
     of them, are broadcast and the rest is shuffled, so no task gets a hot key's rows.
     """
     keys = [key] if isinstance(key, str) else key
-    stats = right.agg(F.count("*"), F.sum(size)).first()
+    stats = getattr(right, "known_sums", None) or right.agg(F.count("*"), F.sum(size)).first()
     if stats[0] <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     hot = right.filter(F.col(size) * HOT_SHARE >= F.lit(stats[1]))

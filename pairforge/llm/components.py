@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import Scratch, lookup
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, dict]:
+    """The edges, written, and what tells whether they changed: how many they are, and a sum of their hashes."""
+    return scratch.write(edges, name, edges=F.count(F.lit(1)), mark=F.bit_xor(F.xxhash64("u", "v"))), scratch.seen(name)
 
 
 def _least(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Each edge with m, the least v of its u; the edges of a node with very many are not brought together."""
-    least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+    least = scratch.sized(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name, "n")
     return lookup(edges, least, "u", "n").drop("n")
 
 
@@ -39,14 +40,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     aggregations that combine where they are read and in lookups whose hot keys are split.
     """
     oriented = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = scratch.write(oriented, f"{name}-0")
-    state, k = _state(now), 0
-    while state[0]:
+    now, state = _written(oriented, scratch, f"{name}-0")
+    k = 0
+    while state["edges"]:
         k += 1
         large = scratch.write(_large_star(now, scratch, f"{name}-large-{k}"), f"{name}-half-{k}")
-        now = scratch.write(_small_star(large, scratch, f"{name}-small-{k}"), f"{name}-{k}")
+        before = state
+        now, state = _written(_small_star(large, scratch, f"{name}-small-{k}"), scratch, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}", f"{name}-half-{k}", f"{name}-large-{k}", f"{name}-small-{k}")
-        before, state = state, _state(now)
         if state == before:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -81,7 +81,7 @@ def first_seen(rows: DataFrame, seen: DataFrame, deliveries: int, digest_chars:
             state = grouped(spark.readStream.schema(small).parquet(f"{scratch.path}/arriving"))
             query = state.writeStream.outputMode("update").foreachBatch(check).option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start()
             query.awaitTermination()
-    found = scratch.write(latest(deliveries), "groups")
+    found = scratch.sized(latest(deliveries), "groups", "group_size")
     return found, spark.read.schema("digest string, texts long, batch int").parquet(clash).select("digest").distinct()
 
 
@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, deliveries: int = 1) ->
         places = scratch.write(seen.join(clashing, "digest", "left_semi").select("digest", "full", "self", "self.row_file", "self.row_at"), "apart")
         texts = fetch(rows, places).select("digest", "full", "self", F.sha2(F.encode(normalised(), "UTF-8"), 512).alias("bytes"))
         groups = texts.groupBy("digest", "bytes").agg(F.min("self").alias("first"), F.count("*").alias("group_size"))
-        groups = scratch.write(groups, "by-bytes")
+        groups = scratch.sized(groups, "by-bytes", "group_size")
         apart = lookup(texts, groups, ["digest", "bytes"], "group_size").select("self", "first", "group_size", "full")
         state = state.join(clashing, "digest", "left_anti")
         found = lookup(seen, state, "digest", "group_size").select("self", "first", "group_size", "full").unionByName(apart)

@@ -64,11 +64,11 @@ def _line_ranks(sequence: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     starts = F.broadcast(sums.select("band", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before")))
     within = Window.partitionBy("band").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    ids = scratch.write(banded.join(starts, "band").select("h1", "h2", "n", rank.alias("rank")), "ids")
-    return ids, shared.agg(F.sum("n")).first()[0] or 0
+    ids = scratch.sized(banded.join(starts, "band").select("h1", "h2", "n", rank.alias("rank")), "ids", "n")
+    return ids, scratch.seen("ids")["total"] or 0
 
 
-def _refine(pairs: DataFrame, span: int, scratch: Scratch, name: str) -> DataFrame:
+def _refine(pairs: DataFrame, span: int) -> DataFrame:
     """(a, b, n, rank) of each pair of ranks; n counts the suffixes that have it.
 
     a is the number of suffixes before those of rank a; so the next rank is a plus the number
@@ -76,7 +76,7 @@ def _refine(pairs: DataFrame, span: int, scratch: Scratch, name: str) -> DataFra
     a rank that very many suffixes share is sorted in CELLS places.
     """
     width = max(1, -(-span // CELLS))
-    counted = scratch.write(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("cell", F.expr(f"b div {width}L")), name)
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("cell", F.expr(f"b div {width}L"))
     cells = counted.groupBy("a", "cell").agg(F.sum("n").alias("s"))
     # Truncation puts b = -1 into the cell of 0, and within it first.
     before = Window.partitionBy("a").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,14 +101,14 @@ def suffix_array(lines: DataFrame, span: int, scratch: Scratch) -> tuple[DataFra
         ahead = F.first("rank").over(by_doc.orderBy("at").rangeBetween(step, step))
         # A suffix that ends here is less than all that go on.
         paired = now.withColumn("b", F.when(F.col("left") <= step, F.lit(-1).cast("long")).otherwise(ahead)).withColumn("going", F.max("open").over(by_doc))
-        paired = scratch.write(paired, f"pairs-{step}")
+        paired = scratch.write(paired, f"pairs-{step}", going=F.count_if("going"))
         done = paired.filter("not going").drop("b", "going", "open")
         found = done if found is None else found.unionByName(done)
         going = paired.filter("going").drop("going")
-        if not going.limit(1).count():
+        if not scratch.seen(f"pairs-{step}")["going"]:
             return found, begun
         moving = going.filter("open").withColumnRenamed("rank", "a")
-        names = scratch.write(_refine(moving.select("a", "b"), span, scratch, f"counts-{step}"), f"names-{step}")
+        names = scratch.sized(_refine(moving.select("a", "b"), span), f"names-{step}", "n")
         made = names.filter("rank <> a").select("rank", F.lit(step).cast("long").alias("step"))
         begun = made if begun is None else begun.unionByName(made)
         ranked = lookup(moving, names, ["a", "b"], "n").withColumn("open", (F.col("b") >= 0) & (F.col("n") > 1)).drop("a", "b", "n")
@@ -168,7 +168,7 @@ def repeated_runs(classes: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     begun = F.max(begins).over(Window.partitionBy("m", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     named = scratch.write(rows.join(ends, ["m", "part"]).select("rank", "n", "place", "m", F.coalesce(begun, "carried").alias("first")), "named")
     intervals = named.groupBy("m", "first").agg(F.min("place").alias("earliest"), F.sum("n").alias("suffixes"), F.count("*").alias("classes"))
-    intervals = scratch.write(intervals.filter("suffixes > 1"), "intervals")
+    intervals = scratch.sized(intervals.filter("suffixes > 1"), "intervals", "classes")
     runs = lookup(named, intervals, ["m", "first"], "classes")
     return runs.groupBy("rank").agg(F.min("n").alias("n"), F.collect_list(F.struct("m", "earliest")).alias("runs"))
 
@@ -211,7 +211,7 @@ def later_copies(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         begun = rows.sparkSession.createDataFrame([], "rank long, step long")
     suffixes = scratch.write(suffixes, "suffixes")
     classes = scratch.write(classes_of(suffixes), "classes")
-    runs = scratch.write(repeated_runs(common_prefixes(classes, begun, lines, span, scratch), span, scratch), "runs")
+    runs = scratch.sized(repeated_runs(common_prefixes(classes, begun, lines, span, scratch), span, scratch), "runs", "n")
 
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at", "at")
     begins = lookup(suffixes.filter("lo is not null").select("rank", place.alias("place")), runs, "rank", "n")
@@ -242,10 +242,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("clean_text", "gone_lines", "gone_words")])
     rows = located(docs, scratch)
     slim = rows.select(*DOC, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    gone = scratch.write(later_copies(slim, scratch, min_words), "gone")
+    gone = scratch.write(later_copies(slim, scratch, min_words), "gone", rows=F.count(F.lit(1)), stretches=F.sum(F.size("gone")))
     scratch.keep("gone", *[n for n in scratch.names if n.startswith("rows-")])
-    rows_gone, stretches = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
-    few = rows_gone <= BROADCAST_ROWS and (stretches or 0) <= 4 * BROADCAST_ROWS
+    sums = scratch.seen("gone")
+    few = sums["rows"] <= BROADCAST_ROWS and (sums["stretches"] or 0) <= 4 * BROADCAST_ROWS
     joined = rows.join(F.broadcast(gone) if few else gone, list(DOC), "left")
     own = F.col("row.text").cast("string")
     kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))

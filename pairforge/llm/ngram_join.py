@@ -355,7 +355,7 @@ def _members(classes: DataFrame, clusters: DataFrame, scratch: Scratch, name: st
     """The classes of clusters (rid, cluster) of two or more, each with how many blocks its cluster has."""
     rows = classes.select("rid", "first", "copies", "n").join(clusters, "rid")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    sizes = scratch.write(rows.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")), f"{name}-sizes")
+    sizes = scratch.sized(rows.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")), f"{name}-sizes", "sets")
     return scratch.write(lookup(rows, sizes, "cluster", "sets").drop("sets"), name)
 
 
@@ -463,11 +463,11 @@ def _joined(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tupl
     joined = components(links.select(F.col("rid").alias("u"), F.col("label").alias("v")), scratch, "joined").withColumnsRenamed({"node": "rid", "label": "component"})
     degree = links.groupBy("rid").agg(F.sum("links").alias("links"))
     small = scratch.write(classes.select("rid", "first").join(joined, "rid"), "joined-classes")
-    least = scratch.write(small.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n_classes")), "least")
+    least = scratch.sized(small.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n_classes")), "least", "n_classes")
     found = lookup(small, least, "component", "n_classes").join(degree, "rid").select("rid", "least", "links")
     per_class = classes.select("rid", "digest", "first", "copies").join(found, "rid", "left")
     per_class = per_class.select("digest", "first", "copies", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sets, scratch.write(per_class, "per-class")
+    return sets, scratch.sized(per_class, "per-class", "copies")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,7 +323,7 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     named = scratch.write(named, "digests")
     large = named.filter(F.col("size") >= least_bytes)
     groups = large.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1")
-    groups = scratch.write(groups, "groups")
+    groups = scratch.sized(groups, "groups", "n")
     again = lookup(large, groups, "sha1", "n").filter(~F.col("page_id").eqNullSafe(F.col("best")))
     again = scratch.write(again.select("row_file", "row_at", F.col("best").alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
     decided = beside(rows, again).select("page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
