@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pairforge import config as settings
 from pairforge.operators import neardup, runs
 from pairforge.plans import pipelines
+from pairforge.sinks import writers
 from pairforge.sources import artifacts
 
 
@@ -72,6 +74,12 @@ def main(argv: list[str] | None = None) -> int:
         neardup.distance_bands(found).show()
         return 0
     config = settings.load(args.config, run_id=args.run_id)
+    with writers.run_lock(Path(config.run_dir)):
+        return run(spark, config, args)
+
+
+def run(spark: SparkSession, config: settings.Config, args: argparse.Namespace) -> int:
+    """One command over one run."""
     if args.command == "audit":
         print(json.dumps(pipelines.run_audit(spark, config), indent=2, sort_keys=True, default=str))
     elif args.command == "manifest":

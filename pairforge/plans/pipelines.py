@@ -366,13 +366,14 @@ def near_duplicates(spark: SparkSession, config: Config, archives: str, most: in
     members = images.archive_members(spark, archives)
     writers.write_table(images.extract(members, place), f"{config.run_dir}/archive_members")
     members = spark.read.parquet(f"{config.run_dir}/archive_members")
-    named = members.filter("path is not null").select(F.concat_ws("/", "archive", "member").alias("image_id"), "archive", "member", "path")
+    named = members.filter("path is not null").select(F.concat_ws("/", "archive", "member").alias("image_id"), "archive", "position", "member", "path")
     other = images.perceptual_hashes(images.pictures(named, images.images_in(spark, [place])))
     writers.write_table(other, f"{config.run_dir}/archive_hashes")
     other = spark.read.parquet(f"{config.run_dir}/archive_hashes")
     found = neardup.hamming_join(own, other, most)
     covered = images.coverage(members, named.join(other.select(F.col("id").alias("image_id")), "image_id", "left_semi"))
-    writers.write_near_duplicates(found, covered, most, f"{_place(config)}/near_duplicates")
+    placed = found.join(named.select(F.col("image_id").alias("b_id"), "archive", "position"), "b_id")
+    writers.write_near_duplicates(placed, covered, most, f"{_place(config)}/near_duplicates")
     return found
 
 
@@ -383,6 +384,7 @@ def demo(spark: SparkSession, config: Config, folder: str, count: int = 4) -> Pa
     columns = ["pair_id", "pair_label", "context_image_id", "target_image_id", "context_path", "target_path", "source_dataset", "anatomical_site", "diagnosis", "preprocessing_profile"]
     rows = [r.asDict() for r in shown.select(*columns).collect()]
     scores = spark.read.parquet(f"{config.run_dir}/baseline_scores").join(shown.select("pair_id"), "pair_id", "left_semi")
+    worst = ranking.failures(spark.read.parquet(f"{config.run_dir}/baseline_scores").withColumn("ordinal", F.regexp_extract("pair_id", r"(\d+)$", 1).cast("long")), "model", count=1)
     charts = [r.asDict() for r in scores.select("model", "pair_id", "score").orderBy("model", "pair_id").collect()]
-    writers.write_demo(Path(folder), config.run_id, rows, charts)
+    writers.write_demo(Path(folder), config.run_id, rows, charts, [r.asDict() for r in worst.select("model", "failure_mode", "pair_id", "score", "review_question").orderBy("model", "failure_mode").collect()])
     return Path(folder) / "demo.json"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import text as names
 from pairforge.functions.vectors import cosine_distance, normalised
 from pairforge.operators import audit, checks, metrics, neardup, pairs, predictor, ranking, runs, split
+from pairforge.sources import metadata
 
 SEED = 17
 #: Pairs of each split and draws of a bootstrap, as in the configuration's defaults.
@@ -677,3 +678,81 @@ def leakage_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As if one record had no lesion, and two no image."""
     counts = records(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("patient_id_available").alias("patients"))
     return counts.select(audit.leakage_note(F.col("n"), F.col("n") - 1, F.col("patients"), F.lit(0), F.lit(2)).alias("note"))
+
+
+# --- sources and runs over stand-in rows ---------------------------------------------------------
+
+
+@query("""WITH ids AS (SELECT 's' || s_suppkey || CASE WHEN s_suppkey % 4 = 0 THEN '.png' ELSE '' END AS image_id FROM supplier),
+files AS (SELECT c_custkey % 2 AS root, 's' || (c_custkey // 3) || list_extract(['.jpg', '.png', '.jpeg'], c_custkey % 3 + 1) AS file, c_custkey FROM customer),
+tries AS (
+  SELECT image_id, 0 AS ext, image_id AS file FROM ids WHERE image_id LIKE '%.png'
+  UNION ALL SELECT image_id, e.i, image_id || '.' || e.name FROM ids, (VALUES (0, 'jpeg'), (1, 'jpg'), (2, 'png')) e(i, name) WHERE image_id NOT LIKE '%.png')
+SELECT image_id, arg_min(root || '/' || file, root * 10 + ext) AS path FROM tries JOIN files USING (file) GROUP BY image_id""")
+def resolved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as images, customers as files in two roots."""
+    key, turn = F.col("s_suppkey"), F.col("c_custkey") % 3
+    ids = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string"), F.when(key % 4 == 0, ".png").otherwise("")).alias("image_id"))
+    ending = F.when(turn == 0, ".jpg").when(turn == 1, ".png").otherwise(".jpeg")
+    files = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 2).alias("root"), F.concat(F.lit("s"), F.expr("c_custkey div 3").cast("string"), ending).alias("file"))
+    return metadata.resolve(ids, files.withColumn("path", F.concat(F.col("root").cast("string"), F.lit("/"), "file")), ("jpeg", ".JPG", "png"))
+
+
+@query("""WITH raw AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS lesion_id, CASE WHEN p_size % 3 = 0 THEN p_type END AS patient_id,
+         CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS diagnosis, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_brand END AS site FROM part),
+found AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, '/i/' || p_partkey AS path, 'c' || p_partkey AS checksum, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS width, p_size + 1 AS height FROM part WHERE p_partkey % 4 <> 0),
+joined AS (SELECT raw.*, path, checksum, width, height, path IS NOT NULL AND width IS NOT NULL AS ok, coalesce(lesion_id, 'missing_lesion::' || image_id) AS lesion FROM raw LEFT JOIN found USING (image_id))
+SELECT image_id, lesion AS lesion_id, lesion_id IS NOT NULL AS lesion_id_available, coalesce(patient_id, 'missing_patient::' || lesion) AS patient_id, patient_id IS NOT NULL AS patient_id_available,
+       coalesce(diagnosis, 'unknown_diagnosis') AS diagnosis, coalesce(site, 'unknown_site') AS anatomical_site, 'parts' AS source_dataset, coalesce(path, '') AS path, ok AS image_found,
+       CASE WHEN ok THEN checksum ELSE '' END AS checksum, CASE WHEN ok THEN width ELSE 0 END::BIGINT AS width, CASE WHEN ok THEN height ELSE 0 END::BIGINT AS height FROM joined""")
+def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images: some without a file, some with one that cannot be read, some without each field."""
+    parts, key, size = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    name = key.cast("string").alias("image_id")
+    raw = parts.select(name, F.when(size % 5 != 0, F.col("p_brand")).alias("lesion_id"), F.when(size % 3 == 0, F.col("p_type")).alias("patient_id"), F.when(size % 7 != 0, F.col("p_type")).alias("diagnosis"), F.when(size % 11 != 0, F.col("p_brand")).alias("anatomical_site"))
+    found = parts.filter(key % 4 != 0).select(name, F.concat(F.lit("/i/"), key.cast("string")).alias("path"), F.concat(F.lit("c"), key.cast("string")).alias("checksum"), F.when(key % 9 != 0, size).alias("width"), (size + 1).alias("height"))
+    return metadata.normalise(raw, found, "parts")
+
+
+@query("""WITH r AS (SELECT list_extract(['train', 'val', 'test'], n_regionkey % 3 + 1) AS split, n_name AS image_id FROM nation),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY image_id) - 1 AS p, count(*) OVER (PARTITION BY split) AS n FROM r)
+SELECT a.split, 'stable' AS pair_label, i.i AS ordinal, a.image_id AS context_image_id, a.image_id AS target_image_id FROM placed a JOIN range(12) i(i) ON i.i % a.n = a.p
+UNION ALL SELECT a.split, 'changing', i.i, a.image_id, b.image_id FROM placed a JOIN range(9) i(i) ON (i.i + 12) % a.n = a.p JOIN placed b ON b.split = a.split AND b.p = (a.p + 1) % a.n""")
+def next_lesion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = F.array(*map(F.lit, ("train", "val", "test")))
+    rows = table(spark, sf_dir, "nation").select(F.get(options, F.col("n_regionkey") % 3).alias("split"), F.col("n_name").alias("image_id"))
+    stable, changing = pairs.synthetic_pairs(rows, 12, 9)
+    shown = [F.col("ordinal").cast("long").alias("ordinal"), F.col("image_id").alias("context_image_id"), F.col("target.image_id").alias("target_image_id")]
+    return stable.select("split", F.lit("stable").alias("pair_label"), *shown).unionByName(changing.select("split", F.lit("changing").alias("pair_label"), *shown))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_size, CASE p_partkey % 3
+    WHEN 0 THEN '89504E470D0A1A0A0000000D49484452' || lpad(hex(p_size), 8, '0') || lpad(hex(p_size * 3), 8, '0') || '0802000000'
+    WHEN 1 THEN '474946383961' || lpad(hex(p_size), 2, '0') || '01' || lpad(hex(p_size), 2, '0') || '00F70000' ELSE '00112233' END AS h FROM part)
+SELECT p_partkey, sha256(unhex(h)) AS checksum, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 256 END::BIGINT AS width, CASE p_partkey % 3 WHEN 0 THEN p_size * 3 WHEN 1 THEN p_size END::BIGINT AS height FROM f""")
+def probed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of PNG and GIF files made of parts, and bytes that are no image."""
+    size, turn = F.col("p_size"), F.col("p_partkey") % 3
+    wide = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(size, 8), wide(size * 3, 8), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), wide(size, 2), F.lit("01"), wide(size, 2), F.lit("00F70000"))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.when(turn == 0, png).when(turn == 1, gif).otherwise("00112233")).alias("content"))
+    return metadata.probe(files).drop("content")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'reject_exact' WHEN p_size % 20 <= 4 THEN 'reject_near' WHEN p_size % 20 <= 10 THEN 'review' WHEN p_partkey % 5 = 0 THEN 'reject_license' ELSE 'keep' END AS verdict FROM part""")
+def exclusion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", neardup.exclusion(F.col("p_size") % 20, key % 17 == 0, key % 5 != 0).alias("verdict"))
+
+
+@query("""SELECT 'run-' || p_partkey AS run_id, p_brand AS model_id, p_retailprice / 10000 AS primary_score, CASE WHEN p_size % 2 = 0 THEN p_name END AS baseline_name,
+       CASE WHEN p_size % 3 = 0 THEN p_size / 64.0::DOUBLE END AS baseline_auroc, p_size % 5 = 0 AS collapsed, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END::BIGINT AS stable_pairs FROM part""")
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics documents made of parts, with fields missing and of the wrong type."""
+    size = F.col("p_size")
+    best = F.struct(F.when(size % 2 == 0, F.col("p_name")).alias("name"), F.when(size % 3 == 0, size / 64.0).alias("auroc"))
+    pairs_used = F.when(size % 4 == 0, "many").otherwise(size.cast("string"))
+    document = F.struct(F.concat(F.lit("run-"), F.col("p_partkey").cast("string")).alias("run_id"), F.col("p_brand").alias("model_id"), (F.col("p_retailprice") / 10000).alias("primary_score"), F.struct(best.alias("strongest_baseline")).alias("result"), F.struct((size % 5 == 0).alias("collapsed")).alias("representation_health"), F.struct(pairs_used.alias("stable_pairs_used_for_training")).alias("training"))
+    found = runs.summarise(table(spark, sf_dir, "part").select(F.to_json(document).alias("json")))
+    return found.select("run_id", "model_id", "primary_score", "baseline_name", "baseline_auroc", "collapsed", "stable_pairs")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 import platform
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import asdict
 from datetime import UTC, datetime
 from importlib.metadata import version
@@ -42,8 +43,8 @@ def write_review(pairs: DataFrame, path: str) -> None:
 
 
 def write_near_duplicates(pairs: DataFrame, covered: DataFrame, within: int, path: str) -> None:
-    """The pairs as CSV, nearest first, and beside them how many images of each archive were hashed."""
-    pairs.orderBy("distance", "a_id", "b_id").write.csv(path, header=True)
+    """The pairs as CSV, nearest first, then as they stand in their archives, and how many images of each were hashed."""
+    pairs.orderBy("distance", "archive", "position", "a_id").select("a_id", "b_id", "distance").write.csv(path, header=True)
     lines = [f"{r.archive}: {r.hashed} of {r.members} images hashed" for r in covered.orderBy("archive").collect()]  # a row an archive
     put(f"{path}.coverage.txt", "\n".join([f"threshold={within}", *lines, f"TOTAL near-duplicate pairs: {pairs.count()}", ""]).encode())
 
@@ -79,8 +80,8 @@ def bar_chart(rows: list[tuple[str, float]], width: int = 480) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 170}" height="{len(rows) * 18 + 6}">{"".join(bars)}</svg>\n'
 
 
-def write_demo(folder: Path, run_id: str, pairs: list[dict[str, Any]], charts: list[dict[str, Any]]) -> None:
-    """A bundle of JSON, HTML and images for a few pairs; ``pairs`` and ``charts`` come from small collects."""
+def write_demo(folder: Path, run_id: str, pairs: list[dict[str, Any]], charts: list[dict[str, Any]], worst: list[dict[str, Any]] | None = None) -> None:
+    """A bundle of JSON, HTML and images for a few pairs, and each model's worst ones; all lists come from small collects."""
     shown = []
     for p in pairs:
         own = dict(p)
@@ -90,7 +91,7 @@ def write_demo(folder: Path, run_id: str, pairs: list[dict[str, Any]], charts: l
             with suppress(OSError):  # an image that is gone leaves its place empty
                 copy(source, str((folder / own[f"{side}_image"]).resolve()))
         shown.append(own)
-    write_document(folder / "demo.json", {"run_id": run_id, "pairs": shown, "scores": charts})
+    write_document(folder / "demo.json", {"run_id": run_id, "pairs": shown, "scores": charts, "failure_cases": worst or []})
     cells = "".join(
         f"<tr><td>{html.escape(str(p['pair_id']))}</td><td>{html.escape(str(p['pair_label']))}</td>"
         f"<td><img src='{html.escape(p['context_image'])}'></td><td><img src='{html.escape(p['target_image'])}'></td></tr>"
@@ -113,3 +114,18 @@ def snapshot(folder: Path, config: Any, spark: Any) -> None:
     found = {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "parallelism": spark.sparkContext.defaultParallelism}
     found |= {name: version(name) for name in ("pyspark", "pyarrow", "numpy", "pandas")}
     write_document(folder / "environment.json", found)
+
+
+@contextmanager
+def run_lock(folder: Path) -> Iterator[None]:
+    """Hold a run's folder: a second run of the same name is refused while this one lasts."""
+    folder.mkdir(parents=True, exist_ok=True)
+    lock = folder / "run.lock"
+    try:
+        lock.touch(exist_ok=False)
+    except FileExistsError:
+        raise RuntimeError(f"{folder} is held by another run; remove {lock} if that has ended") from None
+    try:
+        yield
+    finally:
+        lock.unlink(missing_ok=True)

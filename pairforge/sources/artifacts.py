@@ -52,3 +52,9 @@ def read_runs(spark: SparkSession, root: str, name: str = "metrics.json") -> Dat
     """(run_id, json) of every run below root that has metrics; the folder names the run."""
     text = spark.read.text(f"{root}/*/{name}", wholetext=True)
     return text.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_id"), F.col("value").alias("json"))
+
+
+def missing_runs(found: DataFrame, expected: list[str]) -> list[str]:
+    """Of the runs expected, those that read_runs() did not find."""
+    there = {r[0] for r in found.select("run_id").filter(F.col("run_id").isin(expected)).collect()}
+    return [run for run in expected if run not in there]

@@ -52,7 +52,7 @@ def perceptual_hashes(images: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(archive, member) of the images in ZIP archives, from their directories alone."""
+    """(archive, position, member) of the images in ZIP archives, in the order of their directories, which alone are read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,14 +60,14 @@ def archive_members(spark: SparkSession, path: str, extensions: tuple[str, ...]
                 store, name = open_store(archive)
                 with store.open_input_file(name) as file, zipfile.ZipFile(file) as z:
                     names = [m for m in z.namelist() if m.rpartition(".")[2].lower() in extensions]
-                yield pd.DataFrame({"archive": [archive] * len(names), "member": names})
+                yield pd.DataFrame({"archive": [archive] * len(names), "position": range(len(names)), "member": names})
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInPandas(run, "archive string, member string")
+    return files.mapInPandas(run, "archive string, position long, member string")
 
 
 def extract(members: DataFrame, folder: str) -> DataFrame:
-    """(archive, member, path) of members (archive, member), each read by itself and written below folder.
+    """(archive, position, member, path) of members, each read by itself and written below folder.
 
     Members are dealt over all tasks, whatever archive they are of; a task opens an archive once
     for those it has. A member that cannot be read has a null path.
@@ -79,17 +79,17 @@ def extract(members: DataFrame, folder: str) -> DataFrame:
             for archive, rows in b.groupby("archive", sort=False):
                 store, name = open_store(archive)
                 with store.open_input_file(name) as file, zipfile.ZipFile(file) as z:
-                    for key, member in zip(rows["key"], rows["member"], strict=True):
+                    for key, position, member in zip(rows["key"], rows["position"], rows["member"], strict=True):
                         try:
                             data = z.read(member)
                         except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                            paths.append((archive, member, None))
+                            paths.append((archive, position, member, None))
                             continue
-                        paths.append((archive, member, put(f"{folder}/{key}.{member.rpartition('.')[2].lower()}", data)))
-            yield pd.DataFrame(paths, columns=["archive", "member", "path"])
+                        paths.append((archive, position, member, put(f"{folder}/{key}.{member.rpartition('.')[2].lower()}", data)))
+            yield pd.DataFrame(paths, columns=["archive", "position", "member", "path"])
 
-    keyed = members.select("archive", "member", F.sha2(F.concat_ws("\n", "archive", "member"), 256).alias("key"))
-    return keyed.repartition(F.col("key")).mapInPandas(run, "archive string, member string, path string")
+    keyed = members.select("archive", "position", "member", F.sha2(F.concat_ws("\n", "archive", "member"), 256).alias("key"))
+    return keyed.repartition(F.col("key")).mapInPandas(run, "archive string, position long, member string, path string")
 
 
 def coverage(members: DataFrame, hashed: DataFrame) -> DataFrame:

@@ -157,6 +157,7 @@ def test_whole_run(spark, dataset):
     assert stored["training"]["stable_pairs_used_for_training"] == 4
     rows = artifacts.read_runs(spark, str(dataset / "runs")).collect()
     assert [r.run_id for r in rows] == ["run1"]
+    assert artifacts.missing_runs(artifacts.read_runs(spark, str(dataset / "runs")), ["run0", "run1"]) == ["run0"]
 
 
 def test_fixture_run(spark, tmp_path):
@@ -266,7 +267,7 @@ def test_artifacts(spark, tmp_path):
     assert sorted(r.member for r in members.collect()) == ["d/a.PNG", "d/b.png"]
     files = images.extract(members, str(tmp_path / "out"))
     assert {r.member: Path(r.path).read_bytes() for r in files.collect()} == {"d/a.PNG": png(picture(1)), "d/b.png": b"no image"}
-    named = files.select(F.concat_ws("/", "archive", "member").alias("image_id"), "archive", "member", "path")
+    named = files.select(F.concat_ws("/", "archive", "member").alias("image_id"), "archive", "position", "member", "path")
     hashes = images.perceptual_hashes(images.pictures(named, images.images_in(spark, [str(tmp_path / "out")])))
     assert [r.hash for r in hashes.collect()] == [pixels.perceptual_hash(picture(1))]
     done = named.join(hashes.select(F.col("id").alias("image_id")), "image_id", "left_semi")
@@ -290,7 +291,7 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["all", config, "--out", str(tmp_path / "demo")]) == 0
     shown = json.loads((tmp_path / "demo" / "demo.json").read_text())
     assert len(shown["pairs"]) == 4 and all((tmp_path / "demo" / p[f"{side}_image"]).stat().st_size for p in shown["pairs"] for side in ("context", "target"))
-    assert {r["model"] for r in shown["scores"]} == {"pixel", "ssim", "color_texture"}
+    assert {r["model"] for r in shown["scores"]} == {"pixel", "ssim", "color_texture"} and len(shown["failure_cases"]) == 6
     assert main(["train", config]) == 0
     capsys.readouterr()
     assert main(["summary", str(tmp_path / "runs")]) == 0
@@ -332,3 +333,8 @@ def test_writers(spark, tmp_path):
     assert "r&lt;1&gt;" in (tmp_path / "demo" / "index.html").read_text()
     assert writers.bar_chart([("a", 2.0), ("b", 1.0)]).count("<rect") == 2
     assert "## Boundary" in writers.model_card("t", {"a": 1}, "b")
+    with writers.run_lock(tmp_path / "held"):
+        with pytest.raises(RuntimeError, match="held"), writers.run_lock(tmp_path / "held"):
+            pass
+    with writers.run_lock(tmp_path / "held"):
+        pass
