@@ -1,6 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
+# Before NumPy is imported: its threads and Spark's would wait for each other's cores.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
