@@ -24,11 +24,15 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
 def split_overlap(pairs: DataFrame, context: str, target: str) -> DataFrame:
     """(left_split, right_split, value): values of either side of a pair that two splits have."""
     both = pairs.select("split", F.explode(F.array_distinct(F.array(context, target))).alias("value")).filter("value is not null")
-    order = F.array(*map(F.lit, SPLITS))
     found = both.groupBy("value").agg(F.collect_set("split").alias("splits")).filter("size(splits) > 1")
-    ordered = F.filter(order, lambda s: F.array_contains("splits", s))
-    left = found.select("value", F.posexplode(ordered).alias("i", "left_split"), ordered.alias("splits"))
-    return left.select("left_split", F.explode(F.slice("splits", F.col("i") + 2, F.size("splits"))).alias("right_split"), "value")
+    return _in_pairs(found, "value").select("left_split", "right_split", "value")
+
+
+def _in_pairs(found: DataFrame, *keep: str) -> DataFrame:
+    """Each two of the known splits in ``splits``, in their order, with the kept columns."""
+    ordered = F.filter(F.array(*map(F.lit, SPLITS)), lambda s: F.array_contains("splits", s))
+    left = found.select(*keep, F.posexplode(ordered).alias("i", "left_split"), ordered.alias("splits"))
+    return left.select("left_split", F.explode(F.slice("splits", F.col("i") + 2, F.size("splits"))).alias("right_split"), *keep)
 
 
 def manifest_violations(pairs: DataFrame) -> DataFrame:
@@ -47,9 +51,12 @@ def manifest_violations(pairs: DataFrame) -> DataFrame:
     broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in row_rules.items()]))
     rows = pairs.select(pair, F.explode(broken).alias("rule")).select("rule", F.col("pair_id").cast("string").alias("detail"))
     found = found.unionByName(rows)
-    for side in ("lesion", "patient"):
-        overlap = split_overlap(pairs, f"context_{side}_id", f"target_{side}_id")
-        found = found.unionByName(_broken(overlap, f"{side} in one split", F.concat_ws(" ", "left_split", "right_split", "value")))
+    # Values of both sides of a pair, of lesions and of patients, in one pass.
+    sides = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{side}_{kind}_id").cast("string").alias("value")) for kind in ("lesion", "patient") for side in ("context", "target")])
+    values = pairs.select("split", F.explode(F.array_distinct(sides)).alias("v")).select("split", "v.kind", "v.value").filter("value is not null")
+    met = values.groupBy("kind", "value").agg(F.collect_set("split").alias("splits")).filter("size(splits) > 1")
+    detail = F.concat_ws(" ", "left_split", "right_split", "value")
+    found = found.unionByName(_in_pairs(met, "kind", "value").select(F.concat("kind", F.lit(" in one split")).alias("rule"), detail.alias("detail")))
     labels = pairs.groupBy("split").agg(F.collect_set("pair_label").alias("labels"))
     lacking = labels.filter(F.size(F.array_intersect("labels", F.array(*map(F.lit, LABELS)))) < len(LABELS))
     found = found.unionByName(_broken(lacking, "both labels in each split", F.col("split")))

@@ -116,10 +116,11 @@ def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: Sequenc
     import numpy as np
     import pandas as pd
 
-    group = list(group)
+    group = [group] if isinstance(group, str) else list(group)
+    order = [order] if isinstance(order, str) else list(order)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
+        rows = rows.sort_values(order, kind="stable")
         y, s = rows["label_int"].to_numpy(), rows["score"].to_numpy(float)
 
         def area(y: np.ndarray, s: np.ndarray) -> float:
@@ -142,14 +143,37 @@ def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: Sequenc
 
 
 def metric_summary(scores: DataFrame, group: Sequence[str] = (), fixed_tpr: float = 0.8) -> DataFrame:
-    """AUROC, average precision, equal-error point and FPR at a fixed TPR of each group, in one row."""
+    """AUROC, average precision, equal-error point and FPR at a fixed TPR of each group, in one row.
+
+    All come from one running sum over the distinct scores, so these are counted and ordered once.
+    A null group is a group; one with a single class has nulls, and 1 as its FPR at a fixed TPR.
+    """
     group = list(group)
-    points = roc_points(scores, group)
-    parts = [auroc(scores, group), auprc(scores, group), equal_error(points, group), fpr_at_tpr(points, fixed_tpr, group)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, group) if group else out.join(F.broadcast(part), F.lit(True))
-    return out.withColumn("fixed_tpr", F.lit(fixed_tpr))
+    counts = counts_by_score(scores, group)
+    upto = running_sums(counts, group, "score", ["pos", "neg"], descending=True, following=["pos", "neg"])
+    whole = counts.groupBy(*group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    rows = joined_by(upto, whole, group, ["p", "q"])
+    tpr, fpr = F.col("pos_upto") / F.nullif(F.col("p").cast("double"), F.lit(0.0)), F.col("neg_upto") / F.nullif(F.col("q").cast("double"), F.lit(0.0))
+    # Of points in a straight stretch, as in roc_points(), only the ends count.
+    first = (F.col("pos_upto") == F.col("pos")) & (F.col("neg_upto") == F.col("neg"))
+    bend = F.coalesce((F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")), F.lit(True)) | first
+    point = lambda gap, threshold, rate: F.struct(gap.alias("gap"), (-threshold).alias("down"), rate.alias("rate"))
+    score = F.col("score").cast("double")
+    origin = point(F.lit(1.0), F.lit(float("inf")), F.lit(0.5))
+    sums = rows.groupBy(*group).agg(
+        F.sum(F.col("pos").cast("double") * (F.col("q") - F.col("neg_upto") + F.col("neg") / 2.0)).alias("wins"),
+        F.sum(F.col("pos").cast("double") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))).alias("gain"),
+        F.min(F.when(bend & tpr.isNotNull() & fpr.isNotNull(), point(F.abs(fpr - (1 - tpr)), score, (fpr + (1 - tpr)) / 2))).alias("best"),
+        F.min(F.when(bend & (tpr >= fixed_tpr), fpr)).alias("fpr_at"),
+        F.max("p").alias("p"), F.max("q").alias("q"),
+    )
+    best = F.when(F.col("best").isNotNull(), F.least("best", origin))
+    return sums.select(
+        *group, (F.col("wins") / F.nullif(F.col("p").cast("double") * F.col("q").cast("double"), F.lit(0.0))).alias("auroc"),
+        (F.col("gain") / F.nullif(F.col("p").cast("double"), F.lit(0.0))).alias("auprc"),
+        (-best["down"]).alias("eer_threshold"), best["rate"].alias("equal_error_rate"),
+        F.coalesce("fpr_at", F.lit(1.0)).alias("fpr_at_fixed_tpr"), F.lit(fixed_tpr).alias("fixed_tpr"),
+    )
 
 
 def strongest(metrics: DataFrame, ordinal: str = "ordinal") -> DataFrame:

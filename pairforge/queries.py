@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as names
 from pairforge.functions.vectors import cosine_distance, normalised
 from pairforge.operators import audit, checks, metrics, neardup, pairs, predictor, ranking, runs, split
+from pairforge.sinks.scratch import stored
 from pairforge.sources import metadata
 
 SEED = 17
@@ -249,8 +249,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records by place; kept on disk, as anchors, their lesions and their targets are all taken from it."""
-    return pairs.positions(split.split_records(records(spark, sf_dir), SEED)).persist(StorageLevel.DISK_ONLY)
+    """The records by place; written, as anchors, their lesions and their targets are all taken from it."""
+    return stored(pairs.positions(split.split_records(records(spark, sf_dir), SEED)), "placed")
 
 
 @query(f"WITH {SPLIT} SELECT split, count(DISTINCT split_group) AS groups, count(*) AS images, count(DISTINCT lesion_id) AS lesions FROM placed GROUP BY split")
@@ -363,9 +363,29 @@ def first5_per_split_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.first_per_label(manifest(spark, sf_dir)).select("split", "pair_label", "pair_id", "place")
 
 
-@query("SELECT 'none' AS rule, '' AS detail WHERE false")
+def _rules(name: str) -> str:
+    """The rules of a manifest in SQL: what breaks them in the table of this name."""
+    overlaps = " UNION ALL ".join(
+        f"""SELECT '{side} in one split' AS rule, a.split || ' ' || b.split || ' ' || a.v AS detail
+  FROM (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM {name}) a JOIN (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM {name}) b ON a.v = b.v
+  WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))"""
+        for side in ("lesion", "patient")
+    )
+    return f"""SELECT 'unique pair_id' AS rule, pair_id AS detail FROM {name} GROUP BY pair_id HAVING count(*) > 1
+UNION ALL SELECT 'known split', pair_id FROM {name} WHERE coalesce(split NOT IN ('train', 'val', 'test'), true)
+UNION ALL SELECT 'known label', pair_id FROM {name} WHERE pair_label NOT IN ('stable', 'changing')
+UNION ALL SELECT 'preprocessing profile', pair_id FROM {name} WHERE coalesce(preprocessing_profile, '') = ''
+UNION ALL SELECT 'stable pairs keep the lesion', pair_id FROM {name} WHERE pair_label = 'stable' AND coalesce(context_lesion_id <> target_lesion_id, true)
+UNION ALL SELECT 'changing pairs change the lesion', pair_id FROM {name} WHERE pair_label = 'changing' AND coalesce(context_lesion_id = target_lesion_id, true)
+UNION ALL {overlaps}
+UNION ALL SELECT 'both labels in each split', split FROM {name} GROUP BY split HAVING count(DISTINCT pair_label) FILTER (pair_label IN ('stable', 'changing')) < 2
+UNION ALL SELECT 'manifest not empty', '' FROM (SELECT count(*) AS n FROM {name}) WHERE n = 0"""
+
+
+@query(f"WITH {PICKED}, whole AS (SELECT *, 'square_rgb' AS preprocessing_profile FROM manifest) {_rules('whole')}")
 def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.manifest_violations(manifest(spark, sf_dir).persist())
+    """Of the pairs of orders, which are written once and then checked."""
+    return checks.manifest_violations(stored(manifest(spark, sf_dir), "manifest"))
 
 
 @query("""WITH values_ AS (
@@ -551,23 +571,7 @@ def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OVERLAPS = " UNION ALL ".join(
-    f"""SELECT '{side} in one split' AS rule, a.split || ' ' || b.split || ' ' || a.v AS detail
-  FROM (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM broken) a JOIN (SELECT DISTINCT split, unnest([context_{side}_id, target_{side}_id]) AS v FROM broken) b ON a.v = b.v
-  WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))"""
-    for side in ("lesion", "patient")
-)
-
-
-@query(f"""WITH {BROKEN}
-SELECT 'unique pair_id' AS rule, pair_id AS detail FROM broken GROUP BY pair_id HAVING count(*) > 1
-UNION ALL SELECT 'known split', pair_id FROM broken WHERE coalesce(split NOT IN ('train', 'val', 'test'), true)
-UNION ALL SELECT 'known label', pair_id FROM broken WHERE pair_label NOT IN ('stable', 'changing')
-UNION ALL SELECT 'preprocessing profile', pair_id FROM broken WHERE coalesce(preprocessing_profile, '') = ''
-UNION ALL SELECT 'stable pairs keep the lesion', pair_id FROM broken WHERE pair_label = 'stable' AND coalesce(context_lesion_id <> target_lesion_id, true)
-UNION ALL SELECT 'changing pairs change the lesion', pair_id FROM broken WHERE pair_label = 'changing' AND coalesce(context_lesion_id = target_lesion_id, true)
-UNION ALL {OVERLAPS}
-UNION ALL SELECT 'both labels in each split', split FROM broken GROUP BY split HAVING count(DISTINCT pair_label) FILTER (pair_label IN ('stable', 'changing')) < 2""")
+@query(f"WITH {BROKEN} {_rules('broken')}")
 def manifest_rules_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.manifest_violations(broken_pairs(spark, sf_dir))
 
