@@ -13,6 +13,7 @@ from pairforge.llm.line_dedup import OP2_SQL, op2_line_dedup
 from pairforge.llm.mixing import OP10_SQL, op10_mix_sources
 from pairforge.llm.ngram_join import OP1_SQL, op1_ngram_join
 from pairforge.llm.quality_rules import op8_quality_rules
+from pairforge.llm.secret_scan import op12_secret_scan
 from pairforge.llm.token_align import op13_token_align
 from pairforge.llm.token_counts import op6_token_counts
 from pairforge.llm.url_filter import op7_url_filter
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
+    "op12_secret_scan": op12_secret_scan,
     "op13_token_align": op13_token_align,
 }
 
