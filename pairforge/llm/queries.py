@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.byte_bpe import op9_byte_bpe
+from pairforge.llm.conversation_repair import op11_conversation_repair
 from pairforge.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from pairforge.llm.language_id import op5_language_id
 from pairforge.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_secret_scan": op12_secret_scan,
     "op13_token_align": op13_token_align,
 }
