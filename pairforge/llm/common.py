@@ -64,6 +64,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within this block, Spark deletes the shuffle files of a written table when it is written; till then a lost task finds them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most BATCH_ROWS rows, so that few whole texts are Python objects at once."""
     for b in batches:
@@ -95,12 +110,13 @@ class Scratch:
     def write(self, df: DataFrame, name: str, **watched: Column) -> DataFrame:
         """The table, written and read again; ``watched`` aggregates are made while it is written, and kept in seen()."""
         path = f"{self.path}/{name}"
-        if watched:
-            noted = Observation()
-            df.observe(noted, *[c.alias(k) for k, c in watched.items()]).write.parquet(path)
-            self.noted[name] = noted.get
-        else:
-            df.write.parquet(path)
+        with tidy(self.spark):
+            if watched:
+                noted = Observation()
+                df.observe(noted, *[c.alias(k) for k, c in watched.items()]).write.parquet(path)
+                self.noted[name] = noted.get
+            else:
+                df.write.parquet(path)
         self.names.append(name)
         self.schemas[name] = df.schema
         return self.table(name)

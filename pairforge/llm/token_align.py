@@ -5,10 +5,10 @@ pattern of the byte-level one starts anew there, and no piece of the other has a
 another character. So a text falls into stretches there that are encoded and aligned alone, equal
 stretches alike. The relational plan runs once for each distinct stretch of the corpus:
 posexplode the tokens, add up their lengths in windows, join both sides on stretch and end, count
-these cuts as they come for the group ids, and join groups for the links. Documents are then
-read twice where they are stored: to count in how many of them an id pair is linked, and to add
-up what their stretches have. For either pass a block of neighbouring rows has a table of its own
-stretches, so a worker holds no more than these, whatever the corpus has.
+these cuts as they come for the group ids, and link the ids of a group. Documents are then read
+twice where they are stored: to count in how many of them an id pair is linked, and to add up
+what their stretches have. For either pass a block of neighbouring rows has a table of its own
+stretches and pairs, so a worker holds no more than these, whatever the corpus has.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch, give_back, located, lookup, sliced
+from pairforge.llm.common import Scratch, give_back, located, sliced, tidy
 from pairforge.llm.token_counts import SPACE, refuse_unknown
 
 #: Bytes of text, about, whose distinct stretches a worker holds at once.
@@ -36,10 +35,10 @@ BLOCK_BYTES = 24 << 20
 TASK_STRETCHES = 150_000
 #: Stretches that are encoded as one text.
 TOGETHER = 256
-#: Stretches of a block and id pairs that a worker gathers before it passes them on.
+#: Stretches of a block that a worker gathers before it passes them on.
 GATHERED = 400_000
-#: Groups with more links than this get them by a join of counts.
-SMALL_GROUP = 64
+#: A stretch with more pairs of tokens than this gets its links by a join of its groups' counts.
+SMALL = 1024
 
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -141,7 +140,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def encoded(stretches: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
-    """stretch, ids a and b, and their lengths a_size and b_size; all four empty where one side does not give the stretch back."""
+    """stretch, blocks, ids a and b, and their lengths a_size and b_size; all four empty where one side does not give the stretch back."""
     shared = stretches.sparkSession.sparkContext.broadcast((a_model, b_model))
     none = np.zeros(0, np.int32)
 
@@ -151,9 +150,9 @@ def encoded(stretches: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
             texts = batch.column(0).to_pylist()
             both = [(x, y) if x is not None and y is not None else (none, none) for x, y in zip(a.each(texts), b.each(texts), strict=True)]
             columns = [[x for x, _ in both], [y for _, y in both], [a.size[x] for x, _ in both], [b.size[y] for _, y in both]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_lists, columns)], ["stretch", "a", "b", "a_size", "b_size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(_lists, columns)], ["stretch", "blocks", "a", "b", "a_size", "b_size"])
 
-    return stretches.mapInArrow(run, "stretch string, a array<int>, b array<int>, a_size array<int>, b_size array<int>")
+    return stretches.mapInArrow(run, "stretch string, blocks array<long>, a array<int>, b array<int>, a_size array<int>, b_size array<int>")
 
 
 @contextmanager
@@ -178,43 +177,43 @@ def _ends(entries: DataFrame, side: str) -> DataFrame:
     return rows.select("no", end.alias("end"), F.col("t.id").alias(side))
 
 
-def pair_code(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b
+def aligned(entries: DataFrame, width: int, kind: str) -> DataFrame:
+    """(no, n_a, n_b, n_groups, groups, pairs, left, right): what a stretch adds to its document.
 
-
-def aligned(entries: DataFrame) -> DataFrame:
-    """(no, group, a, b): the groups of each stretch in order, with the ids of either side in order."""
+    A link is a pair a * width + b. Those of a small stretch are listed at once, each as often as
+    it comes; of a large one there are its tokens by group instead, left and right, for links().
+    """
     both = _ends(entries, "a").join(_ends(entries, "b"), ["no", "end"], "full")
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = F.sum(cut.cast("long")).over(Window.partitionBy("no").orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
     numbered = both.select("no", "end", "a", "b", F.coalesce(before, F.lit(0)).alias("group"))
-    listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side])
-    return numbered.groupBy("no", "group").agg(listed("a").alias("a"), listed("b").alias("b"))
+    met = numbered.groupBy("no").agg(F.collect_list(F.struct("group", "end", "a", "b")).alias("met"))
+    of = lambda side, at: F.transform(F.filter("met", lambda x: x[side].isNotNull()), lambda x: F.struct(x["group"].alias("group"), F.lit(at).alias("side"), x["end"].alias("end"), x[side].alias("id")))
+    sides = met.select("no", of("a", 0).alias("left"), of("b", 1).alias("right"))
+    # In the order of what is said of them: by group, the tokens of a before those of b.
+    ordered = sides.select("no", "left", "right", F.sort_array(F.concat("left", "right")).alias("all"))
+    after = lambda i: F.get("all", i + 1)
+    mark = lambda x, i: F.when(after(i).isNull(), "").when(after(i)["side"] == x["side"], ",").when(x["side"] == 0, "|").otherwise(";")
+    code = lambda x, y: (x["id"].cast("long") * width + y["id"]).cast(kind)
+    small = F.size("left").cast("long") * F.size("right") <= SMALL
+    pairs = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: y["group"] == x["group"]), lambda y: code(x, y))))
+    return ordered.select(
+        "no", F.size("left").alias("n_a"), F.size("right").alias("n_b"), (F.element_at("all", -1)["group"] + 1).alias("n_groups"),
+        F.array_join(F.transform("all", lambda x, i: F.concat(x["id"].cast("string"), mark(x, i))), "").alias("groups"),
+        F.when(small, pairs).alias("pairs"), F.when(~small, F.col("left")).alias("left"), F.when(~small, F.col("right")).alias("right"),
+    )
 
 
-def links(groups: DataFrame) -> DataFrame:
-    """(no, pair, n): links of a stretch by id pair; a pair may have several rows.
+def links(held: DataFrame, width: int, kind: str) -> DataFrame:
+    """(no, more, times): the different links of large stretches, and how often each comes.
 
-    Small groups give their pairs at once. In others equal ids are counted first and both sides
-    joined by group, so that as many rows are made as there are different pairs.
+    Equal ids of a group are counted before both sides are joined by group, so that there are as
+    many rows as a group has different pairs.
     """
-    size = F.size("a").cast("long") * F.size("b")
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: pair_code(x, y))))
-    small = groups.filter(size <= SMALL_GROUP).select("no", F.explode(pairs).alias("pair"), F.lit(1).cast("long").alias("n"))
-    large = groups.filter(size > SMALL_GROUP)
-    counted = lambda side: large.select("no", "group", F.explode(side).alias(side)).groupBy("no", "group", side).agg(F.count("*").alias(f"n_{side}"))
-    joined = counted("a").join(counted("b"), ["no", "group"]).select("no", pair_code(F.col("a"), F.col("b")).alias("pair"), (F.col("n_a") * F.col("n_b")).alias("n"))
-    return small.unionByName(joined)
-
-
-def stretch_sums(groups: DataFrame) -> DataFrame:
-    """(no, n_a, n_b, n_groups, n_links, groups): what a stretch adds to its document."""
-    joined = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
-    n_a, n_b = F.size("a").cast("long"), F.size("b").cast("long")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("group", "s"))), lambda x: x["s"])
-    return groups.select("no", "group", joined.alias("s"), n_a.alias("n_a"), n_b.alias("n_b")).groupBy("no").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"), F.array_join(listed, ";").alias("groups"),
-    )
+    counted = lambda side, name: held.filter("left is not null").select("no", F.explode(side).alias("t")).groupBy("no", "t.group", F.col("t.id").alias(name)).agg(F.count("*").alias(f"n_{name}"))
+    each = counted("left", "x").join(counted("right", "y"), ["no", "group"]).groupBy("no", (F.col("x").cast("long") * width + F.col("y")).cast(kind).alias("pair")).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("n"))
+    listed = each.groupBy("no").agg(F.collect_list(F.struct("pair", "n")).alias("l"))
+    return listed.select("no", F.col("l.pair").alias("more"), F.col("l.n").alias("times"))
 
 
 def _spoken(rows: DataFrame) -> DataFrame:
@@ -262,22 +261,56 @@ class Tables:
         return pa.concat_tables(parts) if parts else None
 
 
-def _by_block(df: DataFrame) -> DataFrame:
-    return df.repartition("block").sortWithinPartitions("block")
+def _write_blocks(df: DataFrame, path: str) -> None:
+    with tidy(df.sparkSession):
+        df.repartition("block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
+
+
+class Block:
+    """The stretches of a block by number, and their links one after another."""
+
+    def __init__(self, tables: Tables, block: int, columns: list[str]) -> None:
+        found = tables.read("stretches", block, ["stretch", "pairs", *columns]).combine_chunks()
+        self.index = {s: i for i, s in enumerate(found["stretch"].to_pylist())}
+        self.bad = found["pairs"].is_null().to_numpy()
+        self.starts, self.links = self.lists(found, "pairs")
+        self.found = found
+
+    def lists(self, found: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each list begins, with the end of the last, and all their items; a null list has none."""
+        column = found[name].combine_chunks() if found[name].num_chunks != 1 else found[name].chunk(0)
+        starts = np.zeros(len(column) + 1, np.int64)
+        starts[1:] = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        return starts, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def items(self, of: np.ndarray) -> np.ndarray:
+        """The places of the links of these stretches."""
+        size = self.starts[of + 1] - self.starts[of]
+        return np.repeat(self.starts[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """Of each stretch, the sum over its links."""
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return upto[self.starts[1:]] - upto[self.starts[:-1]]
+
+    def times(self) -> np.ndarray:
+        """How often each link comes: once, where a stretch does not say."""
+        out = np.ones(len(self.links), np.int64)
+        said = np.flatnonzero(self.found["times"].is_valid().to_numpy())
+        out[self.items(said)] = self.lists(self.found, "times")[1]
+        return out
 
 
 def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
-    """(pair, n): in how many documents an id pair is linked, as partial counts of workers."""
+    """(block, pair, n): in how many documents of a block an id pair is linked; a block that several tasks read has several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at = Tables(root), Splitter(), None
-        pairs: dict[str, list[int] | None] = {}
-        counts: Counter[int] = Counter()
+        tables, split, at, known = Tables(root), Splitter(), None, None
+        names = which = counts = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
-            counts.clear()
-            return batch
+            some = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int64)), pa.array(names[some]), pa.array(counts[some])], ["block", "pair", "n"])
 
         for b in batches:
             for part in sliced(iter([b])):
@@ -285,31 +318,30 @@ def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
                     if not text:
                         continue
                     if block != at:
-                        at, found = block, tables.read("stretches", block, ["stretch", "pairs"])
-                        pairs = dict(zip(found["stretch"].to_pylist(), found["pairs"].to_pylist(), strict=True))
-                    got = [pairs[s] for s in set(split(text))]
-                    if None not in got:
-                        counts.update(set().union(*got))
-                    if len(counts) > GATHERED:
-                        yield out()
-        if counts:
+                        if at is not None:
+                            yield out()
+                        at, known = block, Block(tables, block, [])
+                        names, which = np.unique(known.links, return_inverse=True)
+                        counts = np.zeros(len(names), np.int64)
+                    of = np.fromiter({known.index[s] for s in split(text)}, np.int64)
+                    if not known.bad[of].any():
+                        counts[np.unique(which[known.items(of)])] += 1
+        if at is not None:
             yield out()
-        pairs.clear()
+        del known, names, which, counts
         give_back()
 
-    return rows.select("block", "text").mapInArrow(run, "pair long, n long")
+    return rows.select("block", "text").mapInArrow(run, "block long, pair long, n long")
 
 
-#: What is added up over the stretches of a document, then whether one of them has no tokens.
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at = Tables(root), Splitter(), None
-        index: dict[str, int] = {}
-        names: list[str] = []
-        sums = np.zeros((0, len(SUMS) + 1), np.int64)
+        tables, split, at, known = Tables(root), Splitter(), None, None
+        said: list[str] = []
+        sums = np.zeros((0, len(SUMS)), np.int64)
         for b in batches:
             for part in sliced(iter([b])):
                 out, digests = np.zeros((part.num_rows, len(SUMS)), np.int64), [""] * part.num_rows
@@ -317,28 +349,26 @@ def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
                     if not text:
                         continue
                     if block != at:
-                        at, found = block, tables.read("stretches", block, ["stretch", "no", "groups", *SUMS[:4]])
-                        more = tables.read("counts", block, ["no", *SUMS[4:]])
-                        index = {s: i for i, s in enumerate(found["stretch"].to_pylist())}
-                        names = found["groups"].to_pylist()
-                        sums = np.zeros((len(names), len(SUMS) + 1), np.int64)
-                        for c, name in enumerate(SUMS[:4]):
-                            sums[:, c] = found[name].fill_null(0).to_numpy()
-                        sums[:, -1] = found["groups"].is_null().to_numpy()
-                        if more is not None:
-                            place = {n: i for i, n in enumerate(more["no"].to_pylist())}
-                            which = np.array([place.get(n, -1) for n in found["no"].to_pylist()], np.int64)
-                            for c, name in enumerate(SUMS[4:], 4):
-                                sums[:, c] = np.append(more[name].to_numpy(), 0)[which]
-                    of = [index[s] for s in split(text)]
-                    total = sums[of].sum(axis=0)
-                    if not total[-1]:
-                        out[row] = total[:-1]
-                        digests[row] = hashlib.sha256(";".join([names[i] for i in of]).encode()).hexdigest()
+                        at, known = block, Block(tables, block, ["times", "groups", *SUMS[:3]])
+                        said, times = known.found["groups"].to_pylist(), known.times()
+                        own = [known.found[c].fill_null(0).to_numpy().astype(np.int64) for c in SUMS[:3]]
+                        known.found = None
+                        more = tables.read("counts", block, ["pair", "documents", "best"])
+                        if more is None:  # no document of the block has links
+                            documents = best = np.zeros(len(known.links), np.int64)
+                        else:
+                            order = np.argsort(more["pair"].to_numpy())
+                            pairs = more["pair"].to_numpy()[order]
+                            place = order[np.minimum(np.searchsorted(pairs, known.links), len(pairs) - 1)]
+                            documents, best = more["documents"].to_numpy()[place], more["best"].to_numpy().astype(np.int64)[place]
+                        sums = np.stack([*own, known.sums(times), known.sums(times * best), known.sums(times * documents)], axis=1)
+                    of = [known.index[s] for s in split(text)]
+                    if not known.bad[of].any():
+                        out[row] = sums[of].sum(axis=0)
+                        digests[row] = hashlib.sha256(";".join([said[i] for i in of]).encode()).hexdigest()
                 columns = [part.column(2), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(SUMS))), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SUMS, "groups_sha256"])
-        index.clear()
-        names.clear()
+        del known, said, sums
         give_back()
 
     return rows.select("block", "text", "doc_id").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")
@@ -359,35 +389,35 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         a_model = f.read()
     with open(b_path, "rb") as f:
         b_model = f.read()
+    width, most = len(Side.piece_level(b_model).raw), len(Side.byte_level(a_model).raw)
     stored = located(docs, scratch)
     text = F.col("row").getField("text").cast("string")
     n, size = stored.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    per_block = max(1, BLOCK_BYTES * n // max(size, 1))
-    block = F.xxhash64("row_file", F.expr(f"row_at div {per_block}L"))
+    block = F.xxhash64("row_file", F.expr(f"row_at div {max(1, BLOCK_BYTES * n // max(size, 1))}L"))
     rows = stored.select(block.alias("block"), text.alias("text"), F.col("row").getField("doc_id").alias("doc_id"))
 
-    spoken = scratch.write(_spoken(rows), "spoken")
-    made = encoded(spoken.select("stretch").distinct(), a_model, b_model)
+    # A stretch is in as many blocks as the input has at most: one for BLOCK_BYTES of text.
+    made = encoded(_spoken(rows).groupBy("stretch").agg(F.collect_set("block").alias("blocks")), a_model, b_model)
     entries = scratch.write(made.withColumn("no", F.monotonically_increasing_id()), "entries", rows=F.count(F.lit(1)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scratch.seen("entries")["rows"] // TASK_STRETCHES))
+    kind = "int" if width * most < 2**31 else "long"
     with _kept_together(spark):
-        groups = scratch.write(aligned(entries.filter(F.size("a") > 0).select("no", "a", "b", "a_size", "b_size").repartition(tasks, "no")), "groups")
-    linked = scratch.write(links(groups), "links")
-    known = linked.groupBy("no").agg(F.collect_set("pair").alias("pairs")).join(stretch_sums(groups), "no")
-    held = entries.select("stretch", "no").join(known, "no", "left").join(spoken, "stretch")
-    _by_block(held).write.partitionBy("block").parquet(f"{scratch.path}/stretches")
-    scratch.drop("groups")
-
-    # In how many documents each pair is linked, and whether that is the most of its first id.
-    counted = scratch.write(_linked_documents(rows, scratch.path).groupBy("pair").agg(F.sum("n").alias("documents")), "counted")
-    first = F.shiftrightunsigned("pair", 32)
-    most = counted.groupBy(first.alias("first")).agg(F.max("documents").alias("most"))
-    best = counted.withColumn("first", first).join(most, "first").select("pair", "documents", (F.col("documents") == F.col("most")).alias("best"))
-    used = linked.groupBy("pair").agg(F.count("*").alias("n_stretches"))
-    best = scratch.sized(best.join(used, "pair"), "best", "n_stretches")
-    sums = lookup(linked, best, "pair", "n_stretches").groupBy("no").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("documents")).alias("count_sum"))
-    placed = entries.select("stretch", "no").join(spoken, "stretch").select("no", "block").join(sums, "no")
-    _by_block(placed).write.partitionBy("block").parquet(f"{scratch.path}/counts")
+        by_no = entries.repartition(tasks, "no")
+        made = aligned(by_no.filter(F.size("a") > 0).select("no", "a", "b", "a_size", "b_size"), width, kind)
+        held = scratch.write(by_no.select("no", "stretch", "blocks").join(made, "no", "left"), "held", large=F.count("left"))
+    scratch.drop("entries")
+    listed = held.select("no", "stretch", "blocks", "n_a", "n_b", "n_groups", "groups", "pairs", F.lit(None).cast("array<long>").alias("times"))
+    if scratch.seen("held")["large"]:
+        listed = listed.drop("times").join(links(held, width, kind), "no", "left").withColumn("pairs", F.coalesce("pairs", "more")).drop("more")
+    _write_blocks(listed.withColumn("block", F.explode("blocks")).drop("blocks", "no"), f"{scratch.path}/stretches")
+    scratch.drop("held")
+
+    # In how many documents each pair is linked, and whether no pair of its first id is linked in more.
+    counted = scratch.write(_linked_documents(rows, scratch.path), "counted")
+    totals = counted.groupBy("pair").agg(F.sum("n").alias("documents")).withColumn("first", F.expr(f"pair div {width}L"))
+    top = totals.groupBy("first").agg(F.max("documents").alias("top"))
+    totals = totals.join(top, "first").select("pair", "documents", (F.col("documents") == F.col("top")).alias("best"))
+    _write_blocks(counted.select("block", "pair").distinct().join(totals, "pair"), f"{scratch.path}/counts")
     scratch.keep(*[name for name in scratch.names if name.startswith("rows-")])
     return _summed(rows, scratch.path, docs.schema["doc_id"].dataType.simpleString())
 

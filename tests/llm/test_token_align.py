@@ -92,11 +92,11 @@ def test_documents_as_the_libraries_align_them(spark, monkeypatch):
     assert by_id(found(align(docs, A, B))) == by_id(want)
 
 
-def test_groups_with_many_links_are_counted_as_small_ones(spark, monkeypatch):
+def test_links_of_large_stretches_are_those_of_small_ones(spark, monkeypatch):
     text = "éèêë" * 30 + " ñandú " + "日本" * 9
     docs = spark.createDataFrame([(1, text), (2, text[5:]), (3, "plain words")], "doc_id long, text string")
     whole = by_id(found(align(docs, A, B)))
-    monkeypatch.setattr("pairforge.llm.token_align.SMALL_GROUP", 0)
+    monkeypatch.setattr("pairforge.llm.token_align.SMALL", 0)
     assert by_id(found(align(docs, A, B))) == whole
     assert [w[1:] for w in whole] == [tuple(r) for r in direct([text, text[5:], "plain words"])]
 
