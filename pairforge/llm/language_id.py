@@ -195,7 +195,7 @@ def fuse(scored: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
     domain = F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(F.col("host"))
     rows = scored.withColumn("q", _softmax(F.col("ll"))).withColumn("rows", F.lit(1).cast("long"))
     rows = rows.withColumn("suffix", suffix).withColumn("domain", F.coalesce(domain, F.lit(""))).withColumn("host", F.coalesce("host", F.lit(""))).withColumn("_declared", F.col("declared"))
-    rows = scratch.write(rows, f"posteriors-{'-'.join(names)[:20]}")
+    rows = scratch.write(rows, "posteriors")
 
     whole = _sums(rows.withColumn("one", F.lit(1)), ["one"], n, "size").first()
     total = [(x + 1.0) / (whole["size"] + n) for x in whole["q"]]
@@ -237,7 +237,8 @@ def identify(rows: DataFrame, labelled: DataFrame, html: bool, per_language: int
     ``labelled`` (doc_id, text, lang) trains the text models, on a sample of about
     ``per_language`` texts a language; all else is counted over all rows. A row without text,
     host or declaration lacks that evidence only: a null or empty body leaves the priors to
-    decide. Ties go to the language first in the alphabet. Repeated rows are judged each and
+    decide; what a row says itself is taken out of its host's counts, not out of those of its
+    domain, suffix and declaration. Labels are any strings. Ties go to the language first in the alphabet. Repeated rows are judged each and
     null ids stay. Without labels lang is null; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession, "languages")

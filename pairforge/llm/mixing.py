@@ -26,7 +26,8 @@ def keyed(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame
 
     u is uniform in (0, 1), from a hash of seed and id. The logarithm of the key is an
     exponential variable scaled by 1/weight; the greatest keys are taken first. ``weight`` is
-    an expression of the columns of docs, such as a score of quality.
+    an expression of the columns of docs, such as a score of quality. A weight that is null, no
+    number, zero or negative makes the key 0: such rows come after all others of their source, by id.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
@@ -35,7 +36,9 @@ def keyed(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame
     drawn = docs.select(own, "source", F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), size.alias("_size"), digest.alias("_digest"), *([] if weight is None else [weight.alias("_weight")]))
     u = (F.conv(F.substring("_digest", 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     by = quality_weight(F.col("_text"), F.col("_size")) if weight is None else F.col("_weight")
-    return drawn.select("row", "source", "doc_id", "_size", F.pow(u, 1.0 / by).alias("_key"))
+    by = by.cast("double")
+    key = F.when((by > 0) & ~F.isnan(by), F.pow(u, 1.0 / by)).otherwise(0.0)
+    return drawn.select("row", "source", "doc_id", "_size", key.alias("_key"))
 
 
 def plan(keys: DataFrame) -> DataFrame:
@@ -110,7 +113,8 @@ def mix(docs: DataFrame, seed: int = 7, weight: Column | None = None) -> DataFra
     Whole epochs come first; the part epoch takes documents in the order of their keys until
     the target is reached within half a document. Reruns agree: keys are hashes of seed and id.
     Rows that repeat an id and a size share a key and are taken together. A null text has no
-    words; null sources form one source, weighed last; null ids share a hash. Columns named
+    words; null sources form one source, weighed last; null ids share a hash. Rows whose weight is
+    null, no number, zero or negative come last in the part epoch of their source. Columns named
     like these four results give way to them; all others stay, whatever they are called. An
     empty table gives no rows. Sources are named collections: plans are made of one row each.
     """

@@ -318,3 +318,12 @@ def test_declared_language_moves_doubtful_pages(spark):
     pages += [(100, None, '<html lang="aa"><p>'), (101, None, '<html lang="bb"><p>')]
     got = {r.id: r for r in identify(spark.createDataFrame(pages, "id long, host string, body string"), labelled, html=True).collect()}
     assert (got[100].lang, got[101].lang) == ("aa", "bb")
+
+
+@pytest.mark.parametrize("labels", [("{a}", "b/c", "z*"), ("[x]?", "..", " ")])
+def test_labels_are_any_strings(spark, labels):
+    rng = random.Random(4)
+    say = lambda k, n: " ".join(rng.choice(("wxyz", "mnop", "qrst")[k]) * 4 for _ in range(n))
+    labelled = spark.createDataFrame([(i, say(i % 3, 30), labels[i % 3]) for i in range(90)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(i, f"h{i % 3}", say(i % 3, 12)) for i in range(12)], "id long, host string, body string")
+    assert {r.id: r.lang for r in identify(rows, labelled, html=False).collect()} == {i: labels[i % 3] for i in range(12)}

@@ -379,3 +379,17 @@ def test_near_duplicates_of_repeated_and_null_rows(spark):
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0)]
     out = P.near_duplicates(spark, docs(spark, rows), "")
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
+
+
+def test_rows_without_a_weight_come_last(spark):
+    """a gives the target of a third of all words; its weightless rows are taken after all others."""
+    odd = [0.0, -1.0, None, float("nan")]
+    rows = [(i, "ab"[i % 2], "one two three four", odd[i // 2 % 4] if i % 8 < 4 else 1.0 + i % 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, w double")
+    got = mix(docs, weight=F.col("w")).filter("source = 'a'").collect()
+    assert sum(r["copies"] for r in got) == sum(r["copies"] > 0 for r in got) == round(got[0].target / 4)
+    live, dead = ([r["copies"] for r in got if (r.w is not None and r.w > 0 and r.w == r.w) == is_live] for is_live in (True, False))
+    assert len(live) == len(dead) == 100 and min(live) == 1 and 0 < sum(dead) < 100
+    assert [r["copies"] for r in sorted(got, key=lambda r: r.doc_id) if not (r.w is not None and r.w > 0 and r.w == r.w)] == [1] * sum(dead) + [0] * (100 - sum(dead))
+    ints = mix(docs.withColumn("w", F.lit(0)), weight=F.col("w"))
+    assert ints.filter("copies > 0").count() > 0
