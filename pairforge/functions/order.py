@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.sinks.scratch import stored
+
 #: Ranges that the rows of a group are dealt into: EDGES * EDGES, about equally filled.
 EDGES = 12
 
@@ -26,6 +28,33 @@ def hash_order(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFr
     return dealt.join(starts, "_bucket").withColumn(name, F.col("_before") + place).drop("_md5", "_bucket", "_before")
 
 
+#: Within the place that a row is written with: the range's number stands above these bits, the row's own below.
+RANGE_BITS = 33
+
+
+def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, written in the order of its keys, with ``_range`` and ``_inside``: its range, and its 0-based place there.
+
+    Ranges are cut at sampled values of the whole key, so they hold like numbers of rows however
+    many share its first columns. Columns of all types order rows, nulls first; strings by code
+    point. Rows equal in all keys lie in one range, in any order.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # Numbers are kept as they are written, so ranges need not come out the same when they are read.
+    written = stored(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    return written.withColumns({"_range": F.shiftright("_place", RANGE_BITS), "_inside": F.col("_place").bitwiseAND((1 << RANGE_BITS) - 1)}).drop("_place")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
+    """df with the 0-based rank of each row in the order of its keys; only counts of ranges meet in one place."""
+    placed = in_order(df, keys)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_range", before.alias("_before")))
+    return placed.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def joined_by(left: DataFrame, right: DataFrame, group: Sequence[str], take: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
     """left with columns of right, which has a row a group; without groups it is one row."""
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + list(also)

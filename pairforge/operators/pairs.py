@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.functions.order import ranked
 from pairforge.schema import MATCHES
 
 ORDER = ("diagnosis", "anatomical_site", "lesion_id", "image_id")
@@ -18,31 +19,39 @@ ORDER = ("diagnosis", "anatomical_site", "lesion_id", "image_id")
 def positions(records: DataFrame) -> DataFrame:
     """Records with their positions in sort order: within the split and the groups they are matched in.
 
-    Only rows of one split, diagnosis and site are sorted together, and those of one patient;
-    all other positions add the sizes of the (diagnosis, site) cells before.
+    Rows are ranked once by the whole order and, those with a patient, once by patient: both by
+    sampled ranges, so that no task sorts a split, a cell or a patient. All other positions add
+    the sizes of the (diagnosis, site) cells before. Image ids are taken to be unique.
     """
     cell = ["split", "diagnosis", "anatomical_site"]
-    sizes = records.groupBy(*cell).agg(F.count("*").alias("n_cell"))
+    placed = ranked(records, ["split", *ORDER], "_rank")
+    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n_cell"))
 
     def before(*keys: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy("diagnosis", "anatomical_site").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*keys).orderBy(*[c for c in cell if c not in keys]).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("n_cell").over(w), F.lit(0))
 
     def whole(*keys: str) -> Column:
         return F.sum("n_cell").over(Window.partitionBy(*keys))
 
-    cells = sizes.select(
-        *cell, "n_cell", before("split").alias("all_at"), whole("split").alias("n_all"),
+    # A row for each cell from here on: cells are named collections.
+    cells = sizes.withColumn("_one", F.lit(0)).select(
+        *cell, "n_cell", before("_one").alias("_first"), before("split").alias("all_at"), whole("split").alias("n_all"),
         before("split", "diagnosis").alias("dx_at"), whole("split", "diagnosis").alias("n_dx"),
         before("split", "anatomical_site").alias("site_at"), whole("split", "anatomical_site").alias("n_site"),
     )
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("lesion_id", "image_id")) - 1
-    placed = records.withColumn("p_cell", inside.cast("long")).join(cells, cell)
-    patient = Window.partitionBy("split", F.when(F.col("patient_id_available"), F.col("patient_id")), F.when(~F.col("patient_id_available"), F.col("image_id")))
-    placed = placed.withColumn("p_patient", (F.row_number().over(patient.orderBy(*ORDER)) - 1).cast("long")).withColumn("n_patient", F.count("*").over(patient))
-    return placed.select(*records.columns, "p_cell", "n_cell", "p_patient", "n_patient", *[
+    placed = placed.join(cells, cell).withColumn("p_cell", F.col("_rank") - F.col("_first"))
+    placed = placed.select(*records.columns, "p_cell", "n_cell", *[
         expr for name in ("dx", "site", "all") for expr in ((F.col(f"{name}_at") + F.col("p_cell")).alias(f"p_{name}"), F.col(f"n_{name}"))
     ])
+    patient = ["split", "patient_id"]
+    theirs = ranked(placed.filter("patient_id_available"), [*patient, *ORDER], "_rank")
+    # Of patients with several images: where they begin. A patient with very many is split as a skewed join.
+    several = theirs.groupBy(*patient).agg(F.min("_rank").alias("_first"), F.count("*").alias("n_patient")).filter("n_patient > 1")
+    theirs = theirs.join(several, patient, "left").withColumn("p_patient", F.coalesce(F.col("_rank") - F.col("_first"), F.lit(0))).withColumn("n_patient", F.coalesce("n_patient", F.lit(1)))
+    alone = {"p_patient": F.lit(0).cast("long"), "n_patient": F.lit(1).cast("long")}
+    columns = [*records.columns, "p_cell", "n_cell", "p_patient", "n_patient", "p_dx", "n_dx", "p_site", "n_site", "p_all", "n_all"]
+    return theirs.select(*columns).unionByName(placed.filter("not patient_id_available").withColumns(alone).select(*columns))
 
 
 def _stages() -> list[tuple[str, str, Column, Column]]:
