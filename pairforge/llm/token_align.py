@@ -102,30 +102,39 @@ class Side:
         raw = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         return cls(lambda texts: sp.encode(texts, num_threads=1), raw)
 
-    def each(self, stretches: list[str]) -> list[np.ndarray | None]:
-        """The ids of each stretch; None where their bytes are not those of a space and the stretch."""
-        out: list[np.ndarray | None] = [None] * len(stretches)
-        alone = [i for i, s in enumerate(stretches) if s[0].isspace() or s[-1].isspace()]
-        apart = set(alone)
-        rest = [i for i in range(len(stretches)) if i not in apart]
-        groups = [[i] for i in alone] + [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        while groups:
-            again: list[list[int]] = []
-            for group, ids in zip(groups, self.encode([" ".join(stretches[i] for i in g) for g in groups]), strict=True):
-                found = np.array(ids, np.int32)
-                ends = np.cumsum(self.size[found]) if len(ids) else np.zeros(0, np.int64)
-                raw = [b" " + stretches[i].encode() for i in group]
-                want = np.cumsum([len(r) for r in raw])
-                if b"".join(map(self.raw.__getitem__, ids)) == b"".join(raw):
-                    at = np.searchsorted(ends, want)
-                    if (ends[at] == want).all():
-                        for i, part in zip(group, np.split(found, at[:-1] + 1), strict=True):
-                            out[i] = part
-                        continue
-                if len(group) > 1:  # one of them is not given back: find it
-                    again += [group[: len(group) // 2], group[len(group) // 2 :]]
-            groups = again
-        return out
+    def each(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stretches one after another, and how many each has; none where their bytes are not those of a space and the stretch.
+
+        Stretches without white space at an edge are encoded together, as neighbours in a text are.
+        """
+        groups, i = [], 0
+        while i < len(stretches):
+            n = 1
+            if not edged(stretches[i]):
+                while n < TOGETHER and i + n < len(stretches) and not edged(stretches[i + n]):
+                    n += 1
+            groups.append(stretches[i : i + n])
+            i += n
+        made = [part for group, ids in zip(groups, self.encode(list(map(" ".join, groups))), strict=True) for part in self.cut(group, ids)]
+        return (np.concatenate([ids for ids, _ in made]), np.concatenate([n for _, n in made])) if made else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def cut(self, group: list[str], ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of a group, and how many each of its stretches has; where they don't give it back, those of its halves."""
+        raw = [b" " + s.encode() for s in group]
+        if b"".join(map(self.raw.__getitem__, ids)) == b"".join(raw):
+            found = np.array(ids, np.int32)
+            ends, want = np.cumsum(self.size[found]), np.cumsum(list(map(len, raw)))
+            at = np.searchsorted(ends, want)
+            if (ends[at] == want).all():
+                return [(found, np.diff(at, prepend=-1))]
+        if len(group) == 1:
+            return [(np.zeros(0, np.int32), np.zeros(1, np.int64))]
+        halves = [group[: len(group) // 2], group[len(group) // 2 :]]
+        return [part for half, ids in zip(halves, self.encode(list(map(" ".join, halves))), strict=True) for part in self.cut(half, ids)]
+
+
+def edged(stretch: str) -> bool:
+    return stretch[0].isspace() or stretch[-1].isspace()
 
 
 @cache
@@ -133,24 +142,28 @@ def _sides(a: str, b: bytes) -> tuple[Side, Side]:
     return Side.byte_level(a), Side.piece_level(b)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    offsets[1:] = np.cumsum([len(p) for p in parts])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    offsets[1:] = np.cumsum(counts)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
 def encoded(stretches: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
     """stretch, blocks, ids a and b, and their lengths a_size and b_size; all four empty where one side does not give the stretch back."""
     shared = stretches.sparkSession.sparkContext.broadcast((a_model, b_model))
-    none = np.zeros(0, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(*shared.value)
+        sides = _sides(*shared.value)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            both = [(x, y) if x is not None and y is not None else (none, none) for x, y in zip(a.each(texts), b.each(texts), strict=True)]
-            columns = [[x for x, _ in both], [y for _, y in both], [a.size[x] for x, _ in both], [b.size[y] for _, y in both]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(_lists, columns)], ["stretch", "blocks", "a", "b", "a_size", "b_size"])
+            if any(map(edged, texts)):  # those with white space at an edge last, as each stands alone
+                batch = batch.take(pa.array(sorted(range(len(texts)), key=lambda i: edged(texts[i]))))
+                texts = batch.column(0).to_pylist()
+            made = [side.each(texts) for side in sides]
+            both = (made[0][1] > 0) & (made[1][1] > 0)
+            kept = [(ids[np.repeat(both, n)], n * both) for ids, n in made]
+            columns = [_lists(*k) for k in kept] + [_lists(side.size[ids], n) for side, (ids, n) in zip(sides, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["stretch", "blocks", "a", "b", "a_size", "b_size"])
 
     return stretches.mapInArrow(run, "stretch string, blocks array<long>, a array<int>, b array<int>, a_size array<int>, b_size array<int>")
 
@@ -320,7 +333,9 @@ def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
                     if block != at:
                         if at is not None:
                             yield out()
+                        known = names = which = counts = None  # before the next block is read
                         at, known = block, Block(tables, block, [])
+                        known.found = None
                         names, which = np.unique(known.links, return_inverse=True)
                         counts = np.zeros(len(names), np.int64)
                     of = np.fromiter({known.index[s] for s in split(text)}, np.int64)
@@ -349,6 +364,7 @@ def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
                     if not text:
                         continue
                     if block != at:
+                        known = said = sums = None  # before the next block is read
                         at, known = block, Block(tables, block, ["times", "groups", *SUMS[:3]])
                         said, times = known.found["groups"].to_pylist(), known.times()
                         own = [known.found[c].fill_null(0).to_numpy().astype(np.int64) for c in SUMS[:3]]

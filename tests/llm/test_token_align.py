@@ -116,5 +116,6 @@ def test_a_text_is_cut_at_single_spaces_only():
 
 def test_a_stretch_that_is_not_given_back_spoils_no_other():
     side = Side.piece_level(Path(B).read_bytes())
-    got = side.each(["one", "▁", "two", "three"])
-    assert [g is None for g in got] == [False, True, False, False]
+    ids, counts = side.each(["one", "▁", "two", "three", " ", "four "])
+    assert [bool(n) for n in counts] == [True, False, True, True, True, True] and counts.sum() == len(ids)
+    assert b"".join(side.raw[i] for i in ids) == b" one two three   four "
