@@ -122,6 +122,39 @@ def perceptual_hash(image: np.ndarray) -> int:
     return int(np.packbits(bits).view(">i8")[0])
 
 
+def _bits(flags: np.ndarray) -> int:
+    return int(np.packbits(flags.ravel()).view(">i8")[0])
+
+
+def _plain_grey(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    return resize(image, width, height).astype(float) @ [0.299, 0.587, 0.114]
+
+
+def average_hash(image: np.ndarray) -> int:
+    """64 bits: which cells of an 8 x 8 grey image are lighter than their mean."""
+    grey = _plain_grey(image, 8, 8)
+    return _bits(grey > grey.mean())
+
+
+def difference_hash(image: np.ndarray) -> int:
+    """64 bits: which cells of a 9 x 8 grey image have a lighter one to their right."""
+    grey = _plain_grey(image, 9, 8)
+    return _bits(grey[:, 1:] > grey[:, :-1])
+
+
+def wavelet_hash(image: np.ndarray) -> int:
+    """64 bits: which coarsest Haar terms of a 64 x 64 grey image, left after three halvings, are above their median."""
+    low = _plain_grey(image, 64, 64)
+    for _ in range(3):
+        low = (low[0::2] + low[1::2]) / np.sqrt(2)
+        low = (low[:, 0::2] + low[:, 1::2]) / np.sqrt(2)
+    return _bits(low > np.median(low))
+
+
+#: Hashes by name, in the order in which near duplicates are looked for.
+HASHES = {"perceptual": perceptual_hash, "difference": difference_hash, "wavelet": wavelet_hash, "average": average_hash}
+
+
 # --- nuisance families --------------------------------------------------------------------------
 # The ranges that each family draws from, the names of its recipe, and its own name.
 

@@ -370,6 +370,9 @@ def near_duplicates(spark: SparkSession, config: Config, archives: str, most: in
     other = images.perceptual_hashes(images.pictures(named, images.images_in(spark, [place])))
     writers.write_table(other, f"{config.run_dir}/archive_hashes")
     other = spark.read.parquet(f"{config.run_dir}/archive_hashes")
+    # Copies as classes with their members first, which stay few however often an image comes; then all pairs, as the CSV has them.
+    writers.write_table(neardup.hamming_classes(own, other, most), f"{config.run_dir}/near_duplicate_classes")
+    writers.write_table(neardup.class_members(own, other), f"{config.run_dir}/near_duplicate_members")
     found = neardup.hamming_join(own, other, most)
     covered = images.coverage(members, named.join(other.select(F.col("id").alias("image_id")), "image_id", "left_semi"))
     placed = found.join(named.select(F.col("image_id").alias("b_id"), "archive", "position"), "b_id")

@@ -475,6 +475,32 @@ def hash_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.agreeing(rows, ["d1", "d2", "d3", "d4"])
 
 
+COPIES = """hashed AS (SELECT doc_id AS id, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h FROM documents WHERE text IS NOT NULL),
+a AS (SELECT h, min(id) AS id, count(*) AS n FROM hashed WHERE id % 2 = 0 GROUP BY h), b AS (SELECT h, min(id) AS id, count(*) AS n FROM hashed WHERE id % 2 = 1 GROUP BY h)"""
+
+
+@query(f"""WITH {COPIES} SELECT a.id AS a_id, b.id AS b_id, a.n AS n_a, b.n AS n_b, bit_count(xor(a.h, b.h))::INTEGER AS distance
+FROM a JOIN b ON bit_count(xor(a.h, b.h)) <= 10""")
+def copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even ids beside those of odd ones, by hashes of their texts: copies as classes, not as pairs."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("hash"))
+    return neardup.hamming_classes(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")).select("a_id", "b_id", "n_a", "n_b", "distance")
+
+
+FOUR = ("perceptual", "difference", "wavelet", "average")
+FOUR_SQL = ", ".join(f"CAST('0x' || substr(md5('{name}/' || CAST(vec_id // 2 AS VARCHAR)), 1, 15) AS BIGINT) + vec_id % 2 * {flip} AS {name}" for name, flip in zip(FOUR, (3, 40, 1023, 7), strict=True))
+VOTES = " + ".join(f"(bit_count(xor(a.{name}, b.{name})) <= 6)::INTEGER" for name in FOUR)
+
+
+@query(f"""WITH hashed AS (SELECT vec_id AS id, {FOUR_SQL} FROM embeddings)
+SELECT a.id AS a_id, b.id AS b_id, {VOTES} AS votes, 1::BIGINT AS n_a, 1::BIGINT AS n_b FROM hashed a JOIN hashed b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {VOTES} >= 3""")
+def agreeing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images with four hashes each, of which three must agree."""
+    own = lambda name, flip: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{name}/"), F.expr("vec_id div 2").cast("string"))), 1, 15), 16, 10).cast("long") + F.col("vec_id") % 2 * flip).alias(name)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *[own(n, f) for n, f in zip(FOUR, (3, 40, 1023, 7), strict=True)])
+    return neardup.agreeing_classes(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), list(FOUR))
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 RUN_VALUES = "runs AS (SELECT event_type, user_id % 5 AS seed, avg(value) AS v FROM events GROUP BY ALL)"

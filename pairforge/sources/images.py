@@ -51,6 +51,18 @@ def perceptual_hashes(images: DataFrame, key: str = "image_id") -> DataFrame:
     return images.select(key, "image").mapInPandas(run, f"id {kind}, hash long")
 
 
+def hash_families(images: DataFrame, key: str = "image_id") -> DataFrame:
+    """(id, perceptual, difference, wavelet, average) of images (key, image), each decoded once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [pixels.from_row(x) for x in b["image"]]
+            yield pd.DataFrame({"id": b[key]} | {name: [make(r) for r in rows] for name, make in pixels.HASHES.items()})
+
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, "image").mapInPandas(run, f"id {kind}, {', '.join(f'{name} long' for name in pixels.HASHES)}")
+
+
 def archive_members(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """(archive, position, member) of the images in ZIP archives, in the order of their directories, which alone are read."""
 
