@@ -422,10 +422,11 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         made = aligned(by_no.filter(F.size("a") > 0).select("no", "a", "b", "a_size", "b_size"), width, kind)
         held = scratch.write(by_no.select("no", "stretch", "blocks").join(made, "no", "left"), "held", large=F.count("left"))
     scratch.drop("entries")
-    listed = held.select("no", "stretch", "blocks", "n_a", "n_b", "n_groups", "groups", "pairs", F.lit(None).cast("array<long>").alias("times"))
-    if scratch.seen("held")["large"]:
-        listed = listed.drop("times").join(links(held, width, kind), "no", "left").withColumn("pairs", F.coalesce("pairs", "more")).drop("more")
-    _write_blocks(listed.withColumn("block", F.explode("blocks")).drop("blocks", "no"), f"{scratch.path}/stretches")
+    listed = held.filter("left is null").select("stretch", "blocks", "n_a", "n_b", "n_groups", "groups", "pairs", F.lit(None).cast("array<long>").alias("times"))
+    if scratch.seen("held")["large"]:  # few: only these are joined
+        large = held.filter("left is not null").drop("pairs").join(links(held, width, kind).withColumnRenamed("more", "pairs"), "no")
+        listed = listed.unionByName(large.select(*listed.columns))
+    _write_blocks(listed.withColumn("block", F.explode("blocks")).drop("blocks"), f"{scratch.path}/stretches")
     scratch.drop("held")
 
     # In how many documents each pair is linked, and whether no pair of its first id is linked in more.
