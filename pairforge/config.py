@@ -10,7 +10,7 @@ from typing import Any, get_type_hints
 FAMILIES = ("mild", "strong", "strong_held_out", "strong_held_out_2")
 POLICIES = ("fallback", "strict_same_diagnosis_site")
 MODELS = ("color_texture", "dinov2", "clip", "open_clip")
-#: linear and mlp are fitted by mini-batches on the driver; ridge by sums over any number of pairs.
+#: linear and mlp are fitted by mini-batches, ridge by sums in one pass; all over any number of pairs.
 PREDICTORS = ("linear", "mlp", "ridge")
 
 

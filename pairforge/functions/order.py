@@ -35,6 +35,8 @@ RANGE_BITS = 33
 def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, written in the order of its keys, with ``_range`` and ``_inside``: its range, and its 0-based place there.
 
+    ``_place`` is both in one number, by which files and their parts can be left out of a scan.
+
     Ranges are cut at sampled values of the whole key, so they hold like numbers of rows however
     many share its first columns. Columns of all types order rows, nulls first; strings by code
     point. Rows equal in all keys lie in one range, in any order.
@@ -43,7 +45,7 @@ def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     # Numbers are kept as they are written, so ranges need not come out the same when they are read.
     written = stored(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered")
-    return written.withColumns({"_range": F.shiftright("_place", RANGE_BITS), "_inside": F.col("_place").bitwiseAND((1 << RANGE_BITS) - 1)}).drop("_place")
+    return written.withColumns({"_range": F.shiftright("_place", RANGE_BITS), "_inside": F.col("_place").bitwiseAND((1 << RANGE_BITS) - 1)})
 
 
 def ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
@@ -52,7 +54,7 @@ def ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("_range", before.alias("_before")))
-    return placed.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    return placed.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_place", "_before")
 
 
 def joined_by(left: DataFrame, right: DataFrame, group: Sequence[str], take: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:

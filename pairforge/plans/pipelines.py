@@ -23,7 +23,7 @@ from pairforge.functions import pixels
 from pairforge.functions import text as names
 from pairforge.functions.vectors import cosine_distance, normalised
 from pairforge.operators import audit, checks, metrics, neardup, pairs, predictor, ranking, runs, split
-from pairforge.schema import EMBEDDINGS, PAIRS, RECORDS, SEED_OFFSETS, SYNTHETIC_CHANGING, SYNTHETIC_STABLE
+from pairforge.schema import EMBEDDINGS, PAIRS, RECORDS, SEED_OFFSETS, SPLITS, SYNTHETIC_CHANGING, SYNTHETIC_STABLE
 from pairforge.sinks import writers
 from pairforge.sinks.events import stage
 from pairforge.sinks.files import put
@@ -313,13 +313,20 @@ def train(spark: SparkSession, config: Config, manifest: DataFrame, vectors: Dat
         dim = fit_rows.select(F.size("x")).first()[0]
         state = predictor.ridge(fit_rows, t.weight_decay * used, dim)
     else:
-        x, y = predictor.matrices(fit_rows)
-        val = predictor.matrices(val_rows) if val_rows.limit(1).count() else (x, y)
         settings = {"seed": config.seed, "epochs": t.epochs, "batch": t.batch_size, "rate": t.learning_rate, "decay": t.weight_decay}
-        state = predictor.fit_linear(x, y, val, **settings) if t.predictor == "linear" else predictor.fit_mlp(x, y, val, **settings, hidden=t.hidden_dim, optimizer=t.optimizer)
+        wide = {"hidden": t.hidden_dim, "optimizer": t.optimizer} if t.predictor == "mlp" else {}
+        held_out = val_rows if val_rows.limit(1).count() else fit_rows
+        if max(used, held_out.count()) <= predictor.MOST_PAIRS:
+            x, y = predictor.matrices(fit_rows)
+            val = predictor.matrices(held_out)
+            state = predictor.fit_linear(x, y, val, **settings) if t.predictor == "linear" else predictor.fit_mlp(x, y, val, **settings, **wide)
+        else:  # too many to gather: the same steps over other batches, as hashes and not a generator's stream put pairs in order
+            state = predictor.fit_stored(fit_rows, held_out, t.predictor, **settings, **wide)
     path = f"{config.run_dir}/latents"
-    # In the order of the splits, as pairs of one are read together.
-    writers.write_table(predictor.score(joined, state).repartitionByRange("split", "pair_id").sortWithinPartitions("split", "pair_id"), path)
+    # Train, val, test: pairs of one split are read together.
+    order = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split")).alias("split_at")
+    ordered = predictor.score(joined, state).withColumn("split_at", order).repartitionByRange("split_at", "pair_id").sortWithinPartitions("split_at", "pair_id")
+    writers.write_table(ordered.drop("split_at"), path)
     scored = spark.read.parquet(path)
     health = metrics.collapse_checks(scored).first().asDict()
     table = {}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -683,6 +684,40 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictor.score(rows.join(after, "vec_id"), predictor.scaled_identity(64, 2.0)).select("vec_id", F.round(F.round("score", 6), 4).alias("score"))
 
 
+#: A predictor that moves vectors: weights and biases by rule, in double precision.
+FIXED = {"kind": "linear", "weight": np.fromfunction(lambda i, j: ((i * 7 + j * 3) % 11 - 5) / 10 + (i == j), (64, 64)), "bias": (np.arange(64) % 5 - 2) / 10.0}
+NEIGHBOURS = """pairs AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return rows.join(after, "vec_id").withColumn("pair_id", F.col("vec_id").cast("string"))
+
+
+@query(f"""WITH {NEIGHBOURS},
+moved AS (
+  SELECT vec_id, y, list_transform(range(64), lambda j: (j % 5 - 2) / 10.0::DOUBLE + list_inner_product(x, list_transform(range(64), lambda i: ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE + CASE WHEN i = j THEN 1 ELSE 0 END))) AS p FROM pairs)
+SELECT vec_id, round(1 - list_inner_product(p, y) / sqrt(list_inner_product(p, p)) / sqrt(list_inner_product(y, y)), 6) AS score FROM moved""")
+def predicted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear predictor with a weight matrix and a bias that move each vector, scored against the next vector."""
+    return predictor.score(neighbours(spark, sf_dir), FIXED).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {NEIGHBOURS}, n AS (SELECT count(*) AS n FROM pairs),
+cells AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS x, unnest(y) AS y FROM pairs),
+summed AS (SELECT a.i, b.i AS j, sum(a.x * (b.x - b.y)) AS s FROM cells a JOIN cells b USING (vec_id) GROUP BY 1, 2)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(CASE WHEN i = j THEN 1 ELSE 0 END - 20.0::DOUBLE * 2 * s / (n * 64), 6) + 0.0 AS weight FROM summed, n
+UNION ALL SELECT -1, i::INTEGER, round(-20.0::DOUBLE * 2 * sum(x - y) / max(n), 6) + 0.0 FROM cells, n GROUP BY i""")
+def fitted_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of the fit that adds up gradients where pairs are, over all pairs, from identity: its weights, and its bias as row -1."""
+    rows, dim = neighbours(spark, sf_dir), 64
+    start = {"weight": np.eye(dim), "bias": np.zeros(dim)}
+    state = predictor.fit_stored(rows, rows.limit(1), "linear", seed=SEED, epochs=1, batch=max(1, rows.count()), rate=20.0, decay=0.0, start=start)
+    cells = [(i, j, float(w)) for i, line in enumerate(state["weight"]) for j, w in enumerate(line)] + [(-1, j, float(b)) for j, b in enumerate(state["bias"])]
+    return spark.createDataFrame(cells, "i int, j int, weight double").select("i", "j", (F.round("weight", 6) + 0.0).alias("weight"))
+
+
 @query("""WITH v AS (SELECT p_partkey, 'the loss fell by ' || (p_size % 40) || '.5 % in all' AS t, CASE WHEN p_size % 8 = 0 THEN 0.0 ELSE p_retailprice END AS first, p_retailprice * (100 - p_size % 41) / 100 AS last FROM part),
 w AS (SELECT *, CASE WHEN first = 0 THEN NULL ELSE (first - last) / first * 100 END AS fell, CAST(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS DOUBLE) AS said FROM v)
 SELECT p_partkey, round(fell, 6) AS fell, coalesce(abs(said - round(fell, 6)) <= 0.5, false) AS stated FROM w""")
