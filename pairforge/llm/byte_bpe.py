@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.common import sliced
 
-#: Transitions and pair verdicts kept per Python worker; a full store is emptied.
+#: Transitions and pair verdicts kept per Python worker; a full store is emptied, within a pre-token too.
 MEMO = 700_000
 #: Pre-tokens and words kept per Python worker, in each of two generations.
 PIECES, WORDS = 450_000, 450_000
@@ -150,11 +150,23 @@ class Transducer:
         step = self.steps[at] = k << 1 | (cut > 0)
         return step
 
+    def begin_again(self, state: int) -> int:
+        """Empty the stores within a pre-token: all but the state that it has come to, which gets another number."""
+        kept = self.states[state]
+        self.clear()
+        name = (kept[0][0], kept[3])
+        if name not in self.number:
+            self.number[name] = len(self.states)
+            self.states.append(kept)
+        return self.number[name]
+
     def walk(self, state: int, data: bytes, tokens: list[int]) -> int:
         get = self.steps.get
         for byte in data:
             step = get(state << 8 | byte)
             if step is None:
+                if len(self.steps) > self.most:
+                    state, get = self.begin_again(state), self.steps.get
                 step = self.make(state, byte)
             if step & 1:
                 tokens += self.settles[state << 8 | byte]

@@ -100,9 +100,9 @@ def give_back() -> None:
 class Scratch:
     """Written tables that cut lineage and outlive lost executors."""
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
+    def __init__(self, spark: SparkSession, label: str, folder: str | None = None) -> None:
         self.spark = spark
-        self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = folder.rstrip("/") if folder else f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
         self.schemas: dict = {}
         self.noted: dict = {}
@@ -121,6 +121,20 @@ class Scratch:
         self.schemas[name] = df.schema
         return self.table(name)
 
+    def there(self, name: str) -> bool:
+        """Whether a table of this name is written whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """write(), or the table that a run before left in this folder."""
+        if not self.there(name):
+            self.drop(name)
+            return self.write(df, name)
+        self.names.append(name)
+        self.schemas[name] = df.schema
+        return self.table(name)
+
     def seen(self, name: str) -> dict:
         return self.noted[name]
 

@@ -250,6 +250,10 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=1 << log2) & 1).astype(np.uint8)).tobytes()
 
 
+#: Bits of each bitmap that are compared at once.
+SLICE = 1 << 16
+
+
 def may_link(maps: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
     """By pair of sets, whether their sizes and bitmaps allow a link. No pair that links is left out."""
     width = np.array([8 * len(m) for m in maps])
@@ -257,9 +261,16 @@ def may_link(maps: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
     for w in np.unique(width):
         # A partner has at most percent / 100 times as many shingles, so its bitmap is as wide or twice as wide.
         rows = np.flatnonzero((width == w) | (width == 2 * w))
-        bits = np.array([np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(maps[i], np.uint8)).reshape(w, -1), axis=1) for i in rows], np.float32)
-        ones = bits.sum(axis=1)
-        differ = np.rint(ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
+        ones, common = np.zeros(len(rows)), np.zeros((len(rows), len(rows)))
+        for start in range(0, w, SLICE):  # so that memory does not grow with the sets
+            end = min(w, start + SLICE)
+            bits = np.empty((len(rows), end - start), np.float32)
+            for k, i in enumerate(rows):
+                fold = width[i] // w
+                bits[k] = np.bitwise_xor.reduce(np.unpackbits(np.frombuffer(maps[i], np.uint8, (end - start) * fold // 8, start * fold // 8)).reshape(-1, fold), axis=1)
+            ones += bits.sum(axis=1)
+            common += bits @ bits.T
+        differ = np.rint(ones[:, None] + ones[None, :] - 2 * common).astype(np.int64)
         both = n[rows][:, None] + n[rows][None, :]
         most = np.minimum((both - differ) // 2, np.minimum(n[rows][:, None], n[rows][None, :]))
         out[np.ix_(rows, rows)] |= (100 * most >= percent * (both - most)) & ((width[rows] == w)[:, None] | (width[rows] == w)[None, :])

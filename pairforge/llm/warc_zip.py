@@ -274,10 +274,27 @@ def index_lines(z: ZipReader, block: int) -> list[bytes]:
     return data.splitlines()
 
 
+#: Bytes of records side by side that are read in one request, about.
+REQUEST = 4 << 20
+
+
+def neighbours(z: ZipReader, data: Member, entries: list[dict]) -> Iterator[bytes]:
+    """The records of index entries, in order. Those that lie side by side are read together."""
+    at = 0
+    while at < len(entries):
+        start, end, upto = entries[at]["offset"], entries[at]["offset"] + entries[at]["length"], at + 1
+        while upto < len(entries) and entries[upto]["offset"] == end and end - start < REQUEST:
+            end, upto = end + entries[upto]["length"], upto + 1
+        whole = memoryview(z.range(data, start, end - start))
+        for e in entries[at:upto]:
+            yield bytes(whole[e["offset"] - start : e["offset"] - start + e["length"]])
+        at = upto
+
+
 def read_archives(archives: DataFrame, root: str) -> DataFrame:
     """Every record of the archives: page_id, type, payload_bytes, sha1, refers_to.
 
-    Each block of an archive's index is read by itself. A record's gzip member has a checksum,
+    Each block of an archive's index is read by itself, its records a few MB at a time. A record's gzip member has a checksum,
     and the payload of a response is hashed again and held against its header.
     """
 
@@ -288,8 +305,8 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
                 with store.open_input_file(row["path"]) as file:
                     z = ZipReader(file)
                     data, found = z.member(DATA), []
-                    for entry in map(json.loads, index_lines(z, row["block"])):
-                        warc, http, payload = parse(zlib.decompress(z.range(data, entry["offset"], entry["length"]), 31))
+                    for raw in neighbours(z, data, list(map(json.loads, index_lines(z, row["block"])))):
+                        warc, http, payload = parse(zlib.decompress(raw, 31))
                         sha1 = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
                         revisit = warc["warc-type"] == "revisit"
                         if not revisit and hashlib.sha1(payload).hexdigest() != sha1:
@@ -318,7 +335,7 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col("row.html").cast("string"), F.lit(""))
     rows = located(pages.select("page_id", "url", "html"), scratch).select("row_file", "row_at", F.col("row.page_id").cast("long").alias("page_id"), F.col("row.url").cast("string").alias("url"), html.alias("html"))
-    # Payloads are hashed once; digests and places are brought together, and payloads stay where they are.
+    # Digests and places are brought together; payloads stay where they are, and are hashed again as they are written.
     named = rows.select("row_file", "row_at", "page_id", F.octet_length("html").alias("size"), F.sha1(F.encode("html", "UTF-8")).alias("sha1"))
     named = scratch.write(named, "digests")
     large = named.filter(F.col("size") >= least_bytes)

@@ -327,3 +327,24 @@ def test_labels_are_any_strings(spark, labels):
     labelled = spark.createDataFrame([(i, say(i % 3, 30), labels[i % 3]) for i in range(90)], "doc_id long, text string, lang string")
     rows = spark.createDataFrame([(i, f"h{i % 3}", say(i % 3, 12)) for i in range(12)], "id long, host string, body string")
     assert {r.id: r.lang for r in identify(rows, labelled, html=False).collect()} == {i: labels[i % 3] for i in range(12)}
+
+
+def test_records_side_by_side_are_read_together():
+    from pairforge.llm import warc_zip as W
+
+    class Counted:
+        def __init__(self, data):
+            self.data, self.reads = data, []
+
+        def range(self, member, at, size):
+            self.reads.append(size)
+            return self.data[at : at + size]
+
+    z = Counted(bytes(range(250)) * 40)
+    cuts = [0, 10, 11, 500, 2000, 2001, 7000, 10_000]
+    entries = [{"offset": a, "length": b - a} for a, b in zip(cuts, cuts[1:], strict=False)]
+    want = [z.data[e["offset"] : e["offset"] + e["length"]] for e in entries]
+    assert list(W.neighbours(z, None, entries)) == want and z.reads == [10_000]
+    z.reads.clear()
+    apart = [entries[0], entries[2], entries[5], entries[6]]
+    assert list(W.neighbours(z, None, apart)) == [want[0], want[2], want[5], want[6]] and len(z.reads) == 3

@@ -42,6 +42,33 @@ def union_find(n, links):
     return [find(i) for i in range(n)]
 
 
+def test_exact_dedup_goes_on_after_two_of_four_batches(spark, tmp_path, monkeypatch):
+    from pairforge.llm import exact_dedup as E
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a b", "a  b", "c", None, "", f"own {i}"])) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted(map(tuple, exact_dedup(docs).collect()))
+    real, done = E.fetch, []
+
+    def failing(found, places):
+        if len(done) == 2:
+            raise RuntimeError("stopped")
+        done.append(1)
+        return real(found, places)
+
+    monkeypatch.setattr(E, "fetch", failing)
+    with pytest.raises(Exception, match="stopped"):
+        exact_dedup(docs, deliveries=4, folder=f"file://{tmp_path}/run")
+    calls = []
+    monkeypatch.setattr(E, "fetch", lambda found, places: calls.append(1) or real(found, places))
+    assert sorted(map(tuple, exact_dedup(docs, deliveries=4, folder=f"file://{tmp_path}/run").collect())) == want
+    assert len(calls) == 2  # the batches that were left
+    with pytest.raises(ValueError, match="plain scan"):
+        exact_dedup(docs.distinct(), folder=f"file://{tmp_path}/other")
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(100)] + [(7, 7)]

@@ -107,3 +107,19 @@ def test_a_chain_of_weak_edges_is_not_compared_in_full(spark):
     clusters = Counter(union_find(600, [(r.u, r.v) for r in edges]))
     assert (1, 0) in {(r.u, r.v) for r in edges}
     assert sum(c * (c - 1) // 2 for c in clusters.values()) < 10 < 600 * 599 // 2
+
+
+def test_bitmaps_are_compared_in_slices(monkeypatch):
+    import numpy as np
+
+    from pairforge.llm import ngram_join as N
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 4000, np.int64).astype(np.uint64)
+    sets = [pool[:n] for n in (10, 40, 75, 80, 300, 310, 2000, 2100, 3900, 4000)] + [pool[1000:3000], pool[5:85]]
+    maps, n = [N.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    whole = N.may_link(maps, n, 90)
+    monkeypatch.setattr(N, "SLICE", 64)
+    assert (N.may_link(maps, n, 90) == whole).all() and whole.any()
+    exact = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    assert all(whole[i, j] for i in range(len(sets)) for j in range(len(sets)) if i != j and exact(sets[i], sets[j]))

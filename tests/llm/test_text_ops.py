@@ -269,3 +269,17 @@ def test_keep_good_filters_whole_rows(spark):
     df = table(spark, [(1, prose, "x", None, "en", "s", 9), (2, "short", None, None, None, None, None), (None, prose, None, None, None, None, None), (3, None, None, None, None, None, None)])
     assert sorted(map(tuple, keep_good(df).collect()), key=str) == sorted([(1, prose, "x", None, "en", "s", 9), (None, prose, None, None, None, None, None)], key=str)
     assert keep_good(df.limit(0)).count() == 0
+
+
+def test_the_transducer_empties_its_stores_within_a_pre_token():
+    import public_tokenizers as P
+
+    from pairforge.llm.byte_bpe import Transducer, read_ranks
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = read_ranks(f.read())
+    rng = random.Random(9)
+    piece = bytes(rng.choice(b"abcdefgh\xc3\xa9") for _ in range(6000))
+    small, large = Transducer(ranks, 0.0005), Transducer(ranks)
+    assert small.encode(piece) == large.encode(piece) and len(large.steps) > 4 * small.most
+    assert len(small.steps) <= small.most + 1 and len(small.states) <= small.most + 2
