@@ -6,8 +6,10 @@ columns to group by. All metrics start from one row for each distinct score of a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,128 @@ def bootstrap_native(scores: DataFrame, key: str, samples: int, level: float, se
     return ends.join(auroc(scores), F.lit(True)).select(F.coalesce("lo", "auroc").alias("auroc_ci_low"), F.coalesce("hi", "auroc").alias("auroc_ci_high"))
 
 
+#: Factors that bits of 32-bit numbers are mixed with, and how far replicates lie apart.
+MIX, APART, LOW = (2146121005, 2221713035), 2654435769, (1 << 32) - 1
+
+
+def poisson_limits(most: int = 16) -> list[int]:
+    """By k, the 32-bit numbers from which on a Poisson variable of mean 1 is above k."""
+    from math import exp, factorial
+
+    return [int(sum(exp(-1) / factorial(i) for i in range(k + 1)) * (1 << 32)) for k in range(most) if sum(exp(-1) / factorial(i) for i in range(k + 1)) * (1 << 32) < LOW]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(MIX[0])) & np.uint64(LOW)
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(MIX[1])) & np.uint64(LOW)
+    return x ^ (x >> np.uint64(16))
+
+
+class Replicates:
+    """What a stretch of rows, in the order of their scores, tells of each replicate: a mergeable sum.
+
+    p and n are the weights of positives and negatives, w twice the wins of positives over
+    negatives, ties half. Those of the least and the greatest score are kept apart, as the rows
+    of a score may lie in two stretches.
+    """
+
+    def __init__(self, samples: int) -> None:
+        self.p, self.n, self.w = (np.zeros(samples, np.int64) for _ in range(3))
+        self.first: tuple[float, np.ndarray, np.ndarray] | None = None
+        self.last: tuple[float, np.ndarray, np.ndarray] | None = None
+        self.one = True
+
+    def add(self, scores: np.ndarray, p: np.ndarray, n: np.ndarray) -> None:
+        """Groups of rising scores, none below the last one: their weights by replicate."""
+        if self.last is not None and self.last[0] == scores[0]:
+            # The group goes on: it wins over what lies below it, and ties with itself.
+            old_p, old_n = self.last[1], self.last[2]
+            below = self.n - old_n
+            self.w += p[0] * (2 * below + old_n + n[0]) + old_p * n[0]
+            self.p, self.n = self.p + p[0], self.n + n[0]
+            self.last = (scores[0], old_p + p[0], old_n + n[0])
+            if self.one:
+                self.first = self.last
+            scores, p, n = scores[1:], p[1:], n[1:]
+        if len(scores):
+            below = self.n + np.cumsum(n, axis=0) - n
+            self.w += (p * (2 * below + n)).sum(axis=0)
+            self.p, self.n = self.p + p.sum(axis=0), self.n + n.sum(axis=0)
+            if self.first is None:
+                self.first = (scores[0], p[0], n[0])
+                self.one = len(scores) == 1
+            else:
+                self.one = False
+            self.last = (scores[-1], p[-1], n[-1])
+
+    def merge(self, after: Replicates) -> None:
+        """Add the stretch that comes next."""
+        if after.first is None:
+            return
+        if self.first is None:
+            self.__dict__.update(after.__dict__)
+            return
+        meet = self.last[0] == after.first[0]
+        self.w = self.w + after.w + 2 * after.p * self.n
+        if meet:
+            self.w = self.w - after.first[1] * self.last[2] + self.last[1] * after.first[2]
+        joined = (self.last[0], self.last[1] + after.first[1], self.last[2] + after.first[2])
+        if meet and self.one:
+            self.first = joined
+        self.last = joined if meet and after.one else after.last
+        self.one = meet and self.one and after.one
+        self.p, self.n = self.p + after.p, self.n + after.n
+
+
+def replicate_weights(keys: np.ndarray, samples: int) -> np.ndarray:
+    """rows x samples: how often each replicate takes each row, Poisson variables of mean 1 from 32-bit keys."""
+    limits = np.array(poisson_limits(), np.uint64)
+    apart = (np.arange(samples, dtype=np.uint64) * np.uint64(APART)) & np.uint64(LOW)
+    return np.searchsorted(limits, _mixed(_mixed(keys.astype(np.uint64))[:, None] ^ apart[None, :]), side="right")
+
+
+def bootstrap_merged(scores: DataFrame, key: str, samples: int, level: float, seed: int) -> DataFrame:
+    """auroc_ci_low and auroc_ci_high from replicates that take each row a Poisson number of times.
+
+    The weights come from hashes of row and replicate where the row is, so there is no table of
+    draws. Rows are dealt once, into ranges of score and key; a task goes through its range in
+    order and sends three sums a replicate, which are merged. Rows of one score may lie in several
+    ranges. Replicates with one class are left out; if none is left both ends are the plain value.
+    """
+    digest = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key))), 1, 8), 16, 10).cast("long")
+    rows = scores.filter("score is not null and label_int is not null").select(F.col("score").cast("double").alias("score"), F.col("label_int").cast("long").alias("y"), digest.alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found = Replicates(samples)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                s, y, k = (c.to_numpy() for c in b.slice(at, 512).columns)
+                w, starts = replicate_weights(k, samples), np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                found.add(s[starts], np.add.reduceat(w * y[:, None], starts, axis=0), np.add.reduceat(w * (1 - y)[:, None], starts, axis=0))
+        if found.first is not None:
+            parts = [found.p, found.n, found.w, *found.first[1:], *found.last[1:]]
+            data = np.stack(parts).astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([found.first[0]]), pa.array([found.last[0]]), pa.array([found.one]), pa.array([data], pa.binary())], ["part", "low", "high", "one", "sums"])
+
+    ordered = rows.repartitionByRange("score", "k").sortWithinPartitions("score", "k").select("score", "y", "k")
+    whole = Replicates(samples)
+    for r in sorted(ordered.mapInArrow(run, "part int, low double, high double, one boolean, sums binary").collect(), key=lambda r: r.part):  # a row a range
+        p, n, w, first_p, first_n, last_p, last_n = np.frombuffer(r.sums, np.int64).reshape(7, samples)
+        part = Replicates(samples)
+        part.p, part.n, part.w, part.one, part.first, part.last = p, n, w, r.one, (r.low, first_p, first_n), (r.high, last_p, last_n)
+        whole.merge(part)
+    some = (whole.p > 0) & (whole.n > 0)
+    values, alpha = whole.w[some] / (2.0 * whole.p[some] * whole.n[some]), 1 - level
+    low, high = np.quantile(values, [alpha / 2, 1 - alpha / 2]).tolist() if len(values) else (None, None)
+    plain = auroc(scores)
+    kind = lambda v: F.lit(v).cast("double")
+    return plain.select(F.coalesce(kind(low), F.col("auroc")).alias("auroc_ci_low"), F.coalesce(kind(high), F.col("auroc")).alias("auroc_ci_high"))
+
+
 def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: Sequence[str], samples: int, level: float, seed: int | dict[str, int]) -> DataFrame:
     """The same interval from one sequential NumPy generator for each group, over its rows in order.
 
@@ -113,7 +237,6 @@ def bootstrap_sequential(scores: DataFrame, group: Sequence[str], order: Sequenc
     Groups are evaluation sets of thousands of rows; each is drawn in one task, because its
     draws share one stream. Use bootstrap_native where a group is large.
     """
-    import numpy as np
     import pandas as pd
 
     group = [group] if isinstance(group, str) else list(group)

@@ -116,6 +116,30 @@ def bootstrap_auroc_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select(F.round("auroc_ci_low", 9).alias("auroc_ci_low"), F.round("auroc_ci_high", 9).alias("auroc_ci_high"))
 
 
+def _mixed(name: str, source: str, value: str, keep: str) -> str:
+    """CTEs that mix the bits of a 32-bit value, as metrics does; the result is ``m`` of the table ``name``."""
+    a, b = metrics.MIX
+    steps = [f"xor({value}, {value} >> 16)", f"(m * {a}::UBIGINT) % 4294967296", "xor(m, m >> 15)", f"(m * {b}::UBIGINT) % 4294967296", "xor(m, m >> 16)"]
+    tables = [source, *[f"{name}_{i}" for i in range(4)], name]
+    return ", ".join(f"{tables[i + 1]} AS (SELECT {keep}, {step} AS m FROM {tables[i]})" for i, step in enumerate(steps))
+
+
+TAKEN = " + ".join(f"(m >= {t})::BIGINT" for t in metrics.poisson_limits())
+
+
+@query(f"""WITH {LABELLED}, keyed AS (SELECT label_int, score, CAST('0x' || substr(md5('{SEED}/' || doc_id), 1, 8) AS UBIGINT) AS k FROM scored),
+{_mixed("once", "keyed", "k", "label_int, score")},
+crossed AS (SELECT label_int, score, b.b, xor(m, (b.b::UBIGINT * {metrics.APART}::UBIGINT) % 4294967296) AS x FROM once, range({DRAWS}) b(b)),
+{_mixed("twice", "crossed", "x", "label_int, score, b")},
+sums AS (SELECT b, score, sum(label_int * ({TAKEN})) AS pos, sum((1 - label_int) * ({TAKEN})) AS neg FROM twice GROUP BY b, score),
+wins AS (SELECT b, pos, neg, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sums),
+areas AS (SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)) AS v FROM wins GROUP BY b HAVING sum(pos) > 0 AND sum(neg) > 0)
+SELECT round(quantile_cont(v, 0.025), 9) AS auroc_ci_low, round(quantile_cont(v, 0.975), 9) AS auroc_ci_high FROM areas""")
+def bootstrap_auroc_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = metrics.bootstrap_merged(scored(spark, sf_dir), "doc_id", DRAWS, 0.95, SEED)
+    return ends.select(F.round("auroc_ci_low", 9).alias("auroc_ci_low"), F.round("auroc_ci_high", 9).alias("auroc_ci_high"))
+
+
 @query(f"""WITH {LABELLED}, {CURVE}, scoredby AS (SELECT s.*, d.lang FROM scored s JOIN documents d USING (doc_id)),
 ranked AS (
   SELECT lang, label_int, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS r FROM scoredby)
