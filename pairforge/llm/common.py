@@ -107,16 +107,16 @@ class Scratch:
         self.schemas: dict = {}
         self.noted: dict = {}
 
-    def write(self, df: DataFrame, name: str, **watched: Column) -> DataFrame:
+    def write(self, df: DataFrame, name: str, packing: str | None = None, **watched: Column) -> DataFrame:
         """The table, written and read again; ``watched`` aggregates are made while it is written, and kept in seen()."""
         path = f"{self.path}/{name}"
         with tidy(self.spark):
             if watched:
                 noted = Observation()
-                df.observe(noted, *[c.alias(k) for k, c in watched.items()]).write.parquet(path)
+                df.observe(noted, *[c.alias(k) for k, c in watched.items()]).write.parquet(path, compression=packing)
                 self.noted[name] = noted.get
             else:
-                df.write.parquet(path)
+                df.write.parquet(path, compression=packing)
         self.names.append(name)
         self.schemas[name] = df.schema
         return self.table(name)

@@ -8,7 +8,8 @@ posexplode the tokens, add up their lengths in windows, join both sides on stret
 these cuts as they come for the group ids, and link the ids of a group. Documents are then read
 twice where they are stored: to count in how many of them an id pair is linked, and to add up
 what their stretches have. For either pass a block of neighbouring rows has a table of its own
-stretches and pairs, so a worker holds no more than these, whatever the corpus has.
+stretches and pairs, and one more holds those that more than half of all blocks have: at most
+twice as many as a block has. So a worker holds no more than these, whatever the corpus has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -257,69 +258,96 @@ def _spoken(rows: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Reads the tables of blocks; a block without a stretch has none."""
+    """Reads the tables of blocks; a block without a stretch of its own has none."""
 
     def __init__(self, root: str) -> None:
         from pyarrow import fs
 
         self.store, self.root = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
 
-    def read(self, name: str, block: int, columns: list[str]) -> pa.Table | None:
+    def read(self, name: str, block: int | None, columns: list[str]) -> pa.Table | None:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        folder = f"{self.root}/{name}/block={block}"
+        folder = f"{self.root}/{name}" + (f"/block={block}" if block is not None else "")
         files = self.store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         parts = [pq.read_table(f.path, filesystem=self.store, columns=columns, partitioning=None) for f in files if f.path.endswith(".parquet")]
         return pa.concat_tables(parts) if parts else None
 
 
+@lru_cache(maxsize=1)
+def _tables(root: str) -> Tables:
+    return Tables(root)
+
+
 def _write_blocks(df: DataFrame, path: str) -> None:
     with tidy(df.sparkSession):
         df.repartition("block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
 
 
-class Block:
-    """The stretches of a block by number, and their links one after another."""
-
-    def __init__(self, tables: Tables, block: int, columns: list[str]) -> None:
-        found = tables.read("stretches", block, ["stretch", "pairs", *columns]).combine_chunks()
-        self.index = {s: i for i, s in enumerate(found["stretch"].to_pylist())}
-        self.bad = found["pairs"].is_null().to_numpy()
-        self.starts, self.links = self.lists(found, "pairs")
-        self.found = found
-
-    def lists(self, found: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+class Part:
+    """Stretches of one table: their names, where the links of each begin, and all links."""
+
+    def __init__(self, found: pa.Table | None, columns: list[str]) -> None:
+        found = found.combine_chunks() if found is not None else None
+        n = found.num_rows if found is not None else 0
+        self.names = found["stretch"].to_pylist() if n else []
+        self.bad = found["pairs"].is_null().to_numpy() if n else np.zeros(0, bool)
+        self.starts, self.links = self.lists(found["pairs"]) if n else (np.zeros(1, np.int64), np.zeros(0, np.int64))
+        self.own = [found[c].fill_null(0).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64) for c in columns[:3]]
+        self.said = found["groups"].to_pylist() if n and columns else []
+        self.times = np.ones(len(self.links), np.int64)  # a stretch says how often its links come if it is more than once
+        if n and columns:
+            told = np.flatnonzero(found["times"].is_valid().to_numpy())
+            self.times[places(self.starts, told)] = self.lists(found["times"])[1]
+
+    @staticmethod
+    def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Where each list begins, with the end of the last, and all their items; a null list has none."""
-        column = found[name].combine_chunks() if found[name].num_chunks != 1 else found[name].chunk(0)
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
         starts = np.zeros(len(column) + 1, np.int64)
         starts[1:] = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         return starts, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def items(self, of: np.ndarray) -> np.ndarray:
-        """The places of the links of these stretches."""
-        size = self.starts[of + 1] - self.starts[of]
-        return np.repeat(self.starts[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+def places(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The places of the items of these lists."""
+    size = starts[of + 1] - starts[of]
+    return np.repeat(starts[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+@lru_cache(maxsize=1)
+def _common(tables: Tables, columns: tuple[str, ...]) -> tuple[Part, dict[str, int]]:
+    """The stretches of most blocks, read once a worker."""
+    part = Part(tables.read("common", None, ["stretch", "pairs", *columns]), list(columns))
+    return part, {s: i for i, s in enumerate(part.names)}
+
+
+class Block:
+    """The stretches of most blocks, then those of one, by number, and their links one after another."""
+
+    def __init__(self, tables: Tables, block: int, columns: list[str]) -> None:
+        common, index = _common(tables, tuple(columns))
+        part = Part(tables.read("stretches", block, ["stretch", "pairs", *columns]), columns)
+        self.index = index.copy()
+        self.index.update(zip(part.names, range(len(index), len(index) + len(part.names)), strict=True))
+        joined = lambda x, y: np.concatenate([x, y])
+        self.bad, self.links, self.times = joined(common.bad, part.bad), joined(common.links, part.links), joined(common.times, part.times)
+        self.starts = joined(common.starts, part.starts[1:] + len(common.links))
+        self.own, self.said = [joined(x, y) for x, y in zip(common.own, part.own, strict=True)], common.said + part.said
 
     def sums(self, each: np.ndarray) -> np.ndarray:
         """Of each stretch, the sum over its links."""
         upto = np.concatenate([[0], np.cumsum(each)])
         return upto[self.starts[1:]] - upto[self.starts[:-1]]
 
-    def times(self) -> np.ndarray:
-        """How often each link comes: once, where a stretch does not say."""
-        out = np.ones(len(self.links), np.int64)
-        said = np.flatnonzero(self.found["times"].is_valid().to_numpy())
-        out[self.items(said)] = self.lists(self.found, "times")[1]
-        return out
-
 
 def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
     """(block, pair, n): in how many documents of a block an id pair is linked; a block that several tasks read has several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = Tables(root), Splitter(), None, None
-        names = which = counts = np.zeros(0, np.int64)
+        tables, split, at, known = _tables(root), Splitter(), None, None
+        names = which = counts = stamp = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
             some = np.flatnonzero(counts)
@@ -333,17 +361,19 @@ def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
                     if block != at:
                         if at is not None:
                             yield out()
-                        known = names = which = counts = None  # before the next block is read
+                        known = names = which = counts = stamp = None  # before the next block is read
                         at, known = block, Block(tables, block, [])
-                        known.found = None
                         names, which = np.unique(known.links, return_inverse=True)
-                        counts = np.zeros(len(names), np.int64)
+                        counts, stamp = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
                     of = np.fromiter({known.index[s] for s in split(text)}, np.int64)
                     if not known.bad[of].any():
-                        counts[np.unique(which[known.items(of)])] += 1
+                        found = which[places(known.starts, of)]
+                        order = np.arange(len(found))
+                        stamp[found] = order  # of equal pairs the last remains, so each counts once
+                        counts[found[stamp[found] == order]] += 1
         if at is not None:
             yield out()
-        del known, names, which, counts
+        del known, names, which, counts, stamp
         give_back()
 
     return rows.select("block", "text").mapInArrow(run, "block long, pair long, n long")
@@ -354,7 +384,7 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = Tables(root), Splitter(), None, None
+        tables, split, at, known = _tables(root), Splitter(), None, None
         said: list[str] = []
         sums = np.zeros((0, len(SUMS)), np.int64)
         for b in batches:
@@ -365,10 +395,8 @@ def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
                         continue
                     if block != at:
                         known = said = sums = None  # before the next block is read
-                        at, known = block, Block(tables, block, ["times", "groups", *SUMS[:3]])
-                        said, times = known.found["groups"].to_pylist(), known.times()
-                        own = [known.found[c].fill_null(0).to_numpy().astype(np.int64) for c in SUMS[:3]]
-                        known.found = None
+                        at, known = block, Block(tables, block, [*SUMS[:3], "groups", "times"])
+                        said, times = known.said, known.times
                         more = tables.read("counts", block, ["pair", "documents", "best"])
                         if more is None:  # no document of the block has links
                             documents = best = np.zeros(len(known.links), np.int64)
@@ -377,11 +405,12 @@ def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
                             pairs = more["pair"].to_numpy()[order]
                             place = order[np.minimum(np.searchsorted(pairs, known.links), len(pairs) - 1)]
                             documents, best = more["documents"].to_numpy()[place], more["best"].to_numpy().astype(np.int64)[place]
-                        sums = np.stack([*own, known.sums(times), known.sums(times * best), known.sums(times * documents)], axis=1)
-                    of = [known.index[s] for s in split(text)]
-                    if not known.bad[of].any():
-                        out[row] = sums[of].sum(axis=0)
-                        digests[row] = hashlib.sha256(";".join([said[i] for i in of]).encode()).hexdigest()
+                        sums = np.stack([*known.own, known.sums(times), known.sums(times * best), known.sums(times * documents), known.bad], axis=1)
+                    of = list(map(known.index.__getitem__, split(text)))
+                    total = sums[np.array(of)].sum(axis=0)
+                    if not total[-1]:
+                        out[row] = total[:-1]
+                        digests[row] = hashlib.sha256(";".join(map(said.__getitem__, of)).encode()).hexdigest()
                 columns = [part.column(2), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(SUMS))), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SUMS, "groups_sha256"])
         del known, said, sums
@@ -420,13 +449,17 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     with _kept_together(spark):
         by_no = entries.repartition(tasks, "no")
         made = aligned(by_no.filter(F.size("a") > 0).select("no", "a", "b", "a_size", "b_size"), width, kind)
-        held = scratch.write(by_no.select("no", "stretch", "blocks").join(made, "no", "left"), "held", large=F.count("left"))
+        held = scratch.write(by_no.select("no", "stretch", "blocks").join(made, "no", "left"), "held", packing="zstd", large=F.count("left"))
     scratch.drop("entries")
     listed = held.filter("left is null").select("stretch", "blocks", "n_a", "n_b", "n_groups", "groups", "pairs", F.lit(None).cast("array<long>").alias("times"))
     if scratch.seen("held")["large"]:  # few: only these are joined
         large = held.filter("left is not null").drop("pairs").join(links(held, width, kind).withColumnRenamed("more", "pairs"), "no")
         listed = listed.unionByName(large.select(*listed.columns))
-    _write_blocks(listed.withColumn("block", F.explode("blocks")).drop("blocks"), f"{scratch.path}/stretches")
+    n_blocks = rows.select("block").distinct().count()
+    most_have = F.size("blocks") * 2 > n_blocks
+    with tidy(spark):
+        listed.filter(most_have).drop("blocks").write.option("compression", "zstd").parquet(f"{scratch.path}/common")
+    _write_blocks(listed.filter(~most_have).withColumn("block", F.explode("blocks")).drop("blocks"), f"{scratch.path}/stretches")
     scratch.drop("held")
 
     # In how many documents each pair is linked, and whether no pair of its first id is linked in more.
