@@ -7,11 +7,11 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge import config as settings
-from pairforge.operators import neardup, runs
+from pairforge.operators import corpus_audit, neardup, runs
 from pairforge.plans import pipelines
 from pairforge.sinks import writers
 from pairforge.sources import artifacts
@@ -53,31 +53,55 @@ def main(argv: list[str] | None = None) -> int:
     overlap.add_argument("left")
     overlap.add_argument("right")
     overlap.add_argument("--most", type=int, default=10)
+    corpus = commands.add_parser("corpus", help="audit a table of images against a reference set; the manifest and its report")
+    corpus.add_argument("images")
+    corpus.add_argument("reference")
+    corpus.add_argument("out")
+    corpus.add_argument("--validation", type=float, default=0.05)
+    corpus.add_argument("--cleared", help="table of the image_id of doubtful images that were looked at")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("pairforge").getOrCreate()
     if args.command == "sweep":
         rows = runs.summarise(artifacts.read_runs(spark, args.root)).withColumn("family", F.regexp_replace("run_id", r"-seed\d+$", ""))
-        runs.sweep(rows, "family", "primary_score").show(100, False)
+        say(runs.sweep(rows, "family", "primary_score").orderBy("family"))
         return 0
     if args.command == "summary":
-        for line in runs.summarise(artifacts.read_runs(spark, args.root)).toJSON().collect():  # a row a run
-            print(line)
+        say(runs.summarise(artifacts.read_runs(spark, args.root)))
         return 0
     if args.command == "claims":
         observed = runs.summarise(artifacts.read_runs(spark, args.root)).select("run_id", F.col("primary_score").alias("value"))
         expected = spark.read.csv(args.expected, header=True, schema="run_id string, value double")
         found = runs.check_claims(expected, observed, tolerance=args.tolerance)
-        found.orderBy("run_id").show(1000, False)
+        say(found.orderBy("run_id"))
         return int(found.filter("status = 'FAIL'").limit(1).count())
     if args.command == "overlap":
         found = neardup.hamming_join(spark.read.parquet(args.left), spark.read.parquet(args.right), args.most)
         neardup.distance_bands(found).show()
         return 0
+    if args.command == "corpus":
+        return audit_corpus(spark, args)
     config = settings.load(args.config, run_id=args.run_id)
     with writers.run_lock(Path(config.run_dir)):
         return run(spark, config, args)
 
 
+def say(rows: DataFrame) -> None:
+    """Every row as a line of JSON, a partition at a time."""
+    for line in rows.toJSON().toLocalIterator():
+        print(line)
+
+
+def audit_corpus(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Write the manifest and its report; 1 if an accepted image breaks a gate."""
+    images, reference = spark.read.parquet(args.images), spark.read.parquet(args.reference)
+    cleared = spark.read.parquet(args.cleared) if args.cleared else None
+    writers.write_table(corpus_audit.manifest(images, reference, args.validation, cleared), f"{args.out}/manifest")
+    audited = spark.read.parquet(f"{args.out}/manifest")
+    writers.write_table(corpus_audit.report(audited), f"{args.out}/report")
+    say(spark.read.parquet(f"{args.out}/report").orderBy("source_dataset", "split", "reason"))
+    return int(corpus_audit.violations(audited, reference).limit(1).count())
+
+
 def run(spark: SparkSession, config: settings.Config, args: argparse.Namespace) -> int:
     """One command over one run."""
     if args.command == "audit":

@@ -80,6 +80,21 @@ def leakage_note(records: int | Column, lesions: Column, patients: Column, dupli
     )
 
 
+def leakage(pairs: DataFrame) -> DataFrame:
+    """(side, left_split, right_split, value): every lesion and patient that two splits have; the document lists the first ones."""
+    found = None
+    for side in ("lesion", "patient"):
+        own = split_overlap(pairs, f"context_{side}_id", f"target_{side}_id").select(F.lit(side).alias("side"), "left_split", "right_split", "value")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def value_counts(records: DataFrame) -> DataFrame:
+    """(field, value, n): how often every diagnosis and site comes; the document lists the most frequent ones."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("diagnosis", "anatomical_site")])
+    return records.select(F.explode(fields).alias("f")).groupBy("f.field", "f.value").agg(F.count("*").alias("n"))
+
+
 def audit(records: DataFrame, pairs: DataFrame | None = None, samples: int = 10, duplicates: int = 20) -> dict[str, Any]:
     """The audit as a document: every list in it is bounded, every count is an aggregate."""
     row = coverage(records).first().asDict()

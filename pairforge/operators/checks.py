@@ -82,6 +82,19 @@ def split_violations(split_records: DataFrame, stable: int, changing: int) -> Da
     return lesions.unionByName(_broken(every.filter(F.col("images") < max(stable, changing)), "an image for each pair", F.col("split")))
 
 
+def short_of_pairs(pairs: DataFrame, changing: int) -> DataFrame:
+    """(split, n): known splits with fewer changing pairs than are wanted."""
+    every = pairs.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    counts = pairs.groupBy("split").agg(F.count_if(F.col("pair_label") == "changing").alias("n"))
+    return every.join(counts, "split", "left").na.fill(0, ["n"]).filter(F.col("n") < changing)
+
+
+def training_rows(pairs: DataFrame) -> DataFrame:
+    """One row: how many stable pairs there are to fit on, to validate on, and whether the fitted ones stand in for the latter."""
+    stable = lambda part: F.count_if((F.col("split") == part) & (F.col("pair_label") == "stable"))
+    return pairs.agg(stable("train").alias("fitted"), stable("val").alias("validated")).withColumn("stand_in", F.col("validated") == 0)
+
+
 def missing_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Ids of pairs that have no vector."""
     ids = pairs.select(F.explode(F.array("context_image_id", "target_image_id")).alias("image_id")).distinct()

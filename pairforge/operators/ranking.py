@@ -13,10 +13,25 @@ QUESTIONS = {
 }
 
 
+# The same for a trained model, whose score is the error of its prediction.
+MODEL_MODES = {STABLE_HIGH: "stable_high_prediction_error", CHANGING_LOW: "changing_low_prediction_error"}
+MODEL_QUESTIONS = {
+    STABLE_HIGH: "Did nuisance variation dominate a pair that should remain stable?",
+    CHANGING_LOW: "Is this changing proxy visually too subtle or poorly matched?",
+}
+
+
 def review_question(mode: Column) -> Column:
     return F.when(mode == STABLE_HIGH, QUESTIONS[STABLE_HIGH]).otherwise(QUESTIONS[CHANGING_LOW])
 
 
+def of_model(failures: DataFrame) -> DataFrame:
+    """failures() with the modes and questions of a trained model."""
+    high = F.col("failure_mode") == STABLE_HIGH
+    pick = lambda texts: F.when(high, texts[STABLE_HIGH]).otherwise(texts[CHANGING_LOW])
+    return failures.withColumns({"review_question": pick(MODEL_QUESTIONS), "failure_mode": pick(MODEL_MODES)})
+
+
 def failures(scores: DataFrame, model: str, count: int = 3) -> DataFrame:
     """The ``count`` worst pairs of each model and failure mode.
 

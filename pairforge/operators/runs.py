@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.functions.text import outcome
+
 
 def sweep(values: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, sample deviation, least, greatest and mean +- 1.96 standard errors."""
@@ -51,13 +53,30 @@ SUMMARY = {
 }
 
 
+#: What a value of a document is, by the kind of field that takes it.
+SAID = {"string": "^STRING", "double": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "bigint": "^BIGINT", "boolean": "^BOOLEAN"}
+
+
+def typed(document: Column, path: str, kind: str) -> Column:
+    """The value at a path of a variant, null if it is of another kind: true is no number, and "7" neither."""
+    said = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    return F.when(said.rlike(SAID[kind]), F.try_variant_get(document, path, kind))
+
+
 def summarise(documents: DataFrame, json: str = "json") -> DataFrame:
-    """One nullable row of fields for each metrics document. A boolean is no number, nor a number a boolean."""
-    cols = []
-    for name, (path, kind) in SUMMARY.items():
-        text = F.get_json_object(json, path)
-        cols.append((text if kind == "string" else text.try_cast(kind)).alias(name))
-    return documents.select(*cols)
+    """One nullable row of fields for each metrics document, which is parsed once, whatever its shape.
+
+    A text that is no JSON gives nulls, as does a value of another kind than its field's.
+    """
+    parsed = documents.select(F.try_parse_json(json).alias("v"))
+    return parsed.select(*[typed(F.col("v"), path, kind).alias(name) for name, (path, kind) in SUMMARY.items()])
+
+
+def compared(trained: DataFrame, baselines: DataFrame) -> DataFrame:
+    """One row: baseline, baseline_auroc, delta and interpretation, of a trained model (auroc, collapsed) and the best baseline (model, auroc)."""
+    both = trained.select(F.col("auroc").alias("own"), "collapsed").join(F.broadcast(baselines.select(F.col("model").alias("baseline"), F.col("auroc").alias("baseline_auroc"))), F.lit(True))
+    delta = F.col("own") - F.col("baseline_auroc")
+    return both.select("baseline", "baseline_auroc", delta.alias("delta"), outcome(delta, F.col("collapsed")).alias("interpretation"))
 
 
 def accepted(metrics: DataFrame, least: float = 0.95, override: bool = False) -> DataFrame:

@@ -110,7 +110,7 @@ def draft_pairs(spark: SparkSession, config: Config, records: DataFrame) -> Data
     writers.write_table(stable.unionByName(changing).select("*", ordinal, families.alias("families")), f"{config.run_dir}/draft")
     draft = spark.read.parquet(f"{config.run_dir}/draft")
     checks.validate(checks.manifest_violations(draft))
-    lacking = [r.asDict() for r in draft.groupBy("split").agg(F.count_if(F.col("pair_label") == "changing").alias("n")).filter(F.col("n") < n_changing).collect()]
+    lacking = [r.asDict() for r in checks.short_of_pairs(draft, n_changing).collect()]
     if lacking:
         raise checks.InvalidData(f"the policy could not produce {n_changing} changing pairs for {lacking}; ask for fewer or relax it")
     return draft
@@ -144,6 +144,9 @@ def build_manifest(spark: SparkSession, config: Config) -> DataFrame:
         writers.write_manifest(rows.select(*[f.name for f in PAIRS]), path)
     manifest = artifacts.read_manifest(spark, path)
     writers.write_review(manifest, f"{config.run_dir}/review")
+    # Whole lists beside the audit, which has the first of each.
+    writers.write_table(audit.leakage(manifest), f"{config.run_dir}/leakage")
+    writers.write_table(audit.value_counts(records), f"{config.run_dir}/value_counts")
     writers.write_document(Path(config.run_dir) / "audit.json", audit.audit(records, manifest) | {"run_id": config.run_id, "tier": config.tier, "clinical_boundary": BOUNDARY})
     writers.snapshot(Path(config.run_dir), config, spark)
     writers.append_log(Path(config.run_dir), "data_audit.log", f"{config.tier} manifest built, checks passed")
@@ -338,10 +341,13 @@ def train(spark: SparkSession, config: Config, manifest: DataFrame, vectors: Dat
     scores_path = f"{config.run_dir}/baseline_scores"
     if _made(spark, scores_path):
         order = F.when(F.col("model") == "pixel", 0).when(F.col("model") == "ssim", 1).otherwise(2)
-        best = metrics.strongest(metrics.auroc(spark.read.parquet(scores_path), ["model"]).withColumn("ordinal", order)).first()
-        delta = table["test"]["auroc"] - best.auroc
-        label = spark.range(1).select(names.outcome(F.lit(delta), F.lit(bool(health["collapsed"])))).first()[0]
-        result["result"] = {"strongest_baseline": {"name": best.model, "auroc": best.auroc}, "delta_auroc_vs_strongest_baseline": delta, "interpretation": label}
+        best = metrics.strongest(metrics.auroc(spark.read.parquet(scores_path), ["model"]).withColumn("ordinal", order))
+        own = spark.createDataFrame([(float(table["test"]["auroc"]), bool(health["collapsed"]))], "auroc double, collapsed boolean")
+        found = runs.compared(own, best).first()
+        result["result"] = {"strongest_baseline": {"name": found.baseline, "auroc": found.baseline_auroc}, "delta_auroc_vs_strongest_baseline": found.delta, "interpretation": found.interpretation}
+    numbered = scored.filter("split = 'test'").withColumns({"model": F.lit(t.model_id), "ordinal": F.regexp_extract("pair_id", r"(\d+)$", 1).cast("long")})
+    worst = ranking.of_model(ranking.failures(numbered.select("model", "pair_id", "pair_label", "score", "ordinal"), "model").drop("ordinal"))
+    result["failures"] = [r.asDict() for r in worst.collect()]
     writers.write_document(Path(config.run_dir) / "metrics.json", result)
     card = writers.model_card(t.model_id, {k: result[k] for k in ("run_id", "primary_metric", "primary_score")}, BOUNDARY)
     (Path(config.run_dir) / "model_card.md").write_text(card, encoding="utf-8")

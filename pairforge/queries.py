@@ -7,17 +7,20 @@ scored pairs, and a hash of a text for a perceptual hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as names
 from pairforge.functions.vectors import cosine_distance, normalised
-from pairforge.operators import audit, checks, metrics, neardup, pairs, predictor, ranking, runs, split
-from pairforge.sinks.scratch import stored
-from pairforge.sources import metadata
+from pairforge.operators import audit, checks, corpus_audit, metrics, neardup, pairs, predictor, ranking, runs, split
+from pairforge.schema import EMBEDDINGS
+from pairforge.sinks import writers
+from pairforge.sinks.scratch import shared_folder, stored
+from pairforge.sources import artifacts, images, metadata
 
 SEED = 17
 #: Pairs of each split and draws of a bootstrap, as in the configuration's defaults.
@@ -841,7 +844,136 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics documents made of parts, with fields missing and of the wrong type."""
     size = F.col("p_size")
     best = F.struct(F.when(size % 2 == 0, F.col("p_name")).alias("name"), F.when(size % 3 == 0, size / 64.0).alias("auroc"))
-    pairs_used = F.when(size % 4 == 0, "many").otherwise(size.cast("string"))
-    document = F.struct(F.concat(F.lit("run-"), F.col("p_partkey").cast("string")).alias("run_id"), F.col("p_brand").alias("model_id"), (F.col("p_retailprice") / 10000).alias("primary_score"), F.struct(best.alias("strongest_baseline")).alias("result"), F.struct((size % 5 == 0).alias("collapsed")).alias("representation_health"), F.struct(pairs_used.alias("stable_pairs_used_for_training")).alias("training"))
-    found = runs.summarise(table(spark, sf_dir, "part").select(F.to_json(document).alias("json")))
+    def document(pairs_used: Column) -> Column:
+        return F.to_json(F.struct(F.concat(F.lit("run-"), F.col("p_partkey").cast("string")).alias("run_id"), F.col("p_brand").alias("model_id"), (F.col("p_retailprice") / 10000).alias("primary_score"), F.struct(best.alias("strongest_baseline")).alias("result"), F.struct((size % 5 == 0).alias("collapsed")).alias("representation_health"), F.struct(pairs_used.alias("stable_pairs_used_for_training")).alias("training")))
+
+    said = F.when(size % 8 == 0, document(F.lit(True))).when(size % 4 == 0, document(F.concat(size.cast("string"), F.lit("")))).otherwise(document(size))
+    found = runs.summarise(table(spark, sf_dir, "part").select(said.alias("json")))
     return found.select("run_id", "model_id", "primary_score", "baseline_name", "baseline_auroc", "collapsed", "stable_pairs")
+
+
+# --- stages that are queries of their own ---------------------------------------------------------
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {PICKED} SELECT pair_id, pair_label, CASE WHEN pair_label = 'changing' THEN 1 ELSE 0 END AS label_int, context_image_id FROM manifest WHERE split = 'val'")
+def manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of orders, written by split, of which one split is read again."""
+    path = _folder(spark, "manifest")
+    writers.write_manifest(manifest(spark, sf_dir), path)
+    return artifacts.read_manifest(spark, path, "val").select("pair_id", "pair_label", "label_int", "context_image_id")
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS image_id, len(embedding) AS dimension, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first,
+       round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings WHERE label % 2 = 0""")
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of two models, written as one table; one model's are read, of length 1."""
+    rows = table(spark, sf_dir, "embeddings")
+    values = {"image_id": F.col("vec_id").cast("string"), "path": F.lit(""), "model_id": F.when(F.col("label") % 2 == 0, "even").otherwise("odd"), "model_name": F.lit("m"), "model_kind": F.lit("table"), "feature_type": F.lit("image"), "dimension": F.size("embedding").cast("long"), "preprocessing_profile": F.lit("square_rgb"), "vector": F.col("embedding")}
+    path = _folder(spark, "vectors")
+    rows.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in EMBEDDINGS]).write.partitionBy("model_id").parquet(path)
+    found = artifacts.read_vectors(spark, path, "even")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, v: t + v * v))
+    return found.select("image_id", F.size("vector").cast("long").alias("dimension"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(length, 6).alias("length"))
+
+
+@query("""SELECT DISTINCT 'ISIC_' || p_size AS image_id FROM part WHERE p_partkey % 3 <> 0""")
+def listed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids among names of files, some of other kinds."""
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "OTHER_").otherwise("ISIC_"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".jpg").otherwise(".PNG"))
+    return metadata.ids_in_listing(table(spark, sf_dir, "part").select(name.alias("file")))
+
+
+@query("""SELECT o_orderpriority AS archive, count(*) AS members, count(*) FILTER (o_orderstatus <> 'F') AS hashed FROM orders GROUP BY 1""")
+def archive_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities as archives, orders as their members, of which some could be hashed."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("archive"), F.col("o_orderkey").cast("string").alias("member"), "o_orderstatus")
+    return images.coverage(rows.select("archive", "member"), rows.filter("o_orderstatus <> 'F'").select("archive", "member"))
+
+
+@query("""WITH rows AS (
+  SELECT d.lang AS model, d.doc_id AS pair_id, CASE WHEN l.quality = 1 THEN 'changing' ELSE 'stable' END AS pair_label, d.n_chars AS score FROM labels l JOIN documents d USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, pair_label ORDER BY CASE WHEN pair_label = 'stable' THEN -score ELSE score END, CASE WHEN pair_label = 'stable' THEN -pair_id ELSE pair_id END) AS place FROM rows)
+SELECT model, pair_id, pair_label, score, CASE WHEN pair_label = 'stable' THEN 'stable_high_prediction_error' ELSE 'changing_low_prediction_error' END AS failure_mode,
+       CASE WHEN pair_label = 'stable' THEN 'Did nuisance variation dominate a pair that should remain stable?' ELSE 'Is this changing proxy visually too subtle or poorly matched?' END AS review_question
+FROM ranked WHERE place = 1""")
+def worst_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst pair of each model and mode, as a trained model's are asked about."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    rows = docs.join(labels, "doc_id").select(F.col("lang").alias("model"), F.col("doc_id").alias("pair_id"), F.when(F.col("quality") == 1, "changing").otherwise("stable").alias("pair_label"), F.col("n_chars").alias("score"), F.col("doc_id").alias("ordinal"))
+    return ranking.of_model(ranking.failures(rows, "model", count=1)).drop("ordinal", "place")
+
+
+@query(f"""WITH {BROKEN}, counts AS (SELECT s.split, count(b.pair_label) FILTER (b.pair_label = 'changing') AS n FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN broken b ON b.split = s.split GROUP BY s.split)
+SELECT split, n FROM counts WHERE n < (SELECT count(*) FROM orders) // 12""")
+def splits_short_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits with fewer changing pairs than a twelfth of all orders."""
+    return checks.short_of_pairs(broken_pairs(spark, sf_dir), table(spark, sf_dir, "orders").count() // 12)
+
+
+@query(f"""WITH {BROKEN} SELECT count(*) FILTER (split = 'train' AND pair_label = 'stable') AS fitted, count(*) FILTER (split = 'val' AND pair_label = 'stable') AS validated,
+       count(*) FILTER (split = 'val' AND pair_label = 'stable') = 0 AS stand_in FROM broken""")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.training_rows(broken_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {PAIRED}, areas AS (
+  SELECT split, pair_label = 'changing' AS y, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0::DOUBLE AS r FROM paired),
+found AS (SELECT split, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auroc FROM areas GROUP BY split),
+best AS (SELECT split, auroc FROM found WHERE split <> 'test' ORDER BY auroc DESC, split DESC LIMIT 1)
+SELECT best.split AS baseline, best.auroc AS baseline_auroc, round(found.auroc - best.auroc, 6) AS delta,
+       CASE WHEN found.auroc - best.auroc >= 0.05 THEN 'clear_improvement' WHEN found.auroc - best.auroc >= 0 THEN 'marginal_or_equal' ELSE 'below_baseline' END AS interpretation
+FROM found, best WHERE found.split = 'test'""")
+def trained_against_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test split as a trained model, the others as baselines: the better one, and by how much the model differs."""
+    found = stored(embedding_pair_auroc(spark, sf_dir), "areas")
+    rest = found.filter("split <> 'test'").select(F.col("split").alias("model"), "auroc", F.when(F.col("split") == "val", 0).otherwise(1).alias("ordinal"))
+    own = found.filter("split = 'test'").select("auroc", F.lit(False).alias("collapsed"))
+    return runs.compared(own, metrics.strongest(rest)).withColumn("delta", F.round("delta", 6))
+
+
+CORPUS = """images AS (
+  SELECT CAST(doc_id AS VARCHAR) AS image_id, source AS source_dataset, CASE WHEN doc_id % 17 = 0 THEN CAST(doc_id % 300 AS VARCHAR) ELSE 'd' || doc_id END AS source_record_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'CC-BY-4.0' END AS license,
+         CASE WHEN doc_id % 19 = 0 THEN sha256(CAST(doc_id % 300 AS VARCHAR)) ELSE sha256(coalesce(text, '')) END AS sha256_raw,
+         CASE WHEN doc_id % 23 = 0 THEN NULL ELSE CAST('0x' || substr(md5(CAST(doc_id % 997 AS VARCHAR)), 1, 15) AS BIGINT) + doc_id % 4 * 2730 END AS phash FROM documents),
+reference AS (SELECT CAST(item_id AS VARCHAR) AS image_id, sha256(CAST(item_id AS VARCHAR)) AS sha256_raw, CAST('0x' || substr(md5(CAST(item_id AS VARCHAR)), 1, 15) AS BIGINT) AS phash FROM benchmark),
+near AS (SELECT i.image_id, min(bit_count(xor(i.phash, r.phash))) AS d FROM images i JOIN reference r ON bit_count(xor(i.phash, r.phash)) <= 10 GROUP BY 1),
+judged AS (
+  SELECT i.*, n.d, CASE WHEN i.source_record_id IN (SELECT image_id FROM reference) THEN 'source_metadata' WHEN i.sha256_raw IN (SELECT sha256_raw FROM reference) THEN 'exact_hash' WHEN n.d <= 4 THEN 'perceptual_hash'
+         WHEN i.license IS NULL OR trim(coalesce(i.source_dataset, '')) = '' THEN 'missing_provenance' WHEN i.phash IS NULL THEN 'not_hashed' WHEN n.d <= 10 THEN 'ambiguous_near_duplicate' END AS reason
+  FROM images i LEFT JOIN near n USING (image_id))"""
+
+
+def corpus_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as images of a corpus, items of the benchmark as the evaluation set."""
+    number = lambda c: F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast("long")
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    raw = F.when(i % 19 == 0, F.sha2((i % 300).cast("string"), 256)).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256))
+    values = {
+        "image_id": i.cast("string"), "source_dataset": F.col("source"), "source_record_id": F.when(i % 17 == 0, (i % 300).cast("string")).otherwise(F.concat(F.lit("d"), i.cast("string"))),
+        "source_uri": none, "license": F.when(i % 13 != 0, "CC-BY-4.0"), "local_path": none, "sha256_raw": raw, "sha256_canonical": raw,
+        "phash": F.when(i % 23 != 0, number(i % 997) + i % 4 * 2730), "modality": F.lit("unknown"), "diagnosis_label": none, "patient_id": none, "lesion_id": none,
+    }
+    item = F.col("item_id")
+    known = table(spark, sf_dir, "benchmark").select(item.cast("string").alias("image_id"), none.alias("lesion_id"), F.sha2(item.cast("string"), 256).alias("sha256_raw"), none.alias("sha256_canonical"), number(item).alias("phash"))
+    return table(spark, sf_dir, "documents").select(*[v.alias(k) for k, v in values.items()]), known
+
+
+@query(f"""WITH {CORPUS} SELECT image_id, reason AS ham10000_exclusion_reason, CASE WHEN reason = 'ambiguous_near_duplicate' THEN 'pending' WHEN reason IS NOT NULL THEN 'excluded' ELSE 'not_needed' END AS manual_review_status,
+       CASE WHEN reason = 'ambiguous_near_duplicate' THEN 'audit_only' WHEN reason IS NOT NULL THEN 'excluded' WHEN CAST('0x' || substr(md5(sha256_raw), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.05 THEN 'pretrain_val' ELSE 'pretrain_train' END AS split FROM judged""")
+def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_audit.manifest(*corpus_sides(spark, sf_dir)).select("image_id", "ham10000_exclusion_reason", "manual_review_status", "split")
+
+
+@query(f"WITH {CORPUS} SELECT reason AS ham10000_exclusion_reason, count(*) AS n FROM judged GROUP BY 1 UNION ALL SELECT 'broken gates', 0")
+def corpus_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many images each gate turns away, and how many accepted ones break one: none."""
+    corpus, known = corpus_sides(spark, sf_dir)
+    audited = stored(corpus_audit.manifest(corpus, known), "audited")
+    broken = corpus_audit.violations(audited, known).agg(F.lit("broken gates").alias("ham10000_exclusion_reason"), F.count("*").alias("n"))
+    return corpus_audit.report(audited).groupBy(F.col("reason").alias("ham10000_exclusion_reason")).agg(F.sum("n").alias("n")).unionByName(broken)

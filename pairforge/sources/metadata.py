@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairforge.functions.headers import jpeg_sizes
 from pairforge.functions.text import first_filled
 from pairforge.schema import ALIASES, NO_DIAGNOSIS, NO_LESION, NO_PATIENT, NO_SITE, RECORDS, SYNTHETIC_DIAGNOSES, SYNTHETIC_SITES
+from pairforge.sources.chosen import read_chosen
 
 
 def read_csv(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
@@ -42,12 +43,12 @@ def fields(rows: DataFrame) -> DataFrame:
     return rows.select(image.alias("image_id"), *[_field(rows, f).alias(f) for f in ALIASES if f != "image_id"])
 
 
-def listing(spark: SparkSession, roots: Sequence[str], content: bool = False) -> DataFrame:
-    """Files under the roots, in their order: root, path, file and, if asked for, content. Reading paths reads no bytes."""
+def listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Files under the roots, in their order: root, path and file. No file is opened."""
     out = None
     for i, root in enumerate(roots):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
-        part = files.select(F.lit(i).alias("root"), "path", F.element_at(F.split("path", "/"), -1).alias("file"), *(["content"] if content else []))
+        part = files.select(F.lit(i).alias("root"), "path", F.element_at(F.split("path", "/"), -1).alias("file"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no image roots")
@@ -109,11 +110,12 @@ def normalise(raw: DataFrame, found: DataFrame, source: str) -> DataFrame:
 
 
 def load_records(spark: SparkSession, csv: str, roots: Sequence[str], extensions: Sequence[str], source: str, max_records: int | None = None) -> DataFrame:
-    """Records of a metadata table and its image folders. Bytes are read of chosen files only."""
+    """Records of a metadata table and its image folders. Bytes are read of chosen files only, and to their end."""
     raw = fields(read_csv(spark, csv, max_records))
     chosen = resolve(raw, listing(spark, roots), extensions)
-    content = listing(spark, roots, content=True).select("path", "content")
-    sizes = probe(content.join(chosen.select("path").distinct(), "path", "left_semi")).drop("content")
+    # An image whose body is broken has no size, as one without a header.
+    sizes = probe(read_chosen(chosen)).drop("content")
+    sizes = sizes.withColumns({c: F.when(F.col("whole"), F.col(c)) for c in ("width", "height")}).drop("whole")
     return normalise(raw, chosen.join(sizes, "path"), source)
 
 
