@@ -10,19 +10,17 @@ from pyspark.sql import functions as F
 from pairforge.functions.headers import jpeg_sizes
 from pairforge.functions.text import first_filled
 from pairforge.schema import ALIASES, NO_DIAGNOSIS, NO_LESION, NO_PATIENT, NO_SITE, RECORDS, SYNTHETIC_DIAGNOSES, SYNTHETIC_SITES
+from pairforge.sources import csv_ranges
 from pairforge.sources.chosen import read_chosen
 
 
 def read_csv(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """A CSV with a header, all strings; empty and missing cells are empty strings. Surplus cells are dropped.
 
-    A quoted cell may hold line breaks, so a file is read by one task, in its order; ``max_records``
-    keeps the first rows of it.
+    Quoted cells may hold line breaks; a file is read by as many tasks as it has ranges all the
+    same. ``max_records`` keeps the first rows, of a folder by file name.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"')
-    rows = rows.na.fill("")
-    if max_records is not None:
-        rows = rows.limit(max_records)
+    rows = csv_ranges.read(spark, path, max_records)
     if not rows.limit(1).count():
         raise ValueError(f"no rows in {path}")
     return rows
