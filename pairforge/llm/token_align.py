@@ -20,7 +20,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pairforge.llm.common import Scratch, give_back, located, sliced, tidy
 from pairforge.llm.token_counts import SPACE, refuse_unknown
 
 #: Bytes of text, about, whose distinct stretches a worker holds at once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct stretches that a task of the relational plan gets, about.
 TASK_STRETCHES = 150_000
 #: Stretches that are encoded as one text.
@@ -275,11 +275,6 @@ class Tables:
         return pa.concat_tables(parts) if parts else None
 
 
-@lru_cache(maxsize=1)
-def _tables(root: str) -> Tables:
-    return Tables(root)
-
-
 def _write_blocks(df: DataFrame, path: str) -> None:
     with tidy(df.sparkSession):
         df.repartition("block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
@@ -296,10 +291,11 @@ class Part:
         self.starts, self.links = self.lists(found["pairs"]) if n else (np.zeros(1, np.int64), np.zeros(0, np.int64))
         self.own = [found[c].fill_null(0).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64) for c in columns[:3]]
         self.said = found["groups"].to_pylist() if n and columns else []
-        self.times = np.ones(len(self.links), np.int64)  # a stretch says how often its links come if it is more than once
-        if n and columns:
-            told = np.flatnonzero(found["times"].is_valid().to_numpy())
-            self.times[places(self.starts, told)] = self.lists(found["times"])[1]
+        # Where a link comes more than once, and how often.
+        self.again = self.more = np.zeros(0, np.int64)
+        if n and columns and found["times"].null_count < n:
+            self.again = places(self.starts, np.flatnonzero(found["times"].is_valid().to_numpy()))
+            self.more = self.lists(found["times"])[1]
 
     @staticmethod
     def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,29 +312,41 @@ def places(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.repeat(starts[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-@lru_cache(maxsize=1)
-def _common(tables: Tables, columns: tuple[str, ...]) -> tuple[Part, dict[str, int]]:
-    """The stretches of most blocks, read once a worker."""
-    part = Part(tables.read("common", None, ["stretch", "pairs", *columns]), list(columns))
-    return part, {s: i for i, s in enumerate(part.names)}
+#: What this worker has read of the stretches of most blocks, of one run and one choice of columns.
+_HELD: dict[tuple, tuple[Part, dict[str, int]]] = {}
+
+
+def _common(tables: Tables, columns: list[str]) -> tuple[Part, dict[str, int]]:
+    """The stretches of most blocks, read once a worker; those of another pass go before."""
+    key = (tables.root, *columns)
+    if key not in _HELD:
+        _HELD.clear()
+        part = Part(tables.read("common", None, ["stretch", "pairs", *columns]), columns)
+        index = {s: i for i, s in enumerate(part.names)}
+        part.names = []
+        _HELD[key] = part, index
+    return _HELD[key]
 
 
 class Block:
     """The stretches of most blocks, then those of one, by number, and their links one after another."""
 
     def __init__(self, tables: Tables, block: int, columns: list[str]) -> None:
-        common, index = _common(tables, tuple(columns))
+        common, index = _common(tables, columns)
         part = Part(tables.read("stretches", block, ["stretch", "pairs", *columns]), columns)
         self.index = index.copy()
         self.index.update(zip(part.names, range(len(index), len(index) + len(part.names)), strict=True))
         joined = lambda x, y: np.concatenate([x, y])
-        self.bad, self.links, self.times = joined(common.bad, part.bad), joined(common.links, part.links), joined(common.times, part.times)
+        self.bad, self.links = joined(common.bad, part.bad), joined(common.links, part.links)
+        self.again, self.more = joined(common.again, part.again + len(common.links)), joined(common.more, part.more)
         self.starts = joined(common.starts, part.starts[1:] + len(common.links))
         self.own, self.said = [joined(x, y) for x, y in zip(common.own, part.own, strict=True)], common.said + part.said
 
     def sums(self, each: np.ndarray) -> np.ndarray:
-        """Of each stretch, the sum over its links."""
-        upto = np.concatenate([[0], np.cumsum(each)])
+        """Of each stretch, the sum over its links, each as often as it comes. ``each`` is used up."""
+        each[self.again] *= self.more
+        upto = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=upto[1:])
         return upto[self.starts[1:]] - upto[self.starts[:-1]]
 
 
@@ -346,7 +354,7 @@ def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
     """(block, pair, n): in how many documents of a block an id pair is linked; a block that several tasks read has several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = _tables(root), Splitter(), None, None
+        tables, split, at, known = Tables(root), Splitter(), None, None
         names = which = counts = stamp = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
@@ -384,7 +392,7 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = _tables(root), Splitter(), None, None
+        tables, split, at, known = Tables(root), Splitter(), None, None
         said: list[str] = []
         sums = np.zeros((0, len(SUMS)), np.int64)
         for b in batches:
@@ -396,16 +404,18 @@ def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
                     if block != at:
                         known = said = sums = None  # before the next block is read
                         at, known = block, Block(tables, block, [*SUMS[:3], "groups", "times"])
-                        said, times = known.said, known.times
+                        said = known.said
                         more = tables.read("counts", block, ["pair", "documents", "best"])
                         if more is None:  # no document of the block has links
-                            documents = best = np.zeros(len(known.links), np.int64)
+                            documents, best = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                            place = np.zeros(len(known.links), np.int64)
                         else:
                             order = np.argsort(more["pair"].to_numpy())
                             pairs = more["pair"].to_numpy()[order]
                             place = order[np.minimum(np.searchsorted(pairs, known.links), len(pairs) - 1)]
-                            documents, best = more["documents"].to_numpy()[place], more["best"].to_numpy().astype(np.int64)[place]
-                        sums = np.stack([*known.own, known.sums(times), known.sums(times * best), known.sums(times * documents), known.bad], axis=1)
+                            documents, best = more["documents"].to_numpy(), more["best"].to_numpy().astype(np.int64)
+                        sums = np.stack([*known.own, known.sums(np.ones(len(place), np.int64)), known.sums(best[place]), known.sums(documents[place]), known.bad], axis=1)
+                        known.links = known.own = place = None
                     of = list(map(known.index.__getitem__, split(text)))
                     total = sums[np.array(of)].sum(axis=0)
                     if not total[-1]:
