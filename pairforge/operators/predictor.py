@@ -308,7 +308,7 @@ def score(pairs: DataFrame, state: dict[str, Any]) -> DataFrame:
                 continue
             x, y = (np.array(b.column(i).to_pylist(), np.float32).reshape(b.num_rows, -1) for i in at)
             made = _unit(predict(x, shared.value))
-            far = 1.0 - np.clip((made.astype(float) * _unit(y)).sum(axis=1), -1.0, 1.0)
+            far = 1.0 - np.clip((made.astype(float) * _unit(y.astype(float))).sum(axis=1), -1.0, 1.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(made.astype(np.float32)), pa.list_(pa.float32())), pa.array(far, pa.float64())], [*b.schema.names, "prediction", "score"])
 
     schema = pairs.withColumns({"prediction": F.lit(None).cast("array<float>"), "score": F.lit(None).cast("double")}).schema
