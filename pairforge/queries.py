@@ -708,7 +708,8 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear predictor of twice the context, whose direction is the context's: its score is the pair's cosine distance."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    return predictor.score(rows.join(after, "vec_id"), predictor.scaled_identity(64, 2.0)).select("vec_id", F.round(F.round("score", 6), 4).alias("score"))
+    twice = {"kind": "linear", "weight": 2.0 * np.eye(64), "bias": np.zeros(64)}
+    return predictor.score(rows.join(after, "vec_id"), twice).select("vec_id", F.round(F.round("score", 6), 4).alias("score"))
 
 
 #: A predictor that moves vectors: weights and biases by rule, in double precision.
