@@ -32,10 +32,11 @@ def hash_order(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFr
 RANGE_BITS = 33
 
 
-def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def in_order(df: DataFrame, keys: Sequence[str], path: str | None = None) -> DataFrame:
     """df, written in the order of its keys, with ``_range`` and ``_inside``: its range, and its 0-based place there.
 
     ``_place`` is both in one number, by which files and their parts can be left out of a scan.
+    ``path``, if given, is where the table is written, for a caller that deletes it.
 
     Ranges are cut at sampled values of the whole key, so they hold like numbers of rows however
     many share its first columns. Columns of all types order rows, nulls first; strings by code
@@ -44,7 +45,7 @@ def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     # Numbers are kept as they are written, so ranges need not come out the same when they are read.
-    written = stored(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    written = stored(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered", path)
     return written.withColumns({"_range": F.shiftright("_place", RANGE_BITS), "_inside": F.col("_place").bitwiseAND((1 << RANGE_BITS) - 1)})
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -21,7 +22,7 @@ from pairforge.functions.order import RANGE_BITS, in_order
 from pairforge.functions.vectors import EPSILON
 from pairforge.operators.checks import missing_vectors
 from pairforge.schema import SEED_OFFSETS
-from pairforge.sinks.scratch import stored
+from pairforge.sinks.scratch import new_path, remove, stored
 
 #: Pairs that are gathered for a fit on the driver; more are fitted where they are.
 MOST_PAIRS = 200_000
@@ -172,7 +173,7 @@ class Stored:
     An epoch writes the rows in the order of md5(seed/epoch/pair_id), in sampled ranges. A batch
     is a stretch of that order: only the files and row groups that hold it are read, and each task
     sends one sum of gradients for all rows that it has. A step is a job, so batches should hold
-    thousands of rows; what is written of an epoch stays in the shared folder until it is cleared.
+    thousands of rows. What is written of an epoch goes when the next one begins.
     """
 
     def __init__(self, pairs: DataFrame, seed: int, batch: int) -> None:
@@ -180,22 +181,22 @@ class Stored:
 
     def batches(self, epoch: int, model: Linear | Mlp) -> Iterator[tuple[Sums, int]]:
         digest = F.md5(F.concat_ws("/", F.lit(str(self.seed)), F.lit(str(epoch)), "pair_id"))
-        placed = in_order(self.pairs.withColumn("_md5", digest), ["_md5", "pair_id"])
+        spark = self.pairs.sparkSession
+        path = new_path(spark, "epoch")
+        placed = in_order(self.pairs.withColumn("_md5", digest), ["_md5", "pair_id"], path)
         sizes = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # a row a range
         starts, at = [], 0
         for r in sorted(sizes):
             starts.append((r, at))
             at += sizes[r]
-        for low in range(0, at, self.batch):
-            high, parts = min(low + self.batch, at), []
-            for r, first in starts:
-                a, b = max(low, first) - first, min(high, first + sizes[r]) - first
-                if a < b:
-                    parts.append(F.col("_place").between((r << RANGE_BITS) + a, (r << RANGE_BITS) + b - 1))
-            chosen = parts[0]
-            for p in parts[1:]:
-                chosen = chosen | p
-            yield reduce_sums(placed.filter(chosen), model), high - low
+        try:
+            for low in range(0, at, self.batch):
+                high = min(low + self.batch, at)
+                parts = [(r, max(low, first) - first, min(high, first + sizes[r]) - first) for r, first in starts]
+                chosen = [F.col("_place").between((r << RANGE_BITS) + a, (r << RANGE_BITS) + b - 1) for r, a, b in parts if a < b]
+                yield reduce_sums(placed.filter(reduce(lambda x, y: x | y, chosen)), model), high - low
+        finally:
+            remove(spark, path)
 
     def whole(self, model: Linear | Mlp) -> tuple[Sums, int]:
         return reduce_sums(self.pairs, model), self.pairs.count()

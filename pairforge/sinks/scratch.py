@@ -23,8 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """The rows, written once and read again: the plan of what reads them begins here, and a lost task reads them anew."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was stored at a path of new_path(), when nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
