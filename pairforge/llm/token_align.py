@@ -6,8 +6,9 @@ another character. So a text falls into stretches there that are encoded and ali
 stretches alike. The relational plan runs once for each distinct stretch of the corpus:
 posexplode the tokens, add up their lengths in windows, join both sides on stretch and end, count
 these cuts as they come for the group ids, and link the ids of a group. Documents are then read
-twice where they are stored: to count in how many of them an id pair is linked, and to add up
-what their stretches have. For either pass a block of neighbouring rows has a table of its own
+once more where they are stored, to count in how many of them an id pair is linked, to add up what
+their stretches have and to note their stretches by number; counts of pairs are added up over these
+numbers, without the text. For either pass a block of neighbouring rows has a table of its own
 stretches and pairs, and one more holds those that more than half of all blocks have: at most
 twice as many as a block has. So a worker holds no more than these, whatever the corpus has.
 """
@@ -21,13 +22,15 @@ import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import Scratch, give_back, located, sliced, tidy
+from pairforge.llm.common import Scratch, give_back, located, tidy
 from pairforge.llm.token_counts import SPACE, refuse_unknown
 
 #: Bytes of text, about, whose distinct stretches a worker holds at once.
@@ -38,6 +41,8 @@ TASK_STRETCHES = 150_000
 TOGETHER = 256
 #: Stretches of a block that a worker gathers before it passes them on.
 GATHERED = 400_000
+#: Bytes of text that a worker cuts into stretches at once; a longer text is cut alone.
+CUT_BYTES = 4 << 20
 #: A stretch with more pairs of tokens than this gets its links by a join of its groups' counts.
 SMALL = 1024
 
@@ -103,16 +108,18 @@ class Side:
         raw = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         return cls(lambda texts: sp.encode(texts, num_threads=1), raw)
 
-    def each(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def each(self, stretches: list[str], alone: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all stretches one after another, and how many each has; none where their bytes are not those of a space and the stretch.
 
-        Stretches without white space at an edge are encoded together, as neighbours in a text are.
+        Stretches without white space at an edge are encoded together, as neighbours in a text are;
+        ``alone`` tells which have some, if that is known.
         """
+        alone = list(map(edged, stretches)) if alone is None else alone
         groups, i = [], 0
         while i < len(stretches):
             n = 1
-            if not edged(stretches[i]):
-                while n < TOGETHER and i + n < len(stretches) and not edged(stretches[i + n]):
+            if not alone[i]:
+                while n < TOGETHER and i + n < len(stretches) and not alone[i + n]:
                     n += 1
             groups.append(stretches[i : i + n])
             i += n
@@ -138,6 +145,52 @@ def edged(stretch: str) -> bool:
     return stretch[0].isspace() or stretch[-1].isspace()
 
 
+def edged_ones(parts: pa.Array) -> np.ndarray:
+    """Which of these strings are empty or have white space at an edge."""
+    n, offsets, held = len(parts), parts.buffers()[1], parts.buffers()[2]
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(parts.type) else np.int32)[parts.offset : parts.offset + n + 1] if n else np.zeros(1, np.int64)
+    found = at[1:] == at[:-1]
+    if found.all():
+        return found
+    data = np.frombuffer(held, np.uint8)
+    plain = lambda x: (x > 0x20) & (x < 0x7F)
+    rest = np.flatnonzero(~(found | plain(data[np.minimum(at[:-1], len(data) - 1)]) & plain(data[at[1:] - 1])))
+    found[rest] = list(map(edged, parts.take(pa.array(rest)).to_pylist()))
+    return found
+
+
+def stretched(texts: pa.Array, split: Splitter) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Stretches, those of all texts one after another as places among them, and how many each text has; one that is null or empty has none."""
+    parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    said, of = coded.dictionary, coded.indices.to_numpy()
+    sizes = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bad = edged_ones(said)
+    if bad.any():  # texts with such a part are cut one by one
+        again = np.zeros(len(sizes), bool)
+        again[np.repeat(np.arange(len(sizes)), sizes)[bad[of]]] = True
+        lists = [split(t) if t else [] for t in texts.filter(pa.array(again)).to_pylist()]
+        kept = of[~np.repeat(again, sizes)]
+        sizes[again] = list(map(len, lists))
+        more = pa.array([s for found in lists for s in found], pa.large_string())
+        theirs = np.repeat(again, sizes)
+        of = np.empty(len(theirs), np.int64)
+        of[~theirs], of[theirs] = kept, np.arange(len(said), len(said) + len(more))
+        said = pa.concat_arrays([said, more])
+    return said, of, sizes
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Neighbouring rows of one block, with texts of CUT_BYTES in all, about; block and text are the first columns."""
+    for b in batches:
+        block, sizes = b.column(0).to_numpy(), pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64) // CUT_BYTES
+        edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(upto) != 0)) + 1
+        for at, to in pairwise([0, *edges.tolist(), b.num_rows]):
+            if to > at:
+                yield int(block[at]), b.slice(at, to - at)
+
+
 @cache
 def _sides(a: str, b: bytes) -> tuple[Side, Side]:
     return Side.byte_level(a), Side.piece_level(b)
@@ -156,11 +209,12 @@ def encoded(stretches: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(*shared.value)
         for batch in batches:
+            alone = edged_ones(batch.column(0))
+            if alone.any():  # those with white space at an edge last, as each stands alone
+                order = np.argsort(alone, kind="stable")
+                batch, alone = batch.take(pa.array(order)), alone[order]
             texts = batch.column(0).to_pylist()
-            if any(map(edged, texts)):  # those with white space at an edge last, as each stands alone
-                batch = batch.take(pa.array(sorted(range(len(texts)), key=lambda i: edged(texts[i]))))
-                texts = batch.column(0).to_pylist()
-            made = [side.each(texts) for side in sides]
+            made = [side.each(texts, alone.tolist()) for side in sides]
             both = (made[0][1] > 0) & (made[1][1] > 0)
             kept = [(ids[np.repeat(both, n)], n * both) for ids, n in made]
             columns = [_lists(*k) for k in kept] + [_lists(side.size[ids], n) for side, (ids, n) in zip(sides, kept, strict=True)]
@@ -196,6 +250,7 @@ def aligned(entries: DataFrame, width: int, kind: str) -> DataFrame:
 
     A link is a pair a * width + b. Those of a small stretch are listed at once, each as often as
     it comes; of a large one there are its tokens by group instead, left and right, for links().
+    Each group ends with a semicolon.
     """
     both = _ends(entries, "a").join(_ends(entries, "b"), ["no", "end"], "full")
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -207,7 +262,7 @@ def aligned(entries: DataFrame, width: int, kind: str) -> DataFrame:
     # In the order of what is said of them: by group, the tokens of a before those of b.
     ordered = sides.select("no", "left", "right", F.sort_array(F.concat("left", "right")).alias("all"))
     after = lambda i: F.get("all", i + 1)
-    mark = lambda x, i: F.when(after(i).isNull(), "").when(after(i)["side"] == x["side"], ",").when(x["side"] == 0, "|").otherwise(";")
+    mark = lambda x, i: F.when(after(i)["side"] == x["side"], ",").when(x["side"] == 0, "|").otherwise(";")
     code = lambda x, y: (x["id"].cast("long") * width + y["id"]).cast(kind)
     small = F.size("left").cast("long") * F.size("right") <= SMALL
     pairs = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: y["group"] == x["group"]), lambda y: code(x, y))))
@@ -234,22 +289,27 @@ def _spoken(rows: DataFrame) -> DataFrame:
     """(block, stretch): the stretches of each block; one may come again where a block is read by several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, at, seen = Splitter(), None, set()
+        split, at = Splitter(), None
+        seen: list[pa.Array] = []
+
+        def full() -> bool:
+            return sum(map(len, seen)) > GATHERED or sum(x.nbytes for x in seen) > 2 * BLOCK_BYTES
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([at] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["block", "stretch"])
+            names = pa.chunked_array(seen).unique().cast(pa.string())
             seen.clear()
-            return batch
-
-        for b in batches:
-            for part in sliced(iter([b])):
-                for block, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if block != at or len(seen) > GATHERED:
-                        if seen:
-                            yield out()
-                        at = block
-                    if text:
-                        seen.update(split(text))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), at, np.int64)), names], ["block", "stretch"])
+
+        for block, part in runs(batches):
+            if block == at and full():
+                seen[:] = [pa.chunked_array(seen).unique()]
+            if block != at or full():
+                if seen:
+                    yield out()
+                at = block
+            said, of, _ = stretched(part.column(1), split)
+            if len(of):
+                seen.append(said.take(pa.array(np.flatnonzero(np.bincount(of, minlength=len(said))))))
         if seen:
             yield out()
         give_back()
@@ -258,7 +318,7 @@ def _spoken(rows: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Reads the tables of blocks; a block without a stretch of its own has none."""
+    """Reads the tables of blocks, rows in the same order each time; a block without a stretch of its own has none."""
 
     def __init__(self, root: str) -> None:
         from pyarrow import fs
@@ -270,8 +330,8 @@ class Tables:
         from pyarrow import fs
 
         folder = f"{self.root}/{name}" + (f"/block={block}" if block is not None else "")
-        files = self.store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        parts = [pq.read_table(f.path, filesystem=self.store, columns=columns, partitioning=None) for f in files if f.path.endswith(".parquet")]
+        files = sorted(f.path for f in self.store.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+        parts = [pq.read_table(f, filesystem=self.store, columns=columns, partitioning=None) for f in files if f.endswith(".parquet")]
         return pa.concat_tables(parts) if parts else None
 
 
@@ -280,22 +340,29 @@ def _write_blocks(df: DataFrame, path: str) -> None:
         df.repartition("block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
 
 
+#: What the first pass over documents reads of a stretch, and the second.
+NAMED, COUNTED = ("stretch", "pairs", "times", "n_a", "n_b", "n_groups", "groups"), ("pairs", "times")
+
+
 class Part:
-    """Stretches of one table: their names, where the links of each begin, and all links."""
+    """Stretches of one table: where the links of each begin, and all links; with ``NAMED`` also what they are called and have."""
 
-    def __init__(self, found: pa.Table | None, columns: list[str]) -> None:
-        found = found.combine_chunks() if found is not None else None
+    def __init__(self, found: pa.Table | None, columns: tuple[str, ...]) -> None:
         n = found.num_rows if found is not None else 0
-        self.names = found["stretch"].to_pylist() if n else []
         self.bad = found["pairs"].is_null().to_numpy() if n else np.zeros(0, bool)
-        self.starts, self.links = self.lists(found["pairs"]) if n else (np.zeros(1, np.int64), np.zeros(0, np.int64))
-        self.own = [found[c].fill_null(0).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64) for c in columns[:3]]
-        self.said = found["groups"].to_pylist() if n and columns else []
+        self.starts, self.links = self.lists(found["pairs"]) if n else (np.zeros(1, np.int64), np.zeros(0, np.int32))
         # Where a link comes more than once, and how often.
         self.again = self.more = np.zeros(0, np.int64)
-        if n and columns and found["times"].null_count < n:
+        if n and found["times"].null_count < n:
             self.again = places(self.starts, np.flatnonzero(found["times"].is_valid().to_numpy()))
             self.more = self.lists(found["times"])[1]
+        if columns == NAMED:
+            self.own = [found[c].fill_null(0).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64) for c in NAMED[3:6]]
+            self.names, self.said = [self.strings(found[c]) if n else pa.array([], pa.large_string()) for c in ("stretch", "groups")]
+
+    @staticmethod
+    def strings(column: pa.ChunkedArray) -> pa.Array:
+        return pa.concat_arrays(column.cast(pa.large_string()).chunks)
 
     @staticmethod
     def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +370,7 @@ class Part:
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
         starts = np.zeros(len(column) + 1, np.int64)
         starts[1:] = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        return starts, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return starts, column.flatten().to_numpy(zero_copy_only=False)
 
 
 def places(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -313,120 +380,154 @@ def places(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 #: What this worker has read of the stretches of most blocks, of one run and one choice of columns.
-_HELD: dict[tuple, tuple[Part, dict[str, int]]] = {}
+_HELD: dict[tuple, Part] = {}
 
 
-def _common(tables: Tables, columns: list[str]) -> tuple[Part, dict[str, int]]:
+def _common(tables: Tables, columns: tuple[str, ...]) -> Part:
     """The stretches of most blocks, read once a worker; those of another pass go before."""
-    key = (tables.root, *columns)
+    key = (tables.root, columns)
     if key not in _HELD:
         _HELD.clear()
-        part = Part(tables.read("common", None, ["stretch", "pairs", *columns]), columns)
-        index = {s: i for i, s in enumerate(part.names)}
-        part.names = []
-        _HELD[key] = part, index
+        _HELD[key] = Part(tables.read("common", None, list(columns)), columns)
     return _HELD[key]
 
 
 class Block:
     """The stretches of most blocks, then those of one, by number, and their links one after another."""
 
-    def __init__(self, tables: Tables, block: int, columns: list[str]) -> None:
-        common, index = _common(tables, columns)
-        part = Part(tables.read("stretches", block, ["stretch", "pairs", *columns]), columns)
-        self.index = index.copy()
-        self.index.update(zip(part.names, range(len(index), len(index) + len(part.names)), strict=True))
+    def __init__(self, tables: Tables, block: int, columns: tuple[str, ...]) -> None:
+        common, part = _common(tables, columns), Part(tables.read("stretches", block, list(columns)), columns)
         joined = lambda x, y: np.concatenate([x, y])
         self.bad, self.links = joined(common.bad, part.bad), joined(common.links, part.links)
         self.again, self.more = joined(common.again, part.again + len(common.links)), joined(common.more, part.more)
         self.starts = joined(common.starts, part.starts[1:] + len(common.links))
-        self.own, self.said = [joined(x, y) for x, y in zip(common.own, part.own, strict=True)], common.said + part.said
+        if columns == NAMED:
+            self.own = [joined(x, y) for x, y in zip(common.own, part.own, strict=True)]
+            self.names, self.said = pa.concat_arrays([common.names, part.names]), pa.concat_arrays([common.said, part.said])
 
     def sums(self, each: np.ndarray) -> np.ndarray:
         """Of each stretch, the sum over its links, each as often as it comes. ``each`` is used up."""
         each[self.again] *= self.more
-        upto = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(each, out=upto[1:])
-        return upto[self.starts[1:]] - upto[self.starts[:-1]]
+        return over(each, self.starts)
+
+
+def over(each: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each list of these items."""
+    upto = np.zeros((len(each) + 1, *each.shape[1:]), np.int64)
+    np.cumsum(each, axis=0, out=upto[1:])
+    return upto[starts[1:]] - upto[starts[:-1]]
+
+
+def packed(items: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of int32 as bytes, which Spark passes on whole."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((4 * starts).astype(np.int32)), pa.py_buffer(items)])
+
+
+def unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What packed() was given."""
+    at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    return np.frombuffer(lists.buffers()[2] or b"", np.int32, (at[-1] - at[0]) // 4, at[0]), (at - at[0]) // 4
 
 
-def _linked_documents(rows: DataFrame, root: str) -> DataFrame:
-    """(block, pair, n): in how many documents of a block an id pair is linked; a block that several tasks read has several rows."""
+def begins(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def _told(rows: DataFrame, root: str, kind: str) -> DataFrame:
+    """Of each document, what does not depend on others, and its stretches' numbers as int32; and by block, in how many documents an id pair is linked.
+
+    Rows of a pair have no document; a block that several tasks read has several rows for a pair.
+    """
+    schema = f"block long, pair long, n long, doc_id {kind}, {', '.join(f'{c} long' for c in SUMS[:4])}, groups_sha256 string, stretches binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = Tables(root), Splitter(), None, None
-        names = which = counts = stamp = np.zeros(0, np.int64)
+        tables, split, at, known, alike = Tables(root), Splitter(), None, None, None
+        own = which = counts = stamp = np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int64)), pa.array(names[some]), pa.array(counts[some])], ["block", "pair", "n"])
+        def made(doc_type: pa.DataType, size: int, **columns: pa.Array) -> pa.RecordBatch:
+            types = {"block": pa.int64(), "pair": pa.int64(), "n": pa.int64(), "doc_id": doc_type} | dict.fromkeys(SUMS[:4], pa.int64()) | {"groups_sha256": pa.string(), "stretches": pa.binary()}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
-        for b in batches:
-            for part in sliced(iter([b])):
-                for block, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    if block != at:
-                        if at is not None:
-                            yield out()
-                        known = names = which = counts = stamp = None  # before the next block is read
-                        at, known = block, Block(tables, block, [])
-                        names, which = np.unique(known.links, return_inverse=True)
-                        counts, stamp = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-                    of = np.fromiter({known.index[s] for s in split(text)}, np.int64)
-                    if not known.bad[of].any():
-                        found = which[places(known.starts, of)]
-                        order = np.arange(len(found))
-                        stamp[found] = order  # of equal pairs the last remains, so each counts once
-                        counts[found[stamp[found] == order]] += 1
+        def pairs(doc_type: pa.DataType) -> pa.RecordBatch:
+            some = np.flatnonzero(counts)
+            return made(doc_type, len(some), block=pa.array(np.full(len(some), at, np.int64)), pair=alike.take(pa.array(some)).cast(pa.int64()), n=pa.array(counts[some]))
+
+        for block, part in runs(batches):
+            doc_type = part.column(2).type
+            if block != at:
+                if at is not None:
+                    yield pairs(doc_type)
+                known = alike = own = which = counts = stamp = None  # before the next block is read
+                at, known = block, Block(tables, block, NAMED)
+                coded = pa.array(known.links).dictionary_encode()
+                alike, which = coded.dictionary, coded.indices.to_numpy()
+                own = np.stack([*known.own, known.sums(np.ones(len(known.links), np.int64)), known.bad], axis=1)
+                counts, stamp = np.zeros(len(alike), np.int64), np.zeros(len(alike), np.int64)
+                known.links = known.own = coded = None
+            said, of, sizes = stretched(part.column(1), split)
+            of = pc.index_in(said, value_set=known.names).fill_null(-1).to_numpy()[of]
+            if (of < 0).any():
+                raise KeyError(f"the tables of block {block} lack one of its stretches")
+            bad = over(known.bad[of], begins(sizes)) > 0
+            of, sizes = of[~np.repeat(bad, sizes)], np.where(bad, 0, sizes)
+            starts = begins(sizes)
+            sums = over(own[of], starts)
+            # The groups of all stretches lie one after another, each with its semicolon.
+            groups = known.said.take(pa.array(of))
+            ends = np.frombuffer(groups.buffers()[1], np.int64)[groups.offset :][starts] if len(of) else np.zeros(len(starts), np.int64)
+            text = memoryview(groups.buffers()[2] or b"")
+            digests = [hashlib.sha256(text[a : b - 1]).hexdigest() if b > a else "" for a, b in pairwise(ends.tolist())]
+            found = which[places(known.starts, of)]
+            order = np.arange(len(found))
+            for a, b in pairwise(begins(over((known.starts[1:] - known.starts[:-1])[of], starts)).tolist()):
+                one = found[a:b]
+                stamp[one] = order[a:b]  # of equal pairs the last remains, so each counts once
+                counts[one[stamp[one] == order[a:b]]] += 1
+            columns = {c: pa.array(np.ascontiguousarray(sums[:, i])) for i, c in enumerate(SUMS[:4])}
+            yield made(doc_type, len(sizes), block=part.column(0), doc_id=part.column(2), groups_sha256=pa.array(digests, pa.string()), stretches=packed(of, starts), **columns)
         if at is not None:
-            yield out()
-        del known, names, which, counts, stamp
+            yield pairs(doc_type)
+        del known, alike, own, which, counts, stamp
         give_back()
 
-    return rows.select("block", "text").mapInArrow(run, "block long, pair long, n long")
-
+    return rows.select("block", "text", "doc_id").mapInArrow(run, schema)
 
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
+def _summed(told: DataFrame, root: str, kind: str) -> DataFrame:
+    """What was told of each document, and the sums over its links of their pairs' counts."""
 
-def _summed(rows: DataFrame, root: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, at, known = Tables(root), Splitter(), None, None
-        said: list[str] = []
-        sums = np.zeros((0, len(SUMS)), np.int64)
+        tables, at = Tables(root), None
+        sums = np.zeros((0, 2), np.int64)
         for b in batches:
-            for part in sliced(iter([b])):
-                out, digests = np.zeros((part.num_rows, len(SUMS)), np.int64), [""] * part.num_rows
-                for row, (block, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    if not text:
-                        continue
-                    if block != at:
-                        known = said = sums = None  # before the next block is read
-                        at, known = block, Block(tables, block, [*SUMS[:3], "groups", "times"])
-                        said = known.said
-                        more = tables.read("counts", block, ["pair", "documents", "best"])
-                        if more is None:  # no document of the block has links
-                            documents, best = np.zeros(1, np.int64), np.zeros(1, np.int64)
-                            place = np.zeros(len(known.links), np.int64)
-                        else:
-                            order = np.argsort(more["pair"].to_numpy())
-                            pairs = more["pair"].to_numpy()[order]
-                            place = order[np.minimum(np.searchsorted(pairs, known.links), len(pairs) - 1)]
-                            documents, best = more["documents"].to_numpy(), more["best"].to_numpy().astype(np.int64)
-                        sums = np.stack([*known.own, known.sums(np.ones(len(place), np.int64)), known.sums(best[place]), known.sums(documents[place]), known.bad], axis=1)
-                        known.links = known.own = place = None
-                    of = list(map(known.index.__getitem__, split(text)))
-                    total = sums[np.array(of)].sum(axis=0)
-                    if not total[-1]:
-                        out[row] = total[:-1]
-                        digests[row] = hashlib.sha256(";".join(map(said.__getitem__, of)).encode()).hexdigest()
-                columns = [part.column(2), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(len(SUMS))), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SUMS, "groups_sha256"])
-        del known, said, sums
+            blocks = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(blocks)) + 1
+            for begin, end in pairwise([0, *edges.tolist(), b.num_rows]):
+                if begin == end:
+                    continue
+                part, block = b.slice(begin, end - begin), int(blocks[begin])
+                if block != at:
+                    sums = None  # before the next block is read
+                    at, known = block, Block(tables, block, COUNTED)
+                    more = tables.read("counts", block, ["pair", "documents", "best"])
+                    if more is None:  # no document of the block has links
+                        sums = np.zeros((len(known.bad), 2), np.int64)
+                    else:
+                        place = pc.index_in(pa.array(known.links, pa.int64()), value_set=more["pair"]).fill_null(0).to_numpy(zero_copy_only=False)
+                        best, documents = more["best"].to_numpy().astype(np.int64), more["documents"].to_numpy()
+                        sums = np.stack([known.sums(best[place]), known.sums(documents[place])], axis=1)
+                    known = more = place = None
+                of, starts = unpacked(part.column(1))
+                total = over(sums[of], starts)
+                columns = dict(zip(SUMS, [*part.columns[3:7], *(pa.array(np.ascontiguousarray(total[:, c])) for c in (0, 1))], strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(2), *columns.values(), part.column(7)], ["doc_id", *SUMS, "groups_sha256"])
+        del sums
         give_back()
 
-    return rows.select("block", "text", "doc_id").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")
+    return told.select("block", "stretches", "doc_id", *SUMS[:4], "groups_sha256").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -473,13 +574,15 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     scratch.drop("held")
 
     # In how many documents each pair is linked, and whether no pair of its first id is linked in more.
-    counted = scratch.write(_linked_documents(rows, scratch.path), "counted")
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    told = scratch.write(_told(rows, scratch.path, doc_kind), "told", packing="zstd")
+    counted = told.filter("pair is not null").select("block", "pair", "n")
     totals = counted.groupBy("pair").agg(F.sum("n").alias("documents")).withColumn("first", F.expr(f"pair div {width}L"))
     top = totals.groupBy("first").agg(F.max("documents").alias("top"))
     totals = totals.join(top, "first").select("pair", "documents", (F.col("documents") == F.col("top")).alias("best"))
     _write_blocks(counted.select("block", "pair").distinct().join(totals, "pair"), f"{scratch.path}/counts")
-    scratch.keep(*[name for name in scratch.names if name.startswith("rows-")])
-    return _summed(rows, scratch.path, docs.schema["doc_id"].dataType.simpleString())
+    scratch.keep("told")
+    return _summed(told.filter("pair is null"), scratch.path, doc_kind)
 
 
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
