@@ -14,6 +14,8 @@ from pairforge.functions.vectors import hamming
 HASH_BITS = 64
 #: Values enumerated for a hash, over all bands, at most.
 MOST_KEYS = 2500
+#: Hashes whose near values one task makes.
+HASHES_A_TASK = 4000
 
 
 def members(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -72,22 +74,28 @@ def met_first(most: int) -> Column:
 
 
 def hamming_candidates(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """(ha, hb) of distinct hashes that meet in a band, each pair once; the left ones are enumerated."""
-    met = _keyed(left, "ha", most, True).join(_keyed(right, "hb", most, False), ["band", "bits"])
+    """(ha, hb) of distinct hashes that meet in a band, each pair once; the left ones are enumerated.
+
+    Both sides are shuffled, whatever their size: Spark takes a table of near values to be as large
+    as that of the hashes, and would send it to the driver to be broadcast.
+    """
+    met = _keyed(left, "ha", most, True).hint("merge").join(_keyed(right, "hb", most, False), ["band", "bits"])
     return met.filter(met_first(most)).select("ha", "hb")
 
 
 def near_hashes(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """(ha, hb, distance) of distinct hashes (ha) and (hb) at most ``most`` bits apart.
 
-    The side with fewer hashes is the one whose near values are enumerated. A band's value that
-    very many hashes share is split by the adaptive handling of skewed joins, as both sides are
-    plain shuffled tables.
+    The side with fewer hashes is the one whose near values are enumerated, by as many tasks as its
+    hashes want. A band's value that very many hashes share is split by the adaptive handling of
+    skewed joins, as both sides are plain shuffled tables.
     """
-    if left.count() <= right.count():
-        met = hamming_candidates(left, right, most)
+    n_left, n_right = left.count(), right.count()
+    dealt = lambda hashes, n: hashes.repartition(max(1, -(-n // HASHES_A_TASK)), hashes.columns[0])
+    if n_left <= n_right:
+        met = hamming_candidates(dealt(left, n_left), right, most)
     else:
-        met = hamming_candidates(right.withColumnRenamed("hb", "ha"), left.withColumnRenamed("ha", "hb"), most).select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))
+        met = hamming_candidates(dealt(right, n_right).withColumnRenamed("hb", "ha"), left.withColumnRenamed("ha", "hb"), most).select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))
     return met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
 
 

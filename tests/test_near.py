@@ -59,6 +59,32 @@ def test_pairs_rebuilt_from_classes_are_all_pairs(spark):
     assert {(r.a_id, r.b_id, r.distance) for r in neardup.hamming_join(left, right).collect()} == want
 
 
+def assert_bands_are_merged(found):
+    """The join by bands, as it was run, shuffled both sides."""
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    met = [line for line in plan.splitlines() if "Join" in line and "[band#" in line]
+    assert len(met) == 1 and "SortMergeJoin" in met[0], met
+
+
+@pytest.mark.parametrize("few", ["a", "b"])
+def test_near_values_are_not_broadcast(spark, few):
+    # Spark knows the few hashes' size when it plans this join, and not how many near values each has.
+    rng = random.Random(6)
+    values = near_values(rng, 60)
+    rows = [list(enumerate(values[:9])), list(enumerate(values))][:: 1 if few == "a" else -1]
+    found = neardup.hamming_classes(*(spark.createDataFrame(r, "id long, hash long") for r in rows))
+    assert {(r.a_id, r.b_id, r.distance) for r in found.collect()} == {(x, y, far(v, w)) for (x, v), (y, w) in itertools.product(*rows) if far(v, w) <= 10}
+    assert_bands_are_merged(found)
+
+
+def test_near_values_are_made_by_as_many_tasks_as_hashes_want(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HASHES_A_TASK", 3)
+    hashes = [(signed(random.Random(i).getrandbits(64)),) for i in range(10)]
+    found = neardup.near_hashes(spark.createDataFrame(hashes, "ha long"), spark.createDataFrame(hashes, "hb long"), 10)
+    assert sorted(r.ha for r in found.collect()) == sorted(h for h, in hashes)
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(ha" in plan and ", 4), REPARTITION_BY_NUM" in plan
+
+
 def test_a_stream_is_held_against_an_index_that_is_written_once(spark, tmp_path):
     rng = random.Random(4)
     values = near_values(rng, 30)
