@@ -77,6 +77,16 @@ def test_near_values_are_not_broadcast(spark, few):
     assert_bands_are_merged(found)
 
 
+@pytest.mark.parametrize("few", ["a", "b"])
+def test_pairs_of_rows_are_found_without_broadcasting_near_values(spark, few):
+    rng = random.Random(7)
+    values = near_values(rng, 60) * 2
+    rows = [list(enumerate(values[:12])), list(enumerate(values))][:: 1 if few == "a" else -1]
+    found = neardup.hamming_join(*(spark.createDataFrame(r, "id long, hash long") for r in rows))
+    assert Counter(map(tuple, found.collect())) == Counter((x, y, far(v, w)) for (x, v), (y, w) in itertools.product(*rows) if far(v, w) <= 10)
+    assert_bands_are_merged(found)
+
+
 def test_near_values_are_made_by_as_many_tasks_as_hashes_want(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HASHES_A_TASK", 3)
     hashes = [(signed(random.Random(i).getrandbits(64)),) for i in range(10)]
