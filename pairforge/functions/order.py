@@ -11,6 +11,8 @@ from pairforge.sinks.scratch import stored
 
 #: Ranges that the rows of a group are dealt into: EDGES * EDGES, about equally filled.
 EDGES = 12
+#: Groups that are sent to all tasks, at most.
+FEW_GROUPS = 50_000
 
 
 def hash_order(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFrame:
@@ -102,3 +104,26 @@ def running_sums(df: DataFrame, group: Sequence[str], order: str, values: Sequen
     last = F.lead(F.lit(1)).over(rows).isNull()
     after = [F.when(last, F.col(f"_head.{c}")).otherwise(F.lead(c).over(rows)).alias(f"{c}_next") for c in following]
     return both.select("*", *upto, *after).drop("_bucket", "_head", *[f"_b_{v}" for v in values])
+
+
+def rounded_means(df: DataFrame, group: Sequence[str], value: str, digits: int, at: Sequence[str]) -> DataFrame:
+    """(group, value): the mean of each group to so many digits, its doubles added up in the order of ``at``.
+
+    A sum of doubles depends on the order of its additions, and so does the rounding of a mean on a
+    tie. Means farther from one than n additions may err round alike in any order. Only the rows of
+    the other groups are put in order and added up one by one.
+    """
+    group, scale, given = list(group), 10**digits, F.col(value)
+    sums = df.groupBy(*group).agg(F.avg(given).alias("_mean"), F.avg(F.abs(given)).alias("_size"), F.count(given).alias("_n"))
+    means = stored(sums, "means")
+    scaled = F.abs(F.col("_mean")) * scale
+    near = F.coalesce(F.abs(scaled - F.floor(scaled) - 0.5) <= (F.col("_n") + 4) * F.col("_size") * scale * 2.0**-50, F.lit(False))
+    tied = means.filter(near).select(*group)
+    few = tied.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    rows = df.alias("a").join((F.broadcast(tied) if few else tied).alias("b"), same, "left_semi")
+    ordered = Window.partitionBy(*group).orderBy(*at)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select(*group, (F.sum(given).over(upto) / F.count(given).over(upto)).alias("_mean"), F.lead(F.lit(1)).over(ordered).isNull().alias("_last"))
+    both = means.filter(~near).select(*group, "_mean").unionByName(summed.filter("_last").select(*group, "_mean"))
+    return both.select(*group, F.round("_mean", digits).alias(value))

@@ -1,5 +1,12 @@
 """Queries over whole tables, on small fixtures."""
 
+import random
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from pairforge import queries as Q
 
 
@@ -18,3 +25,47 @@ def test_contamination_probes_all_documents_and_the_benchmark(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (5, "c"), (6, None), (7, None)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([("i", "b")], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
     assert sorted(r.doc_id for r in Q.QUERIES["contamination_all"](spark, at).collect()) == [1, 2, 3]
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Scans of a task for each row group of a small file."""
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in sizes]
+    for k in sizes:
+        spark.conf.set(k, "1000")
+    yield
+    for k, v in zip(sizes, before, strict=True):
+        spark.conf.set(k, v)
+
+
+def tied_items(at):
+    """30 suppliers whose mean discount is 0.0495: cents of 600 rows, 2970 in all, their rows mixed."""
+    rng, rows = random.Random(8), []
+    for supplier in range(30):
+        cents = [rng.randint(0, 10) for _ in range(600)]
+        while (left := 2970 - sum(cents)) != 0:
+            i = rng.randrange(600)
+            cents[i] = min(10, max(0, cents[i] + (left > 0) - (left < 0)))
+        rows += [(supplier, c / 100) for c in cents]
+    rng.shuffle(rows)
+    keys, values = zip(*rows, strict=True)
+    pq.write_table(pa.table({"l_suppkey": pa.array(keys, "int64"), "l_discount": values}), f"{at}/lineitem.parquet", row_group_size=600)
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(31), "int64")}), f"{at}/supplier.parquet")
+
+
+def sql_in_order(name, at):
+    """What the SQL gives where one thread adds up rows as they are stored."""
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "supplier"):
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    return sorted((run, float(expected), *rest) for run, expected, *rest in con.execute(Q.SQL[name]).fetchall())
+
+
+def test_means_on_a_tie_round_as_in_sql(spark, tmp_path, many_tasks):
+    tied_items(tmp_path)
+    want = sql_in_order("tolerance_check", tmp_path)
+    assert {r[2] for r in want} == {0.049, 0.05, None}
+    assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() > 10
+    got = Q.QUERIES["tolerance_check"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("run_id", "expected", "observed", "status").collect()) == want
