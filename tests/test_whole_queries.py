@@ -1,6 +1,7 @@
 """Queries over whole tables, on small fixtures."""
 
 import random
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import duckdb
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pairforge import queries as Q
+from pairforge.functions import order
 
 
 def test_leakage_and_tolerance_probe_all_rows(spark, tmp_path):
@@ -54,11 +56,11 @@ def tied_items(at):
     pq.write_table(pa.table({"s_suppkey": pa.array(range(31), "int64")}), f"{at}/supplier.parquet")
 
 
-def sql_in_order(name, at):
+def sql_in_order(name, at, items="lineitem.parquet"):
     """What the SQL gives where one thread adds up rows as they are stored."""
     con = duckdb.connect(config={"threads": 1})
-    for t in ("lineitem", "supplier"):
-        con.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    for t, path in (("lineitem", items), ("supplier", "supplier.parquet")):
+        con.execute(f"create view {t} as select * from '{at}/{path}'")
     return sorted((run, float(expected), *rest) for run, expected, *rest in con.execute(Q.SQL[name]).fetchall())
 
 
@@ -69,3 +71,29 @@ def test_means_on_a_tie_round_as_in_sql(spark, tmp_path, many_tasks):
     assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() > 10
     got = Q.QUERIES["tolerance_check"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.select("run_id", "expected", "observed", "status").collect()) == want
+
+
+def test_means_on_a_tie_round_as_in_sql_over_several_files(spark, tmp_path, many_tasks):
+    tied_items(tmp_path)
+    items = pq.read_table(f"{tmp_path}/lineitem.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(7):
+        pq.write_table(items.slice(i * 2600, 2600), f"{tmp_path}/lineitem.parquet/part-{i}.parquet", row_group_size=500)
+    want = sql_in_order("tolerance_check_all", tmp_path, "lineitem.parquet/*.parquet")
+    assert len(want) == 31 and {r[2] for r in want} == {0.049, 0.05, None}
+    got = Q.QUERIES["tolerance_check_all"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("run_id", "expected", "observed", "status").collect()) == want
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_rounded_means_are_those_of_sums_in_order(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "FEW_GROUPS", few)
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, *[c / 100 for c in range(-10, 11)]]), i) for i, g in enumerate(rng.choices([None, *"abcdefgh"], k=4000))] + [("one", 0.0005, 5000), ("none", None, 5001), ("huge", 1e300, 5002), ("huge", -3e299, 5003)]
+    want = {}
+    for g, v, _ in rows:
+        total, n = want.get(g, (0.0, 0))
+        want[g] = (total + v, n + 1) if v is not None else (total, n)
+    got = order.rounded_means(spark.createDataFrame(rows, "g string, v double, i long").repartition(7), ["g"], "v", 3, ["i"])
+    assert {r.g: r.v for r in got.collect()} == {g: float(Decimal(repr(t / n)).quantize(Decimal("0.001"), ROUND_HALF_UP, Context(prec=400))) if n else None for g, (t, n) in want.items()}
